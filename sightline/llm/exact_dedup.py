@@ -3,8 +3,10 @@
 Normalised texts are dealt to ranges by sampled splitters, an external sort puts
 equal texts side by side, and the run boundaries come from full comparisons of
 neighbours (the window operator compares each row's whole key with the one
-before). A salt, made from the id, is the last sort key, so that a large group
-of copies becomes up to `salts` runs in several ranges. One short row per run
+before). Splitters are short however long texts are: the text's first 64
+characters, then its 64-bit hash, so that a common beginning doesn't fill one
+range. A salt, made from the id, is the last sort key, so that a large group of
+copies becomes up to `salts` runs in several ranges. One short row per run
 (digest, salt, smallest id, count) then merges into its group.
 
 Defined cases: a null text counts as empty; empty texts equal each other; ids
@@ -29,8 +31,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_norm"))
     rows = rows.withColumn("_salt", dealt_bucket(salts, "_id"))
-    ranges = rows.repartitionByRange(F.col("_norm"), F.col("_salt"))
-    run = Window.partitionBy("_norm", "_salt")
+    rows = rows.withColumn("_head", F.substring("_norm", 1, 64)).withColumn("_hash", F.xxhash64("_norm"))
+    ranges = rows.repartitionByRange("_head", "_hash", "_salt")
+    run = Window.partitionBy("_head", "_hash", "_salt", "_norm")
     local = ranges.select(
         "_id", "_salt",
         F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_sha"),

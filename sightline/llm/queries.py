@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan
+from . import exact_dedup, license_scan, mixing, packing, token_files
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op6_source_mixing": mixing.op6_source_mixing,
+        "op7_token_files": token_files.op7_token_files,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, packing, token_files
+from . import chat_format, exact_dedup, license_scan, mixing, packing, token_files
 
 
 def queries() -> dict:
@@ -11,9 +11,14 @@ def queries() -> dict:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_token_files": token_files.op7_token_files,
+        "op9_chat_format": chat_format.op9_chat_format,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.sql(), "op10_exact_dedup": exact_dedup.SQL}
+    return {
+        "op1_license_scan": license_scan.sql(),
+        "op9_chat_format": chat_format.SQL,
+        "op10_exact_dedup": exact_dedup.SQL,
+    }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, html_extract, license_scan, mixing, packing, token_files
+from . import chat_format, exact_dedup, html_extract, license_scan, mixing, packing, quality_rules, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_html_main_text": html_extract.op4_html_main_text,
+        "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_token_files": token_files.op7_token_files,
         "op9_chat_format": chat_format.op9_chat_format,
@@ -21,6 +22,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.sql(),
         "op4_html_main_text": html_extract.SQL,
+        "op5_quality_rules": quality_rules.SQL,
         "op9_chat_format": chat_format.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
     }

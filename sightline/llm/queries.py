@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, html_extract, license_scan, mixing, packing, quality_rules, token_files
+from . import chat_format, exact_dedup, html_extract, license_scan, minhash_dedup, mixing, packing, quality_rules, token_files
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_minhash_neardup": minhash_dedup.op3_minhash_neardup,
         "op4_html_main_text": html_extract.op4_html_main_text,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
@@ -21,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.sql(),
+        "op3_minhash_neardup": minhash_dedup.SQL,
         "op4_html_main_text": html_extract.SQL,
         "op5_quality_rules": quality_rules.SQL,
         "op9_chat_format": chat_format.SQL,

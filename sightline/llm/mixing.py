@@ -102,15 +102,24 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
     return take
 
 
+def n_words(text_col: str):
+    """Words of a text: the gaps in it, once white space is one space and none at the ends."""
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "))
+    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.translate(plain, " ", "")) + 1).cast("long")
+
+
+def source_key(source_col: str):
+    """A source's name that is never null."""
+    return F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 7) -> DataFrame:
     """One row per document: id, size, source_size, target, taken (words, repeats counted)."""
     spark = docs.sparkSession
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
-    words = F.length(F.regexp_replace(text, "[^ ]+", "w")) - F.length(F.regexp_replace(F.regexp_replace(text, "[^ ]+", "w"), "w", ""))
     sized = docs.select(
         F.col(id_col).alias("_id"),
-        F.concat(F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.lit("s")), F.coalesce(F.col(source_col).cast("string"), F.lit(""))).alias("_src"),
-        words.cast("long").alias("size"),
+        source_key(source_col).alias("_src"),
+        n_words(text_col).alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col)).alias("_hash"),
     ).withColumn("_bucket", F.pmod(F.shiftright("_hash", 40), F.lit(BUCKETS)).cast("int"))
     sized = written(sized, "sizes")
@@ -141,9 +150,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     times = F.col("passes") + F.when(F.col("_place") <= F.col("_some"), 1).otherwise(0)
     return picked.select(
         F.col("_id").alias(id_col), "size", "source_size", "target",
-        (F.col("size") * times).cast("long").alias("taken"), times.cast("long").alias("times"))
+        (F.col("size") * times).cast("long").alias("taken"), times.cast("long").alias("times"), "_src")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix(docs).drop("times")
+    return mix(docs).drop("times", "_src")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each document's row as often as it is taken, with all its columns.
+
+    Rows equal in id, source and size count as one choice: each comes as often as the most taken of them."""
+    chosen = mix(docs, id_col, text_col, source_col, **options)
+    named = chosen.groupBy(F.col(id_col).alias("_mid"), F.col("_src").alias("_msrc"), F.col("size").alias("_msize")).agg(F.max("times").alias("_times")).where("_times > 0")
+    rows = docs.withColumn("_osrc", source_key(source_col)).withColumn("_osize", n_words(text_col))
+    same = rows[id_col].eqNullSafe(F.col("_mid")) & (F.col("_osrc") == F.col("_msrc")) & (F.col("_osize") == F.col("_msize"))
+    taken = rows.join(named, same)
+    return taken.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[rows[c] for c in docs.columns])

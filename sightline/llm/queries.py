@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, html_extract, license_scan, minhash_dedup, mixing, packing, quality_rules, token_files
+from . import chat_format, exact_dedup, html_extract, license_scan, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, token_files
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_source_mixing": mixing.op6_source_mixing,
         "op7_token_files": token_files.op7_token_files,
+        "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }

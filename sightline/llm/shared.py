@@ -3,6 +3,7 @@ and ranks inside groups of any size."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps now: it does so when the
+    driver's collectors find their plans unused, which may otherwise take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dealt_bucket(buckets: int, *cols: str) -> Column:
     """A bucket number from the row's own values, the same on each run."""
     return F.pmod(F.xxhash64(*cols), F.lit(buckets)).cast("int")

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .minhash_dedup import mixed, powers, splitmix
-from .shared import written
+from .shared import release, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts sorted at once; starts of strings taken from a text at once.
@@ -312,7 +312,7 @@ def _contexts(work: DataFrame, length: int) -> DataFrame:
                     [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["hash", "doc", "mark", "start", "count", "bytes"])
 
     some = work.where("places is not null").select("doc", "mark", "packed", "places")
-    return some.mapInArrow(run, "hash long, doc long, mark int, start long, count int, bytes binary").dropDuplicates(["hash", "doc", "mark", "start"])
+    return some.mapInArrow(run, "hash long, doc long, mark int, start long, count int, bytes binary")
 
 
 def _firsts(contexts: DataFrame, length: int, batch_bytes: int) -> DataFrame:
@@ -336,20 +336,22 @@ def _firsts(contexts: DataFrame, length: int, batch_bytes: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(marks, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc", "mark", "firsts"])
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, size, last = [], 0, (None,)
         for batch in batches:
             hashes = batch.column(0).to_pylist()
             for h, *row in zip(hashes, *(batch.column(c).to_pylist() for c in ("doc", "mark", "start", "count", "bytes")), strict=True):
-                if h != last and size > batch_bytes:
+                if (h, *row[:3]) == last:  # of equal rows of documents
+                    continue
+                if h != last[0] and size > batch_bytes:
                     yield solve(held)
                     held, size = [], 0
-                last = h
+                last = (h, *row[:3])
                 held.append(row)
                 size += len(row[4])
         if held:
             yield solve(held)
 
-    dealt = contexts.repartition("hash").sortWithinPartitions("hash")
+    dealt = contexts.repartition("hash").sortWithinPartitions("hash", "doc", "mark", "start")
     return dealt.mapInArrow(run, "doc long, mark int, firsts array<long>")
 
 
@@ -370,6 +372,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with `spans` also the removed (from, to) and the bytes that stay."""
     rows = _rows(docs, id_col, text_col)
     work = _joined(rows, _repeated_anchors(rows, length, gram))
+    release(docs.sparkSession)
     firsts = _firsts(_contexts(work, length), length, batch_bytes).groupBy("doc", "mark").agg(F.flatten(F.collect_list("firsts")).alias("firsts"))
     some = work.where("places is not null").select("id", "doc", "mark", "packed", F.col("places.place").alias("places")).join(firsts, ["doc", "mark"], "left")
 

@@ -1,4 +1,6 @@
 """All registered queries of the engine with their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import analytics, detection, reporting, storage  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

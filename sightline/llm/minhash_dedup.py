@@ -38,7 +38,7 @@ from .components import components
 from .shared import dealt_bucket, written
 
 WORDS, PERCENT = 5, 75
-TREES, TOKENS, SMALL, MAX_LEVELS = 10, 64, 16, 8
+TREES, TOKENS, SMALL, MAX_LEVELS = 10, 64, 256, 8
 LEAST_AGREEMENT = 0.5
 SALTS, BROADCAST_ROWS = 16, 500_000
 
@@ -221,32 +221,24 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     token = lambda k: F.substring(F.col("sketch"), 4 * k + 1, 4)
     rows = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), token(k)) for k in range(TREES)])).alias("node"))
-    texts = links = None
-    comp = None
+    texts = comp = None
     for level in range(MAX_LEVELS + 1):
-        nodes = _met(rows)
-        rows = written(rows.join(nodes, "node"), f"nodes-{level}")
+        rows = written(rows.join(_met(rows), "node"), f"nodes-{level}")
         if not rows.take(1):
             break
         if texts is None:
             texts = _texts_of(docs, rows.select("id").distinct(), id_col, text_col)
         star = rows.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        if comp is not None:
-            star = _apart(star, comp)
-        found = _confirmed(written(_agreeing(star, classes), "star"), texts)
-        links = found if links is None else links.unionByName(found)
-        comp = written(components(links), "components")
+        comp = _grown(comp, _confirmed(written(_agreeing(star if comp is None else _apart(star, comp), classes), "star"), texts))
         rows = _mixed(rows, comp)
         small = rows.where(F.col("k") <= SMALL) if level < MAX_LEVELS else rows
-        other = small.select("node", F.col("id").alias("b"), F.col("comp").alias("cb"))
-        pairs = small.join(other, "node").where("id < b and comp <> cb").select(F.col("id").alias("a"), "b").distinct()
-        found = _confirmed(written(_agreeing(pairs, classes), "pairs"), texts)
-        links = links.unionByName(found)
-        comp = written(components(links), "components")
-        rows = _mixed(rows.where(F.col("k") > SMALL).drop("comp"), comp)
-        rows = written(_branch(rows.select("node", "id"), classes, level), f"branch-{level}")
-        if not rows.take(1):
+        pairs = written(_pairs_within(small, classes).distinct(), "pairs")
+        if pairs.take(1):
+            comp = _grown(comp, _confirmed(pairs, texts))
+        rows = rows.where(F.col("k") > SMALL)
+        if level == MAX_LEVELS or not rows.take(1):
             break
+        rows = written(_branch(rows.select("node", "id"), classes, level), f"branch-{level}")
     out = member.select("id", "n", "class")
     if comp is not None:
         named = comp.select(F.col("id").alias("class"), "component")
@@ -276,6 +268,59 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def _grown(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (id, component), with written links taken in: only components that
+    links join are worked on again."""
+    if comp is None:
+        return written(components(links), "components")
+    a, b = (comp.select(F.col("id").alias(c), F.col("component").alias("c" + c)) for c in "ab")
+    both = links.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    both = written(both.where("ca <> cb"), "joins")
+    if not both.take(1):
+        return comp
+    merged = components(both.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    ends = both.select(F.col("a").alias("id"), F.col("ca").alias("component")).unionByName(both.select(F.col("b").alias("id"), F.col("cb").alias("component")))
+    every = comp.unionByName(ends).distinct()
+    return written(every.join(merged.toDF("component", "_to"), "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "components")
+
+
+def _pairs_within(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a node's members in different components that sizes and sketches don't rule
+    out. A node's members are compared in blocks, so memory is that of the node's sketches."""
+    joined = rows.select("node", "id", "comp").join(classes, "id")
+    dealt = joined.select("node", "id", "comp", "n", "sketch").repartition("node").sortWithinPartitions("node", "id")
+
+    def compare(held: list) -> pa.RecordBatch:
+        ids, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
+        x = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(-1, TOKENS)
+        one, two = [], []
+        for i in range(0, len(x), 128):
+            for j in range(i, len(x), 128):
+                fit = (x[i : i + 128, None, :] == x[None, j : j + 128, :]).mean(axis=2) >= LEAST_AGREEMENT
+                fit &= comp[i : i + 128, None] != comp[None, j : j + 128]
+                na, nb = n[i : i + 128, None], n[None, j : j + 128]
+                fit &= np.maximum(na, nb) * PERCENT <= np.minimum(na, nb) * 100
+                p, q = np.nonzero(fit)
+                p, q = ids[i + p], ids[j + q]
+                one.append(p[p < q])
+                two.append(q[p < q])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"])
+
+    def run(batches):
+        node, held = None, []
+        for batch in batches:
+            for at, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != node and held:
+                    yield compare(held)
+                    held = []
+                node = at
+                held.append(row)
+        if held:
+            yield compare(held)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """Rows of nodes whose members aren't all connected, with their component."""
     named = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")

@@ -55,7 +55,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take, so that the sum comes as near to the budget as can be, from below."""
+    """How many of each length to take, so that the sum comes as near to the budget as can be; of equals the lower one."""
     total = int((lengths * counts).sum())
     if budget <= 0 or total == 0:
         return np.zeros(len(lengths), np.int64)
@@ -75,17 +75,19 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: for each sum, the item (a power-of-two lot of a length) that first reached it."""
-    by = np.full(budget + 1, -1, np.int64)
+    """Bounded knapsack: for each sum, the item (a power-of-two lot of a length) that first reached it. Sums
+    somewhat above the budget are covered, too, as one of them may be the nearest."""
+    most = min(2 * budget, budget + int(lengths.max()))
+    by = np.full(most + 1, -1, np.int64)
     by[0] = 0
     lots: list[tuple[int, int]] = [(0, 0)]
     for i in np.argsort(-lengths, kind="stable").tolist():
         length, left, lot = int(lengths[i]), int(counts[i]), 1
-        while length and left > 0 and lot * length <= budget:
+        while length and left > 0 and lot * length <= most:
             lot = min(lot, left)
             weight = lot * length
-            if weight <= budget:
-                new = (by[: budget + 1 - weight] >= 0) & (by[weight:] < 0)
+            if weight <= most:
+                new = (by[: most + 1 - weight] >= 0) & (by[weight:] < 0)
                 if new.any():
                     by[weight:][new] = len(lots)
                 lots.append((i, lot))
@@ -94,7 +96,8 @@ def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarra
         if by[budget] >= 0:
             break
     take = np.zeros(len(lengths), np.int64)
-    at = int(np.flatnonzero(by >= 0)[-1])
+    sums = np.flatnonzero(by >= 0)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:  # a sum's lot came after the lots of the sum before it, so none is used twice
         i, lot = lots[by[at]]
         take[i] += lot

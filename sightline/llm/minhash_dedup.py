@@ -4,12 +4,12 @@ A document's set holds its distinct five-word shingles. Documents with equal
 sets form a class, merged before anything else by counts that combine early.
 Each class has a sketch of minwise tokens. In each of TREES independent trees
 the classes branch by a token of their own: those that share it meet in a node.
-At a node the smallest class is compared with all others, which connects most
-groups of copies with as many comparisons as members. Nodes whose members are
+At a node the smallest class is compared with one of each other component, which
+connects most groups of copies with as many comparisons as members. Nodes whose members are
 all connected need nothing more. Small nodes are compared exhaustively, between
 members not yet connected; the others branch again by further tokens chosen by
-the node (a second one in a third of the cases, so that pairs at the threshold
-stay together on average), level by level. Nodes still mixed after MAX_LEVELS
+the node (a second one in half of the cases, so that pairs at the threshold stay
+together on average), level by level. Nodes still mixed after MAX_LEVELS
 are compared pair by pair between unconnected members.
 
 Comparisons first drop pairs that set sizes or sketches rule out (an agreement
@@ -29,18 +29,20 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import dealt_bucket, written
+from .shared import dealt_bucket, fresh_path, written
 
 WORDS, PERCENT = 5, 75
-TREES, TOKENS, SMALL, MAX_LEVELS = 10, 64, 256, 8
+TREES, TOKENS, SMALL, MAX_LEVELS = 10, 64, 1024, 8
 LEAST_AGREEMENT = 0.5
-SALTS, BROADCAST_ROWS = 16, 500_000
+SALTS, BROADCAST_ROWS = 16, 2_000
 
 U = np.uint64
 
@@ -144,27 +146,12 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.mapInArrow(run, "id long, n long, s1 long, s2 long, sketch binary"), "sketches")
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of distinct pairs (a, b) that sizes and sketches don't rule out."""
-    left = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    right = classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    salted = pairs.withColumn("salt", dealt_bucket(SALTS, "b"))
-    centres = salted.select("a", "salt").distinct().join(left, "a")
-    joined = salted.join(right, "b").join(centres, ["a", "salt"])
-    joined = joined.where(F.greatest("na", "nb") * PERCENT <= F.least("na", "nb") * 100)
-
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, TOKENS) for c in ("ka", "kb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT))
-
-    return joined.select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Written: those of pairs (a, b) whose full sets are similar enough. One centre's set
     is kept while its partners stream by; a centre with many partners is dealt by salt."""
+    if pairs.count() <= BROADCAST_ROWS:
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = texts.join(F.broadcast(ends), "id", "left_semi")
     salted = pairs.withColumn("salt", dealt_bucket(SALTS, "b"))
     right = salted.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
     left = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
@@ -190,13 +177,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _branch(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Children of nodes (node, id): by one token the node chooses, and in a third of the nodes by a second."""
+    """Children of nodes (node, id, tree): by one token the node chooses, and in half of the nodes by a second."""
     pick = lambda k: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(TOKENS - TREES)) + TREES
     token = lambda c: F.substring(F.col("sketch"), (4 * c + 1).cast("int"), F.lit(4))
     child = lambda k: F.xxhash64("node", F.lit(k), pick(k), token(pick(k)))
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(3)) == 0, child(1))
+    second = F.when(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2)) == 0, child(1))
     joined = rows.join(classes.select("id", "sketch"), "id")
-    return joined.select("id", F.explode(F.array_compact(F.array(child(0), second))).alias("node"))
+    return joined.select("id", "tree", F.explode(F.array_compact(F.array(child(0), second))).alias("node"))
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -220,25 +207,27 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     classes = written(every.join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"), "class-sketches")
 
     token = lambda k: F.substring(F.col("sketch"), 4 * k + 1, 4)
-    rows = classes.select("id", F.explode(F.array(*[F.xxhash64(F.lit(k), token(k)) for k in range(TREES)])).alias("node"))
+    rows = classes.select("id", F.posexplode(F.array(*[F.xxhash64(F.lit(k), token(k)) for k in range(TREES)])).alias("tree", "node"))
     texts = comp = None
     for level in range(MAX_LEVELS + 1):
         rows = written(rows.join(_met(rows), "node"), f"nodes-{level}")
         if not rows.take(1):
             break
         if texts is None:
-            texts = _texts_of(docs, rows.select("id").distinct(), id_col, text_col)
-        star = rows.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-        comp = _grown(comp, _confirmed(written(_agreeing(star if comp is None else _apart(star, comp), classes), "star"), texts))
+            active = classes.join(rows.select("id").distinct(), "id", "left_semi")
+            classes = written(active, "met")
+            texts = _texts_of(docs, classes, id_col, text_col)
+            one = rows.where(F.col("tree") == 0)  # most copies are connected by one tree; the others then compare less
+            comp = _linked_by(_node_pairs(_named(one, comp), classes, False), comp, texts)
+        rows = _mixed(rows, comp)
+        comp = _linked_by(_node_pairs(rows, classes, False), comp, texts)
         rows = _mixed(rows, comp)
         small = rows.where(F.col("k") <= SMALL) if level < MAX_LEVELS else rows
-        pairs = written(_pairs_within(small, classes).distinct(), "pairs")
-        if pairs.take(1):
-            comp = _grown(comp, _confirmed(pairs, texts))
+        comp = _linked_by(_node_pairs(small, classes, True), comp, texts)
         rows = rows.where(F.col("k") > SMALL)
         if level == MAX_LEVELS or not rows.take(1):
             break
-        rows = written(_branch(rows.select("node", "id"), classes, level), f"branch-{level}")
+        rows = written(_branch(rows.select("node", "id", "tree"), classes, level), f"branch-{level}")
     out = member.select("id", "n", "class")
     if comp is not None:
         named = comp.select(F.col("id").alias("class"), "component")
@@ -253,19 +242,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Written texts of the classes that met any other: ids are broadcast only up to BROADCAST_ROWS."""
-    ids = written(ids, "met")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    some = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
-    return written(some, "texts").dropDuplicates(["id"])
-
-
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't connected yet."""
-    a, b = (comp.select(F.col("id").alias(c), F.col("component").alias("c" + c)) for c in "ab")
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def _texts_of(docs: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts of the classes that met any other, in a table bucketed by id: each later join by id
+    reads its buckets and shuffles none of them."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    some = rows.join(met.select("id"), "id", "left_semi")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "sightline_texts_" + uuid.uuid4().hex
+    some.repartition(n, "id").dropDuplicates(["id"]).write.bucketBy(n, "id").option("path", fresh_path(spark, "texts")).saveAsTable(name)
+    return spark.table(name)
 
 
 def _grown(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -284,26 +270,43 @@ def _grown(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(every.join(merged.toDF("component", "_to"), "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "components")
 
 
-def _pairs_within(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a node's members in different components that sizes and sketches don't rule
-    out. A node's members are compared in blocks, so memory is that of the node's sketches."""
+def _linked_by(pairs: DataFrame, comp: DataFrame | None, texts: DataFrame) -> DataFrame:
+    """Components after confirming pairs (a, b)."""
+    pairs = written(pairs.distinct(), "pairs")
+    if not pairs.take(1):
+        return comp if comp is not None else written(components(pairs), "components")
+    return _grown(comp, _confirmed(pairs, texts))
+
+
+def _node_pairs(rows: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (a, b) of nodes' members (node, id, comp) that sizes and sketches don't rule out.
+
+    Not whole: the node's smallest member with the first member of each other component. Whole: all
+    pairs between components, in blocks, so memory is that of the node's sketches."""
     joined = rows.select("node", "id", "comp").join(classes, "id")
     dealt = joined.select("node", "id", "comp", "n", "sketch").repartition("node").sortWithinPartitions("node", "id")
 
+    def fits(x, y, na, nb):
+        fit = (x[:, None, :] == y[None, :, :]).mean(axis=2) >= LEAST_AGREEMENT
+        return fit & (np.maximum(na[:, None], nb[None, :]) * PERCENT <= np.minimum(na[:, None], nb[None, :]) * 100)
+
     def compare(held: list) -> pa.RecordBatch:
         ids, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
         x = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(-1, TOKENS)
-        one, two = [], []
-        for i in range(0, len(x), 128):
-            for j in range(i, len(x), 128):
-                fit = (x[i : i + 128, None, :] == x[None, j : j + 128, :]).mean(axis=2) >= LEAST_AGREEMENT
-                fit &= comp[i : i + 128, None] != comp[None, j : j + 128]
-                na, nb = n[i : i + 128, None], n[None, j : j + 128]
-                fit &= np.maximum(na, nb) * PERCENT <= np.minimum(na, nb) * 100
-                p, q = np.nonzero(fit)
-                p, q = ids[i + p], ids[j + q]
-                one.append(p[p < q])
-                two.append(q[p < q])
+        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if whole:
+            for i in range(0, len(x), 128):
+                for j in range(i, len(x), 128):
+                    p, q = np.nonzero((comp[i : i + 128, None] != comp[None, j : j + 128]) & fits(x[i : i + 128], x[j : j + 128], n[i : i + 128], n[j : j + 128]))
+                    p, q = ids[i + p], ids[j + q]
+                    one.append(p[p < q])
+                    two.append(q[p < q])
+        else:
+            near = fits(x[:1], x, n[:1], n)[0] & (comp != comp[0])
+            at = np.flatnonzero(near)
+            at = at[np.unique(comp[at], return_index=True)[1]]
+            one.append(np.full(len(at), ids[0]))
+            two.append(ids[at])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"])
 
     def run(batches):
@@ -321,10 +324,16 @@ def _pairs_within(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _named(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Rows with their members' components."""
+    if comp is None:
+        return rows.withColumn("comp", F.col("id"))
+    return rows.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+
 def _mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """Rows of nodes whose members aren't all connected, with their component."""
-    named = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    named = written(named, "named-nodes")
+    named = written(_named(rows, comp), "named-nodes")
     apart = named.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
     return named.join(apart, "node", "left_semi")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,9 +45,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished steps now: it does so when the
-    driver's collectors find their plans unused, which may otherwise take half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    driver's collectors find their plans unused, which may otherwise take half an hour.
+    The first round frees what Python held, the second what that had kept in the JVM."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def dealt_bucket(buckets: int, *cols: str) -> Column:

@@ -68,7 +68,7 @@ def manifest_cells(lines: DataFrame, text: str = "line", pos: str = "pos") -> Da
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """A manifest file. Its lines are numbered within the one file, which is small and read whole."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return manifest_cells(whole.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")))
 
 
@@ -80,10 +80,11 @@ def first_given(table: DataFrame, fallback: DataFrame) -> DataFrame:
 
 def find_bursts(spark: SparkSession, path: str) -> DataFrame:
     """Burst metas (dir, fields of meta.json) that can be read and have frames, sorted by directory."""
-    metas = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "meta.json").text(path)
-    rows = metas.select(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("dir"), F.from_json("value", schemas.BURST, {"mode": "PERMISSIVE"}).alias("m"))
+    metas = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="meta.json")
+    folder = lambda p: F.regexp_replace(F.regexp_replace(p, "^file:/+", "file:///"), "/[^/]*$", "")
+    rows = metas.select(folder(F.col("_metadata.file_path")).alias("dir"), F.from_json("value", schemas.BURST, {"mode": "PERMISSIVE"}).alias("m"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "frame_*.jpg").load(path)
-    frames = files.select(F.regexp_replace(F.regexp_replace("path", "^file:/+", "file:///"), "/[^/]*$", "").alias("dir")).distinct()
+    frames = files.select(folder(F.col("path")).alias("dir")).distinct()
     good = rows.where(F.col("m.candidate_id").isNotNull()).join(frames, "dir", "left_semi").select("dir", "m.*")
     outcome = F.coalesce("outcome", F.lit("miss"))
     return good.withColumn("outcome", outcome).withColumn("roi", F.when(F.size("roi") == 4, F.col("roi"))).orderBy("dir")

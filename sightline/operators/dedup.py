@@ -79,6 +79,12 @@ class CrossCamera:
         return k
 
 
+    def evict(self, most: int) -> int:
+        """Forced eviction of the oldest passes above a number of them; the count, for the counters."""
+        over = len(self.anchors) - most
+        return self.forget(self.anchors[over]) if over > 0 else 0
+
+
 ACTIONS = "payload string, arrival_seq long, source_id string, action string, anchor long, revision int, first_seen long, last_seen long, first_decode long, decode_count long, n_cameras int, best_camera string, best_frame long"
 _COLUMNS = [c.split()[0] for c in ACTIONS.split(", ")]
 _TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
@@ -135,3 +141,13 @@ def restart_seeds(passes: DataFrame, epoch_us: int, window_us: int, slack_us: in
         rows = rows.where(F.map_contains_key("cameras", F.lit(camera)))
     anchor = F.col("wall_us") - epoch_us
     return rows.where(anchor <= tolerance_us).groupBy("payload").agg(F.max(F.least(anchor, F.lit(0))).alias("anchor"))
+
+
+def reachable(actions: DataFrame, sightings: DataFrame, window: int) -> DataFrame:
+    """Passes that some camera can still merge with: (payload, anchor, alive).
+
+    The slowest camera decides: anchors older than its latest instant minus the window are done with. Each
+    camera is one row, so the cut-off is a scalar joined to all."""
+    marks = sightings.groupBy("source_id").agg(F.max("at").alias("high")).agg((F.min("high") - window).alias("cutoff"))
+    anchors = actions.where("action = 'emit'").select("payload", "anchor")
+    return anchors.crossJoin(F.broadcast(marks)).select("payload", "anchor", (F.col("anchor") >= F.col("cutoff")).alias("alive"))

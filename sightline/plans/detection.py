@@ -152,6 +152,13 @@ def dedup_counters(spark, sf_dir):
     return dedup.counters(_actions(spark, sf_dir))
 
 
+@query(CROSS + ", cut AS (SELECT min(h) - $WINDOW AS c FROM (SELECT max(ts_us) AS h FROM sightings GROUP BY source_id)), e AS (SELECT payload, unnest(z.a).t AS anchor FROM r) SELECT payload, anchor, anchor >= c AS alive FROM e, cut")
+def reachable_passes(spark, sf_dir):
+    """Which passes the slowest camera can still merge with."""
+    rows = td.sightings(spark, sf_dir).select("source_id", F.col("ts_us").alias("at"))
+    return dedup.reachable(_actions(spark, sf_dir), rows, td.WINDOW)
+
+
 @query("--cte w AS (SELECT payload, ts_us, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS iso, source_id FROM sightings) SELECT payload, max(least(ts_us - 1705276800000000, 0)) AS anchor FROM w WHERE iso >= '2024-01-13T23:59:00.000000+00:00' AND source_id = 'view' AND ts_us - 1705276800000000 <= 500000 GROUP BY payload")
 def restart_seeds(spark, sf_dir):
     """Anchors from stored passes before a restart on 2024-01-15, of one camera."""

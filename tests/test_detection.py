@@ -135,3 +135,11 @@ def test_restart_seeds(spark):
     got = {x.payload: x.anchor for x in dedup.restart_seeds(stored, at, 12_000_000).collect()}
     assert got == {"A": -4_000_000, "B": -6_000_000}
     assert {x.payload for x in dedup.restart_seeds(stored, at, 12_000_000, camera="y").collect()} == {"B"}
+
+
+def test_forced_eviction():
+    fold = dedup.CrossCamera(1)
+    for t in (0, 10, 20, 30):
+        fold.absorb(t, "A", t, t, 1, 0)
+    assert fold.evict(4) == 0 and fold.evict(2) == 2 and fold.anchors == [20, 30]
+    assert fold.absorb(10, "B", 10, 10, 1, 0)[0] == "emit" and fold.forget(25) == 2

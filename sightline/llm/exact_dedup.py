@@ -59,12 +59,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha"))
-    marked = docs.withColumn("_sha", F.sha2(normalised(text_col).cast("binary"), 256))
-    same = marked["_sha"].eqNullSafe(F.col("_ksha")) & marked[id_col].eqNullSafe(F.col("_kid"))
-    stay = marked.join(keep, same, "left_semi")
-    one = Window.partitionBy(id_col, "_sha").orderBy(id_col)
-    return stay.withColumn("_one", F.row_number().over(one)).where("_one = 1").select(*docs.columns)
+    keys = ["_sha", "_salt", "_key", "_none"]
+    place = lambda c: (dealt_bucket(64, c).alias("_salt"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("_key"), F.col(c).isNull().alias("_none"))
+    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.unhex("text_sha256").alias("_sha"), *place(id_col))
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)).alias("_sha"), *place(id_col))
+    one = Window.partitionBy(*keys).orderBy("_key")  # dealt as the join has left them
+    return marked.join(keep, keys, "left_semi").withColumn("_one", F.row_number().over(one)).where("_one = 1").select("_row.*")
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -146,9 +146,10 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(rows.mapInArrow(run, "id long, n long, s1 long, s2 long, sketch binary"), "sketches")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, table: str) -> DataFrame:
     """Written: those of pairs (a, b) whose full sets are similar enough. One centre's set
     is kept while its partners stream by; a centre with many partners is dealt by salt."""
+    texts = pairs.sparkSession.table(table)
     if pairs.count() <= BROADCAST_ROWS:
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         texts = texts.join(F.broadcast(ends), "id", "left_semi")
@@ -228,6 +229,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if level == MAX_LEVELS or not rows.take(1):
             break
         rows = written(_branch(rows.select("node", "id", "tree"), classes, level), f"branch-{level}")
+    if texts is not None:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {texts}")  # of the catalogue; all that was read from it is written
     out = member.select("id", "n", "class")
     if comp is not None:
         named = comp.select(F.col("id").alias("class"), "component")
@@ -242,16 +245,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _texts_of(docs: DataFrame, met: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The texts of the classes that met any other, in a table bucketed by id: each later join by id
-    reads its buckets and shuffles none of them."""
+def _texts_of(docs: DataFrame, met: DataFrame, id_col: str, text_col: str) -> str:
+    """The texts of the classes that met any other, in a table (its name) bucketed by id: each later join
+    by id reads its buckets and shuffles none of them."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     some = rows.join(met.select("id"), "id", "left_semi")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "sightline_texts_" + uuid.uuid4().hex
     some.repartition(n, "id").dropDuplicates(["id"]).write.bucketBy(n, "id").option("path", fresh_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
+    return name
 
 
 def _grown(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -270,7 +273,7 @@ def _grown(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(every.join(merged.toDF("component", "_to"), "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "components")
 
 
-def _linked_by(pairs: DataFrame, comp: DataFrame | None, texts: DataFrame) -> DataFrame:
+def _linked_by(pairs: DataFrame, comp: DataFrame | None, texts: str) -> DataFrame:
     """Components after confirming pairs (a, b)."""
     pairs = written(pairs.distinct(), "pairs")
     if not pairs.take(1):

@@ -13,8 +13,9 @@ together on average), level by level. Nodes still mixed after MAX_LEVELS
 are compared pair by pair between unconnected members.
 
 Comparisons first drop pairs that set sizes or sketches rule out (an agreement
-under LEAST_AGREEMENT of the sketch is 4.6 standard deviations below the
-threshold), then links are confirmed on the full sets. A pair at the threshold
+under LEAST_AGREEMENT of the sketch is 3.9 standard deviations below the
+threshold; ROUNDS has what holds beyond the most alike pairs of two components),
+then links are confirmed on the full sets. A pair at the threshold
 meets in no tree with probability 0.25 ** TREES, about one in a million.
 
 Links stay tables; components come from alternating star steps. Hot keys: equal
@@ -40,8 +41,11 @@ from .components import components
 from .shared import dealt_bucket, fresh_path, written
 
 WORDS, PERCENT = 5, 75
-TREES, TOKENS, SMALL, MAX_LEVELS = 10, 64, 1024, 8
-LEAST_AGREEMENT = 0.5
+TREES, TOKENS, SMALL, MAX_LEVELS = 10, 128, 1024, 8
+LEAST_AGREEMENT = 0.6
+#: Pairs between two components of a node that are tried in turn, the most alike first, and their least
+#: agreement; at last all that agree in 0.66, which is 2.4 standard deviations below the threshold.
+ROUNDS = ((1, 0.6), (8, 0.6), (1 << 40, 0.66))
 SALTS, BROADCAST_ROWS = 16, 2_000
 
 U = np.uint64
@@ -219,12 +223,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             classes = written(active, "met")
             texts = _texts_of(docs, classes, id_col, text_col)
             one = rows.where(F.col("tree") == 0)  # most copies are connected by one tree; the others then compare less
-            comp = _linked_by(_node_pairs(_named(one, comp), classes, False), comp, texts)
+            comp = _linked_by(_node_pairs(_named(one, comp), classes, 0), comp, texts)
         rows = _mixed(rows, comp)
-        comp = _linked_by(_node_pairs(rows, classes, False), comp, texts)
+        comp = _linked_by(_node_pairs(rows, classes, 0), comp, texts)
         rows = _mixed(rows, comp)
         small = rows.where(F.col("k") <= SMALL) if level < MAX_LEVELS else rows
-        comp = _linked_by(_node_pairs(small, classes, True), comp, texts)
+        for most, least in ROUNDS:
+            was, comp = comp, _linked_by(_node_pairs(small, classes, most, least), comp, texts)
+            if comp is not was and most < ROUNDS[-1][0]:
+                small = _mixed(small, comp)
         rows = rows.where(F.col("k") > SMALL)
         if level == MAX_LEVELS or not rows.take(1):
             break
@@ -281,36 +288,45 @@ def _linked_by(pairs: DataFrame, comp: DataFrame | None, texts: str) -> DataFram
     return _grown(comp, _confirmed(pairs, texts))
 
 
-def _node_pairs(rows: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
+def _node_pairs(rows: DataFrame, classes: DataFrame, most: int, least: float = LEAST_AGREEMENT) -> DataFrame:
     """Pairs (a, b) of nodes' members (node, id, comp) that sizes and sketches don't rule out.
 
-    Not whole: the node's smallest member with the first member of each other component. Whole: all
-    pairs between components, in blocks, so memory is that of the node's sketches."""
+    most = 0: the node's smallest member with the first member of each other component. Else: of all
+    pairs between two components the `most` that agree best. Members are compared in blocks, so memory
+    is that of a node's sketches and its pairs."""
     joined = rows.select("node", "id", "comp").join(classes, "id")
     dealt = joined.select("node", "id", "comp", "n", "sketch").repartition("node").sortWithinPartitions("node", "id")
 
-    def fits(x, y, na, nb):
-        fit = (x[:, None, :] == y[None, :, :]).mean(axis=2) >= LEAST_AGREEMENT
-        return fit & (np.maximum(na[:, None], nb[None, :]) * PERCENT <= np.minimum(na[:, None], nb[None, :]) * 100)
+    def alike(x, y, na, nb):
+        share = (x[:, None, :] == y[None, :, :]).mean(axis=2)
+        near = np.maximum(na[:, None], nb[None, :]) * PERCENT <= np.minimum(na[:, None], nb[None, :]) * 100
+        return np.where(near & (share >= least), share, 0)
 
     def compare(held: list) -> pa.RecordBatch:
         ids, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
         x = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(-1, TOKENS)
-        one, two = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if whole:
+        if not most:
+            at = np.flatnonzero((alike(x[:1], x, n[:1], n)[0] > 0) & (comp != comp[0]))
+            at = at[np.unique(comp[at], return_index=True)[1]]
+            p, q = np.zeros(len(at), np.int64), at
+        else:
+            found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
             for i in range(0, len(x), 128):
                 for j in range(i, len(x), 128):
-                    p, q = np.nonzero((comp[i : i + 128, None] != comp[None, j : j + 128]) & fits(x[i : i + 128], x[j : j + 128], n[i : i + 128], n[j : j + 128]))
-                    p, q = ids[i + p], ids[j + q]
-                    one.append(p[p < q])
-                    two.append(q[p < q])
-        else:
-            near = fits(x[:1], x, n[:1], n)[0] & (comp != comp[0])
-            at = np.flatnonzero(near)
-            at = at[np.unique(comp[at], return_index=True)[1]]
-            one.append(np.full(len(at), ids[0]))
-            two.append(ids[at])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(one)), pa.array(np.concatenate(two))], names=["a", "b"])
+                    share = alike(x[i : i + 128], x[j : j + 128], n[i : i + 128], n[j : j + 128])
+                    share[comp[i : i + 128, None] == comp[None, j : j + 128]] = 0
+                    one, two = np.nonzero(share)
+                    ahead = i + one < j + two
+                    for column, v in zip(found, (i + one, j + two, share[one, two]), strict=True):
+                        column.append(v[ahead])
+            p, q, share = map(np.concatenate, found)
+            low, high = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
+            order = np.lexsort((-share, high, low))
+            p, q, low, high = p[order], q[order], low[order], high[order]
+            first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(p) else np.zeros(0, np.int64)
+            place = np.arange(len(p)) - np.repeat(first, np.diff(np.append(first, len(p))))
+            p, q = p[place < most], q[place < most]
+        return pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q])], names=["a", "b"])
 
     def run(batches):
         node, held = None, []

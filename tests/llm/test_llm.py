@@ -176,6 +176,21 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small):
     assert got == components_of(docs)
 
 
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, monkeypatch, one_task):
+    from sightline.llm import components as c
+
+    monkeypatch.setattr(c, "ONE_TASK", one_task)
+    r = random.Random(1)
+    links = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(30)]
+    parent = {x: x for e in links for x in e}
+    for _ in range(len(parent)):
+        for a, b in links:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    got = {x.id: x.component for x in c.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: v for k, v in parent.items() if any(a != b and k in (a, b) for a, b in links)}
+
+
 def test_near_duplicate_cases(odd, none):
     rows = minhash_dedup.linked(odd).collect()
     assert len(rows) == len(ODD) and minhash_dedup.linked(none).count() == 0

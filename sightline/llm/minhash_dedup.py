@@ -12,10 +12,9 @@ the node (a second one in half of the cases, so that pairs at the threshold stay
 together on average), level by level. Nodes still mixed after MAX_LEVELS
 are compared pair by pair between unconnected members.
 
-Comparisons first drop pairs that set sizes or sketches rule out (an agreement
-under LEAST_AGREEMENT of the sketch is 3.9 standard deviations below the
-threshold; ROUNDS has what holds beyond the most alike pairs of two components),
-then links are confirmed on the full sets. A pair at the threshold
+Comparisons outside small nodes first drop pairs that set sizes or sketches rule
+out (an agreement under LEAST_AGREEMENT of the sketch is 3.9 standard deviations
+below the threshold). All links are confirmed on the full sets. A pair at the threshold
 meets in no tree with probability 0.25 ** TREES, about one in a million.
 
 Links stay tables; components come from alternating star steps. Hot keys: equal
@@ -41,11 +40,8 @@ from .components import components
 from .shared import dealt_bucket, fresh_path, written
 
 WORDS, PERCENT = 5, 75
-TREES, TOKENS, SMALL, MAX_LEVELS = 10, 128, 1024, 8
+TREES, TOKENS, SMALL, MAX_LEVELS = 10, 128, 2048, 8
 LEAST_AGREEMENT = 0.6
-#: Pairs between two components of a node that are tried in turn, the most alike first, and their least
-#: agreement; at last all that agree in 0.66, which is 2.4 standard deviations below the threshold.
-ROUNDS = ((1, 0.6), (8, 0.6), (1 << 40, 0.66))
 SALTS, BROADCAST_ROWS = 16, 2_000
 
 U = np.uint64
@@ -223,16 +219,15 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             classes = written(active, "met")
             texts = _texts_of(docs, classes, id_col, text_col)
             one = rows.where(F.col("tree") == 0)  # most copies are connected by one tree; the others then compare less
-            comp = _linked_by(_node_pairs(_named(one, comp), classes, 0), comp, texts)
+            comp = _linked_by(_node_pairs(_named(one, comp), classes, False), comp, texts)
         rows = _mixed(rows, comp)
-        comp = _linked_by(_node_pairs(rows, classes, 0), comp, texts)
+        comp = _linked_by(_node_pairs(rows, classes, False), comp, texts)
         rows = _mixed(rows, comp)
-        small = rows.where(F.col("k") <= SMALL) if level < MAX_LEVELS else rows
-        for most, least in ROUNDS:
-            was, comp = comp, _linked_by(_node_pairs(small, classes, most, least), comp, texts)
-            if comp is not was and most < ROUNDS[-1][0]:
-                small = _mixed(small, comp)
+        small = rows.where(F.col("k") <= SMALL)
+        comp = _grown(comp, written(_node_links(small, texts).distinct(), "links"))
         rows = rows.where(F.col("k") > SMALL)
+        if level == MAX_LEVELS:
+            comp = _linked_by(_node_pairs(_mixed(rows, comp), classes, True), comp, texts)
         if level == MAX_LEVELS or not rows.take(1):
             break
         rows = written(_branch(rows.select("node", "id", "tree"), classes, level), f"branch-{level}")
@@ -288,44 +283,35 @@ def _linked_by(pairs: DataFrame, comp: DataFrame | None, texts: str) -> DataFram
     return _grown(comp, _confirmed(pairs, texts))
 
 
-def _node_pairs(rows: DataFrame, classes: DataFrame, most: int, least: float = LEAST_AGREEMENT) -> DataFrame:
+def _node_pairs(rows: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
     """Pairs (a, b) of nodes' members (node, id, comp) that sizes and sketches don't rule out.
 
-    most = 0: the node's smallest member with the first member of each other component. Else: of all
-    pairs between two components the `most` that agree best. Members are compared in blocks, so memory
-    is that of a node's sketches and its pairs."""
+    Not whole: the node's smallest member with the first member of each other component. Whole: all
+    pairs between components, in blocks, so memory is that of the node's sketches."""
     joined = rows.select("node", "id", "comp").join(classes, "id")
     dealt = joined.select("node", "id", "comp", "n", "sketch").repartition("node").sortWithinPartitions("node", "id")
 
     def alike(x, y, na, nb):
         share = (x[:, None, :] == y[None, :, :]).mean(axis=2)
         near = np.maximum(na[:, None], nb[None, :]) * PERCENT <= np.minimum(na[:, None], nb[None, :]) * 100
-        return np.where(near & (share >= least), share, 0)
+        return near & (share >= LEAST_AGREEMENT)
 
     def compare(held: list) -> pa.RecordBatch:
         ids, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
         x = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(-1, TOKENS)
-        if not most:
-            at = np.flatnonzero((alike(x[:1], x, n[:1], n)[0] > 0) & (comp != comp[0]))
-            at = at[np.unique(comp[at], return_index=True)[1]]
-            p, q = np.zeros(len(at), np.int64), at
+        if not whole:
+            at = np.flatnonzero(alike(x[:1], x, n[:1], n)[0] & (comp != comp[0]))
+            q = at[np.unique(comp[at], return_index=True)[1]]
+            p = np.zeros(len(q), np.int64)
         else:
-            found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for i in range(0, len(x), 128):
                 for j in range(i, len(x), 128):
-                    share = alike(x[i : i + 128], x[j : j + 128], n[i : i + 128], n[j : j + 128])
-                    share[comp[i : i + 128, None] == comp[None, j : j + 128]] = 0
-                    one, two = np.nonzero(share)
+                    near = alike(x[i : i + 128], x[j : j + 128], n[i : i + 128], n[j : j + 128]) & (comp[i : i + 128, None] != comp[None, j : j + 128])
+                    one, two = np.nonzero(near)
                     ahead = i + one < j + two
-                    for column, v in zip(found, (i + one, j + two, share[one, two]), strict=True):
-                        column.append(v[ahead])
-            p, q, share = map(np.concatenate, found)
-            low, high = np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])
-            order = np.lexsort((-share, high, low))
-            p, q, low, high = p[order], q[order], low[order], high[order]
-            first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(p) else np.zeros(0, np.int64)
-            place = np.arange(len(p)) - np.repeat(first, np.diff(np.append(first, len(p))))
-            p, q = p[place < most], q[place < most]
+                    found.append((i + one[ahead], j + two[ahead]))
+            p, q = map(np.concatenate, zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q])], names=["a", "b"])
 
     def run(batches):
@@ -343,6 +329,69 @@ def _node_pairs(rows: DataFrame, classes: DataFrame, most: int, least: float = L
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def similar_pairs(sets: list[np.ndarray]) -> np.ndarray:
+    """Which sets are similar enough, as a square of booleans: exact, from counts of shared elements."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    new = np.concatenate([[True], every[1:] != every[:-1]])
+    number = np.cumsum(new) - 1
+    shared = np.bincount(number)[number] > 1  # an element of one set alone adds to no intersection
+    owner, number = owner[shared], number[shared]
+    number = np.unique(number, return_inverse=True)[1] if len(number) else number
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        at = slice(*np.searchsorted(number, [lo, lo + 4096]))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[owner[at], number[at] - lo] = 1
+        both += has @ has.T
+    n = np.array([len(x) for x in sets], np.float64)
+    return 100 * both.astype(np.float64) >= PERCENT * (n[:, None] + n[None, :] - both)
+
+
+def _node_links(rows: DataFrame, table: str) -> DataFrame:
+    """Links (a, b) between the members of small nodes (node, id): all pairs are compared on their full sets
+    in the node's task, and of the links a spanning forest comes back, at most one per member."""
+    texts = rows.sparkSession.table(table)
+    dealt = rows.select("node", "id").join(texts, "id").select("node", "id", "text").repartition("node").sortWithinPartitions("node", "id")
+
+    def forest(held: list) -> pa.RecordBatch:
+        ids = np.array([h[0] for h in held], np.int64)
+        near = similar_pairs([h[1] for h in held])
+        left, one, two = np.ones(len(ids), bool), [], []
+        for start in range(len(ids)):
+            if not left[start]:
+                continue
+            left[start] = False
+            todo = [start]
+            while todo:
+                at = todo.pop()
+                found = np.flatnonzero(near[at] & left)
+                left[found] = False
+                one += [ids[at]] * len(found)
+                two += ids[found].tolist()
+                todo += found.tolist()
+        return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        node, held = None, []
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                sets = shingle_sets(part.column("text").to_pylist())
+                for at, i, own in zip(part.column("node").to_pylist(), part.column("id").to_pylist(), sets, strict=True):
+                    if at != node and held:
+                        yield forest(held)
+                        held = []
+                    node = at
+                    held.append((i, own))
+        if held:
+            yield forest(held)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _named(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Rows with their members' components."""
     if comp is None:

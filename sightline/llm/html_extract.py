@@ -2,11 +2,12 @@
 
 Pages of one host are merged into a tree of styles: a node is a path of element
 names with class and id words (digits dropped). For each page and path the
-presentation (its sequence of child elements) and the content (its text) are
-hashed. Over a host's m pages, a node's importance is the larger of the two
-entropies, to base m: near 0 where all pages show the same there, near 1 where
-each differs; a node on fewer than `min_pages` pages counts as important. From
-each page, branches are removed that are unimportant on its site, or whose role
+presentation (its sequence of child elements) and the content (its text, that
+of inline elements included) are hashed. Over a host's m pages, a node's
+importance is the larger of the two entropies, to base m: near 0 where all pages
+show the same there, near 1 where each differs; a node on fewer than `min_pages`
+pages counts as important. From each page, branches are removed of which every
+node, the top one and all below, is unimportant on its site, or whose role
 (element, ARIA role, class and id words) is that of a menu, header, footer, side
 bar, notice, advert, form, or reader comments. Inside the article a page marks
 as such, only roles count, as an article that a site repeats is still one.
@@ -55,11 +56,12 @@ LANDMARKS = {"article", "main"}
 
 
 class Node:
-    __slots__ = ("tag", "words", "hidden", "parts", "parent", "path")
+    __slots__ = ("tag", "words", "hidden", "parts", "parent", "path", "inside")
 
     def __init__(self, tag: str, words: frozenset, hidden: bool, parent):
         self.tag, self.words, self.hidden, self.parent = tag, words, hidden, parent
         self.parts: list = []  # nodes and texts, in page order
+        self.inside = parent is not None and (parent.inside or parent.tag == "article")
         key = tag + "".join(sorted("." + w for w in words))
         self.path = xxhash.xxh64_intdigest(key, parent.path if parent else 0)
 
@@ -159,18 +161,41 @@ def _role_drops(node: Node, inside: bool) -> bool:
     return bool(node.words & ROLE_WORDS) or (not inside and bool(node.words & HEAD_WORDS))
 
 
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >= 1 << 63 else v
+
+
+def _styled(node: Node) -> bool:
+    """Whether the node is one of the style tree; texts of others belong to the one they are in."""
+    return node.tag in BLOCK and node.tag != "br"
+
+
 def style_nodes(page: str) -> list[tuple[int, int, int]]:
     """(path, presentation, content) of each path on the page."""
     shown: dict[int, list] = {}
+    said_in: dict[int, object] = {}
     for x in _walk(parse(page)):
-        if x.tag in BLOCK and x.tag != "br":
+        if _styled(x):
             look, said = shown.setdefault(x.path, [xxhash.xxh64(), xxhash.xxh64()])
             look.update(" ".join(p.tag for p in x.parts if isinstance(p, Node)) + ";")
+        else:
+            said = None if x.parent is None or _role_drops(x, x.inside) else said_in[id(x.parent)]
+        said_in[id(x)] = said
+        if said is not None:
             for p in x.parts:
                 if isinstance(p, str):
                     said.update(p)
-    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
-    return [(signed(path), signed(look.intdigest()), signed(said.intdigest())) for path, (look, said) in shown.items()]
+    return [(_signed(path), _signed(look.intdigest()), _signed(said.intdigest())) for path, (look, said) in shown.items()]
+
+
+def _noise(root: Node, unimportant: frozenset) -> set[int]:
+    """Ids of the nodes that are unimportant with all below them; parts that go by their role have no say."""
+    quiet: set[int] = set()
+    for x in reversed(list(_walk(root)) if unimportant else []):
+        own = not _styled(x) or _signed(x.path) in unimportant
+        if own and all(id(p) in quiet for p in x.parts if isinstance(p, Node)) or _role_drops(x, x.inside):
+            quiet.add(id(x))
+    return quiet
 
 
 def main_text(page: str | None, unimportant: frozenset = frozenset()) -> str:
@@ -178,7 +203,6 @@ def main_text(page: str | None, unimportant: frozenset = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    signed = lambda v: v - (1 << 64) if v >= 1 << 63 else v
     outside = lambda x: _role_drops(x, False)
     inside = lambda x: _role_drops(x, True)
     articles, todo = [], [root]
@@ -199,7 +223,8 @@ def main_text(page: str | None, unimportant: frozenset = frozenset()) -> str:
     if texts:
         longest = max(texts, key=len)
         return longest if 2 * len(longest) >= sum(map(len, texts)) else " ".join(texts)
-    noise = lambda x: outside(x) or signed(x.path) in unimportant and x.tag not in ("html", "body", "#root")
+    quiet = _noise(root, unimportant)
+    noise = lambda x: outside(x) or _styled(x) and id(x) in quiet and x.tag not in ("html", "body")
     for x in mains[:1]:
         if found := text_of(x, lambda y: y is not x and noise(y)):
             return found

@@ -242,6 +242,22 @@ def test_site_style_tree_by_join(spark, monkeypatch):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def site(spark, page, n=8):
+    """Texts of n pages of one host."""
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(n)]
+    return [r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("around", ["<div class='wrap'>{}</div>", "<main><div class='wrap'>{}</div></main>", "<main><div><section>{}</section></div></main>"])
+def test_wrappers_of_different_text_stay(spark, around):
+    page = lambda i: "<body><div class='top'><p>Same banner</p></div>" + around.format(f"<h1>Title {i}</h1><p><b>First {i}</b></p><p>Second {i}</p>") + "<div class='low'><div><p>Same end</p></div></div></body>"
+    assert site(spark, page) == [f"Title {i} First {i} Second {i}" for i in range(8)]
+
+
+def test_inline_text_counts_as_content(spark):
+    assert site(spark, lambda i: f"<div class='u'><p><b>Only bold {i}</b></p></div><div class='t'><p><b>Same</b></p></div>") == [f"Only bold {i}" for i in range(8)]
+
+
 # quality
 
 

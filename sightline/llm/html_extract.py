@@ -9,8 +9,9 @@ show the same there, near 1 where each differs; a node on fewer than `min_pages`
 pages counts as important. From each page, branches are removed of which every
 node, the top one and all below, is unimportant on its site, or whose role
 (element, ARIA role, class and id words) is that of a menu, header, footer, side
-bar, notice, advert, form, or reader comments. Inside the article a page marks
-as such, only roles count, as an article that a site repeats is still one.
+bar, notice, advert, form, or reader comments. The same holds inside the article
+a page marks as such; but the article itself is no such branch, and one that is
+repeated whole is still the page's text.
 
 Entropies need only sums, so counts combine before each shuffle and a host with
 a third of all pages costs no single task. The list of unimportant paths is
@@ -219,11 +220,12 @@ def main_text(page: str | None, unimportant: frozenset = frozenset()) -> str:
         if x.tag == "main" or "main" in x.words and x.tag in ("div", "section"):
             mains.append(x)
         todo.extend(p for p in reversed(x.parts) if isinstance(p, Node))
-    texts = [t for a in articles if (t := text_of(a, inside))]
-    if texts:
-        longest = max(texts, key=len)
-        return longest if 2 * len(longest) >= sum(map(len, texts)) else " ".join(texts)
     quiet = _noise(root, unimportant)
+    for drops in (lambda x: inside(x) or _styled(x) and id(x) in quiet, inside):  # an article that a site repeats whole is still one
+        texts = [t for a in articles if (t := text_of(a, lambda x, a=a, drops=drops: inside(x) if x is a else drops(x)))]
+        if texts:
+            longest = max(texts, key=len)
+            return longest if 2 * len(longest) >= sum(map(len, texts)) else " ".join(texts)
     noise = lambda x: outside(x) or _styled(x) and id(x) in quiet and x.tag not in ("html", "body")
     for x in mains[:1]:
         if found := text_of(x, lambda y: y is not x and noise(y)):

@@ -258,6 +258,16 @@ def test_inline_text_counts_as_content(spark):
     assert site(spark, lambda i: f"<div class='u'><p><b>Only bold {i}</b></p></div><div class='t'><p><b>Same</b></p></div>") == [f"Only bold {i}" for i in range(8)]
 
 
+def test_boxes_that_a_site_repeats_inside_its_articles_go(spark):
+    page = lambda i: f"<article><h1>Title {i}</h1><div class='box'><p>Same offer</p></div><div class='wrap'><p>Own text {i}</p></div></article>"
+    assert site(spark, page) == [f"Title {i} Own text {i}" for i in range(8)]
+    assert site(spark, page, 4)[0] == "Title 0 Same offer Own text 0"  # too few pages to tell
+
+
+def test_an_article_that_a_site_repeats_whole_stays(spark):
+    assert site(spark, lambda i: "<article><h1>Title</h1><p>Text</p></article>") == ["Title Text"] * 8
+
+
 # quality
 
 

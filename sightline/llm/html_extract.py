@@ -8,8 +8,12 @@ importance is the larger of the two entropies, to base m: near 0 where all pages
 show the same there, near 1 where each differs; a node on fewer than `min_pages`
 pages counts as important. From each page, branches are removed of which every
 node, the top one and all below, is unimportant on its site, or whose role
-(element, ARIA role, class and id words) is that of a menu, header, footer, side
-bar, notice, advert, form, or reader comments. The same holds inside the article
+is that of a menu, header, footer, side bar, notice, advert, form, or reader
+comments. Roles are told by the element, the ARIA role and whole class names; a
+name of several words (related-posts) tells one only if the others merely place
+it. An id does so outside articles and not on a section, as ids are made from
+titles, too. Headings, paragraphs and what is in them have no role by name. What
+names leave open is decided by importance. The same holds inside the article
 a page marks as such; but the article itself is no such branch, and one that is
 repeated whole is still the page's text.
 
@@ -28,6 +32,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -49,40 +54,56 @@ CLOSES_P = BLOCK - {"br", "body", "html", "li", "dd", "dt", "td", "th", "tr", "t
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = {"ul", "ol", "dl", "table", "select", "menu"}
 DROPPED = set("head nav aside form script style noscript template iframe svg canvas button select textarea dialog menu object audio video map input title footer".split())
-# Words in class, id and role that name other parts of a page than its article.
+# Words in names (class, role, id) that name other parts of a page than its article.
 ROLE_WORDS = set("nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond replies disqus share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar copyright masthead complementary contentinfo search searchform".split())
 HEAD_WORDS = {"header", "topbar", "masthead"}
 CONTENT_WORDS = set("content main article post entry story text page wrapper container layout body".split())
+#: Words that may stand beside those in a name without changing what it tells.
+PLACE_WORDS = set("site global top bottom left right upper lower inner outer primary secondary list lists item items box bar area block section group wrap wrapper container panel links link buttons button icons posts articles stories form strip unit slot wp js".split())
+#: Words that tell a role even beside a word for the content: post-comments, page-footer.
+STRONG_WORDS = set("comment comments sidebar footer".split())
+#: Elements that hold text of their own; a name on one is about its text.
+PROSE = set("h1 h2 h3 h4 h5 h6 p pre blockquote dt caption figcaption summary".split())
 LANDMARKS = {"article", "main"}
 
 
 class Node:
-    __slots__ = ("tag", "words", "hidden", "parts", "parent", "path", "inside")
+    __slots__ = ("tag", "words", "names", "ident", "hidden", "parts", "parent", "path", "inside", "prose")
 
-    def __init__(self, tag: str, words: frozenset, hidden: bool, parent):
-        self.tag, self.words, self.hidden, self.parent = tag, words, hidden, parent
+    def __init__(self, tag: str, words: frozenset, names: tuple, ident: str, hidden: bool, parent):
+        self.tag, self.words, self.names, self.ident, self.hidden, self.parent = tag, words, names, ident, hidden, parent
         self.parts: list = []  # nodes and texts, in page order
+        self.prose = tag in PROSE or tag not in BLOCK and parent is not None and parent.prose
         self.inside = parent is not None and (parent.inside or parent.tag == "article")
         key = tag + "".join(sorted("." + w for w in words))
         self.path = xxhash.xxh64_intdigest(key, parent.path if parent else 0)
 
 
-def _words(attributes: str) -> tuple[frozenset, bool]:
+def _split(name: str) -> list[str]:
+    return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+
+
+def _words(attributes: str) -> tuple[frozenset, tuple, str, bool]:
+    """Words of class, id and role; names in class and role; id; whether hidden."""
     if not attributes:
-        return frozenset(), False
-    found, hidden = set(), bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
+        return frozenset(), (), "", False
+    found, names, ident, hidden = set(), (), "", bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id", "role"):
-            found.update(w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w)
+            found.update(_split(value))
+            if name == "id":
+                ident = value
+            else:
+                names += tuple(value.split())
         elif name == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
-    return frozenset(found), hidden
+    return frozenset(found), names, ident, hidden
 
 
 def parse(page: str) -> Node:
     """The page's tree; never fails."""
-    root = at = Node("#root", frozenset(), False, None)
+    root = at = Node("#root", frozenset(), (), "", False, None)
     place = 0
     n = len(page)
 
@@ -114,8 +135,7 @@ def parse(page: str) -> Node:
             close({"p"}, {"table", "td", "th", "button", "article", "section", "div", "li", "body"})
         if tag in CLOSED_BY:
             close(CLOSED_BY[tag], LIMITS)
-        words, hidden = _words(m[3])
-        node = Node(tag, words, hidden, at)
+        node = Node(tag, *_words(m[3]), at)
         at.parts.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, place)
@@ -151,15 +171,32 @@ def text_of(node: Node, dropped=lambda x: False) -> str:
     return " ".join(html.unescape("".join(out)).split())
 
 
+@lru_cache(100_000)
+def _told(name: str) -> str:
+    """What a whole name tells: "strong", "role" or "head" (another part of the page), "content", or "" (nothing)."""
+    words = set(_split(name))
+    for kind, telling, beside in (("content", CONTENT_WORDS, PLACE_WORDS), ("strong", STRONG_WORDS, ROLE_WORDS | CONTENT_WORDS | PLACE_WORDS), ("role", ROLE_WORDS, PLACE_WORDS), ("head", HEAD_WORDS, PLACE_WORDS)):
+        if words & telling and words <= telling | beside:
+            return kind
+    return ""
+
+
 def _role_drops(node: Node, inside: bool) -> bool:
     """Whether the node's role is that of another part than the article."""
     if node.tag in DROPPED or node.hidden:
         return True
     if node.tag == "header" and not inside:
         return True
-    if node.tag in LANDMARKS and not node.words & {"comment", "comments"} or node.tag in ("html", "body", "#root") or node.words & CONTENT_WORDS and not node.words & {"comment", "comments", "sidebar", "footer"}:
+    if node.tag in ("html", "body", "#root") or node.prose:
         return False
-    return bool(node.words & ROLE_WORDS) or (not inside and bool(node.words & HEAD_WORDS))
+    told = {_told(n) for n in node.names}
+    if not inside and node.tag != "section" and node.ident:
+        told.add(_told(node.ident))
+    if node.tag in LANDMARKS:
+        return any(_told(n) == "strong" and {"comment", "comments"} & set(_split(n)) for n in node.names)
+    if "strong" in told:
+        return True
+    return "content" not in told and ("role" in told or not inside and "head" in told)
 
 
 def _signed(v: int) -> int:

@@ -268,6 +268,17 @@ def test_an_article_that_a_site_repeats_whole_stays(spark):
     assert site(spark, lambda i: "<article><h1>Title</h1><p>Text</p></article>") == ["Title Text"] * 8
 
 
+def test_names_of_prose_and_ids_of_sections_tell_no_role():
+    kept = "<h2 id='search'>A</h2><section id='related-work'><p>b</p></section><h3 id='cookies-and-sessions'>C</h3><p class='notice'>d <a class='share'>e</a></p><div id='search'>f</div><div class='search-engines'>g</div>"
+    assert html_extract.main_text(f"<article>{kept}<div class='related-posts'>x</div><ul class='social'><li>x</ul></article>") == "A b C d e f g"
+    assert html_extract.main_text("<div class='content has-sidebar'><p>All of it</p><section id='search'>a</section></div><div class='post-comments'>x</div><div id='sidebar'>x</div>") == "All of it a"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "ad", "cookie-notice", "relatedPosts", "share-buttons", "site-header", "comment-list", "page-footer", "ad_box text-center"])
+def test_names_of_containers_tell_roles(name):
+    assert html_extract.main_text(f"<div class='wrap'><p>Text</p></div><div class='{name}'><p>x</p></div>") == "Text"
+
+
 # quality
 
 

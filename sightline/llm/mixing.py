@@ -4,8 +4,11 @@ Each source gets a share by weight, at most `max_repeats` times its own size,
 what is above being reshared. A target is so many whole passes over the source
 and a rest. For the rest, documents are counted by exact length: the same
 fraction of each length's count is taken, and bounded-knapsack dynamic
-programming over the counts that remain fills what the rounding left, exactly
-where that is possible and else as closely as it can be. Which documents of a
+programming over the counts that remain fills what the rounding left. Where that
+misses the nearest sum there could be, choices are undone, of ever more lengths
+and documents and at last of all, and the sums of these are gone through as bit
+sets, so the result is the nearest sum for budgets and lengths of any size; only
+the last step's time grows with budget times lengths. Which documents of a
 length are taken is decided by a seeded hash: those in lower hash buckets first,
 and only inside the one bucket at the edge by rank, so no task sees more of a
 length than a bucket of it.
@@ -21,6 +24,8 @@ not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +37,7 @@ from .shared import SPACE, written
 WEIGHTS = (5, 2, 1)
 BUCKETS = 1024
 MAX_SOURCES = 1_000_000
-#: Dynamic programming covers the last so many words of a rest; longer parts of it are filled by the longest lengths first.
+#: The first try's dynamic programming covers the last so many words of a rest; longer parts of it are filled by the longest lengths first.
 TABLE = 1 << 16
 
 
@@ -65,13 +70,87 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     rest = budget - int((lengths * take).sum())
     order = np.argsort(-lengths, kind="stable")
     for i in order:  # down to what the table covers
-        if rest < TABLE:
+        if rest < TABLE or lengths[i] == 0:
             break
         more = min(int(counts[i] - take[i]), (rest - TABLE // 2) // int(lengths[i]))
         if more > 0:
             take[i] += more
             rest -= more * int(lengths[i])
-    return take + _knapsack(lengths, counts - take, min(rest, TABLE))
+    take = take + _knapsack(lengths, counts - take, min(rest, TABLE))
+    return take if budget < TABLE else _nearest(lengths, counts, budget, take)
+
+
+def _nearest(lengths: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray) -> np.ndarray:
+    """The choice whose sum is nearest to the budget, from one that may be so: up to `each` documents of `some`
+    lengths are chosen anew, until the sum is the nearest multiple of what divides all lengths or all are."""
+    # a longer document alone misses by more than the choice at hand
+    used = np.flatnonzero((lengths > 0) & (counts > 0) & (lengths <= budget + abs(int((lengths * take).sum()) - budget)))
+    if not len(used):
+        return take
+    unit = int(np.gcd.reduce(lengths[used]))
+    low = budget // unit * unit
+    miss = lambda s: (abs(s - budget), s)
+    best = min(low, low + unit, key=miss)
+    some, each, most = 64, 1, int(counts[used].max())
+    while (total := int((lengths * take).sum())) != best:
+        core = used[np.unique(np.linspace(0, len(used) - 1, min(some, len(used))).astype(int))]
+        freed = np.zeros(len(take), np.int64)
+        freed[core] = np.minimum(take[core], each)
+        open_ = freed.copy()
+        open_[core] += np.minimum(counts[core] - take[core], each)
+        lots = []
+        for i in core[::-1].tolist():
+            left, lot = int(open_[i]), 1
+            while left > 0:
+                lot = min(lot, left)
+                lots.append((i, lot, lot * int(lengths[i]) // unit))
+                left -= lot
+                lot *= 2
+        base = total - int((lengths * freed).sum())
+        chosen = _subset([w for _, _, w in lots], budget - base, unit)
+        new = take - freed
+        for k in chosen:
+            new[lots[k][0]] += lots[k][1]
+        if miss(int((lengths * new).sum())) < miss(total):
+            take = new
+        if some >= len(used) and each >= most:
+            break
+        some, each = some * 8, each * 8
+    return take
+
+
+def _subset(weights: list[int], goal: int, unit: int) -> list[int]:
+    """Places of the weights whose sum, times the unit, is nearest to the goal; of equals the lower one."""
+    if goal <= 0 or not weights:
+        return []
+    low, top = goal // unit, min(2 * goal, goal + max(weights) * unit) // unit
+    best = low if goal - low * unit <= (low + 1) * unit - goal else low + 1
+    step = math.isqrt(len(weights)) + 1
+    mask, sums, marks = (1 << (top + 1)) - 1, 1, []  # bit s of sums: s can be reached; one of every `step` sets is kept
+    for k, w in enumerate(weights):
+        if k % step == 0:
+            marks.append((k, sums))
+        sums |= (sums << w) & mask
+        if sums >> best & 1:
+            weights = weights[: k + 1]
+            break
+    at = (sums & ((1 << (low + 1)) - 1)).bit_length() - 1
+    if above := sums >> (low + 1):
+        over = low + (above & -above).bit_length()
+        if over * unit - goal < goal - at * unit:
+            at = over
+    chosen, end = [], len(weights)
+    for k, sums in reversed(marks):
+        mask = (1 << (at + 1)) - 1
+        before = [sums & mask]
+        for w in weights[k : end - 1]:
+            before.append(before[-1] | before[-1] << w & mask)
+        for j in range(end - 1, k - 1, -1):
+            if not before[j - k] >> at & 1:
+                chosen.append(j)
+                at -= weights[j]
+        end = k
+    return chosen
 
 
 def _knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

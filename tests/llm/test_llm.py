@@ -326,6 +326,37 @@ def test_fit_is_the_best_sum(seed):
     assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
 
 
+def best_miss(lengths, counts, budget):
+    sums = {0}
+    for length, n in zip(lengths, counts, strict=True):
+        sums = {s + k * length for s in sums for k in range(n + 1)}
+    return min((abs(s - budget), s) for s in sums)
+
+
+LONG = [([200_000, 100], [1, 50], 150_000), ([240_000, 260_000], [1, 1], 250_000), ([0, 240_000, 260_000], [2, 1, 1], 255_000), ([60_000, 50_000], [2, 3], 150_000)]
+
+
+@pytest.mark.parametrize("case", [*LONG, *range(40)])
+def test_fit_is_the_best_sum_of_long_lengths(case):
+    if isinstance(case, int):
+        r = np.random.default_rng(case)
+        lengths = np.unique(r.integers(1, [300_000, 300, 5_000_000][case % 3], r.integers(2, 7))) * int(r.choice([1, 1, 1000]))
+        counts = r.integers(1, 5, len(lengths))
+        case = lengths.tolist(), counts.tolist(), int(r.integers(1 << 15, max(1 << 17, int((lengths * counts).sum()))))
+    lengths, counts, budget = case
+    order = np.argsort(lengths)
+    lengths, counts = np.array(lengths)[order], np.array(counts)[order]
+    take = mixing.fit(lengths, counts, budget)
+    total = int((take * lengths).sum())
+    assert ((take >= 0) & (take <= counts)).all() and (abs(total - budget), total) == best_miss(lengths.tolist(), counts.tolist(), budget)
+
+
+def test_fit_of_many_long_documents():
+    r = np.random.default_rng(1)
+    lengths = np.unique(r.integers(100_000, 1_000_000, 2000))
+    assert int((mixing.fit(lengths, np.ones(len(lengths), np.int64), 400_000_001) * lengths).sum()) == 400_000_001
+
+
 def test_targets():
     assert mixing.targets({"a": 10, "b": 100, None: 5, "c": 1000}) == {"a": 30.0, None: 15.0, "b": 300.0, "c": 770.0}
     assert mixing.targets({}) == {} and mixing.targets({"a": 0, "b": 0}) == {"a": 0.0, "b": 0.0}

@@ -15,7 +15,8 @@ it. An id does so outside articles and not on a section, as ids are made from
 titles, too. Headings, paragraphs and what is in them have no role by name. What
 names leave open is decided by importance. The same holds inside the article
 a page marks as such; but the article itself is no such branch, and one that is
-repeated whole is still the page's text.
+repeated whole is still the page's text. Of several articles all count but those
+marked as teasers or comments, by their own name or that of a part they are in.
 
 Entropies need only sums, so counts combine before each shuffle and a host with
 a third of all pages costs no single task. The list of unimportant paths is
@@ -64,6 +65,7 @@ PLACE_WORDS = set("site global top bottom left right upper lower inner outer pri
 STRONG_WORDS = set("comment comments sidebar footer".split())
 #: Elements that hold text of their own; a name on one is about its text.
 PROSE = set("h1 h2 h3 h4 h5 h6 p pre blockquote dt caption figcaption summary".split())
+TEASER_WORDS = set("teaser teasers card cards preview previews".split())
 LANDMARKS = {"article", "main"}
 
 
@@ -243,26 +245,27 @@ def main_text(page: str | None, unimportant: frozenset = frozenset()) -> str:
     root = parse(page)
     outside = lambda x: _role_drops(x, False)
     inside = lambda x: _role_drops(x, True)
-    articles, todo = [], [root]
+    articles, teasers, todo = [], [], [(root, False)]
     mains = []
     while todo:
-        x = todo.pop()
+        x, marked = todo.pop()
         if outside(x):
-            # a wrapper named like a menu or side bar still holds the article
+            # a wrapper named like a menu or side bar still holds the article, if there is none elsewhere
             if x.tag in DROPPED or x.hidden or not any(y.tag in LANDMARKS for y in _walk(x)):
                 continue
+            marked = True
         if x.tag == "article":
-            articles.append(x)
+            (teasers if marked or _teaser(x) else articles).append(x)
             continue
         if x.tag == "main" or "main" in x.words and x.tag in ("div", "section"):
             mains.append(x)
-        todo.extend(p for p in reversed(x.parts) if isinstance(p, Node))
+        todo.extend((p, marked) for p in reversed(x.parts) if isinstance(p, Node))
     quiet = _noise(root, unimportant)
-    for drops in (lambda x: inside(x) or _styled(x) and id(x) in quiet, inside):  # an article that a site repeats whole is still one
-        texts = [t for a in articles if (t := text_of(a, lambda x, a=a, drops=drops: inside(x) if x is a else drops(x)))]
-        if texts:
-            longest = max(texts, key=len)
-            return longest if 2 * len(longest) >= sum(map(len, texts)) else " ".join(texts)
+    for found in (articles, teasers):
+        for drops in (lambda x: inside(x) or _styled(x) and id(x) in quiet, inside):  # an article that a site repeats whole is still one
+            texts = [t for a in found if (t := text_of(a, lambda x, a=a, drops=drops: inside(x) if x is a else drops(x)))]
+            if texts:
+                return " ".join(texts)
     noise = lambda x: outside(x) or _styled(x) and id(x) in quiet and x.tag not in ("html", "body")
     for x in mains[:1]:
         if found := text_of(x, lambda y: y is not x and noise(y)):
@@ -270,6 +273,12 @@ def main_text(page: str | None, unimportant: frozenset = frozenset()) -> str:
     return text_of(root, lambda y: noise(y) or _link_list(y))
 
 
+def _teaser(article: Node) -> bool:
+    """Whether an article's names say that it points to another one."""
+    told = [set(_split(n)) for n in article.names]
+    return any(w & TEASER_WORDS and w <= TEASER_WORDS | PLACE_WORDS | CONTENT_WORDS for w in told) or any(_told(n) in ("role", "strong") for n in article.names)
+
+
 def _link_list(node: Node) -> bool:
     """Whether most of a list's or table's text is inside links."""
     if node.tag not in ("ul", "ol", "table", "dl"):

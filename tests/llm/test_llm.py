@@ -279,6 +279,13 @@ def test_names_of_containers_tell_roles(name):
     assert html_extract.main_text(f"<div class='wrap'><p>Text</p></div><div class='{name}'><p>x</p></div>") == "Text"
 
 
+def test_all_articles_but_teasers_count(spark):
+    assert html_extract.main_text("<article><p>First part</p></article><article><p>Second</p></article>") == "First part Second"
+    assert html_extract.main_text("<article><p>Text</p></article><article class='post-teaser'>x</article><section class='related'><article>x</article></section>") == "Text"
+    assert html_extract.main_text("<div class='sidebar'><article>Text</article></div>") == "Text"
+    assert site(spark, lambda i: f"<article><p>Own {i}</p></article><article class='b'><p>Same</p></article>") == [f"Own {i}" for i in range(8)]
+
+
 # quality
 
 

@@ -198,6 +198,6 @@ def frame_ingest(spark, sf_dir):
 def snapshot(spark, sf_dir):
     """The metrics of each source in one row, whose nested form is the stats contract."""
     t = td.timed(spark, sf_dir)
-    lat = metrics.latency(t.select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 1 << 20)
+    lat = nearest_rank(t.select("user_id", "value"), ["user_id"], "value", {"p50_ms": 0.5, "p95_ms": 0.95}).withColumnRenamed("n", "samples")
     nested = _rates(spark, sf_dir).join(lat, "user_id").select("user_id", F.struct("samples", "p50_ms", "p95_ms").alias("decode"), F.struct("p1", "m1", "read_rate_1h", "read_rate_24h", "passes_per_hour").alias("events"))
     return nested.select("user_id", "decode.samples", F.round("decode.p50_ms", 6).alias("p50_ms"), F.col("events.p1").alias("passes_1h"), F.col("events.m1").alias("misses_1h"), F.round("events.read_rate_24h", 6).alias("read_rate_24h"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sightline.functions import expressions as ex
 from sightline.functions.stats import exclusive_p95, nearest_rank, ratio
 from sightline.operators import analytics, metrics, reconcile, reports, store
+from sightline.plans import reporting
 from sightline.sources import files
 
 
@@ -97,6 +98,13 @@ def test_rates_decay_while_idle(spark):
     assert r.read_rate_1h == 0.75 and r.passes_per_hour == 180.0
 
 
+def test_snapshot_counts_all_samples_of_a_hot_key(spark, tmp_path):
+    n = (1 << 20) + 5
+    rows = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 1000).cast("timestamp_ntz").alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.col("id").cast("double").alias("value"), F.lit("{}").alias("props"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.samples for r in reporting.snapshot(spark, str(tmp_path)).collect()] == [n]
+
+
 def memory(spark, samples):
     return spark.createDataFrame([("k", float(t), float(mb)) for t, mb in samples], "k string, t double, mb double")
 

@@ -548,3 +548,19 @@ def test_large_group_of_copies(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'copy  of a text' ELSE concat('text ', id) END AS text")
     rows = exact_dedup.exact_groups(docs).where("group_size > 1").collect()
     assert len(rows) == 1000 and {r.keep_id for r in rows} == {0} and {r.group_size for r in rows} == {1000}
+
+
+@pytest.mark.parametrize("cut", [{"piece_rows": 7}, {"piece_bytes": 60}])
+def test_copies_in_pieces_of_a_range(spark, cut):
+    """Groups larger than a piece lie in several; neighbours of the second sort join them again."""
+    docs = spark.range(900).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'copy  of a text' WHEN id % 3 = 1 THEN concat('one of few', id % 50) ELSE concat('copy of a text ', id) END AS text", "id % 2 AS _row")
+    own = {}
+    for r in docs.collect():
+        own.setdefault(" ".join(r.text.split()), []).append(r.doc_id)
+    local, merged = exact_dedup._sorted(docs, "doc_id", "text", False, **{"piece_rows": 1000, "piece_bytes": 1 << 20} | cut)
+    assert local.where("_at is not null").select("_at._hash", "_at._piece").distinct().groupBy("_hash").count().agg({"count": "max"}).first()[0] > 20
+    assert merged.where("_leads").count() < merged.count()
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, **cut).collect()}
+    assert got == {i: (min(v), len(v), i == min(v)) for v in own.values() for i in v}
+    out = exact_dedup.drop_copies(docs, **cut)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(min(v) for v in own.values())

@@ -143,3 +143,34 @@ def test_forced_eviction():
         fold.absorb(t, "A", t, t, 1, 0)
     assert fold.evict(4) == 0 and fold.evict(2) == 2 and fold.anchors == [20, 30]
     assert fold.absorb(10, "B", 10, 10, 1, 0)[0] == "emit" and fold.forget(25) == 2
+
+
+def test_merged_tracks_close_the_smaller_and_hand_over_its_blob():
+    t = tracking.Tracker(tracking.Rules(open_frames=1, quiet_frames=5, merge_frames=2, centre_fraction=0.1))
+    box = lambda x, w, h=40: ((x, 0, w, h), (x + w / 2, h / 2), w * h)
+    assert [e[:2] for e in t.frame(0, [box(0, 80), box(90, 40)])[0]] == [("open", 1), ("open", 2)]
+    # one blob remains, at the smaller one's place: that holds it once, then the larger has it
+    assert t.frame(1, [box(90, 44)]) == ([], 2)
+    assert t.frame(2, [box(90, 44)]) == ([("close", 2, 1)], 1)
+    assert t.frame(3, [box(90, 44)]) == ([], 1)
+
+
+def test_runs_between_quiet_frames_equal_one_pass(spark):
+    """Dealing a source's runs to tasks gives the events of one tracker over all its frames."""
+    r = random.Random(11)
+    rules = tracking.Rules(open_frames=2, quiet_frames=3, merge_frames=2)
+    rows, want = [], []
+    for s in ("a", "b", "c"):
+        whole, index = tracking.Tracker(rules), 0
+        for _ in range(150):
+            index += r.choice([1, 1, 1, 5])
+            boxes = sorted({(r.randint(0, 6) * 40, r.randint(0, 2) * 40, r.choice([30, 50]), 30) for _ in range(r.choice([0, 0, 0, 1, 2, 3]))})
+            gap = r.random() < 0.05
+            rows += [(s, index, gap, *b, b[2] * b[3]) for b in boxes] or [(s, index, gap, None, None, None, None, None)]
+            want += [(s, *e) for e in (whole.end() if gap else [])]
+            want += [(s, *e) for e in whole.frame(index, [(b, (b[0] + b[2] / 2, b[1] + b[3] / 2), b[2] * b[3]) for b in boxes])[0]]
+        want += [(s, *e) for e in whole.end()]
+    blobs = spark.createDataFrame(rows, "source_id string, frame_index long, discontinuity boolean, x int, y int, w int, h int, area int")
+    assert tracking.quiet_runs(blobs, 3).select("source_id", "run").distinct().count() > 30
+    got = [(x.source_id, x.kind, x.segment, x.frame_index) for x in tracking.track_objects(blobs, rules).collect()]
+    assert sorted(got) == sorted(want)

@@ -38,10 +38,11 @@ def test_ab_report(spark):
     assert (a.passes_seen, a.passes_decoded, a.read_rate, a.misses, a.decodes_per_pass) == (10, 8, 0.8, 2, 2.0)
     assert (b.passes_seen, b.passes_decoded, b.read_rate, b.misses) == (10, 10, 1.0, 0)
     assert reports.best_camera(report).first().source_id == "B"
-    text = reports.ab_markdown([r.asDict() for r in got.values()], 10, 2)
+    text = reports.whole(reports.ab_markdown(report, 10, 2))
     assert "| read rate | 80.0% | 100.0% |" in text and "**B**" in text
-    assert reports.ab_csv([r.asDict() for r in got.values()]).splitlines()[1] == "A,10,8,0.800000,0.500000,0.500000,2.0000,2"
-    assert "No pass data" in reports.ab_markdown([], 0, 0)
+    assert text.splitlines()[5:7] == ["| metric | A | B |", "| --- | --- | --- |"]
+    assert reports.whole(reports.ab_csv(report), "\r\n").splitlines()[1] == "A,10,8,0.800000,0.500000,0.500000,2.0000,2"
+    assert "No pass data" in reports.whole(reports.ab_markdown(report.limit(0), 0, 0))
 
 
 def test_legacy_rows_have_no_times(spark):
@@ -73,7 +74,7 @@ def test_manifest_reconciliation(spark):
     counts = reconcile.manifest_counts(status).first()
     assert (counts.expected, counts.true_read_rate) == (4, 0.5)
     assert reconcile.manifest_counts(reconcile.manifest_status(manifest.limit(0), scanned)).first().true_read_rate is None
-    assert reports.reconciliation_csv([r.asDict() for r in status.collect()]).splitlines()[1:] == ["P2,matched", "P4,matched", "P1,missing", "P3,missing", "P9,unexpected"]
+    assert reports.whole(reports.reconciliation_csv(status), "\r\n").splitlines()[1:] == ["P2,matched", "P4,matched", "P1,missing", "P3,missing", "P9,unexpected"]
 
 
 def test_truth(spark):
@@ -193,7 +194,12 @@ def test_sessions(spark):
     assert rows(counts, "id", "decoded", "missed", "shortfall") == [(1, 1, 1, 0), (2, 1, 0, 2)]
     notes = spark.createDataFrame([(2, "  ")], "id long, note string")
     assert rows(reports.may_close(counts, notes), "id", "may_close") == [(1, True), (2, False)]
-    assert reports.session_csv({"id": 1, "status": "open", "decoded": 1}, []).startswith("field,value\r\nid,1")
+    session = spark.createDataFrame([(1, "open", 1)], "id long, status string, decoded long")
+    cameras = spark.createDataFrame([("b", 2, 1, 1), ("a,1", 3, 3, 0)], "source_id string, passes_seen long, passes_decoded long, misses long")
+    assert reports.whole(reports.session_csv(session, cameras.limit(0)), "\r\n").startswith("field,value\r\nid,1\r\nstatus,open\r\nstarted_utc,\r\n")
+    status = spark.createDataFrame([("P", "missing", 1), ("Q", "matched", 2)], "payload string, status string, pos long")
+    text = reports.whole(reports.session_csv(session, cameras, status), "\r\n")
+    assert text.endswith('\r\n\r\ncamera,passes_seen,passes_decoded,misses\r\n"a,1",3,3,0\r\nb,2,1,1\r\n\r\npayload,status\r\nQ,matched\r\nP,missing\r\n')
 
 
 def test_modes(spark):

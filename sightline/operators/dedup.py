@@ -7,31 +7,46 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def tracker_dedup(sightings: DataFrame, keys: list[str], at: str, window: int, seeds: DataFrame | None = None) -> DataFrame:
     """Sightings that become passes: the first, then each later than the last pass by more than `window`.
 
-    A pause longer than the window always ends suppression, so runs without one are folded alone:
-    what is gathered is bounded by the longest run, not by the key. `seeds` (keys, anchor) suppress
-    like an earlier pass."""
-    rows = sightings.select(*keys, F.col(at).alias("_at"))
+    `seeds` (keys, anchor) suppress like an earlier pass. Sorted sightings stream through one shuffle; a key's
+    state is its last pass, and a search in the sorted times leads from each pass to the next. Sightings without a
+    time are none."""
+    rows = sightings.select(*keys, F.col(at).cast("long").alias("_at"), F.lit(False).alias("_seed")).where("_at is not null")
     if seeds is not None:
-        rows = rows.withColumn("_seed", F.lit(False)).unionByName(seeds.select(*keys, F.col("anchor").alias("_at"), F.lit(True).alias("_seed")))
-    else:
-        rows = rows.withColumn("_seed", F.lit(False))
-    w = Window.partitionBy(*keys).orderBy("_at", F.desc("_seed"))
-    pause = F.coalesce((F.col("_at") - F.lag("_at").over(w) > window).cast("int"), F.lit(1))
-    runs = rows.withColumn("_run", F.sum(pause).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    lists = runs.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct("_at", (~F.col("_seed")).alias("real")))).alias("_all"))
-    fold = F.aggregate(
-        "_all", F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<_at:bigint,real:boolean>>").alias("out")),
-        lambda acc, x: F.when(acc.last.isNull() | (x._at - acc.last > window), F.struct(x._at.alias("last"), F.concat(acc.out, F.array(x)).alias("out"))).otherwise(acc))
-    return lists.select(*keys, F.explode(F.filter(fold.out, lambda x: x.real)).alias("_e")).select(*keys, F.col("_e._at").alias(at))
+        rows = rows.unionByName(seeds.select(*keys, F.col("anchor").cast("long").alias("_at"), F.lit(True).alias("_seed")))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "_at", F.desc("_seed"))
+
+    def run(batches):
+        key, last = None, None
+        for batch in batches:
+            times, seeded = batch.column("_at").to_numpy(), batch.column("_seed").to_numpy(zero_copy_only=False)
+            coded = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in batch.columns[:-2]]
+            changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in coded], axis=0)) + 1 if len(times) else []
+            kept = []
+            for lo, hi in zip([0, *changes], [*changes, len(times)], strict=True):
+                own = [c[int(lo)].as_py() for c in batch.columns[:-2]] if hi > lo else key
+                if own != key:
+                    key, last = own, None
+                i = lo
+                while i < hi:
+                    if last is not None and times[i] - last <= window:
+                        i = lo + int(np.searchsorted(times[lo:hi], last + window, "right"))
+                        continue
+                    last = int(times[i])
+                    if not seeded[i]:
+                        kept.append(i)
+                    i += 1
+            yield pa.RecordBatch.from_arrays(batch.take(pa.array(kept, pa.int64())).columns[:-1], names=[*keys, at])
+
+    return dealt.mapInArrow(run, ", ".join(f"`{k}` {sightings.schema[k].dataType.simpleString()}" for k in keys) + f", `{at}` long")
 
 
 class CrossCamera:

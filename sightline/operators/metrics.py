@@ -21,9 +21,17 @@ def rates(events: DataFrame, frames: DataFrame, keys: list[str], at: str, unit:
 
     `unit` is the number of time units in a second."""
     anchor = clock(frames, keys, at)
-    joined = anchor.join(events.select(*keys, F.col("kind"), F.col(at).alias("_at")), keys, "left") if keys else anchor.crossJoin(events.select("kind", F.col(at).alias("_at")))
+    oldest = anchor.agg(F.min("last_ts")).first()[0]  # what is a day older than the first source's end counts nowhere, and isn't read
+    rows = events.select(*keys, F.col("kind"), F.col(at).alias("_at"))
+    rows = rows if oldest is None else rows.where(F.col("_at") >= oldest - DAY * unit)
     recent = lambda kind, span: F.count_if((F.col("kind") == kind) & (F.col("_at") >= F.col("last_ts") - span * unit))
-    out = joined.groupBy(*keys, "first_ts", "last_ts").agg(recent("pass", HOUR).alias("p1"), recent("miss", HOUR).alias("m1"), recent("pass", DAY).alias("p24"), recent("miss", DAY).alias("m24"))
+    counts = {"p1": recent("pass", HOUR), "m1": recent("miss", HOUR), "p24": recent("pass", DAY), "m24": recent("miss", DAY)}
+    if keys:
+        out = anchor.join(rows, keys, "left").groupBy(*keys, "first_ts", "last_ts").agg(*[c.alias(n) for n, c in counts.items()])
+    else:  # the clock is one row: its ends are literals
+        ends = anchor.first()
+        first, last = (F.lit(ends[c]).alias(c) for c in ("first_ts", "last_ts"))
+        out = rows.withColumn("last_ts", last).agg(*[c.alias(n) for n, c in counts.items()]).select("*", first, last)
     span: Column = F.least(F.lit(float(HOUR)), F.greatest((F.col("last_ts") - F.col("first_ts")) / unit, F.lit(float(LEAST_SPAN))))
     return out.select(
         *keys, "p1", "m1", "p24", "m24", (F.col("p1") * HOUR / span).alias("passes_per_hour"),

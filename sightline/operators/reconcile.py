@@ -66,9 +66,11 @@ def nearest_anchor(sightings: DataFrame, anchors: DataFrame, key: str, at: str,
     """Each sighting with the nearest anchor of its key within the window, ties to the older, or NULL.
 
     Joined by key and time cell of the window's size (three neighbours), not by a scan of all anchors."""
+    columns = sightings.columns
     cell = F.floor(F.col("anchor") / window)
     near = anchors.select(F.col(key).alias("_k"), F.col("anchor").alias("_a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_c"))
-    rows = sightings.withColumn("_cell", F.floor(F.col(at) / window))
+    rows = sightings.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times")).withColumn("_cell", F.floor(F.col(at) / window))
     apart = F.abs(F.col(at) - F.col("_a"))
     joined = rows.join(near, (F.col(key) == F.col("_k")) & (F.col("_cell") == F.col("_c")) & (apart <= window), "left")
-    return joined.groupBy(*sightings.columns).agg(F.min_by("_a", F.struct(apart.alias("d"), F.col("_a"))).alias("anchor"))
+    found = joined.groupBy(*columns, "_times").agg(F.min_by("_a", F.struct(apart.alias("d"), F.col("_a"))).alias("anchor"))
+    return found.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*columns, "anchor")  # repeated rows stay as many

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,15 +40,10 @@ def candidate_id(source: Column, token: str, seq: Column) -> Column:
     return F.format_string(f"%s-{token}-%06d", source, seq)
 
 
-def verdicts(found: DataFrame, keys: list[str], decodes: DataFrame, order: str, least_frames: int = 5, grace: int = 30) -> DataFrame:
+def verdicts(found: DataFrame, keys: list[str], decodes: DataFrame, order: str, least_frames: int = 5, grace: int = 30, cell: int = 1024) -> DataFrame:
     """Bench verdicts: `rejected` if the segment is short, `decoded` if a decode falls in it or `grace` frames after, else `missed`."""
-    d = decodes.select(*[F.col(k).alias("_" + k) for k in keys], F.col(order).alias("_d")).distinct()
-    same = [F.col(k) == F.col("_" + k) for k in keys]
-    inside = (F.col("_d") >= F.col("first_frame")) & (F.col("_d") <= F.col("last_frame") + grace)
-    condition = inside
-    for s in same:
-        condition = condition & s
-    hit = found.join(d, condition, "left_semi").select(*keys, "seq").withColumn("_hit", F.lit(True))
+    d = decodes.select(*keys, F.col(order).alias("_d")).distinct()
+    hit = in_spans(d, "_d", found.select(*keys, "seq", F.col("first_frame").alias("_from"), (F.col("last_frame") + grace).alias("_to")), keys, "_from", "_to", cell).select(*keys, "seq").distinct().withColumn("_hit", F.lit(True))
     out = found.join(hit, [*keys, "seq"], "left")
     verdict = F.when(F.col("last_frame") - F.col("first_frame") + 1 < least_frames, "rejected").when(F.col("_hit"), "decoded").otherwise("missed")
     return out.select(*keys, "seq", "first_frame", "last_frame", verdict.alias("verdict"))
@@ -62,14 +58,22 @@ def reservoir(rows: DataFrame, keys: list[str], order: str, cap: int) -> DataFra
     return numbered.withColumn("stride", stride).where(F.col("_i") % F.col("stride") == 0).drop("_i", "_n")
 
 
+def in_spans(rows: DataFrame, at: str, spans: DataFrame, keys: list[str], start: str, end: str, cell: int) -> DataFrame:
+    """Rows with each span of their keys that they lie in, both ends included.
+
+    Spans are spread over cells of `cell` units, so rows and spans meet by equality of keys and cell, and the exact range is checked after it."""
+    spread = spans.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor(F.col(end) / cell))))
+    near = rows.withColumn("_cell", F.floor(F.col(at) / cell)).join(spread, [*keys, "_cell"])
+    return near.where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("_cell")
+
+
 def frames_around(frames: DataFrame, found: DataFrame, source: str, at: str, cell: int, pre: int, post: int, cap: int) -> DataFrame:
     """Evidence of each segment (source, seq, start, end): frames up to `pre` before its start, a
     reservoir of those inside, and frames up to `post` after its end, each once.
 
-    Times are integers of one unit. Segments are spread over cells of `cell` units, so the join is by
-    equality of source and cell, and the exact range is checked after it."""
-    spread = found.select(source, "seq", "start", "end", F.explode(F.sequence(F.floor((F.col("start") - pre) / cell), F.floor((F.col("end") + post) / cell))).alias("_cell"))
-    near = frames.withColumn("_cell", F.floor(F.col(at) / cell)).join(spread, [source, "_cell"]).where((F.col(at) >= F.col("start") - pre) & (F.col(at) <= F.col("end") + post))
+    Times are integers of one unit."""
+    spans = found.select(source, "seq", "start", "end", (F.col("start") - pre).alias("_from"), (F.col("end") + post).alias("_to"))
+    near = in_spans(frames, at, spans, [source], "_from", "_to", cell)
     part = F.when(F.col(at) <= F.col("start"), "pre").when(F.col(at) <= F.col("end"), "inside").otherwise("post")
     marked = near.withColumn("part", part)
     inside = reservoir(marked.where("part = 'inside'"), [source, "seq"], at, cap).drop("stride")
@@ -77,14 +81,34 @@ def frames_around(frames: DataFrame, found: DataFrame, source: str, at: str, cel
 
 
 def ema_fold(rows: DataFrame, keys: list[str], order: str, value: str, alpha: float, gate: float, stale: int) -> DataFrame:
-    """Smoothed value per key: outliers (over `gate` times the current one) are ignored, and a pause longer
-    than `stale` starts anew. A pause ends a run, so each run is folded alone."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    run = F.sum(F.coalesce((F.col(order) - F.lag(order).over(w) > stale).cast("int"), F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    runs = rows.withColumn("_run", run).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("double").alias("v")))).alias("_all"))
-    fold = F.aggregate(
-        F.col("_all"), F.struct(F.lit(None).cast("double").alias("ema"), F.lit(0).cast("long").alias("used")),
-        lambda acc, x: F.when(acc.ema.isNull(), F.struct(x.v.alias("ema"), (acc.used + 1).alias("used")))
-        .when(F.abs(x.v) > gate * F.abs(acc.ema), acc)
-        .otherwise(F.struct((acc.ema + alpha * (x.v - acc.ema)).alias("ema"), (acc.used + 1).alias("used"))))
-    return runs.select(*keys, F.col("_run").cast("long").alias("run"), fold.alias("f")).select(*keys, "run", F.col("f.ema").alias("ema"), F.col("f.used").alias("n_used"))
+    """Smoothed value per key and run: outliers (over `gate` times the current one) are ignored, and a pause longer
+    than `stale` starts a new run. Rows without a time or value don't count. Sorted rows stream through one
+    shuffle; of a key only its current run's numbers are held."""
+    dealt = rows.select(*keys, F.col(order).alias("_t"), F.col(value).cast("double").alias("_v")).where("_t is not null and _v is not null")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "_t", "_v")
+    names = [*keys, "run", "ema", "n_used"]
+
+    def fold(batches):
+        key, run, last, ema, used, types = None, 0, None, None, 0, []
+
+        def table(done):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names=names)
+
+        for batch in batches:
+            types = [batch.schema.field(k).type for k in keys] + [pa.int64(), pa.float64(), pa.int64()]
+            done = []
+            for *own, t, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key or t - last > stale:
+                    if key is not None:
+                        done.append((*key, run, ema, used))
+                    key, run, ema, used = own, run + 1 if own == key else 1, None, 0
+                last = t
+                if ema is None:
+                    ema, used = v, 1
+                elif abs(v) <= gate * abs(ema):
+                    ema, used = ema + alpha * (v - ema), used + 1
+            yield table(done)
+        if key is not None:
+            yield table([(*key, run, ema, used)])
+
+    return dealt.mapInArrow(fold, ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys) + ", run long, ema double, n_used long")

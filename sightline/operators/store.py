@@ -44,40 +44,49 @@ def event_rows(events: DataFrame) -> DataFrame:
         F.when(is_pass, F.col("decode_count")).otherwise(0).alias("decode_count"), F.when(is_pass, F.col("revision")).otherwise(0).alias("revision"))
 
 
-def _kept_by_size(rows: DataFrame, order: str, size: str, cap: int, protected: Column, groups: int = 1) -> DataFrame:
-    """Newest rows within a total size, oldest dropped first; protected rows count but stay.
-
-    Dropping goes on while the total is above the cap, so a row stays if what is left from it on,
-    with older protected rows, fits. The running sum is two-level: totals of ranges of `order` first,
-    then rows inside one range, so no task sees all rows."""
-    del groups
-    spark = rows.sparkSession
-    low, high, n = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    if not n:
-        return rows
-    cells = max(1, min(4096, n // 10_000 + 1))
-    cell = F.least(F.lit(cells - 1), F.floor((F.col(order) - low) * cells / (high - low + 1))).cast("int")
-    marked = rows.withColumn("_cell", cell).withColumn("_safe", F.coalesce(protected, F.lit(False)))
-    sums = marked.groupBy("_cell").agg(F.sum(size).alias("all"), F.sum(F.when(F.col("_safe"), F.col(size)).otherwise(0)).alias("safe")).orderBy("_cell").collect()  # at most 4096 rows
-    after, before, table = sum(r["all"] for r in sums), 0, []
-    for r in sums:
-        after -= r["all"]
-        table.append((r["_cell"], int(after), int(before)))
-        before += r["safe"]
-    w = Window.partitionBy("_cell").orderBy(order)
-    newer = F.sum(size).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    safe_before = F.coalesce(F.sum(F.when(F.col("_safe"), F.col(size)).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = F.broadcast(spark.createDataFrame(table, "_cell int, _after long, _before long"))
-    left = marked.withColumn("_newer", newer).withColumn("_sb", safe_before).join(totals, "_cell")
-    fits = F.col("_newer") + F.col("_after") + F.col("_sb") + F.col("_before") <= cap
-    return left.where(fits | F.col("_safe")).select(*rows.columns)
+CELLS, CUT_ROWS = 1024, 100_000
+
+
+def _kept_by_size(rows: DataFrame, order: str, tie: str, size: str, cap: int, protected: Column) -> DataFrame:
+    """Newest rows within a total size, oldest dropped first, of equal age those with the lower `tie`; protected rows count but stay.
+
+    What would be left from a row on, with older protected rows, only falls from old to new, so one cut decides.
+    It is searched for by totals of CELLS ranges of `order`, then of the one range that holds it, until that is
+    short; only its rows meet in a window."""
+    at, n_bytes = F.col(order), F.coalesce(F.col(size), F.lit(0))
+    marked = rows.withColumn("_safe", F.coalesce(protected, F.lit(False)))
+    safe_bytes = F.when(F.col("_safe"), n_bytes).otherwise(0)
+    low, high = marked.agg(F.min(at), F.max(at)).first()
+    newer = older_safe = 0
+    while True:
+        if low is None:
+            return rows
+        place = (F.col(order) - F.lit(low)) * F.lit(float(CELLS)) / F.lit(float((high - low) or 1))
+        cell = F.least(F.lit(CELLS - 1), F.floor(place)).cast("int")
+        inside = marked.where(at.between(low, high))
+        totals = inside.groupBy(cell.alias("cell")).agg(F.sum(n_bytes).alias("all"), F.sum(safe_bytes).alias("safe"), F.count(F.lit(1)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).collect()  # CELLS rows at most
+        below = older_safe + sum(t["safe"] for t in totals)
+        for t in sorted(totals, key=lambda t: -t["cell"]):
+            below -= t["safe"]
+            if newer + t["all"] + below > cap:
+                break
+            newer += t["all"]
+        else:
+            return rows
+        low, high, older_safe = t["low"], t["high"], below
+        if t["n"] <= CUT_ROWS or low == high:
+            break
+    newest = Window.partitionBy(F.lit(0)).orderBy(at.desc(), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    left = F.sum(n_bytes).over(newest) + newer + t["safe"] - F.sum(safe_bytes).over(newest) + older_safe
+    edge = marked.where(at.between(low, high)).withColumn("_left", left).where((F.col("_left") <= cap) | F.col("_safe"))
+    return marked.where((at > high) | (at < low) & F.col("_safe")).select(*rows.columns).unionByName(edge.select(*rows.columns))
 
 
 def prune_outbox(outbox: DataFrame, now: float, max_age_days: float, cap_bytes: int, in_flight: int | None = None) -> DataFrame:
     """Rows (seq, body, enqueued_utc) that stay: not too old, then the newest within the size; the row in flight stays."""
     flying = F.col("seq").eqNullSafe(F.lit(in_flight).cast("long"))
     young = outbox.where((F.col("enqueued_utc") >= now - max_age_days * 86400) | flying).withColumn("_size", F.length("body"))
-    return _kept_by_size(young, "seq", "_size", cap_bytes, flying).drop("_size")
+    return _kept_by_size(young, "seq", "body", "_size", cap_bytes, flying).drop("_size")
 
 
 def outbox_stats(outbox: DataFrame, now: float) -> DataFrame:
@@ -85,10 +94,10 @@ def outbox_stats(outbox: DataFrame, now: float) -> DataFrame:
 
 
 def prune_evidence(files: DataFrame, now: float, max_age_days: float, cap_bytes: int, keep: str | None = None) -> DataFrame:
-    """Directories (dir, mtime, size) that stay: not older than the age, then the newest within the size; `keep` stays."""
+    """Directories (dir, mtime, size) that stay: not older than the age, then the newest within the size (of equal times, the later names); `keep` stays."""
     kept = F.col("dir").eqNullSafe(F.lit(keep))
     young = files.where((F.lit(now) - F.col("mtime") <= max_age_days * 86400) | kept)
-    return _kept_by_size(young, "mtime", "size", cap_bytes, kept)
+    return _kept_by_size(young, "mtime", "dir", "size", cap_bytes, kept)
 
 
 def delivered(sent: DataFrame, emitted: DataFrame, key: str = "event_id") -> DataFrame:

@@ -85,8 +85,8 @@ def evidence_frames(spark, sf_dir):
     """Pre-roll, sample and post-roll of each segment, by a join on time cells."""
     frames = td.frames(spark, sf_dir)
     found = _segments(spark, sf_dir)
-    hit = (frames["user_id"] == found["user_id"]) & (frames["frame_index"] >= found["first_frame"]) & (frames["frame_index"] <= found["last_frame"])
-    spans = frames.join(found, hit).groupBy(found["user_id"], "seq").agg(F.min("ts_us").alias("start"), F.max("ts_us").alias("end"))
+    inside = segment.in_spans(frames.select("user_id", "frame_index", "ts_us"), "frame_index", found, ["user_id"], "first_frame", "last_frame", 1024)
+    spans = inside.groupBy("user_id", "seq").agg(F.min("ts_us").alias("start"), F.max("ts_us").alias("end"))
     return segment.frames_around(frames.select("user_id", "ts_us"), spans, "user_id", "ts_us", td.DAY, td.DAY // 2, td.DAY // 2, 4)
 
 

@@ -174,3 +174,22 @@ def test_runs_between_quiet_frames_equal_one_pass(spark):
     assert tracking.quiet_runs(blobs, 3).select("source_id", "run").distinct().count() > 30
     got = [(x.source_id, x.kind, x.segment, x.frame_index) for x in tracking.track_objects(blobs, rules).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_one_key_without_a_pause(spark):
+    """A payload that stays in view: many sightings, one run; state doesn't grow with it."""
+    rows = spark.range(300_000).selectExpr("'k' AS k", "id AS t", "cast(id % 7 + 1 AS double) AS v")
+    got = [r.t for r in dedup.tracker_dedup(rows, ["k"], "t", 999).orderBy("t").collect()]
+    assert got == list(range(0, 300_000, 1000))
+    one = segment.ema_fold(rows, ["k"], "t", "v", 0.5, 4.0, 10).collect()
+    assert len(one) == 1 and one[0].run == 1
+    seeds = spark.createDataFrame([("k", -1)], "k string, anchor long")
+    assert dedup.tracker_dedup(rows, ["k"], "t", 999, seeds).agg(F.min("t")).first()[0] == 999
+
+
+def test_rows_in_spans(spark):
+    r = random.Random(2)
+    rows = [(r.choice("ab"), r.randint(0, 300)) for _ in range(200)]
+    spans = [(r.choice("ab"), i, a, a + r.choice([0, 3, 150])) for i in range(20) for a in [r.randint(0, 300)]]
+    got = segment.in_spans(spark.createDataFrame(rows, "k string, t long"), "t", spark.createDataFrame(spans, "k string, i int, a long, b long"), ["k"], "a", "b", 16)
+    assert sorted((x.k, x.t, x.i) for x in got.collect()) == sorted((k, t, i) for k, t in rows for q, i, a, b in spans if k == q and a <= t <= b)

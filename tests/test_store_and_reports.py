@@ -205,3 +205,40 @@ def test_sessions(spark):
 def test_modes(spark):
     df = spark.createDataFrame([("d", 1, 30.0, 29.0, 100, "MJPG"), ("d", 2, 30.0, 28.5, 100, "YUY2"), ("d", 3, 60.0, 20.0, 900, "YUY2")], "d string, mode int, requested_fps double, achieved_fps double, area int, fourcc string")
     assert analytics.choose_mode(df, ["d"], ["YUY2"]).first().mode == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pruning_by_size_equals_brute_force(spark, seed, monkeypatch):
+    """With ranges so small that the cut is searched for in several steps; an early outlier, ties and protected rows."""
+    import random
+
+    monkeypatch.setattr(store, "CELLS", 4)
+    monkeypatch.setattr(store, "CUT_ROWS", 5)
+    r = random.Random(seed)
+    found = [(f"d{i:03d}", float(r.choice([r.randint(900, 1000), 950])) if i else 1.0, r.randint(0, 9), r.random() < 0.1) for i in range(200)]
+    df = spark.createDataFrame(found, "dir string, mtime double, size long, held boolean")
+    for cap in (0, 50, 400, 100_000):
+        total, want = 0, set()
+        safe = sum(s for *_, s, h in found if h)
+        for d, _, s, h in sorted(found, key=lambda x: (-x[1], [-ord(c) for c in x[0]])):
+            total += s
+            safe -= s * h
+            if h or total + safe <= cap:
+                want.add(d)
+        assert {x.dir for x in store._kept_by_size(df, "mtime", "dir", "size", cap, F.col("held")).collect()} == want
+    assert store._kept_by_size(df.limit(0), "mtime", "dir", "size", 5, F.col("held")).count() == 0
+
+
+def test_nearest_anchor_keeps_repeated_rows(spark):
+    seen = spark.createDataFrame([("a", 10), ("a", 10), ("a", 100), (None, 5)], "k string, t long")
+    anchors = spark.createDataFrame([("a", 8), ("a", 12)], "k string, anchor long")
+    got = reconcile.nearest_anchor(seen, anchors, "k", "t", 20).collect()
+    assert sorted(((r.k, r.t, r.anchor) for r in got), key=repr) == [("a", 10, 8), ("a", 10, 8), ("a", 100, None), (None, 5, None)]
+
+
+def test_rates_without_keys(spark):
+    frames = spark.createDataFrame([(0,), (7200,)], "t long")
+    events = spark.createDataFrame([("pass", 7000), ("miss", 7100), ("pass", 10)], "kind string, t long")
+    got = metrics.rates(events, frames, [], "t").first()
+    assert (got.p1, got.m1, got.p24, got.m24, got.read_rate_1h) == (1, 1, 2, 1, 0.5)
+    assert metrics.rates(events.limit(0), frames, [], "t").first().read_rate_24h is None

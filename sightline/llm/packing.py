@@ -125,21 +125,31 @@ class Plan:
 def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", carry_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, bucket; with carry_ids its ids too."""
 
+    names = ("doc_id", "piece", "start", "length", "ids_crc32", "bucket") + ("ids",) * carry_ids
+    types = {"doc_id": pa.int64(), "piece": pa.int32(), "bucket": pa.int32(), "ids": pa.list_(pa.int32())}
+
     def cut(batches):
-        encode, turn = tokens.encoder(tokenizer).encode, 0
+        encode, turn, last = tokens.encoder(tokenizer).encode_column, 0, np.array([end_id], np.uint32)
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "bucket")} | ({"ids": []} if carry_ids else {})
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        piece = ids[start : start + capacity]
+            at = 0
+            for n, flat, ends in encode(batch.column(1)):
+                rows: list[tuple] = []
+                lo = 0
+                for doc_id, hi in zip(batch.column(0).slice(at, n).to_pylist(), ends.tolist(), strict=True):
+                    size = hi - lo + 1  # with the end id
+                    for k, start in enumerate(range(0, size, capacity)):
+                        stop = min(start + capacity, size)
+                        ids = flat[lo + start : min(lo + stop, hi)]
+                        crc = tokens.crc32(ids)
+                        if stop == size:
+                            crc = tokens.crc32(last, crc)
                         turn += 1
-                        for name, v in zip(rows, (doc_id, k, start, len(piece), tokens.crc32(piece), turn % BUCKETS, piece), strict=False):
-                            rows[name].append(v)
-                types = {"doc_id": pa.int64(), "piece": pa.int32(), "bucket": pa.int32(), "ids": pa.list_(pa.int32())}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, types.get(k, pa.int64())) for k, v in rows.items()})
+                        row = (doc_id, k, start, stop - start, crc, turn % BUCKETS)
+                        rows.append((*row, np.append(ids, last) if stop == size else ids) if carry_ids else row)
+                    lo = hi
+                at += n
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in zip(names, columns, strict=True)], names=list(names))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int" + ", ids array<int>" * carry_ids)

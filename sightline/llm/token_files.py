@@ -152,18 +152,19 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, vocabulary:
         from pyarrow import fs
 
         store, top = fs.FileSystem.from_uri(folder)
-        context, encode = TaskContext.get(), tokens.encoder(tokenizer).encode
+        context, encode = TaskContext.get(), tokens.encoder(tokenizer).encode_column
         writer = stream = None
         name = f"{top}/range-{context.partitionId():06d}-{context.taskAttemptId()}.tok"
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    if writer is None:
-                        store.create_dir(top, recursive=True)
-                        stream = store.open_output_stream(name)
-                        writer = Writer(stream, bits)
+            at = 0
+            for n, flat, ends in encode(batch.column(1)):
+                if writer is None:
+                    store.create_dir(top, recursive=True)
+                    stream = store.open_output_stream(name)
+                    writer = Writer(stream, bits)
+                for doc_id, ids in zip(batch.column(0).slice(at, n).to_pylist(), np.split(flat, ends[:-1]), strict=True):
                     writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+                at += n
         if writer is not None:
             writer.close()
             stream.close()

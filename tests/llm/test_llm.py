@@ -431,8 +431,19 @@ def test_encoder_equals_the_library():
     e = tokens.WordEncoder(VOCABULARY, max_words=50)
     r = random.Random(0)
     parts = ["Hello", "WORLD.", "don't", "x's.", "é,", "É.", "H̱", "ß", "ª", "foo...", "<|endoftext|>", "<|ENDOFTEXT|>", "3rd", "😀", "a b", "\x1c", "naïve", "—", "ﬁ", "İ", "K"]
-    texts = [" ".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(200)]
-    assert [x.tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    parts += ["end!!", "a,b", "(so)", "it's!", "good$$$", "don'", "ÀÉ?", "x<y>", "A\u0301B", "_under_", "ﬀ."]
+    texts = [r.choice([" ", "\n", "  "]).join(r.choice(parts) for _ in range(r.randint(0, 12))) + r.choice(["", " ", "\t"]) for _ in range(400)]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert e.by_words and [x.tolist() for x in e.encode(texts)] == want
+    e.chunk = 40
+    assert [x.tolist() for x in e.encode(texts)] == want and e.encode([]) == []
+    assert tokens.crc32(np.array(want[0] + want[1], np.uint32)) == zlib.crc32(np.array(want[0] + want[1], "<u4").tobytes())
+
+
+def test_other_tokenizers_get_whole_texts():
+    e = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Hello  WORLD", "", "it's\n\nso <|endoftext|> far", "é ß"]
+    assert not e.by_words and [x.tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # passages

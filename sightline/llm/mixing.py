@@ -13,8 +13,8 @@ length are taken is decided by a seeded hash: those in lower hash buckets first,
 and only inside the one bucket at the edge by rank, so no task sees more of a
 length than a bucket of it.
 
-Sources are a catalogue: their sizes, one row each, are added up on the driver
-(MAX_SOURCES at most, else an error). Tables by length stay distributed.
+Sources are a catalogue of a row each, as many as there are: their shares are one
+pass over them in a window, and tables by length stay distributed.
 
 Defined cases: a null source is a source, after all others; a null or empty text
 has size 0 and is never taken; repeated rows with equal ids are taken together
@@ -36,13 +36,12 @@ from .shared import SPACE, written
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 1024
-MAX_SOURCES = 1_000_000
 #: The first try's dynamic programming covers the last so many words of a rest; longer parts of it are filled by the longest lengths first.
 TABLE = 1 << 16
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, max_repeats: float = 3) -> dict[str | None, float]:
-    """Target size of each source."""
+    """Target size of each source, for a catalogue at hand; source_targets() is the same for a table."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     out, free, budget = {}, list(order), float(sum(sizes.values()))
@@ -59,6 +58,26 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: float = 3) -> DataFrame:
+    """Adds their target sizes to sources (_src, source_size).
+
+    Sources are filled together, by weight, and one that is full (`max_repeats` times its size) leaves the rest to the
+    others. So in the order in which they get full, the level that a source and all after it would be filled to is
+    known from those before it, and the first that this level doesn't fill ends the filling."""
+    every = Window.partitionBy(F.lit(0))  # one row a source
+    null = F.max((F.col("_src") == "n").cast("int")).over(every)  # the null source's key is before the others; it counts as the last
+    place = F.row_number().over(every.orderBy("_src")) - 1
+    place = F.when(F.col("_src") == "n", F.count(F.lit(1)).over(every) - 1).otherwise(place - null)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    rows = sizes.withColumns({"_weight": weight, "_full": (F.col("source_size") * F.lit(max_repeats)).cast("double"), "_budget": F.sum("source_size").over(every).cast("double")})
+    in_turn = every.orderBy(F.col("_full") / F.col("_weight"), "_src")
+    before = lambda c: F.coalesce(F.sum(c).over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("_level", (F.col("_budget") - before("_full")) / (F.sum("_weight").over(every) - before("_weight")))
+    not_full = F.when(F.col("_level") * F.col("_weight") <= F.col("_full"), F.col("_level"))
+    rows = rows.withColumn("_end", F.first(not_full, ignorenulls=True).over(in_turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return rows.select(*sizes.columns, F.least(F.col("_full"), F.coalesce(F.col("_end") * F.col("_weight"), F.col("_full"))).alias("target"))
+
+
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many of each length to take, so that the sum comes as near to the budget as can be; of equals the lower one."""
     total = int((lengths * counts).sum())
@@ -197,7 +216,6 @@ def source_key(source_col: str):
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeats: int = 3, seed: int = 7) -> DataFrame:
     """One row per document: id, size, source_size, target, taken (words, repeats counted)."""
-    spark = docs.sparkSession
     sized = docs.select(
         F.col(id_col).alias("_id"),
         source_key(source_col).alias("_src"),
@@ -207,17 +225,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = written(sized, "sizes")
     by_bucket = sized.groupBy("_src", "size", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     by_length = by_bucket.groupBy("_src", "size").agg(F.sum("n").alias("n"))
-    totals = by_length.groupBy("_src").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["_src"]: int(r["source_size"]) for r in totals}
-    name = lambda k: None if k[0] == "n" else k[1:]
-    aim = targets({name(k): v for k, v in sizes.items()}, weights, max_repeats)
-    plan_of = [(k, v, float(aim[name(k)]), *(divmod(round(aim[name(k)]), v) if v else (0, 0))) for k, v in sizes.items()]
-    table = spark.createDataFrame(plan_of, "_src string, source_size long, target double, passes long, rest long")
-    sources = F.broadcast(table) if len(plan_of) < 20_000 else table
-
-    def choose(key, rows: pd.DataFrame) -> pd.DataFrame:
+    totals = by_length.groupBy("_src").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
+    goal = F.bround("target", 0).cast("long")
+    table = source_targets(totals, weights, max_repeats).withColumn("_goal", goal)
+    whole = F.col("source_size") > 0
+    table = table.select(
+        "_src", "source_size", "target", F.when(whole, F.floor(F.col("_goal") / F.col("source_size"))).otherwise(0).cast("long").alias("passes"),
+        F.when(whole, F.pmod("_goal", F.nullif("source_size", F.lit(0)))).otherwise(0).cast("long").alias("rest"))
+    table = written(table, "sources")
+    sources = F.broadcast(table) if table.count() < 20_000 else table
+
+    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("size")
         take = fit(rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), int(rows["rest"].iloc[0]))
         return pd.DataFrame({"_src": rows["_src"], "size": rows["size"], "take": take})
@@ -246,7 +264,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows equal in id, source and size count as one choice: each comes as often as the most taken of them."""
     chosen = mix(docs, id_col, text_col, source_col, **options)
     named = chosen.groupBy(F.col(id_col).alias("_mid"), F.col("_src").alias("_msrc"), F.col("size").alias("_msize")).agg(F.max("times").alias("_times")).where("_times > 0")
-    rows = docs.withColumn("_osrc", source_key(source_col)).withColumn("_osize", n_words(text_col))
-    same = rows[id_col].eqNullSafe(F.col("_mid")) & (F.col("_osrc") == F.col("_msrc")) & (F.col("_osize") == F.col("_msize"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_oid"), source_key(source_col).alias("_osrc"), n_words(text_col).alias("_osize"))
+    same = F.col("_oid").eqNullSafe(F.col("_mid")) & (F.col("_osrc") == F.col("_msrc")) & (F.col("_osize") == F.col("_msize"))
     taken = rows.join(named, same)
-    return taken.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[rows[c] for c in docs.columns])
+    return taken.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_row.*")

@@ -10,8 +10,8 @@ pages counts as important. From each page, branches are removed of which every
 node, the top one and all below, is unimportant on its site, or whose role
 is that of a menu, header, footer, side bar, notice, advert, form, or reader
 comments. Roles are told by the element, the ARIA role and whole class names; a
-name of several words (related-posts) tells one only if the others merely place
-it. An id does so outside articles and not on a section, as ids are made from
+name of several words (related-posts, article-share) tells one only if the others
+merely place it or say whose it is. An id does so outside articles and not on a section, as ids are made from
 titles, too. Headings, paragraphs and what is in them have no role by name. What
 names leave open is decided by importance. The same holds inside the article
 a page marks as such; but the article itself is no such branch, and one that is
@@ -59,6 +59,8 @@ DROPPED = set("head nav aside form script style noscript template iframe svg can
 ROLE_WORDS = set("nav navbar navigation menu footer sidebar aside ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond replies disqus share sharing social related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar copyright masthead complementary contentinfo search searchform".split())
 HEAD_WORDS = {"header", "topbar", "masthead"}
 CONTENT_WORDS = set("content main article post entry story text page wrapper container layout body".split())
+#: Those of them that a part's name may hold without making it the content: post-share, article-related, main-nav.
+OWNER_WORDS = set("content main article post entry story text".split())
 #: Words that may stand beside those in a name without changing what it tells.
 PLACE_WORDS = set("site global top bottom left right upper lower inner outer primary secondary list lists item items box bar area block section group wrap wrapper container panel links link buttons button icons posts articles stories form strip unit slot wp js".split())
 #: Words that tell a role even beside a word for the content: post-comments, page-footer.
@@ -89,7 +91,8 @@ def _words(attributes: str) -> tuple[frozenset, tuple, str, bool]:
     """Words of class, id and role; names in class and role; id; whether hidden."""
     if not attributes:
         return frozenset(), (), "", False
-    found, names, ident, hidden = set(), (), "", bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes))
+    found, names, ident = set(), (), ""
+    hidden = "hidden" in ATTRIBUTE.sub(" ", attributes).lower().replace("/", " ").split()  # without a value
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id", "role"):
@@ -98,7 +101,7 @@ def _words(attributes: str) -> tuple[frozenset, tuple, str, bool]:
                 ident = value
             else:
                 names += tuple(value.split())
-        elif name == "style" and re.search(r"display\s*:\s*none", value):
+        elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none", value):
             hidden = True
     return frozenset(found), names, ident, hidden
 
@@ -177,7 +180,7 @@ def text_of(node: Node, dropped=lambda x: False) -> str:
 def _told(name: str) -> str:
     """What a whole name tells: "strong", "role" or "head" (another part of the page), "content", or "" (nothing)."""
     words = set(_split(name))
-    for kind, telling, beside in (("content", CONTENT_WORDS, PLACE_WORDS), ("strong", STRONG_WORDS, ROLE_WORDS | CONTENT_WORDS | PLACE_WORDS), ("role", ROLE_WORDS, PLACE_WORDS), ("head", HEAD_WORDS, PLACE_WORDS)):
+    for kind, telling, beside in (("content", CONTENT_WORDS, PLACE_WORDS), ("strong", STRONG_WORDS, ROLE_WORDS | CONTENT_WORDS | PLACE_WORDS), ("role", ROLE_WORDS, PLACE_WORDS | OWNER_WORDS), ("head", HEAD_WORDS, PLACE_WORDS)):
         if words & telling and words <= telling | beside:
             return kind
     return ""
@@ -245,10 +248,10 @@ def main_text(page: str | None, unimportant: frozenset = frozenset()) -> str:
     root = parse(page)
     outside = lambda x: _role_drops(x, False)
     inside = lambda x: _role_drops(x, True)
-    articles, teasers, todo = [], [], [(root, False)]
+    articles, teasers, todo = [], [], [(root, False, False)]
     mains = []
     while todo:
-        x, marked = todo.pop()
+        x, marked, in_main = todo.pop()
         if outside(x):
             # a wrapper named like a menu or side bar still holds the article, if there is none elsewhere
             if x.tag in DROPPED or x.hidden or not any(y.tag in LANDMARKS for y in _walk(x)):
@@ -257,9 +260,10 @@ def main_text(page: str | None, unimportant: frozenset = frozenset()) -> str:
         if x.tag == "article":
             (teasers if marked or _teaser(x) else articles).append(x)
             continue
-        if x.tag == "main" or "main" in x.words and x.tag in ("div", "section"):
+        if not in_main and (x.tag == "main" or "main" in x.words and x.tag in ("div", "section")):
             mains.append(x)
-        todo.extend((p, marked) for p in reversed(x.parts) if isinstance(p, Node))
+            in_main = True
+        todo.extend((p, marked, in_main) for p in reversed(x.parts) if isinstance(p, Node))
     quiet = _noise(root, unimportant)
     for found in (articles, teasers):
         for drops in (lambda x: inside(x) or _styled(x) and id(x) in quiet, inside):  # an article that a site repeats whole is still one
@@ -267,9 +271,8 @@ def main_text(page: str | None, unimportant: frozenset = frozenset()) -> str:
             if texts:
                 return " ".join(texts)
     noise = lambda x: outside(x) or _styled(x) and id(x) in quiet and x.tag not in ("html", "body")
-    for x in mains[:1]:
-        if found := text_of(x, lambda y: y is not x and noise(y)):
-            return found
+    if texts := [t for x in mains if (t := text_of(x, lambda y, x=x: y is not x and noise(y)))]:
+        return " ".join(texts)
     return text_of(root, lambda y: noise(y) or _link_list(y))
 
 

@@ -6,8 +6,11 @@ normalised (ASCII lower case; other characters than a-z and 0-9 become one
 space) and looked up among the known license sentences. The reading that finds
 more of them gives the document's identifier sequence, in text order. Ordered
 rules, each a sequence of identifiers, are then matched against it: the
-identifiers must occur in the rule's order, with any others between them. The
-first rule that matches names the license; all that match are listed.
+identifiers must occur in the rule's order, with any others between them. Rules that
+tell more come first and use up the identifiers they match, each occurrence of them,
+so a rule contained in another (the two-clause license in the three-clause one) matches
+only where there is a text of its own. The first rule that matches names the
+license; all that match are listed.
 
 Defined cases: a null or empty text has no sentence and no license; repeated
 sentences repeat in the sequence; repeated rows give repeated results; an empty
@@ -59,22 +62,59 @@ SENTENCES = {
     60: "this source code form is subject to the terms of the mozilla public license v 2 0",
     61: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     62: "this is free and unencumbered software released into the public domain",
+    31: "either version 2 1 of the license or at your option any later version",
+    32: "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    33: "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    34: "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    35: "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    36: "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    37: "licensed under the gnu general public license v3 0",
+    38: "licensed under the gnu general public license v2 0",
+    46: "licensed under cc by nc sa 4 0",
+    47: "licensed under cc by nd 4 0",
+    48: "licensed under cc by nc nd 4 0",
+    49: "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license",
+    54: "this work is licensed under a creative commons attribution noderivatives 4 0 international license",
+    55: "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    56: "neither the name of the nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    57: "this project is licensed under the bsd 3 clause license",
+    58: "this project is licensed under the bsd 2 clause license",
+    59: "this project is licensed under the apache license 2 0",
+    63: "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    64: "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    65: "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    66: "distributed under the boost software license version 1 0",
+    67: "this software is provided as is without any express or implied warranty",
+    68: "in no event will the authors be held liable for any damages arising from the use of this software",
+    69: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    70: "this font software is licensed under the sil open font license version 1 1",
+    71: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    72: "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
+    73: "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3 or any later version published by the free software foundation",
+    74: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
 }
 
 # Ordered license rules; the more telling ones come first.
 RULES = [
-    ("AGPL-3.0", (30, 23)), ("LGPL-3.0", (29, 23)), ("LGPL-2.1", (29,)),
-    ("GPL-3.0", (24, 23)), ("GPL-3.0", (22,)), ("GPL-3.0", (21,)), ("GPL-3.0", (20,)),
-    ("GPL-2.0", (24, 25)), ("GPL-2.0", (28,)),
-    ("BSD-3-Clause", (50, 51, 52, 53)), ("BSD-2-Clause", (50, 51, 52)),
+    ("AGPL-3.0", (30, 23)), ("AGPL-3.0", (32,)), ("AGPL-3.0", (33,)),
+    ("LGPL-3.0", (29, 23)), ("LGPL-3.0", (34,)), ("LGPL-2.1", (29, 31)), ("LGPL-2.1", (35,)), ("LGPL-2.1", (29,)),
+    ("GPL-3.0", (24, 23)), ("GPL-3.0", (22,)), ("GPL-3.0", (21,)), ("GPL-3.0", (20,)), ("GPL-3.0", (37,)),
+    ("GPL-2.0", (24, 25)), ("GPL-2.0", (36,)), ("GPL-2.0", (28,)), ("GPL-2.0", (38,)),
+    ("BSD-3-Clause", (50, 51, 52, 53)), ("BSD-3-Clause", (50, 51, 52, 56)), ("BSD-3-Clause", (57,)), ("BSD-2-Clause", (50, 51, 52)), ("BSD-2-Clause", (58,)),
     ("MIT", (11, 12, 13)), ("MIT", (11, 12)), ("MIT", (10,)), ("MIT", (14,)), ("MIT", (15,)),
-    ("Apache-2.0", (2, 3, 5, 6)), ("Apache-2.0", (2, 3)), ("Apache-2.0", (2,)), ("Apache-2.0", (1,)),
+    ("Apache-2.0", (2, 3, 5, 6)), ("Apache-2.0", (2, 3)), ("Apache-2.0", (2,)), ("Apache-2.0", (1,)), ("Apache-2.0", (59,)),
+    ("CC-BY-NC-SA-4.0", (46,)), ("CC-BY-NC-SA-4.0", (49,)), ("CC-BY-NC-ND-4.0", (48,)), ("CC-BY-ND-4.0", (47,)), ("CC-BY-ND-4.0", (54,)),
     ("CC-BY-NC-4.0", (40,)), ("CC-BY-NC-4.0", (45,)), ("CC-BY-SA-4.0", (42,)), ("CC-BY-SA-4.0", (44,)),
-    ("CC-BY-4.0", (41,)), ("CC-BY-4.0", (43,)),
-    ("MPL-2.0", (60,)), ("ISC", (61,)), ("Unlicense", (62,)),
+    ("CC-BY-4.0", (41,)), ("CC-BY-4.0", (43,)), ("CC0-1.0", (55,)),
+    ("MPL-2.0", (60, 63)), ("MPL-2.0", (60, 64)), ("MPL-2.0", (60,)), ("ISC", (61,)), ("0BSD", (74,)), ("Unlicense", (62,)),
+    ("BSL-1.0", (65,)), ("BSL-1.0", (66,)), ("Zlib", (67, 68, 69)), ("Zlib", (69,)), ("OFL-1.1", (70,)), ("EPL-2.0", (71,)), ("PostgreSQL", (72,)), ("GFDL-1.3", (73,)),
 ]
 
 
+def rule_pattern(ids: tuple[int, ...]) -> str:
+    return "(.*?)".join(f"<{i}>" for i in ids)
+
+
 def _identifiers(cut: Column) -> Column:
     """The known sentences' identifiers, in order."""
     plain = F.transform(F.split(cut, "\n"), lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
@@ -94,10 +134,13 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     read = read.select("_id", F.when(F.size("by_end") > F.size("by_line"), F.col("by_end")).otherwise(F.col("by_line")).alias("ids"))
     read = read.select("_id", F.size("ids").cast("long").alias("n_sentences"), F.concat_ws("", "ids").alias("sentence_ids"))
-    hits = [F.when(F.col("sentence_ids").like("%" + "%".join(f"<{i}>" for i in ids) + "%"), F.lit(name)) for name, ids in RULES]
-    found = F.array_distinct(F.array_compact(F.array(*hits)))
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rule_pattern(ids)).alias("ids"), F.lit("".join(f"${k}" for k in range(1, len(ids)))).alias("others")) for name, ids in RULES])
+    none = F.array().cast("array<string>")
+    apply = lambda acc, rule: F.when(
+        F.rlike(acc.left, rule.ids), F.struct(F.regexp_replace(acc.left, rule.ids, rule.others).alias("left"), F.array_append(acc.names, rule["name"]).alias("names"))).otherwise(acc)
+    matched = F.aggregate(rules, F.struct(F.col("sentence_ids").alias("left"), none.alias("names")), apply, lambda acc: F.array_distinct(acc.names))
     return (
-        read.withColumn("found", F.when(F.col("n_sentences") > 0, found).otherwise(F.array().cast("array<string>")))
+        read.withColumn("found", F.when(F.col("n_sentences") > 0, matched).otherwise(none))
         .select(F.col("_id").alias(id_col), "n_sentences", "sentence_ids",
                 F.get("found", F.lit(0)).alias("license"), F.concat_ws(",", "found").alias("licenses"))
     )
@@ -109,7 +152,9 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def sql() -> str:
     known = ", ".join(f"('{v}', {k})" for k, v in SENTENCES.items())
-    rules = ", ".join(f"({n}, '{name}', '%{'%'.join(f'<{i}>' for i in ids)}%')" for n, (name, ids) in enumerate(RULES))
+    steps = ",\n    ".join(
+        f"r{n + 1} AS (SELECT rid, regexp_replace(rest, '{rule_pattern(ids)}', '{''.join(f'{chr(92)}{k}' for k in range(1, len(ids)))}', 'g') AS rest, "
+        f"CASE WHEN regexp_matches(rest, '{rule_pattern(ids)}') THEN list_append(names, '{name}') ELSE names END AS names FROM r{n})" for n, (name, ids) in enumerate(RULES))
     side = lambda name, cut: f"""{name} AS (
         SELECT doc_id, rid, list('<' || k || '>' ORDER BY place) AS ids FROM (
             SELECT doc_id, rid, unnest(parts) AS part, generate_subscripts(parts, 1) AS place
@@ -120,12 +165,13 @@ def sql() -> str:
     by_end = r"regexp_replace(regexp_replace(t, '[\x09-\x0D]', ' ', 'g'), '([.!?;:])\x20+', '\1' || chr(10), 'g')"
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
-    known(s, k) AS (VALUES {known}), rules(n, name, pattern) AS (VALUES {rules}),
+    known(s, k) AS (VALUES {known}),
     {side('by_line', by_line)}, {side('by_end', by_end)},
     read AS (SELECT d.doc_id, d.rid, CASE WHEN coalesce(len(e.ids), 0) > coalesce(len(l.ids), 0) THEN e.ids ELSE coalesce(l.ids, []) END AS ids
              FROM d LEFT JOIN by_line l USING (rid) LEFT JOIN by_end e ON e.rid = d.rid),
-    hit AS (SELECT rid, name, min(n) AS n FROM read, rules WHERE array_to_string(ids, '') LIKE pattern GROUP BY rid, name),
-    named AS (SELECT rid, list(name ORDER BY n) AS names FROM hit GROUP BY rid)
+    r0 AS (SELECT rid, array_to_string(ids, '') AS rest, []::VARCHAR[] AS names FROM read WHERE len(ids) > 0),
+    {steps},
+    named AS (SELECT rid, list_filter(names, lambda x, i: list_position(names, x) = i) AS names FROM r{len(RULES)})
     SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, '') AS sentence_ids,
            names[1] AS license, coalesce(array_to_string(names, ','), '') AS licenses
     FROM read LEFT JOIN named USING (rid)

@@ -2,8 +2,8 @@
 
 Each line is judged alone: symbols (too many of `#*$%&|<>` for its words),
 navigation (menu separators; a few words without an end mark), shouting (mostly
-capitals, or marks like !! after its words), boilerplate (stock phrases in short
-lines) and repetition (equal to an earlier line). Failing lines go. A document is
+capitals, or marks like !! after its words), boilerplate (stock phrases of four
+languages in short lines) and repetition (equal to an earlier line). Failing lines go. A document is
 rejected if it loses more than `max_lost` of its words with them, or if it fails
 the base rules: fewer than 50 words, or over half of its words in three-word
 windows that occur twice or more.
@@ -31,8 +31,12 @@ LETTERS = CAPITALS + bytes(range(97, 123))
 SPACES = b" \t\n\r\x0b\x0c"
 MIN_WORDS, MAX_REPEATED = 50, 50
 
-# Stock phrases of web pages, in small letters.
-BOILERPLATE = re.compile(rb"lorem ipsum|javascript|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|click here|read more|sign up|log in|subscribe to|share this|skip to content|back to top")
+# Stock phrases of web pages in English, German, French and Spanish, in small letters.
+BOILERPLATE = re.compile("|".join([
+    "lorem ipsum", "javascript", "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved", "click here", "read more", "sign up", "log in", "subscribe to", "share this", "skip to content", "back to top",
+    "cookie-richtlinie", "datenschutzerkl(?:ä|ae)rung", "nutzungsbedingungen", "alle rechte vorbehalten", "hier klicken", "weiterlesen", "mehr lesen", "jetzt anmelden", "newsletter abonnieren", "zum inhalt springen", "nach oben",
+    "politique de cookies", "politique de confidentialit(?:é|e)", "conditions d(?:'|’)utilisation", "tous droits r(?:é|e)serv(?:é|e)s", "mentions l(?:é|e)gales", "cliquez ici", "lire la suite", "en savoir plus", "se connecter", "haut de page",
+    "pol(?:í|i)tica de cookies", "pol(?:í|i)tica de privacidad", "t(?:é|e)rminos de uso", "condiciones de uso", "todos los derechos reservados", "aviso legal", "haga clic aqu(?:í|i)", "leer m(?:á|a)s", "iniciar sesi(?:ó|o)n", "ir al contenido"]).encode())
 END_MARKS = tuple(x.encode() for x in (".", "!", "?", "…", '"', "'", "”", "»", ")", ":", ";"))
 DOUBLE = re.compile(rb"!!|\?\?")
 
@@ -122,13 +126,21 @@ def rate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lo
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5) -> DataFrame:
-    """The documents that pass, with all their columns and whole texts, in one map without a join."""
+def keep_good(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5, size_col: str | None = None) -> DataFrame:
+    """The documents that pass, with all their columns, in one map without a join: the text is that of the lines that
+    stay, and `size_col`, if given, its code points."""
     at = docs.columns.index(text_col)
+    size = None if size_col is None else docs.columns.index(size_col)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([judge(t, max_lost)[0]["kept"] for t in batch.column(at).to_pylist()], pa.bool_()))
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                found = [judge(t, max_lost) for t in part.column(at).to_pylist()]
+                part = part.set_column(at, part.schema.field(at), pa.array([x[1] for x in found], part.schema.field(at).type))
+                if size is not None:
+                    part = part.set_column(size, part.schema.field(size), pa.array([len(x[1]) for x in found], part.schema.field(size).type))
+                yield part.filter(pa.array([x[0]["kept"] for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -171,4 +183,4 @@ j AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, length(regexp_replace(t, '
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 2 * lost_words <= n_words AS kept, lost_words, failed_lines FROM b
-""".replace("BOILERPLATE", BOILERPLATE.pattern.decode())
+""".replace("BOILERPLATE", BOILERPLATE.pattern.decode().replace("'", "''"))

@@ -6,11 +6,11 @@ Each class has a sketch of minwise tokens. In each of TREES independent trees
 the classes branch by a token of their own: those that share it meet in a node.
 At a node the smallest class is compared with one of each other component, which
 connects most groups of copies with as many comparisons as members. Nodes whose members are
-all connected need nothing more. Small nodes are compared exhaustively, between
-members not yet connected; the others branch again by further tokens chosen by
-the node (a second one in half of the cases, so that pairs at the threshold stay
-together on average), level by level. Nodes still mixed after MAX_LEVELS
-are compared pair by pair between unconnected members.
+all connected need nothing more. Small nodes (by members and by the bytes of their
+sets) are compared exhaustively; the others branch again by further tokens chosen by
+the node, each level from tokens of its own (a second one in half of the cases, so that
+pairs at the threshold stay together on average), level by level. Nodes still mixed
+after MAX_LEVELS are compared whole, in pairs of blocks as large as a small node.
 
 Comparisons outside small nodes first drop pairs that set sizes or sketches rule
 out (an agreement under LEAST_AGREEMENT of the sketch is 3.9 standard deviations
@@ -23,7 +23,9 @@ g(k) ** TREES: 4.5e-5 after one, 2.6e-4 after two, 1.5e-3 after four, 5.7e-3
 after eight, after which the rest is compared whole.
 
 Links stay tables; components come from alternating star steps. Hot keys: equal
-sets are merged by (set, salt); a star's centre is dealt with salts, too.
+sets are merged by (set, salt), and what is known of a node is summed up by (node, salt)
+and comes back to its members so; a large node's star is compared in parts, each with
+the centre; exhaustive comparisons are bounded by SMALL and SET_ROWS in one task.
 
 Defined cases: null and empty texts, and those of white space, have an empty set
 and are linked with nothing; fewer words than five make one shingle of all;
@@ -47,7 +49,10 @@ from .shared import dealt_bucket, fresh_path, written
 WORDS, PERCENT = 5, 75
 TREES, TOKENS, SMALL, MAX_LEVELS = 10, 128, 2048, 8
 LEAST_AGREEMENT = 0.6
-SALTS, BROADCAST_ROWS = 16, 2_000
+SALTS, NODE_SALTS, BROADCAST_ROWS = 16, 64, 2_000
+#: Shingles of all sets that are compared with each other at once.
+SET_ROWS = 2_000_000
+LEVEL_TOKENS = (TOKENS - TREES) // MAX_LEVELS
 
 U = np.uint64
 
@@ -183,21 +188,33 @@ def _confirmed(pairs: DataFrame, table: str) -> DataFrame:
 
 
 def _branch(rows: DataFrame, classes: DataFrame, level: int) -> DataFrame:
-    """Children of nodes (node, id, tree): by one token the node chooses, and in half of the nodes by a second."""
-    pick = lambda k: F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(TOKENS - TREES)) + TREES
-    token = lambda c: F.substring(F.col("sketch"), (4 * c + 1).cast("int"), F.lit(4))
-    child = lambda k: F.xxhash64("node", F.lit(k), pick(k), token(pick(k)))
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2)) == 0, child(1))
+    """Children of nodes (node, id, n, tree): by one token the node chooses, and in half of the nodes by a second."""
+    pick = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(LEVEL_TOKENS - k))
+    one, two = pick(0), F.pmod(pick(0) + 1 + pick(1), F.lit(LEVEL_TOKENS))
+    token = lambda c: F.substring(F.col("sketch"), (4 * (c + TREES + level * LEVEL_TOKENS) + 1).cast("int"), F.lit(4))
+    child = lambda c: F.xxhash64("node", c, token(c))
+    second = F.when(F.pmod(F.xxhash64("node", F.lit("second")), F.lit(2)) == 0, child(two))
     joined = rows.join(classes.select("id", "sketch"), "id")
-    return joined.select("id", "tree", F.explode(F.array_compact(F.array(child(0), second))).alias("node"))
+    return joined.select("id", "n", "tree", F.explode(F.array_compact(F.array(child(one), second))).alias("node"))
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_salt", dealt_bucket(NODE_SALTS, "id"))
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """(node, k, centre): nodes where two or more meet; those of equal members count once if small."""
-    met = rows.groupBy("node").agg(
-        F.count(F.lit(1)).alias("k"), F.min("id").alias("centre"), F.max("id").alias("last"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum")).where("k > 1")
-    few = met.where(F.col("k") <= SMALL).groupBy("k", "centre", "last", "sum").agg(F.min("node").alias("node"))
-    return few.select("node", "k", "centre").unionByName(met.where(F.col("k") > SMALL).select("node", "k", "centre"))
+    """(node, _salt, k, size, centre): nodes where two or more meet, a row for each salt of their members; those of equal
+    members count once if small. Combined by (node, salt), so no node is one task."""
+    part = _salted(rows).groupBy("node", "_salt").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("size"), F.min("id").alias("centre"), F.max("id").alias("last"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("sum"))
+    met = part.groupBy("node").agg(*[f(c).alias(c) for f, c in ((F.sum, "k"), (F.sum, "size"), (F.min, "centre"), (F.max, "last"), (F.sum, "sum"))], F.collect_list("_salt").alias("salts")).where("k > 1")
+    few = met.where(_is_small()).groupBy("k", "centre", "last", "sum").agg(F.min_by(F.struct("node", "size", "salts"), "node").alias("one"))
+    every = few.select("one.node", "k", "one.size", "centre", "one.salts").unionByName(met.where(~_is_small()).select("node", "k", "size", "centre", "salts"))
+    return every.select("node", "k", "size", "centre", F.explode("salts").alias("_salt"))
+
+
+def _is_small():
+    return (F.col("k") <= SMALL) & (F.col("size") <= SET_ROWS)
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,15 +225,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     part = salted.where("n > 0 and id is not null").groupBy("n", "s1", "s2", "salt").agg(F.min("id").alias("low"))
     groups = part.groupBy("n", "s1", "s2").agg(F.min("low").alias("class"), F.collect_set("salt").alias("salts"))
     groups = groups.select("n", "s1", "s2", "class", F.explode("salts").alias("salt"))
-    member = written(salted.join(groups, ["n", "s1", "s2", "salt"], "left").select("id", "n", "class"), "classes")
+    own = salted.join(groups, ["n", "s1", "s2", "salt"], "left")
+    member = written(own.select("id", "n", F.when(F.col("id").isNotNull(), F.col("class")).alias("class")), "classes")
     firsts = member.where("id = class").select("id").distinct()
     classes = written(every.join(firsts, "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch"), "class-sketches")
 
     token = lambda k: F.substring(F.col("sketch"), 4 * k + 1, 4)
-    rows = classes.select("id", F.posexplode(F.array(*[F.xxhash64(F.lit(k), token(k)) for k in range(TREES)])).alias("tree", "node"))
+    rows = classes.select("id", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(k), token(k)) for k in range(TREES)])).alias("tree", "node"))
     texts = comp = None
     for level in range(MAX_LEVELS + 1):
-        rows = written(rows.join(_met(rows), "node"), f"nodes-{level}")
+        rows = written(_salted(rows).join(_met(rows), ["node", "_salt"]).drop("_salt"), f"nodes-{level}")
         if not rows.take(1):
             break
         if texts is None:
@@ -224,18 +242,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             classes = written(active, "met")
             texts = _texts_of(docs, classes, id_col, text_col)
             one = rows.where(F.col("tree") == 0)  # most copies are connected by one tree; the others then compare less
-            comp = _linked_by(_node_pairs(_named(one, comp), classes, False), comp, texts)
+            comp = _linked_by(_star_pairs(_named(one, comp), classes), comp, texts)
         rows = _mixed(rows, comp)
-        comp = _linked_by(_node_pairs(rows, classes, False), comp, texts)
+        comp = _linked_by(_star_pairs(rows, classes), comp, texts)
         rows = _mixed(rows, comp)
-        small = rows.where(F.col("k") <= SMALL)
-        comp = _grown(comp, written(_node_links(small, texts).distinct(), "links"))
-        rows = rows.where(F.col("k") > SMALL)
-        if level == MAX_LEVELS:
-            comp = _linked_by(_node_pairs(_mixed(rows, comp), classes, True), comp, texts)
+        now = rows if level == MAX_LEVELS else rows.where(_is_small())
+        comp = _grown(comp, written(_node_links(now, texts).distinct(), "links"))
+        rows = rows.where(~_is_small())
         if level == MAX_LEVELS or not rows.take(1):
             break
-        rows = written(_branch(rows.select("node", "id", "tree"), classes, level), f"branch-{level}")
+        rows = written(_branch(rows.select("node", "id", "n", "tree"), classes, level), f"branch-{level}")
     if texts is not None:
         docs.sparkSession.sql(f"DROP TABLE IF EXISTS {texts}")  # of the catalogue; all that was read from it is written
     out = member.select("id", "n", "class")
@@ -288,45 +304,32 @@ def _linked_by(pairs: DataFrame, comp: DataFrame | None, texts: str) -> DataFram
     return _grown(comp, _confirmed(pairs, texts))
 
 
-def _node_pairs(rows: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
-    """Pairs (a, b) of nodes' members (node, id, comp) that sizes and sketches don't rule out.
-
-    Not whole: the node's smallest member with the first member of each other component. Whole: all
-    pairs between components, in blocks, so memory is that of the node's sketches."""
-    joined = rows.select("node", "id", "comp").join(classes, "id")
-    dealt = joined.select("node", "id", "comp", "n", "sketch").repartition("node").sortWithinPartitions("node", "id")
-
-    def alike(x, y, na, nb):
-        share = (x[:, None, :] == y[None, :, :]).mean(axis=2)
-        near = np.maximum(na[:, None], nb[None, :]) * PERCENT <= np.minimum(na[:, None], nb[None, :]) * 100
-        return near & (share >= LEAST_AGREEMENT)
+def _star_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes' members (node, id, k, centre, comp) that sizes and sketches don't rule out: the
+    node's smallest member with the first member of each other component. A large node is dealt in parts, and
+    its centre goes to all of them."""
+    parts = F.ceil(F.col("k") / SMALL).cast("int")
+    spread = F.when(F.col("id") == F.col("centre"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), parts).cast("int")))
+    joined = rows.select("node", "id", "comp", F.explode(spread).alias("part")).join(classes, "id")
+    dealt = joined.select("node", "part", "id", "comp", "n", "sketch").repartition("node", "part").sortWithinPartitions("node", "part", "id")
 
     def compare(held: list) -> pa.RecordBatch:
         ids, comp, n = (np.array([h[i] for h in held], np.int64) for i in range(3))
         x = np.frombuffer(b"".join(h[3] for h in held), np.uint32).reshape(-1, TOKENS)
-        if not whole:
-            at = np.flatnonzero(alike(x[:1], x, n[:1], n)[0] & (comp != comp[0]))
-            q = at[np.unique(comp[at], return_index=True)[1]]
-            p = np.zeros(len(q), np.int64)
-        else:
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for i in range(0, len(x), 128):
-                for j in range(i, len(x), 128):
-                    near = alike(x[i : i + 128], x[j : j + 128], n[i : i + 128], n[j : j + 128]) & (comp[i : i + 128, None] != comp[None, j : j + 128])
-                    one, two = np.nonzero(near)
-                    ahead = i + one < j + two
-                    found.append((i + one[ahead], j + two[ahead]))
-            p, q = map(np.concatenate, zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(ids[p]), pa.array(ids[q])], names=["a", "b"])
+        near = np.maximum(n[0], n) * PERCENT <= np.minimum(n[0], n) * 100
+        near &= (comp != comp[0]) & ((x == x[:1]).mean(axis=1) >= LEAST_AGREEMENT)
+        at = np.flatnonzero(near)
+        b = ids[at[np.unique(comp[at], return_index=True)[1]]]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), ids[0])), pa.array(b)], names=["a", "b"])
 
     def run(batches):
-        node, held = None, []
+        group, held = None, []
         for batch in batches:
-            for at, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != node and held:
+            for node, part, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (node, part) != group and held:
                     yield compare(held)
                     held = []
-                node = at
+                group = (node, part)
                 held.append(row)
         if held:
             yield compare(held)
@@ -356,10 +359,15 @@ def similar_pairs(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _node_links(rows: DataFrame, table: str) -> DataFrame:
-    """Links (a, b) between the members of small nodes (node, id): all pairs are compared on their full sets
-    in the node's task, and of the links a spanning forest comes back, at most one per member."""
+    """Links (a, b) between the members of nodes (node, id, k, size): all pairs are compared on their full sets, and of
+    the links a spanning forest comes back, at most one per member. A small node is one task; a larger one is
+    dealt in blocks of half its size, and each pair of blocks is a task."""
     texts = rows.sparkSession.table(table)
-    dealt = rows.select("node", "id").join(texts, "id").select("node", "id", "text").repartition("node").sortWithinPartitions("node", "id")
+    blocks = F.when(_is_small(), 1).otherwise(F.greatest(F.ceil(2 * F.col("k") / SMALL), F.ceil(2 * F.col("size") / SET_ROWS))).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, own) * F.col("blocks") + F.greatest(j, own))
+    placed = rows.withColumn("blocks", blocks).select("node", "id", F.explode(pairs).alias("part"))
+    dealt = placed.join(texts, "id").select("node", "part", "id", "text").repartition("node", "part").sortWithinPartitions("node", "part", "id")
 
     def forest(held: list) -> pa.RecordBatch:
         ids = np.array([h[0] for h in held], np.int64)
@@ -385,7 +393,7 @@ def _node_links(rows: DataFrame, table: str) -> DataFrame:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
                 sets = shingle_sets(part.column("text").to_pylist())
-                for at, i, own in zip(part.column("node").to_pylist(), part.column("id").to_pylist(), sets, strict=True):
+                for *at, i, own in zip(part.column("node").to_pylist(), part.column("part").to_pylist(), part.column("id").to_pylist(), sets, strict=True):
                     if at != node and held:
                         yield forest(held)
                         held = []
@@ -405,10 +413,11 @@ def _named(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    """Rows of nodes whose members aren't all connected, with their component."""
-    named = written(_named(rows, comp), "named-nodes")
-    apart = named.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-    return named.join(apart, "node", "left_semi")
+    """Rows of nodes whose members aren't all connected, with their component; found by (node, salt) as in _met()."""
+    named = _salted(written(_named(rows, comp), "named-nodes"))
+    part = named.groupBy("node", "_salt").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    apart = part.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("_salt").alias("salts")).where("lo <> hi").select("node", F.explode("salts").alias("_salt"))
+    return named.join(apart, ["node", "_salt"], "left_semi").drop("_salt")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

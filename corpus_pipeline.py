@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept
 and returns a DataFrame, which is written and read again as the next one's docs.
-All but the last return the columns of documents."""
+All but the last return the columns of documents.
+
+Defined cases, of all stages: no rows give no rows; null and empty texts fail the
+quality rules, and further on count as empty, are linked with nothing, are not taken
+by the mix (size 0) and are an end id when packed; repeated rows are copies, of which
+one stays; a null id or source is one of its own; columns of any name go along."""
 
 from __future__ import annotations
 
@@ -13,8 +18,8 @@ from sightline.llm.shared import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, whole."""
-    return quality_rules.keep_good(docs)
+    """Documents that pass the quality rules, without the lines that fail them; n_chars is that of the text left."""
+    return quality_rules.keep_good(docs, size_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def odd(spark):
 
     # names that operators might use themselves
     df = spark.createDataFrame(ODD, SCHEMA)
-    return df.withColumns({c: F.lit("x") for c in ("_id", "id", "_norm", "_salt", "_hash", "node", "k", "size", "target", "times", "bucket", "length", "_src", "rank", "hash", "doc", "place", "component", "class", "salt", "kept", "n")})
+    return df.withColumns({c: F.lit("x") for c in ("_id", "id", "_norm", "_salt", "_hash", "node", "k", "size", "target", "times", "bucket", "length", "_src", "_osrc", "_osize", "_row", "rank", "hash", "doc", "place", "component", "class", "salt", "kept", "n")})
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +64,21 @@ substantial portions of the Software."""
     assert got[3].license is None and got[4].n_sentences == 0 and got[5].licenses == ""
 
 
+def test_rules_use_up_what_they_match(spark):
+    """A rule contained in another matches only where it has a text of its own."""
+    say = lambda *ids: "\n".join(license_scan.SENTENCES[i] + "." for i in ids)
+    cases = {
+        (29, 23): "LGPL-3.0", (29,): "LGPL-2.1", (29, 31): "LGPL-2.1", (50, 51, 52, 53): "BSD-3-Clause", (50, 51, 52): "BSD-2-Clause",
+        (50, 51, 52, 53, 50, 51, 52): "BSD-3-Clause,BSD-2-Clause", (50, 51, 52, 50, 51, 52, 53): "BSD-3-Clause,BSD-2-Clause", (24, 23, 10, 24, 25): "GPL-3.0,GPL-2.0,MIT",
+        (2, 10, 3): "MIT,Apache-2.0", (60, 63): "MPL-2.0", (67, 68, 69): "Zlib", (53,): "", (23, 24): "", (30, 23, 29): "AGPL-3.0,LGPL-2.1"}
+    docs = spark.createDataFrame([(k, say(*ids)) for k, ids in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    assert [got[k].licenses for k in range(len(cases))] == list(cases.values())
+    assert [got[k].sentence_ids for k in range(len(cases))] == ["".join(f"<{i}>" for i in ids) for ids in cases]
+    known = license_scan.SENTENCES.values()
+    assert len(set(known)) == len(known) and all(i in license_scan.SENTENCES for _, ids in license_scan.RULES for i in ids)
+
+
 def test_license_cases(odd, none):
     assert license_scan.scan_licenses(odd).count() == len(ODD) and license_scan.scan_licenses(none).count() == 0
 
@@ -176,6 +191,37 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small):
     assert got == components_of(docs)
 
 
+def test_recall_in_a_large_node(spark, monkeypatch):
+    """A node far larger than a small one, most of whose pairs lie around the threshold: links found of all pairs."""
+    monkeypatch.setattr(minhash_dedup, "SMALL", 40)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(400):
+        own = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 3])):
+            own[at] = f"x{k}y{at}"
+        texts.append(" ".join(own))
+    near = minhash_dedup.similar_pairs(minhash_dedup.shingle_sets(texts))
+    one, two = np.nonzero(np.triu(near, 1))
+    assert 0.2 < len(one) / (400 * 399 / 2) < 0.9
+    comp = {x.doc_id: x.component_id for x in minhash_dedup.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert np.mean([comp[a] == comp[b] for a, b in zip(one.tolist(), two.tolist())]) >= 0.99
+
+
+def test_long_documents_are_compared_in_blocks(spark, monkeypatch):
+    """Sets too many for one comparison, though members are few."""
+    monkeypatch.setattr(minhash_dedup, "SET_ROWS", 500)
+    monkeypatch.setattr(minhash_dedup, "MAX_LEVELS", 1)
+    r = random.Random(9)
+    texts = []
+    for b in range(3):
+        base = [f"b{b}w{i}" for i in range(300)]
+        texts += [" ".join(w if r.random() > 0.01 else "z" for w in base) for _ in range(5)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash_dedup.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == components_of(list(enumerate(texts)))
+
+
 @pytest.mark.parametrize("one_task", [0, 1000])
 def test_components(spark, monkeypatch, one_task):
     from sightline.llm import components as c
@@ -196,6 +242,8 @@ def test_near_duplicate_cases(odd, none):
     assert len(rows) == len(ODD) and minhash_dedup.linked(none).count() == 0
     got = {(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in rows}
     assert {(4, 1, 4, True), (5, 1, 4, False), (1, 0, 1, True), (None, 1, None, True)} <= got
+    twins = odd.sparkSession.createDataFrame([(None, "one two three")] + [(i, "one two three") for i in range(100)], "doc_id long, text string")
+    assert {x.component_id for x in minhash_dedup.linked(twins).collect()} == {None, 0}  # a row without an id isn't linked, whatever its text
     assert sorted(minhash_dedup.drop_near_copies(odd).columns) == sorted(odd.columns)
 
 
@@ -286,6 +334,55 @@ def test_all_articles_but_teasers_count(spark):
     assert site(spark, lambda i: f"<article><p>Own {i}</p></article><article class='b'><p>Same</p></article>") == [f"Own {i}" for i in range(8)]
 
 
+def test_all_mains_count():
+    assert html_extract.main_text("<main><p>one</p></main><p>aside of both</p><main><div class='main'><p>two</p></div></main>") == "one two"
+
+
+@pytest.mark.parametrize("name", ["post-share", "article-related", "main-nav", "entry-comments", "share-story"])
+def test_parts_of_an_article_are_no_content(name):
+    assert html_extract.main_text(f"<article><p>Text</p><div class='{name}'>x</div></article>") == "Text"
+
+
+def test_hidden_is_an_attribute_of_that_name():
+    assert html_extract.main_text("<p title='the hidden room' data-x=' hidden '>a</p><p hidden>b</p><p HIDDEN=''>c</p><p class=x hidden/>d") == "a d"
+    assert html_extract.main_text("<div style='display: none'>x</div><p id=hidden>a</p>") == "a"
+
+
+def test_importance_equals_brute_force(spark):
+    """Entropies of all paths of three sites, one of them without articles or mains."""
+    r = random.Random(6)
+    rows = []
+    for i in range(60):
+        part = lambda *c: f"<div class='{r.choice(['a', 'b'])}'><p>{r.choice(c)}</p>{r.choice(['', '<ul><li>x</ul>'])}</div>"
+        rows.append((i, f"http://{r.choice(['h1', 'h2', 'h3'])}.example/p", part("same", "same", "same", "other") + part(f"own {i}") + "<footer><p>end</p></footer>"))
+    hosts = {}
+    for _, url, page in rows:
+        for path, look, said in html_extract.style_nodes(page):
+            for kind, v in enumerate((look, said)):
+                hosts.setdefault((url.split("/")[2], path), [[], []])[kind].append(v)
+
+    def entropy(values):
+        p = np.array([values.count(v) for v in set(values)]) / len(values)
+        return float(-(p * np.log(p)).sum() / np.log(len(values)))
+
+    want = {k for k, kinds in hosts.items() if len(kinds[0]) >= 5 and max(map(entropy, kinds)) < 0.5}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(x.host, p) for x in html_extract.unimportant_paths(pages, 0.5, 5).collect() for p in x.paths}
+    assert got == want and 3 < len(want) < len(hosts)
+
+
+def test_page_cases(spark, none):
+    """No page, repeated rows, null ids and addresses, columns of other names that the operator may use itself."""
+    schema = "page_id long, url string, html string, host string, paths string, path long, text string, n long"
+    rows = [(1, None, "<p>a</p>", "x", "x", 1, "x", 1)] * 2 + [(None, "http://h/", None, None, None, None, None, None), (2, None, "  ", "", "", 0, "", 0)]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted(map(tuple, html_extract.extract(df).collect()), key=repr)
+    assert got == sorted([(1, None, "a", 1), (1, None, "a", 1), (None, "http://h/", "", 0), (2, None, "", 0)], key=repr)
+    assert html_extract.extract(df.limit(0)).columns == ["page_id", "url", "text", "n_chars"] and html_extract.extract(df.limit(0)).count() == 0
+    long = "<p>" + "word &amp; " * 200_000 + "</p>"
+    assert html_extract.main_text(long).count("&") == 200_000
+
+
 # quality
 
 
@@ -312,6 +409,20 @@ def test_lines_decide():
     assert not quality_rules.judge("\n".join(f"WORD{i} SHOUT{i} AGAIN{i}!! LOUD{i}!!" for i in range(30)))[0]["kept"]
 
 
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten.", "Cookie-Richtlinie unserer Seite ansehen.", "Tous droits réservés.", "Conditions d’utilisation du site.", "Política de privacidad.", "Haga clic aquí para ver todo.", "All rights reserved."])
+def test_boilerplate_of_four_languages(line):
+    assert quality_rules.line_fails(line.encode(), len(words(line))) == "boilerplate"
+    text = line + "\n" + " ".join(f"Wort{i}" for i in range(60)) + "."
+    found, stay = quality_rules.judge(text)
+    assert found["kept"] and found["failed_lines"] == "boilerplate:1" and stay == text.split("\n")[1]
+
+
+def test_kept_documents_go_on_without_failing_lines(spark):
+    good = " ".join(f"w{i}" for i in range(60)) + "."
+    docs = spark.createDataFrame([(1, f"Home | About | Blog | More\n{good}\nMenu", 500), (2, "Menu", 4), (3, None, 0)], "doc_id long, text string, n_chars long")
+    assert [tuple(r) for r in quality_rules.keep_good(docs, size_col="n_chars").collect()] == [(1, good, len(good))]
+
+
 def test_quality_cases(odd, none):
     rows = quality_rules.rate(odd, cleaned=True).collect()
     assert len(rows) == len(ODD) and quality_rules.rate(none).count() == 0
@@ -369,6 +480,15 @@ def test_targets():
     assert mixing.targets({}) == {} and mixing.targets({"a": 0, "b": 0}) == {"a": 0.0, "b": 0.0}
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_targets_of_a_table(spark, seed):
+    r = random.Random(seed)
+    sizes = {r.choice([None, "a", "é", "Z"]) if r.random() < 0.2 else f"s{r.randint(0, 99)}": r.choice([0, 1, 7, 50, 1000, 10**7]) for _ in range(r.randint(1, 12))}
+    df = spark.createDataFrame([("n" if k is None else "s" + k, v) for k, v in sizes.items()], "_src string, source_size long")
+    got = {None if x._src == "n" else x._src[1:]: x.target for x in mixing.source_targets(df).collect()}
+    assert got == pytest.approx(mixing.targets(sizes), rel=1e-12)
+
+
 def test_mix(spark):
     r = random.Random(2)
     rows = [(i, " ".join(["w"] * r.randint(0, 60)), r.choice(["x", "y", "z", None])) for i in range(600)]
@@ -474,8 +594,36 @@ def test_repeats_equal_brute_force(spark, batch):
         text = "".join(r.choice([r.choice(passages), "".join(r.choice("xyz é") for _ in range(r.randint(0, 60)))]) for _ in range(r.randint(0, 5)))
         docs.append((i, text))
     docs += [(100, "a" * 500), (101, "ab" * 300), (102, None), (103, "a" * 99), (104, "a" * 100), (None, passages[0])]
-    got = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), batch_bytes=batch).collect()}
+    got = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), batch_bytes=batch, cut_bytes=2 * batch).collect()}
+    assert got == brute_removal(docs, 100)
+
+
+@pytest.mark.parametrize("remembered", [3, 20_000])
+def test_a_passage_in_every_document(spark, monkeypatch, remembered):
+    """Tasks deal a common anchor's places apart, and its contexts are cut into strings: equal to brute force, and few rows by the anchor."""
+    dealer = suffix_dedup.Dealer
+    monkeypatch.setattr(suffix_dedup, "Dealer", lambda: dealer(remembered))
+    r = random.Random(remembered)
+    noise = lambda: "".join(r.choice("qrstuvw") for _ in range(r.randint(0, 150)))
+    passage = "".join(r.choice("abcde fgh") for _ in range(260))
+    docs = [(i, noise() + passage + noise() + (passage[40:] if i % 5 == 0 else "")) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6, "doc_id")
+    got = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.remove_repeats(df, batch_bytes=300, cut_bytes=600).collect()}
     assert got == brute_removal(docs, 100)
+    rows = suffix_dedup._rows(df, "doc_id", "text")
+    work = suffix_dedup._joined(rows, suffix_dedup._repeated_anchors(rows, 100, 32))
+    assert max(suffix_dedup._cut_anchors(work, 100, 600).values()) > 3
+
+
+def test_places_of_an_anchor_are_dealt_apart():
+    d = suffix_dedup.Dealer()
+    unknown, repeated, apart, settled = range(4)
+    h, c = np.array([5, 5, 5, 7, 5]), np.array([1, 1, 2, 3, 2])
+    deal, context, kind = d.deal(h, c, np.array([3, 2, 4, 1, 9]), np.zeros(5, int), np.zeros(5, int))
+    assert kind.tolist() == [settled, repeated, apart, unknown, settled] and context.to_pylist() == [None, 1, 2, 3, None]
+    assert deal[1] == 5 and deal[2] == 5 ^ 2 and deal[3] == 7
+    deal, context, kind = d.deal(h[:3], c[:3], np.array([8, 1, 3]), np.zeros(3, int), np.zeros(3, int))
+    assert kind.tolist() == [settled, apart, apart] and context.to_pylist() == [None, 1, 2]
 
 
 def test_repeat_cases(odd, none):

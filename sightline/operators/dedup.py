@@ -54,13 +54,16 @@ class CrossCamera:
 
     The nearest anchor within the window on either side, ties to the older, decides;
     none makes a new pass; a seed suppresses; a camera that the pass has seen is a
-    repeat; another one merges, with the next revision. Anchors never move."""
+    repeat; another one merges, with the next revision. Anchors never move. `marks`
+    has the newest instant of each camera: what the slowest of them has left behind by
+    more than the window can be forgotten."""
 
     def __init__(self, window: int, seeds: tuple[int, ...] = ()):
-        self.window, self.anchors, self.passes = window, sorted(seeds), {}
+        self.window, self.anchors, self.marks = window, sorted(seeds), {}
         self.passes = {a: None for a in self.anchors}
 
     def absorb(self, at: int, camera: str, first_seen: int | None, first_decode: int | None, count: int, frame: int) -> tuple[str, int, dict | None]:
+        self.marks[camera] = max(at, self.marks.get(camera, at))
         i = bisect_left(self.anchors, at)
         near = [a for a in self.anchors[max(0, i - 1) : i + 1] if abs(at - a) <= self.window]
         if not near:
@@ -93,6 +96,11 @@ class CrossCamera:
         self.anchors = self.anchors[k:]
         return k
 
+    def settle(self, cameras: list[str]) -> int:
+        """Drops passes that none of the cameras can still reach, as the slowest of them is past; the count of them."""
+        if not all(c in self.marks for c in cameras):
+            return 0
+        return self.forget(min(self.marks[c] for c in cameras) - self.window)
 
     def evict(self, most: int) -> int:
         """Forced eviction of the oldest passes above a number of them; the count, for the counters."""
@@ -111,10 +119,17 @@ def action_row(payload: str, seq: int, source: str, action: str, anchor: int, p:
     return [payload, seq, source, action, anchor, p["revision"], p["first_seen"], p["last_seen"], p["first_decode"], p["decode_count"], len(p["cameras"]), p["best_camera"], p["best_frame"]]
 
 
-def cross_camera(sightings: DataFrame, window: int, seeds: DataFrame | None = None) -> DataFrame:
+def evicted_row(payload: str, seq: int, n: int) -> list:
+    """A row that counts passes forgotten above the cap."""
+    return [payload, seq, None, "evict", None, None, None, None, None, n, None, None, None]
+
+
+def cross_camera(sightings: DataFrame, window: int, seeds: DataFrame | None = None, cameras: list[str] | None = None, most: int | None = None) -> DataFrame:
     """One action per sighting (payload, source_id, at, arrival_seq, frame, first_seen, first_decode, decode_count).
 
-    Sorted rows stream through each task, so a payload's state, not its rows, is held. Seeds: (payload, anchor)."""
+    Sorted rows stream through each task, so a payload's state, not its rows, is held. Seeds: (payload, anchor). With
+    `cameras` (all there are) passes that the slowest has left behind are forgotten; with `most` the oldest above that
+    number are, and a row with action evict and their number as decode_count says so."""
     columns = ["payload", "source_id", "at", "arrival_seq", "frame", "first_seen", "first_decode", "decode_count"]
     rows = sightings.select(*columns)
     if seeds is not None:
@@ -135,6 +150,10 @@ def cross_camera(sightings: DataFrame, window: int, seeds: DataFrame | None = No
                     continue
                 action, anchor, merged = state.absorb(at, source, seen, decode, count, frame)
                 out.append(action_row(p, seq, source, action, anchor, merged))
+                if cameras is not None:
+                    state.settle(cameras)
+                if most is not None and (gone := state.evict(most)):
+                    out.append(evicted_row(p, seq, gone))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], _TYPES[c.split()[1]]) for i, c in enumerate(ACTIONS.split(", "))], names=_COLUMNS)
 
     return dealt.mapInArrow(run, ACTIONS)

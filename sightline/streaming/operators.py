@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.dedup import ACTIONS, CrossCamera, action_row
+from ..operators.dedup import ACTIONS, CrossCamera, action_row, evicted_row
 
 COLUMNS = [c.split()[0] for c in ACTIONS.split(", ")]
 
@@ -51,11 +51,11 @@ def tracker_dedup(sightings: DataFrame, keys: list[str], at: str, window: int) -
 class _CrossCamera(StatefulProcessor):
     """Keeps a payload's passes; the same fold as in batch, so both agree row by row.
 
-    Passes further back than `horizon` windows from the newest are forgotten, as no camera
-    can be that far behind; without a horizon all are kept."""
+    Passes that the slowest of `cameras` has left behind are forgotten, and the oldest above `most`, which a row counts;
+    without these all are kept. Late rows are never dropped: one meets the pass near it, or is a pass of its own."""
 
-    def __init__(self, window: int, horizon: int | None):
-        self.window, self.horizon = window, horizon
+    def __init__(self, window: int, cameras: list[str] | None, most: int | None):
+        self.window, self.cameras, self.most = window, cameras, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("passes", "body string")
@@ -64,20 +64,22 @@ class _CrossCamera(StatefulProcessor):
         fold = CrossCamera(self.window)
         if self.state.exists():
             kept = json.loads(self.state.get()[0])
-            fold.anchors = sorted(int(a) for a in kept)
-            fold.passes = {int(a): p for a, p in kept.items()}
+            fold.passes = {int(a): p for a, p in kept["passes"].items()}
+            fold.anchors, fold.marks = sorted(fold.passes), kept["marks"]
         frame = pd.concat(list(rows)).sort_values(["arrival_seq", "frame"])
+        whole = lambda v: None if pd.isna(v) else int(v)
         out = []
         for r in frame.itertuples(index=False):
-            whole = lambda v: None if pd.isna(v) else int(v)
             out.append(action_row(key[0], int(r.arrival_seq), r.source_id, *fold.absorb(int(r.at), r.source_id, whole(r.first_seen), whole(r.first_decode), int(r.decode_count), int(r.frame))))
-        if self.horizon is not None and fold.anchors:
-            fold.forget(fold.anchors[-1] - self.horizon * self.window)
-        self.state.update((json.dumps(fold.passes),))
+            if self.cameras is not None:
+                fold.settle(self.cameras)
+            if self.most is not None and (gone := fold.evict(self.most)):
+                out.append(evicted_row(key[0], int(r.arrival_seq), gone))
+        self.state.update((json.dumps({"passes": fold.passes, "marks": fold.marks}),))
         table = pd.DataFrame(out, columns=COLUMNS)
         for c in ("revision", "n_cameras"):
             table[c] = table[c].astype("Int32")
-        for c in ("first_seen", "last_seen", "first_decode", "decode_count", "best_frame"):
+        for c in ("anchor", "first_seen", "last_seen", "first_decode", "decode_count", "best_frame"):
             table[c] = table[c].astype("Int64")
         yield table
 
@@ -85,13 +87,14 @@ class _CrossCamera(StatefulProcessor):
         pass
 
 
-def cross_camera(sightings: DataFrame, window: int, horizon: int | None = None) -> DataFrame:
+def cross_camera(sightings: DataFrame, window: int, cameras: list[str] | None = None, most: int | None = None) -> DataFrame:
     columns = ["payload", "source_id", "at", "arrival_seq", "frame", "first_seen", "first_decode", "decode_count"]
-    return sightings.select(*columns).groupBy("payload").transformWithStateInPandas(_CrossCamera(window, horizon), ACTIONS, "append", "none")
+    return sightings.select(*columns).groupBy("payload").transformWithStateInPandas(_CrossCamera(window, cameras, most), ACTIONS, "append", "none")
 
 
 class _Segments(StatefulProcessor):
-    """Hysteresis per source: emits open and close events as frames arrive in order."""
+    """Hysteresis per source: emits open and close events as frames arrive in order. A frame whose `active` is
+    NULL ends its source: what is open closes."""
 
     def __init__(self, open_frames: int, quiet_frames: int):
         self.open_frames, self.quiet_frames = open_frames, quiet_frames
@@ -103,10 +106,13 @@ class _Segments(StatefulProcessor):
         seq, opened, streak, quiet, began, last = self.state.get() if self.state.exists() else (0, False, 0, 0, 0, 0)
         out = []
         for r in pd.concat(list(rows)).sort_values("frame_index").itertuples(index=False):
-            if r.discontinuity:
+            ends = pd.isna(r.active)
+            if ends or r.discontinuity:
                 if opened:
                     out.append((key[0], seq, "close", last))
                 opened, streak, quiet = False, 0, 0
+            if ends:
+                continue
             if r.active:
                 streak, quiet, last = streak + 1, 0, int(r.frame_index)
                 began = last if streak == 1 else began

@@ -19,9 +19,12 @@ log = logging.getLogger(__name__)
 Sink = Callable[[DataFrame, int], None]
 
 
-def fan_out(sinks: dict[str, Sink], counts: dict[str, dict[str, int]] | None = None) -> Sink:
-    """All sinks in turn; an error in one is counted and logged, and doesn't stop the others."""
-    counts = counts if counts is not None else {}
+def fan_out(sinks: dict[str, Sink], counts: dict[str, dict[str, int]] | None = None, lost: dict[str, int] | None = None) -> Sink:
+    """All sinks in turn; an error in one is counted and logged, and doesn't stop the others.
+
+    `counts` has batches by sink, `lost` the rows of failed ones. A sink that must not lose rows writes them to its
+    outbox first, as http_sink() does."""
+    counts, lost = counts if counts is not None else {}, lost if lost is not None else {}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -33,6 +36,7 @@ def fan_out(sinks: dict[str, Sink], counts: dict[str, dict[str, int]] | None = N
                     own["ok"] += 1
                 except Exception:
                     own["failed"] += 1
+                    lost[name] = lost.get(name, 0) + batch.count()
                     log.exception("sink %s failed on batch %s", name, batch_id)
         finally:
             batch.unpersist()
@@ -73,6 +77,41 @@ def outbox_sink(path: str) -> Sink:
     return write
 
 
+ACK = "seq long, event_id string, delivered boolean"
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at a path, empty if there is none yet."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def pending(spark: SparkSession, path: str) -> DataFrame:
+    """What an outbox has that isn't acknowledged: its rows without those whose seq an acknowledgement names."""
+    box = _table(spark, path, "seq long, event_id string, body string, enqueued_utc double, batch_id long")
+    return box.join(_table(spark, path + "-acks", ACK), "seq", "left_anti")
+
+
+def drain(spark: SparkSession, path: str, send: Callable[[str], bool], lanes: int = 1, **options) -> tuple[int, int]:
+    """Delivers what is pending, and writes down what was taken; the numbers of bodies taken and left.
+
+    At least once: a body that was taken just before a failure is sent again. Acknowledged batches leave the outbox
+    when all of their bodies are taken."""
+    taken = deliver(pending(spark, path), send, lanes=lanes, **options).where("delivered")
+    taken.write.mode("append").parquet(path + "-acks")
+    left = pending(spark, path)
+    n_left, waiting = left.count(), {r[0] for r in left.select("batch_id").distinct().collect()}
+    n_taken = _table(spark, path + "-acks", ACK).select("seq").distinct().count()
+    box = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = box.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in store.listStatus(box) if store.exists(box) else []:
+        name = folder.getPath().getName()
+        if name.startswith("batch_id=") and int(name[9:]) not in waiting:
+            store.delete(folder.getPath(), True)
+    return n_taken, n_left
+
+
 class _NoRedirect(urllib.request.HTTPRedirectHandler):
     def redirect_request(self, *args, **kwargs):
         return None
@@ -93,10 +132,11 @@ def backoff(attempt: int, base: float = 1.0, most: float = 60.0, jitter: Callabl
     return min(most, base * 2**attempt) * (0.5 + jitter())
 
 
-def deliver(outbox: DataFrame, send: Callable[[str], bool], tries: int = 5, wait: Callable[[int], float] = backoff) -> DataFrame:
-    """Sends bodies in order of seq within each partition, at least once; (seq, event_id, delivered).
+def deliver(outbox: DataFrame, send: Callable[[str], bool], tries: int = 5, wait: Callable[[int], float] = backoff, lanes: int = 1) -> DataFrame:
+    """Sends bodies in order of seq, at least once; (seq, event_id, delivered).
 
-    A body that isn't taken stops its partition, so order is kept; the rest stays for the next run."""
+    One lane keeps the order of all. Several keep that of each event_id, whose revisions share a lane. A body that
+    isn't taken stops its lane, so order is kept; the rest stays for the next run."""
 
     def run(batches):
         stopped = False
@@ -113,23 +153,40 @@ def deliver(outbox: DataFrame, send: Callable[[str], bool], tries: int = 5, wait
                 done.append(ok)
             yield frame[["seq", "event_id"]].assign(delivered=done)
 
-    return outbox.select("seq", "event_id", "body").repartitionByRange("seq").sortWithinPartitions("seq").mapInPandas(run, "seq long, event_id string, delivered boolean")
+    rows = outbox.select("seq", "event_id", "body")
+    dealt = rows.repartition(1) if lanes == 1 else rows.repartition(lanes, "event_id")
+    return dealt.sortWithinPartitions("seq").mapInPandas(run, ACK)
+
+
+def http_sink(path: str, url: str, send: Callable[[str, str], bool] = post, lanes: int = 1, **options) -> Sink:
+    """Store and forward: a batch goes to the outbox at `path` and then all that is pending to the address, oldest
+    first. What isn't taken stays for the next batch; nothing is lost while the endpoint is down."""
+    keep = outbox_sink(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        keep(batch, batch_id)
+        _, left = drain(batch.sparkSession, path, lambda body: send(url, body), lanes, **options)
+        if left:
+            log.warning("%s bodies wait for %s", left, url)
+
+    return write
 
 
-def http_sink(url: str, send: Callable[[str, str], bool] = post) -> Sink:
-    """Delivers a batch, and fails (so that the batch runs again) if any body wasn't taken."""
+def collector_sink(kept: list, cap: int = 100_000) -> Sink:
+    """Keeps the first `cap` rows of a run on the driver, as (kept, number left out): kept[0] a list, kept[1] a count."""
+    kept[:] = [[], 0]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        bodies = batch.select(F.monotonically_increasing_id().alias("seq"), F.col("event_id").cast("string").alias("event_id"), F.to_json(F.struct(*batch.columns)).alias("body"))
-        if deliver(bodies, lambda body: send(url, body)).where("not delivered").count():
-            raise OSError(f"batch {batch_id} wasn't delivered whole")
+        room, n = cap - len(kept[0]), batch.count()
+        kept[0] += batch.limit(room).collect() if room > 0 else []
+        kept[1] += max(0, n - max(0, room))
 
     return write
 
 
 def build(config: dict[str, str]) -> dict[str, Sink]:
-    """Sinks by name: console, log, json, outbox, http, each with its path or address."""
-    makers = {"console": lambda _: console_sink(), "log": log_sink, "json": json_sink, "outbox": outbox_sink, "http": http_sink}
+    """Sinks by name: console, log, json, outbox, http, each with its path; that of http is followed by a blank and the address."""
+    makers = {"console": lambda _: console_sink(), "log": log_sink, "json": json_sink, "outbox": outbox_sink, "http": lambda where: http_sink(*where.split(" ", 1))}
     return {name: makers[name](where) for name, where in config.items()}
 
 

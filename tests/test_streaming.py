@@ -98,3 +98,82 @@ def test_windowed_rates(spark):
     rows = [(datetime.datetime(2026, 1, 1, 0, m), "A", k) for m, k in ((1, "pass"), (2, "miss"), (30, "pass"))]
     got = so.windowed_rates(spark.createDataFrame(rows, "at timestamp, source_id string, kind string"), "at", "1 hour", "1 hour").first()
     assert (got.passes, got.misses) == (2, 1)
+
+
+def test_nothing_is_lost_while_the_endpoint_is_down(spark, tmp_path):
+    """Through the fan-out: bodies wait in the outbox and go out later, once each, in their order."""
+    import os
+
+    answers, heard = str(tmp_path / "up"), str(tmp_path / "heard")
+
+    def send(url, body):  # the endpoint is up when its file is there
+        if not os.path.exists(answers):
+            return False
+        with open(heard, "a") as f:
+            f.write(body + "\n")
+        return True
+
+    box, counts, lost = str(tmp_path / "box"), {}, {}
+
+    def broken(df, i):
+        raise OSError("disk full")
+
+    write = sinks.fan_out({"http": sinks.http_sink(box, "http://h", send, tries=1, wait=lambda _: 0.0), "broken": broken}, counts, lost)
+    batch = lambda k: spark.createDataFrame([(f"e{k}", 0), (f"e{k}", 1)], "event_id string, revision int")
+    write(batch(0), 0)
+    write(batch(1), 1)
+    assert counts["http"] == {"ok": 2, "failed": 0} and lost == {"broken": 4} and sinks.pending(spark, box).count() == 4 and not os.path.exists(heard)
+    open(answers, "w").close()
+    write(batch(2), 2)
+    lines = open(heard).read().splitlines()
+    assert [x.split('"')[3] + x[-2] for x in lines] == ["e00", "e01", "e10", "e11", "e20", "e21"]
+    assert sinks.pending(spark, box).count() == 0 and not [x for x in os.listdir(box) if x.startswith("batch_id=")]
+    assert sinks.drain(spark, box, lambda body: send("", body)) == (6, 0) and len(open(heard).read().splitlines()) == 6
+
+
+def test_lanes_keep_the_order_of_an_event(spark, tmp_path):
+    box = spark.createDataFrame([(i, f"e{i % 5}", f"{i}") for i in range(40)], "seq long, event_id string, body string")
+    got = sinks.deliver(box, lambda body: body != "7", tries=1, wait=lambda _: 0.0, lanes=4).collect()
+    held = {r.seq for r in got if not r.delivered}
+    assert len(got) == 40 and {i for i in range(40) if i % 5 == 2 and i >= 7} <= held and 0 not in held
+
+
+def test_collector_counts_what_it_leaves_out(spark):
+    kept = []
+    write = sinks.collector_sink(kept, cap=5)
+    for k in range(3):
+        write(spark.range(3), k)
+    assert len(kept[0]) == 5 and kept[1] == 4
+
+
+def test_a_frame_without_activity_ends_its_source(spark, tmp_path):
+    rows = [("a", i, True, False) for i in range(5)] + [("a", 5, None, False), ("a", 6, True, False), ("a", 7, True, False), ("b", 0, True, False), ("b", 1, True, False)]
+    df = spark.createDataFrame(rows, "source_id string, frame_index long, active boolean, discontinuity boolean")
+    got = sorted(map(tuple, streamed(spark, df, lambda d: so.segment_events(d, 2, 3), tmp_path, 1).collect()))
+    assert got == [("a", 1, "close", 4), ("a", 1, "open", 0), ("a", 2, "open", 6), ("b", 1, "open", 0)]
+
+
+def sighted(spark, rows):
+    return spark.createDataFrame([("P", c, t, k, k, t, t, 1) for k, (c, t) in enumerate(rows)], "payload string, source_id string, at long, arrival_seq long, frame long, first_seen long, first_decode long, decode_count long")
+
+
+def test_late_rows_are_never_dropped(spark, tmp_path):
+    df = sighted(spark, [("A", 0), ("A", 1000), ("B", 5), ("B", 500)])  # the last two long after the rest
+    got = streamed(spark, df, lambda d: so.cross_camera(d, 10), tmp_path, 1)
+    assert [(r.action, r.anchor) for r in got.orderBy("arrival_seq").collect()] == [("emit", 0), ("emit", 1000), ("merge", 0), ("emit", 500)]
+
+
+def test_the_slowest_camera_and_the_cap_forget(spark, tmp_path):
+    df = sighted(spark, [("A", 0), ("A", 100), ("B", 4), ("A", 200), ("B", 102), ("B", 150), ("A", 300), ("A", 400), ("A", 500)])
+    got = streamed(spark, df, lambda d: so.cross_camera(d, 10, cameras=["A", "B"], most=3), tmp_path, 1)
+    want = dedup.cross_camera(df, 10, cameras=["A", "B"], most=3)
+    rows = [(r.action, r.anchor, r.decode_count) for r in want.orderBy("arrival_seq", F.col("action").desc()).collect()]
+    assert sorted((r.action, r.anchor, r.decode_count) for r in got.collect() if r.anchor is not None) == sorted(r for r in rows if r[1] is not None)
+    assert [r[0] for r in rows] == ["emit", "emit", "merge", "emit", "merge", "emit", "emit", "evict", "emit", "evict", "emit"]
+    assert [r[2] for r in rows if r[0] == "evict"] == [1, 1] and got.where("action = 'evict'").count() == 2
+    fold = dedup.CrossCamera(10)
+    for c, t in (("A", 0), ("A", 100), ("B", 4)):
+        fold.absorb(t, c, t, t, 1, 0)
+    assert fold.settle(["A", "B"]) == 0 and fold.settle(["A", "B", "C"]) == 0
+    fold.absorb(50, "B", 50, 50, 1, 0)
+    assert fold.settle(["A", "B"]) == 1 and fold.anchors == [50, 100]

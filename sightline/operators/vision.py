@@ -122,6 +122,81 @@ def activity(frames: DataFrame, width: int = 320, threshold: int = 25, least_fra
     return dealt.mapInArrow(run, ACTIVITY)
 
 
+def _by_picture(frames: DataFrame, keys: list[str], measure, schema: str) -> DataFrame:
+    """Rows that measure(picture) gives for each of frames (keys, image, h, w), in one pass."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    types = [kinds[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            at, rows = [], []
+            for i, (image, h, w) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("image", "h", "w")), strict=True)):
+                found = measure(np.frombuffer(image, np.uint8).reshape(h, w))
+                rows += found
+                at += [i] * len(found)
+            own = batch.select(keys).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array([r[k] for r in rows], t) for k, t in enumerate(types))], names=[*keys, *names])
+
+    head = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys)
+    return frames.select(*keys, "image", "h", "w").mapInArrow(run, f"{head}, {schema}")
+
+
+def blob_rows(frames: DataFrame, keys: list[str], threshold: int = 127, least_area: int = 1, most: int = 8, closing: int = 0) -> DataFrame:
+    """The parts of each picture brighter than a threshold: keys, place (largest first), box and area."""
+    measure = lambda a: [(i + 1, *b) for i, b in enumerate(blobs(a > threshold, least_area, most, closing))]
+    return _by_picture(frames, keys, measure, "place int, x int, y int, w int, h int, area int")
+
+
+def focus_rows(frames: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+    """Sharpness and mean of each picture, scaled down to `width` columns if given."""
+    small = lambda a: a if width is None else downscale(a, width)
+    return _by_picture(frames, keys, lambda a: [(focus(small(a)), float(small(a).mean()))], "focus double, mean double")
+
+
+def cascade(crops: DataFrame, decode, accept=lambda payload: bool(payload), confirmations: int = 2, symbologies: tuple[str, ...] = ("qr", "datamatrix")) -> DataFrame:
+    """Attempts of each segment's crops (candidate_id, frame_index, image, h, w) in frame order: one row per frame with
+    the first accepted payload or NULL, its symbology and variant, and how many payloads were rejected.
+
+    Data Matrix is tried on every fifth frame only once a payload is confirmed; variants from the fifth attempt on while none
+    is. The state is a segment's counts of payloads."""
+    columns = ["candidate_id", "frame_index", "image", "h", "w"]
+    dealt = crops.select(*columns).repartition("candidate_id").sortWithinPartitions("candidate_id", "frame_index")
+
+    def text(raw: bytes) -> str:
+        try:
+            return raw.decode()
+        except UnicodeDecodeError:
+            return raw.decode("latin-1")
+
+    def run(batches):
+        own, n, counts = object(), 0, {}
+        for batch in batches:
+            rows = []
+            for candidate, index, image, h, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if candidate != own:
+                    own, n, counts = candidate, 0, {}
+                sure = any(k >= confirmations for k in counts.values())
+                ways = {"plain": lambda a: a} | (VARIANTS if n >= 4 and not sure else {})
+                tried = [s for s in symbologies if s != "datamatrix" or not sure or n % 5 == 0]
+                picture, hit, rejected = np.frombuffer(image, np.uint8).reshape(h, w), (None, None, None), 0
+                for name, symbology in ((v, s) for v in ways for s in tried):
+                    said = [text(raw) for raw, _ in decode(ways[name](picture), symbology)]
+                    good = [p for p in said if accept(p)]
+                    rejected += len(said) - len(good)
+                    if good:
+                        hit = (good[0], symbology, name)
+                        break
+                if hit[0] is not None:
+                    counts[hit[0]] = counts.get(hit[0], 0) + 1
+                n += 1
+                rows.append((candidate, index, *hit, rejected))
+            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["candidate_id", "frame_index", "payload", "symbology", "variant", "rejected"])
+
+    return dealt.mapInArrow(run, "candidate_id string, frame_index long, payload string, symbology string, variant string, rejected int")
+
+
 def decoded(crops: DataFrame, decode, accept=lambda payload: bool(payload), symbologies: tuple[str, ...] = ("qr", "datamatrix")) -> DataFrame:
     """Payloads of crops (source_id, frame_index, image, h, w, x, y) by a given decoder.
 

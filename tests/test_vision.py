@@ -59,3 +59,19 @@ def test_cascade_uses_variants(spark):
     rows = [("a", 0, bytearray(np.full((10, 10), 255, np.uint8).tobytes()), 10, 10, 5, 5), ("a", 1, bytearray(np.zeros((10, 10), np.uint8).tobytes()), 10, 10, 0, 0)]
     got = vision.decoded(spark.createDataFrame(rows, "source_id string, frame_index long, image binary, h int, w int, x int, y int"), decode).orderBy("frame_index").collect()
     assert [tuple(r)[2:] for r in got] == [("Pé", "qr", "plain", 7, 9, 6, 8), ("Pé", "qr", "invert", 2, 4, 6, 8)]
+
+
+def test_cascade_counts_attempts(spark):
+    """Variants from the fifth attempt without a confirmed payload; Data Matrix on every fifth frame after one."""
+    def decode(image, symbology):
+        if symbology == "datamatrix":
+            return [(b"D", None)] if image[0, 0] == 9 else [(b"", None)]
+        return [(b"Q", None)] if image[0, 0] == 255 else []
+
+    picture = lambda v: bytearray(np.full((4, 4), v, np.uint8).tobytes())
+    rows = [("s", i, picture(v), 4, 4) for i, v in enumerate([0, 0, 0, 0, 0, 255, 9, 9, 9, 9, 9])] + [("t", 0, picture(9), 4, 4)]
+    df = spark.createDataFrame(rows, "candidate_id string, frame_index long, image binary, h int, w int")
+    got = vision.cascade(df, decode).orderBy("candidate_id", "frame_index").collect()
+    assert [r.payload for r in got] == [None] * 4 + ["Q", "Q", None, None, None, None, "D", "D"]
+    assert [r.variant for r in got if r.payload] == ["invert", "plain", "plain", "plain"]
+    assert [r.rejected for r in got] == [1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]

@@ -4,7 +4,8 @@ A record is JSON of whatever layout. Its nested field paths, sorted and hashed,
 are its fingerprint; a table from fingerprints to declarative mappings says where
 role and text of each turn are, so heterogeneous prompt, instruction and message
 layouts become the same canonical turns. Optional fields make several
-fingerprints of one layout; all are registered. Records of unknown layout are
+fingerprints of one layout; all are registered, and fields that no layout has (names,
+weights, tags) don't count. Records of unknown layout are
 kept as rows with layout null and no turn, for the caller to see.
 
 Turns are then rendered, one row per turn, in template order:
@@ -71,6 +72,8 @@ def fingerprint(paths) -> str:
 
 
 REGISTRY = {fingerprint(paths): layout for layout in LAYOUTS for paths in layout["paths"]}
+#: Fields of any layout; a record that has others besides is recognised by these.
+KNOWN = {path for layout in LAYOUTS for paths in layout["paths"] for path in paths}
 
 
 def _value(record, path) -> str | None:
@@ -81,7 +84,8 @@ def _value(record, path) -> str | None:
 
 def canonical_turns(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
     """Layout's name and turns (role, text); (None, []) where the layout is unknown."""
-    layout = REGISTRY.get(fingerprint(field_paths(record)))
+    paths = field_paths(record)
+    layout = REGISTRY.get(fingerprint(paths)) or REGISTRY.get(fingerprint(paths & KNOWN))
     if layout is None:
         return None, []
     turns = []
@@ -202,7 +206,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     rows = stored.unionByName(added)
     records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"}).alias("record"))
-    return read_back(format_records(records, "conv_id", ["turn"], "record")).drop("n_unknown")
+    return read_back(format_records(records, "conv_id", ["turn"], "record"))
 
 
 SQL = r"""
@@ -216,6 +220,6 @@ e AS (
            + len(regexp_extract_all(role, '\n')) + 12 + 1 + 11 AS n
     FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
-       sum(length(said))::BIGINT AS loss_chars, sha256(string_agg(said, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+       sum(length(said))::BIGINT AS loss_chars, sha256(string_agg(said, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256, sum(n)::BIGINT AS formatted_chars, 0::BIGINT AS n_unknown
 FROM e GROUP BY conv_id
 """

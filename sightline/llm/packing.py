@@ -25,7 +25,8 @@ from pyspark.sql.window import Window
 from . import tokens
 from .shared import bucket_bases, written
 
-BUCKETS = 256
+#: Pieces of one length are ranked in so many buckets.
+BUCKETS = 4096
 
 
 class Plan:

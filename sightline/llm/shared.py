@@ -4,6 +4,7 @@ and ranks inside groups of any size."""
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -15,21 +16,24 @@ from pyspark.sql.window import Window
 #: ASCII white space, as all word and text rules here define it.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
+#: Tables that written() has made in this process.
+WRITTEN: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
+    """The folder that the driver and all executors share (spark.checkpoint.dir), with its file system.
 
-    Only where the cluster names none, as in tests, a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    A path without one is of the cluster's default file system. Only where none is named and Spark runs in this one
+    process, as in tests, a temporary folder is set; on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        made = spark.sparkContext.getCheckpointDir()
-        if not made:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sightline-"))
-            made = spark.sparkContext.getCheckpointDir()
-        folder = made
-    if "://" not in folder:
-        folder = "file://" + folder if folder.startswith("/") else folder
-    return folder.rstrip("/")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sightline-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -40,9 +44,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
+    WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_written(spark: SparkSession) -> int:
+    """Deletes the tables written so far, once no result that reads them is needed any more; how many."""
+    n = len(WRITTEN)
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished steps now: it does so when the
     driver's collectors find their plans unused, which may otherwise take half an hour.

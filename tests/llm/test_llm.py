@@ -665,6 +665,23 @@ def test_layouts():
         assert chat_format.canonical_turns(record) == (name, turns)
 
 
+def test_further_fields_do_not_hide_a_layout():
+    record = {"messages": [{"role": "user", "content": "a", "name": "x"}, {"role": "assistant", "content": "b", "weight": 1}], "tags": []}
+    assert chat_format.canonical_turns(record) == ("messages", [("user", "a"), ("assistant", "b")])
+    assert chat_format.canonical_turns({"prompt": "a", "response": "b", "score": {"of": 2}})[0] == "prompt-response"
+    assert chat_format.canonical_turns({"prompt": "a", "score": 1}) == (None, []) and chat_format.canonical_turns({}) == (None, [])
+
+
+def test_shared_folder(spark, tmp_path):
+    from sightline.llm import shared
+
+    folder = shared.shared_folder(spark)
+    assert folder.startswith("file:///") and not folder.endswith("/")
+    shared.WRITTEN.clear()
+    table = shared.written(spark.range(3), "test")
+    assert table.count() == 3 and shared.forget_written(spark) == 1 and shared.WRITTEN == []
+
+
 def test_turns_round_trip():
     r = random.Random(0)
     parts = [*chat_format.CONTROLS, "\\", "\\\\", "\n", "a", "<", "|", "[", "é", "😀"]

@@ -5,7 +5,8 @@ sightings in arrival order and merges cameras into one pass with revisions."""
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,44 +50,66 @@ def tracker_dedup(sightings: DataFrame, keys: list[str], at: str, window: int, s
     return dealt.mapInArrow(run, ", ".join(f"`{k}` {sightings.schema[k].dataType.simpleString()}" for k in keys) + f", `{at}` long")
 
 
+@dataclass(frozen=True)
+class Sighting:
+    at: int
+    camera: str
+    first_seen: int | None
+    first_decode: int | None
+    count: int
+    frame: int
+
+
+def new_pass(s: Sighting) -> dict:
+    return {"first_seen": s.first_seen, "last_seen": s.at, "first_decode": s.first_decode, "decode_count": s.count, "cameras": {s.camera: s.count}, "best_camera": s.camera, "best_frame": s.frame, "frames": [s.frame], "revision": 0}
+
+
+def merged_pass(p: dict, s: Sighting) -> dict:
+    """The next revision: earliest starts, latest end, sums, and the best frame of whoever decoded first."""
+    earliest = lambda *times: min((t for t in times if t is not None), default=None)
+    first_decode = earliest(p["first_decode"], s.first_decode)
+    sooner = p["first_decode"] is None or first_decode != p["first_decode"]
+    best = {"best_camera": s.camera, "best_frame": s.frame} if sooner else {}
+    return p | best | {
+        "first_seen": earliest(p["first_seen"], s.first_seen), "last_seen": max(p["last_seen"], s.at), "first_decode": first_decode, "decode_count": p["decode_count"] + s.count,
+        "cameras": p["cameras"] | {s.camera: s.count}, "frames": [*p["frames"], s.frame], "revision": p["revision"] + 1}
+
+
 class CrossCamera:
-    """State of one payload: passes by anchor. absorb() says what a sighting does.
+    """State of one payload: passes by anchor, None for a seed. Anchors never move.
 
-    The nearest anchor within the window on either side, ties to the older, decides;
-    none makes a new pass; a seed suppresses; a camera that the pass has seen is a
-    repeat; another one merges, with the next revision. Anchors never move. `marks`
-    has the newest instant of each camera: what the slowest of them has left behind by
-    more than the window can be forgotten."""
+    What a sighting does follows from the pass at the nearest anchor within the window, on either side, ties
+    to the older: none there, it makes one (emit); a seed swallows it (restart_repeat); one that its camera has a
+    part in already, too (repeat); any other takes it in (merge). `marks` has the newest instant of each camera: what
+    the slowest of them has left behind by more than the window can be forgotten."""
 
     def __init__(self, window: int, seeds: tuple[int, ...] = ()):
         self.window, self.anchors, self.marks = window, sorted(seeds), {}
-        self.passes = {a: None for a in self.anchors}
+        self.passes: dict[int, dict | None] = dict.fromkeys(self.anchors)
+
+    def nearest(self, at: int) -> int | None:
+        lo, hi = bisect_left(self.anchors, at - self.window), bisect_right(self.anchors, at + self.window)
+        return min(self.anchors[lo:hi], key=lambda a: (abs(at - a), a), default=None)
+
+    def action(self, anchor: int | None, camera: str) -> str:
+        if anchor is None:
+            return "emit"
+        at_anchor = self.passes[anchor]
+        return "restart_repeat" if at_anchor is None else "repeat" if camera in at_anchor["cameras"] else "merge"
 
     def absorb(self, at: int, camera: str, first_seen: int | None, first_decode: int | None, count: int, frame: int) -> tuple[str, int, dict | None]:
+        """The action, its anchor, and the pass as it is then (None where nothing is sent on)."""
+        s = Sighting(at, camera, first_seen, first_decode, count, frame)
         self.marks[camera] = max(at, self.marks.get(camera, at))
-        i = bisect_left(self.anchors, at)
-        near = [a for a in self.anchors[max(0, i - 1) : i + 1] if abs(at - a) <= self.window]
-        if not near:
-            insort(self.anchors, at)
-            self.passes[at] = {
-                "first_seen": first_seen, "last_seen": at, "first_decode": first_decode, "decode_count": count, "cameras": {camera: count},
-                "best_camera": camera, "best_frame": frame, "frames": [frame], "revision": 0}
-            return "emit", at, self.passes[at]
-        anchor = min(near, key=lambda a: (abs(at - a), a))
-        p = self.passes[anchor]
-        if p is None:
-            return "restart_repeat", anchor, None
-        if camera in p["cameras"]:
-            return "repeat", anchor, None
-        if p["first_decode"] is None or (first_decode is not None and first_decode < p["first_decode"]):
-            p["best_camera"], p["best_frame"] = camera, frame
-        known = [t for t in (p["first_decode"], first_decode) if t is not None]
-        seen = [t for t in (p["first_seen"], first_seen) if t is not None]
-        p |= {
-            "first_seen": min(seen) if seen else None, "last_seen": max(p["last_seen"], at), "first_decode": min(known) if known else None,
-            "decode_count": p["decode_count"] + count, "cameras": p["cameras"] | {camera: p["cameras"].get(camera, 0) + count},
-            "frames": [*p["frames"], frame], "revision": p["revision"] + 1}
-        return "merge", anchor, p
+        anchor = self.nearest(at)
+        what = self.action(anchor, camera)
+        if what == "emit":
+            anchor = at
+            insort(self.anchors, anchor)
+            self.passes[anchor] = new_pass(s)
+        elif what == "merge":
+            self.passes[anchor] = merged_pass(self.passes[anchor], s)
+        return what, anchor, self.passes[anchor] if what in ("emit", "merge") else None
 
     def forget(self, before: int) -> int:
         """Drops passes that no camera can still reach; the count of them."""

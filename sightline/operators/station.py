@@ -155,3 +155,12 @@ def injected(plans: DataFrame, frames: DataFrame, keys: list[str], at: str, per_
     tick = lambda c: F.bround(c / per_tick, 0).cast("long")
     seen = shown.groupBy(*keys, "pass_id").agg(F.count(F.lit(1)).alias("frames"), tick(F.min(at)).alias("first_tick"), tick(F.max(at)).alias("last_tick"), F.max("discontinuity").alias("truncated"))
     return seen
+
+
+def overdue(found: DataFrame, decodes: DataFrame, keys: list[str], at: str, post: int, confirmations: int, cell: int) -> DataFrame:
+    """Misses among closed segments (keys, seq, start, end): those without a payload confirmed by decodes (keys, at, payload) from
+    the start to `post` after the end, with the instant at which that is settled, in which order they are reported."""
+    spans = found.select(*keys, "seq", "start", "end", (F.col("end") + post).alias("_due"))
+    said = in_spans(decodes.select(*keys, at, "payload"), at, spans, keys, "start", "_due", cell).groupBy(*keys, "seq", "payload").agg(F.count(F.lit(1)).alias("n"))
+    sure = said.where((F.col("n") >= confirmations) & F.col("payload").isNotNull()).select(*keys, "seq").distinct()
+    return spans.join(sure, [*keys, "seq"], "left_anti").select(*keys, "seq", F.col("_due").alias("settled"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
 from ..operators import reports, station, vision
-from ..sources import files
+from ..sources import files, rendering
 from ..sources import testdata as td
 from . import detection, reporting
 from .registry import query
@@ -246,3 +246,80 @@ def serialized_events(spark, sf_dir):
     events = s.select(F.col("event_id").cast("string").alias("event_id"), F.lit("pass").alias("kind"), "payload", F.col("decode_count").cast("int").alias("decode_count"), F.create_map("source_id", F.col("decode_count").cast("int")).alias("cameras"), F.struct("source_id", F.col("event_id").alias("frame_index")).alias("best_frame"))
     back = files.event_json(events).select(F.from_json("body", schemas.EVENT).alias("e")).select("e.*")
     return back.select(F.col("event_id").cast("long").alias("event_id"), "payload", F.col("decode_count").cast("long").alias("decode_count"), F.col("best_frame")[0].alias("best_camera"), F.col("best_frame")[1].cast("long").alias("best_frame"), F.map_values("cameras")[0].cast("long").alias("camera_count"))
+
+
+@query("SELECT c_custkey, printf('PLT-%06d', c_custkey) AS payload FROM customer", views=False)
+def rendered_symbols(spark, sf_dir):
+    """Symbols drawn small, with falling light and some smear, and read back."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            images = []
+            for i in batch.column(0).to_pylist():
+                a = rendering.drawn(rendering.symbol(f"PLT-{i:06d}".encode()), 3)
+                images.append(rendering.gradient(rendering.motion_blur(a, 1 + i % 2), 0.1 * (i % 3)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([a.tobytes() for a in images], pa.binary()), pa.array([a.shape[0] for a in images], pa.int32()), pa.array([a.shape[1] for a in images], pa.int32())], names=["frame_index", "image", "h", "w"])
+
+    crops = td.table(spark, sf_dir, "customer").select("c_custkey").mapInArrow(run, "frame_index long, image binary, h int, w int")
+    crops = crops.select(F.lit("s").alias("source_id"), "frame_index", "image", "h", "w", F.lit(0).alias("x"), F.lit(0).alias("y"))
+    return vision.decoded(crops, rendering.read_symbol).select(F.col("frame_index").alias("c_custkey"), "payload")
+
+
+@query(r"""--cte t AS (SELECT event_id, payload, ts_us, value FROM timed WHERE event_type <> 'error') SELECT event_id AS pass_id, payload, ts_us AS first_frame, ts_us + 9 AS last_frame, round(value, 3)::VARCHAR AS speed, 'qr "x"' AS note FROM t""")
+def truth_round_trip(spark, sf_dir):
+    """Truth as flat JSON lines, fixed fields and parameters, and read back."""
+    t = td.timed(spark, sf_dir).where("event_type <> 'error'")
+    params = F.create_map(F.lit("speed_mph"), F.round("value", 3).cast("string"), F.lit("note"), F.lit('qr "x"'))
+    truth = t.select(F.col("event_id").cast("int").alias("pass_id"), "payload", F.lit("qr").alias("symbology"), F.col("ts_us").alias("first_frame"), (F.col("ts_us") + 9).alias("last_frame"), params.alias("params"))
+    back = files.parse_truth(files.truth_lines(truth))
+    return back.select(F.col("pass_id").cast("long").alias("pass_id"), "payload", "first_frame", "last_frame", F.col("params")["speed_mph"].alias("speed"), F.col("params")["note"].alias("note"))
+
+
+@query(f"""--cte {detection.PLAIN}, seg AS (SELECT user_id, seq, min(f.ts_us) AS s, max(f.ts_us) AS e FROM segs JOIN frames f USING (user_id) WHERE f.frame_index BETWEEN first_frame AND last_frame GROUP BY 1, 2),
+d AS (SELECT user_id, seq, event_type, count(*) AS n FROM seg JOIN frames f USING (user_id) WHERE f.ts_us BETWEEN s AND e + 7200000000 AND event_type <> 'error' GROUP BY 1, 2, 3)
+SELECT user_id, seq, e + 7200000000 AS settled FROM seg WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = seg.user_id AND d.seq = seg.seq AND n >= 2)""")
+def miss_deadlines(spark, sf_dir):
+    """Segments that no payload confirms until a while after their end."""
+    from ..operators import segment
+
+    frames = td.frames(spark, sf_dir)
+    inside = segment.in_spans(frames.select("user_id", "frame_index", "ts_us"), "frame_index", detection.segments(spark, sf_dir), ["user_id"], "first_frame", "last_frame", 1024)
+    found = inside.groupBy("user_id", "seq").agg(F.min("ts_us").alias("start"), F.max("ts_us").alias("end"))
+    decodes = frames.where("event_type <> 'error'").select("user_id", F.col("ts_us").alias("at"), F.col("event_type").alias("payload"))
+    return station.overdue(found, decodes, ["user_id"], "at", 2 * td.HOUR, 2, td.DAY)
+
+
+TURNS = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+
+
+@query("""WITH d(ux, uy) AS (VALUES (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)), v AS (SELECT p_partkey, ux, uy, p_size * 3 * ux / sqrt(ux * ux + uy * uy) AS vx, p_size * 3 * uy / sqrt(ux * ux + uy * uy) AS vy FROM part, d)
+SELECT p_partkey, ux, uy, round(vx, 6) AS vx, round(vy, 6) AS vy, greatest(2, ceil(least(CASE WHEN ux = 0 THEN 1e300 ELSE 1040 / abs(vx) END, CASE WHEN uy = 0 THEN 1e300 ELSE 600 / abs(vy) END)))::INT AS frames FROM v""", views=False)
+def trajectories_of_all_directions(spark, sf_dir):
+    """Velocity and crossing time in each of the eight directions."""
+    part = td.table(spark, sf_dir, "part")
+    parts = []
+    for ux, uy in TURNS:
+        t = ex.trajectory(float(ux), float(uy), F.lit(960), F.lit(540), F.lit(80), F.lit(60), F.col("p_size") * 3)
+        parts.append(F.struct(F.lit(ux).alias("ux"), F.lit(uy).alias("uy"), F.round(t["vx"], 6).alias("vx"), F.round(t["vy"], 6).alias("vy"), t["frames"].alias("frames")))
+    return part.select("p_partkey", F.explode(F.array(*parts)).alias("t")).select("p_partkey", "t.*")
+
+
+@query("""--cte o AS (SELECT payload, list({'q': event_id, 't': ts_us, 'c': source_id} ORDER BY arrival_seq, event_id) AS xs FROM sightings GROUP BY payload),
+r AS (SELECT payload, list_reduce(list_transform(xs, lambda x: {'x': x, 'a': []::STRUCT(t BIGINT, c VARCHAR[])[], 'out': []::STRUCT(q BIGINT, t BIGINT)[], 'n': NULL::BIGINT}),
+  lambda acc, y: CASE WHEN len(list_filter(acc.a, lambda z: abs(z.t - y.x.t) <= $WINDOW)) = 0
+      THEN {'x': y.x, 'a': list_append(acc.a, {'t': y.x.t, 'c': [y.x.c]}), 'out': list_append(acc.out, {'q': y.x.q, 't': y.x.t}), 'n': NULL}
+    WHEN list_contains(list_filter(acc.a, lambda z: z.t = list_min(list_transform(acc.a, lambda u: {'d': abs(u.t - y.x.t), 't': u.t})).t)[1].c, y.x.c) THEN {'x': y.x, 'a': acc.a, 'out': acc.out, 'n': NULL}
+    ELSE {'x': y.x, 'a': list_transform(acc.a, lambda z: CASE WHEN z.t = list_min(list_transform(acc.a, lambda u: {'d': abs(u.t - y.x.t), 't': u.t})).t THEN {'t': z.t, 'c': list_append(z.c, y.x.c)} ELSE z END),
+      'out': list_append(acc.out, {'q': y.x.q, 't': list_min(list_transform(acc.a, lambda u: {'d': abs(u.t - y.x.t), 't': u.t})).t}), 'n': NULL} END,
+  {'x': {'q': 0::BIGINT, 't': 0::BIGINT, 'c': ''}, 'a': []::STRUCT(t BIGINT, c VARCHAR[])[], 'out': []::STRUCT(q BIGINT, t BIGINT)[], 'n': NULL::BIGINT}) AS z FROM o),
+e AS (SELECT unnest(z.out) AS m FROM r)
+SELECT payload, m.t AS anchor, count(*)::INT AS n_cameras, min(first_seen_us) AS first_seen, max(ts_us) AS last_seen, min(ts_us) AS first_decode, sum(decode_count)::BIGINT AS decode_count, arg_min(source_id, ts_us) AS best_camera, arg_min(event_id, ts_us) AS best_frame
+FROM e JOIN sightings s ON s.event_id = m.q GROUP BY 1, 2""")
+def merged_fields(spark, sf_dir):
+    """All fields of merged passes at their last revision."""
+    actions = detection._actions(spark, sf_dir).where("action in ('emit', 'merge')")
+    fields = ["n_cameras", "first_seen", "last_seen", "first_decode", "decode_count", "best_camera", "best_frame"]
+    return actions.groupBy("payload", "anchor").agg(F.max_by(F.struct(*fields), "revision").alias("p")).select("payload", "anchor", "p.*")

@@ -39,7 +39,11 @@ def read_detail(rows: DataFrame, column: str = "detail_json") -> DataFrame:
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """Truth lines: the fixed fields, and all others as a map."""
-    lines = spark.read.text(path)
+    return parse_truth(spark.read.text(path))
+
+
+def parse_truth(lines: DataFrame) -> DataFrame:
+    """Truth lines (value): the fixed fields, and all others as a map."""
     fixed = F.from_json("value", schemas.TRUTH)
     every = F.from_json("value", "map<string,string>")
     names = [f.split()[0] for f in schemas.TRUTH.split(", ")]
@@ -47,12 +51,16 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_truth(truth: DataFrame, path: str) -> None:
-    """One flat object a line: the fixed fields, then the parameters."""
+    truth_lines(truth).write.mode("append").text(path)
+
+
+def truth_lines(truth: DataFrame) -> DataFrame:
+    """One flat object a line (value): the fixed fields, then the parameters."""
     names = [f.split()[0] for f in schemas.TRUTH.split(", ")]
     own = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.to_json(F.struct(F.col(n).alias("v"))) for n in names]))
     plain = F.transform(F.map_entries(own), lambda e: F.concat(F.lit('"'), e.key, F.lit('":'), F.regexp_extract(e.value, r'^\{"v":(.*)\}$', 1)))
     more = F.transform(F.map_entries("params"), lambda e: F.concat(F.lit('"'), e.key, F.lit('":'), F.when(e.value.rlike(r"^(-?\d+(\.\d+)?([eE][-+]?\d+)?|true|false|null)$"), e.value).otherwise(F.regexp_extract(F.to_json(F.struct(e.value.alias("v"))), r'^\{"v":(.*)\}$', 1))))
-    truth.select(F.concat(F.lit("{"), F.array_join(F.filter(F.concat(plain, F.coalesce(more, F.array())), lambda x: x.isNotNull()), ","), F.lit("}")).alias("value")).write.mode("append").text(path)
+    return truth.select(F.concat(F.lit("{"), F.array_join(F.filter(F.concat(plain, F.coalesce(more, F.array())), lambda x: x.isNotNull()), ","), F.lit("}")).alias("value"))
 
 
 def manifest_cells(lines: DataFrame, text: str = "line", pos: str = "pos") -> DataFrame:

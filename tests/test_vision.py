@@ -75,3 +75,34 @@ def test_cascade_counts_attempts(spark):
     assert [r.payload for r in got] == [None] * 4 + ["Q", "Q", None, None, None, None, "D", "D"]
     assert [r.variant for r in got if r.payload] == ["invert", "plain", "plain", "plain"]
     assert [r.rejected for r in got] == [1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
+
+
+def test_symbols_survive_what_a_camera_does():
+    from sightline.sources import rendering as r
+
+    for payload in (b"A", b"PLT-000123", b"x" * 60):
+        a = r.drawn(r.symbol(payload), 4)
+        assert r.read_symbol(a)[0][0] == payload
+        for worse in (r.contrast(a, 0.4), r.gradient(a, 0.3), r.motion_blur(a, 2), r.noise(a, 8, 1), np.rot90(a, 4)):
+            assert r.read_symbol(worse)[0][0] == payload
+        assert r.read_symbol(r.occluded(a, 0.5)) == [] and r.read_symbol(255 - a) == []
+    assert r.read_symbol(np.full((9, 9), 200, np.uint8)) == []
+    frame = np.zeros((10, 10), np.uint8)
+    assert r.composite(frame, np.ones((4, 4), np.uint8), 8, -2).sum() == 4 and r.composite(frame, np.ones((4, 4), np.uint8), 20, 0).sum() == 0
+
+
+def test_from_rendered_passes_to_payloads(spark):
+    """Motion, segments, crops and the decoder on rendered passes: each pass is found and read."""
+    from pyspark.sql import functions as F
+
+    from sightline.sources import rendering as r
+
+    plans = spark.createDataFrame([("a", 0, "PLT-000001"), ("a", 1, "PLT-000002"), ("b", 0, "PLT-000003")], "source_id string, pass_id long, payload string")
+    frames = r.rendered_passes(plans)
+    found = segment.segments(vision.activity(frames, 160), ["source_id"], "frame_index", "active", 2, 3)
+    assert found.count() >= 2
+    crops = frames.select("source_id", "frame_index", "image", "h", "w", F.lit(0).alias("x"), F.lit(0).alias("y"))
+    got = vision.decoded(crops, r.read_symbol)
+    assert {(x.source_id, x.payload) for x in got.collect()} == {("a", "PLT-000001"), ("a", "PLT-000002"), ("b", "PLT-000003")}
+    inside = segment.in_spans(got, "frame_index", found, ["source_id"], "first_frame", "last_frame", 64)
+    assert inside.select("source_id", "payload").distinct().count() == 3

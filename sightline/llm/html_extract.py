@@ -19,8 +19,9 @@ repeated whole is still the page's text. Of several articles all count but those
 marked as teasers or comments, by their own name or that of a part they are in.
 
 Entropies need only sums, so counts combine before each shuffle and a host with
-a third of all pages costs no single task. The list of unimportant paths is
-broadcast only if it is short (BROADCAST_ROWS), else joined by host and salt.
+a third of all pages costs no single task. Unimportant paths go to all tasks only if
+they are few (BROADCAST_ROWS); else pages are dealt by host and salt, and the host's
+paths, one row each, stream ahead of its pages.
 
 Defined cases: null or empty HTML gives an empty text; a null URL is a host of
 its own; unclosed elements, comments and quotes are closed as browsers do;
@@ -295,7 +296,7 @@ def _host():
 
 
 def unimportant_paths(pages: DataFrame, threshold: float = 0.2, min_pages: int = 5) -> DataFrame:
-    """(host, paths): per host those of the site style tree whose importance is low."""
+    """(host, path): those of the hosts' site style trees whose importance is low."""
 
     def nodes(batches):
         for batch in batches:
@@ -314,34 +315,48 @@ def unimportant_paths(pages: DataFrame, threshold: float = 0.2, min_pages: int =
     summed = alike.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = (F.log("m") - F.col("s") / F.col("m")) / F.log("m")
     known = summed.where(F.col("m") >= min_pages).withColumn("entropy", entropy)
-    low = known.groupBy("host", "path").agg(F.max("entropy").alias("importance")).where(F.col("importance") < threshold)
-    return low.groupBy("host").agg(F.collect_list("path").alias("paths"))
+    return known.groupBy("host", "path").agg(F.max("entropy").alias("importance")).where(F.col("importance") < threshold).select("host", "path")
 
 
 def extract(pages: DataFrame, threshold: float = 0.2, min_pages: int = 5) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     low = written(unimportant_paths(pages, threshold, min_pages), "style-tree")
-    size = low.agg(F.coalesce(F.sum(F.size("paths")), F.lit(0))).first()[0]
-    rows = pages.select("page_id", "url", "html", _host().alias("host"))
-    if size <= BROADCAST_ROWS:
-        joined = rows.join(F.broadcast(low), "host", "left")
+    rows = pages.select(_host().alias("host"), "page_id", "url", "html")
+    few = low.limit(BROADCAST_ROWS + 1).collect()
+    sites: dict[str, frozenset] = {}
+    if len(few) <= BROADCAST_ROWS:
+        paths: dict[str, set] = {}
+        for r in few:
+            paths.setdefault(r.host, set()).add(r.path)
+        sites = {host: frozenset(own) for host, own in paths.items()}
+        dealt = rows.withColumn("path", F.lit(None).cast("long"))
     else:
-        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-        copies = low.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        joined = salted.join(copies, ["host", "_salt"], "left")
+        none = [F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in ("page_id", "url", "html")]
+        ahead = low.select("host", *none, "path").withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        behind = rows.withColumns({"path": F.lit(None).cast("long"), "_salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
+        dealt = ahead.unionByName(behind).repartition("host", "_salt").sortWithinPartitions("host", "_salt", F.col("path").asc_nulls_last()).drop("_salt")
+    streamed = len(few) > BROADCAST_ROWS
 
     def read(batches):
+        site, met, quiet = None, [], frozenset()
         for batch in batches:
-            sets: dict = {}
-            out = []
-            for host, page, paths in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "paths")), strict=True):
-                if host not in sets:
-                    sets[host] = frozenset(paths or ())
-                out.append(main_text(page, sets[host]))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            keep, out = [], []
+            for i, (host, page, path) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "html", "path")), strict=True)):
+                if path is not None:
+                    if host != site or quiet is not None:
+                        site, met, quiet = host, [], None
+                    met.append(path)
+                    continue
+                if streamed and (quiet is None or host != site):
+                    quiet, met = frozenset(met) if host == site else frozenset(), []
+                    site = host
+                keep.append(i)
+                out.append(main_text(page, quiet if streamed else sites.get(host, frozenset())))
+            own = batch.select(["page_id", "url"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("host", "page_id", "url", "html", "paths").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
+    return dealt.select("host", "page_id", "url", "html", "path").mapInArrow(read, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

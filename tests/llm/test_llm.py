@@ -194,6 +194,8 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, small):
 def test_recall_in_a_large_node(spark, monkeypatch):
     """A node far larger than a small one, most of whose pairs lie around the threshold: links found of all pairs."""
     monkeypatch.setattr(minhash_dedup, "SMALL", 40)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 10)
+    monkeypatch.setattr(minhash_dedup, "STAR", 30)
     r = random.Random(4)
     base = [f"w{i}" for i in range(150)]
     texts = []
@@ -367,10 +369,22 @@ def test_importance_equals_brute_force(spark):
 
     want = {k for k, kinds in hosts.items() if len(kinds[0]) >= 5 and max(map(entropy, kinds)) < 0.5}
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {(x.host, p) for x in html_extract.unimportant_paths(pages, 0.5, 5).collect() for p in x.paths}
+    got = {(x.host, x.path) for x in html_extract.unimportant_paths(pages, 0.5, 5).collect()}
     assert got == want and 3 < len(want) < len(hosts)
 
 
+def test_paths_stream_ahead_of_pages(spark, monkeypatch):
+    """Several sites, some without unimportant paths, dealt by host and salt: the texts of the other way."""
+    rows = [(i, f"http://h{i % 4}.example/{i}", f"<div class='t'>Same {i % 4 if i % 4 < 2 else i}</div><div class='u'>Own {i}</div>") for i in range(48)] + [(None, None, "<p>x</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, html_extract.extract(pages).collect()), key=repr)
+    assert sum("Same" in r[2] for r in want) == 24
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+    for salts in (1, 5):
+        monkeypatch.setattr(html_extract, "SALTS", salts)
+        assert sorted(map(tuple, html_extract.extract(pages).collect()), key=repr) == want
+
+
 def test_page_cases(spark, none):
     """No page, repeated rows, null ids and addresses, columns of other names that the operator may use itself."""
     schema = "page_id long, url string, html string, host string, paths string, path long, text string, n long"

@@ -11,14 +11,21 @@ contexts are dealt by the anchor's hash. Contexts equal in two 64-bit hashes are
 merged beforehand: all strings of any but the first place of a context repeat.
 First places alone send their bytes, so a passage with many copies is sorted once.
 
+A passage in a third of all documents fills no task. Of an anchor's places that one
+task meets, only the first is dealt by the anchor; others are known to repeat it and
+are dealt by anchor and context, and those whose context the task has met before at an
+earlier place are settled at once. Where the contexts of an anchor are many bytes (its edges
+differ in each copy), they are cut into their strings, which are dealt by anchor and
+a hash of the string. Anchors so cut are those above 1 / SHARE of all contexts' bytes,
+SHARE at most.
+
 Each task joins contexts to one text and sorts suffixes in two stages. Those that
 are smaller than their successor are sorted directly (eight bytes at a time, ties
 only); the others are induced by scanning the buckets of first bytes in ascending
 order, each sorted suffix placing the one before it. Common prefixes of
 neighbours then show the runs of equal strings; in each run the earliest place
 stays. Only the suffixes that start a string, and those that these are induced
-from, take part. A group of contexts larger than BATCH bytes is worked through in
-passes over disjoint sets of strings, so memory doesn't grow with it.
+from, take part. Memory is that of the contexts of one anchor, which are cut as said.
 
 What comes back per document is which strings of its repeated anchors are first
 places; all other strings of those anchors go.
@@ -46,7 +53,9 @@ from .shared import release, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts sorted at once; starts of strings taken from a text at once.
-BATCH, STRETCH = 4 << 20, 1 << 20
+BATCH, STRETCH = 2 << 20, 1 << 20
+#: Contexts of an anchor are cut into strings above this share of all contexts' bytes and above CUT bytes; a task remembers so many places of repeated contexts.
+SHARE, CUT, REMEMBERED = 1 << 16, 1 << 18, 20_000
 U = np.uint64
 BYTE = splitmix(256, 11)
 MULTIPLIER = int(splitmix(1, 12)[0]) | 1
@@ -211,25 +220,6 @@ def first_places(contexts: list[bytes], counts: np.ndarray, order: np.ndarray, l
     return np.zeros(0, bool)
 
 
-def _group_firsts(contexts: list[bytes], counts: np.ndarray, order: np.ndarray, length: int, batch: int) -> np.ndarray:
-    """first_places(), in passes over disjoint sets of strings where the group is large."""
-    size = sum(map(len, contexts))
-    if size <= 2 * batch:
-        return first_places(contexts, counts, order, length)
-    out = np.zeros(int(counts.sum()), bool)
-    passes = -(-size * 4 // batch)
-    strings = [(c, i) for c, n in enumerate(counts.tolist()) for i in range(n)]
-    in_pass = np.fromiter((zlib.crc32(contexts[c][i : i + length]) % passes for c, i in strings), np.int64, len(strings))
-    rank = np.array([order[c] for c, _ in strings], np.int64)
-    for k in range(passes):
-        at = np.flatnonzero(in_pass == k)
-        some = [contexts[strings[j][0]][strings[j][1] : strings[j][1] + length] for j in at.tolist()]
-        ordered = np.empty(len(at), np.int64)
-        ordered[np.lexsort((at, rank[at]))] = np.arange(len(at))
-        out[at] = first_places(some, np.ones(len(at), np.int64), ordered, length)
-    return out
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
@@ -237,11 +227,57 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.pmod(F.xxhash64(text), F.lit(1 << 17)).cast("int").alias("mark"), text.alias("text"))
 
 
+#: What is known of an anchor's place, in the bits of `mark` above the document's own.
+UNKNOWN, REPEATED, BY_CONTEXT, SETTLED = range(4)
+MARK_BITS = 20
+
+
+class Dealer:
+    """Says for each anchor's place where it is dealt (deal, context, kind).
+
+    By the anchor's hash, unknown or known to be REPEATED; of the anchor's later places, BY_CONTEXT by the hash xor the
+    context; of the context's later places, SETTLED by the document, without a context."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.anchors, self.contexts = most, set(), {}
+
+    def deal(self, h: np.ndarray, context: np.ndarray, doc: np.ndarray, mark: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        deal, kind = h.copy(), np.full(len(h), UNKNOWN, np.int32)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        some = order[np.append(same, False) | np.insert(same, 0, False)] if len(h) else order
+        some = some[np.lexsort((place[some], mark[some], doc[some], context[some], h[some]))]
+        begins = np.flatnonzero(np.append(True, (h[some][1:] != h[some][:-1]) | (context[some][1:] != context[some][:-1]))) if len(some) else some
+        heads = some[begins]
+        at = list(zip(doc[heads].tolist(), mark[heads].tolist(), place[heads].tolist(), strict=True))
+        least: dict[int, int] = {}  # the first place of each anchor, if none has been dealt by it before
+        keys = list(zip(h[heads].tolist(), context[heads].tolist(), strict=True))
+        if len(self.contexts) + len(keys) > self.most:
+            self.anchors, self.contexts = set(), {}
+        for i, (anchor, _) in enumerate(keys):
+            if anchor not in self.anchors and (anchor not in least or at[i] < at[least[anchor]]):
+                least[anchor] = i
+        kind[some] = SETTLED
+        kind[heads] = BY_CONTEXT
+        for i, key in enumerate(keys):
+            if key in self.contexts and at[i] >= self.contexts[key]:  # an earlier place of the context has been met
+                kind[heads[i]] = SETTLED
+            else:
+                self.contexts[key] = at[i]
+        kind[heads[list(least.values())]] = REPEATED
+        self.anchors.update(least)
+        apart, settled = kind == BY_CONTEXT, kind == SETTLED
+        deal[apart] ^= context[apart]
+        deal[settled] = mixed(doc[settled].view(U)).view(np.int64)
+        return deal, pa.array(context, mask=settled), kind
+
+
 def _repeated_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(doc, mark, places): per document its anchors whose hash occurs twice; place holds start and
-    number of strings, hash is null but at the first place of a context."""
+    number of strings, hash is null but at the first places of a context (one, or one more where tasks dealt it apart)."""
 
     def run(batches):
+        dealer = Dealer()
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
@@ -260,13 +296,18 @@ def _repeated_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     which, h, context, start, count = anchors(texts, length, gram)
                     if len(which):
                         own, off = np.array(at, np.int64).T
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(x) for x in (h, context, docs[own[which]], marks[own[which]], ((start + off[which]) << 8) | count)], names=["hash", "context", "doc", "mark", "place"])
+                        doc, mark, place = docs[own[which]], marks[own[which]], ((start + off[which]) << 8) | count
+                        deal, context, kind = dealer.deal(h, context, doc, mark, place)
+                        yield pa.RecordBatch.from_arrays([pa.array(deal), context, *map(pa.array, (doc, mark | kind << MARK_BITS, place))], names=["deal", "context", "doc", "mark", "place"])
 
-    found = rows.select("doc", "mark", "text").where(F.length("text") * 4 >= length).mapInArrow(run, "hash long, context long, doc long, mark int, place long")
-    w = Window.partitionBy("hash").orderBy("context", "doc", "mark", "place")
+    found = rows.select("doc", "mark", "text").where(F.length("text") * 4 >= length).mapInArrow(run, "deal long, context long, doc long, mark int, place long")
+    own, kind = F.col("mark").bitwiseAND((1 << MARK_BITS) - 1), F.shiftright("mark", MARK_BITS)
+    w = Window.partitionBy("deal").orderBy("context", "doc", own, "place")
     last, following = F.lag("context").over(w), F.lead("context").over(w)
-    met = found.select("doc", "mark", "place", "hash", (last.isNotNull() | following.isNotNull()).alias("again"), (last.isNull() | (last != F.col("context"))).alias("lead"))
+    anchor = F.when(kind == BY_CONTEXT, F.col("deal").bitwiseXOR(F.col("context"))).otherwise(F.col("deal"))
+    met = found.select(
+        "doc", own.alias("mark"), "place", anchor.alias("hash"), ((kind != UNKNOWN) | last.isNotNull() | following.isNotNull()).alias("again"),
+        (F.col("context").isNotNull() & (last.isNull() | (last != F.col("context")))).alias("lead"))
     kept = met.where("again").select("doc", "mark", F.struct("place", F.when(F.col("lead"), F.col("hash")).alias("hash")).alias("p"))
     return kept.groupBy("doc", "mark").agg(F.collect_list("p").alias("places"))
 
@@ -290,29 +331,44 @@ def _joined(rows: DataFrame, places: DataFrame) -> DataFrame:
     return written(both.withColumn("packed", F.when(F.col("places").isNotNull(), F.col("packed"))), "passages")
 
 
-def _contexts(work: DataFrame, length: int) -> DataFrame:
-    """Bytes of the first places: hash, doc, mark, start, count, bytes."""
+def _contexts(work: DataFrame, cut: dict[int, int], length: int) -> DataFrame:
+    """Bytes of the first places: hash, part, doc, mark, start, count, bytes; those of anchors that are cut string by string."""
+    names = ["hash", "part", "doc", "mark", "start", "count", "bytes"]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches):
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                out: list[list] = [[] for _ in range(6)]
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                rows: list[tuple] = []
                 for doc, mark, packed, places in zip(*(part.column(c).to_pylist() for c in ("doc", "mark", "packed", "places")), strict=True):
                     raw = unpacker.decompress(packed)
                     for p in places:
-                        if p["hash"] is not None:
-                            start, count = p["place"] >> 8, p["place"] & 255
-                            for column, v in zip(out, (p["hash"], doc, mark, start, count, raw[start : start + count + length - 1]), strict=True):
-                                column.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["hash", "doc", "mark", "start", "count", "bytes"])
+                        h, start, count = p["hash"], p["place"] >> 8, p["place"] & 255
+                        if h is None:
+                            continue
+                        if h in cut:
+                            strings = ((i, raw[i : i + length]) for i in range(start, start + count))
+                            rows += [(h, zlib.crc32(x) % cut[h], doc, mark, i, 1, x) for i, x in strings]
+                        else:
+                            rows.append((h, 0, doc, mark, start, count, raw[start : start + count + length - 1]))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     some = work.where("places is not null").select("doc", "mark", "packed", "places")
-    return some.mapInArrow(run, "hash long, doc long, mark int, start long, count int, bytes binary")
+    return some.mapInArrow(run, "hash long, part int, doc long, mark int, start long, count int, bytes binary")
+
+
+def _cut_anchors(work: DataFrame, length: int, cut_bytes: int) -> dict[int, int]:
+    """Anchors whose contexts are cut, and in how many parts: SHARE entries at most, by the share that each has."""
+    sent = work.where("places is not null").select(F.explode("places").alias("p")).where("p.hash is not null")
+    sizes = sent.groupBy("p.hash").agg(F.sum(F.col("p.place").bitwiseAND(255) + length - 1).alias("size"), F.sum(F.col("p.place").bitwiseAND(255)).alias("n"))
+    sizes = written(sizes.where(F.col("size") > cut_bytes).unionByName(sizes.agg(F.lit(None).cast("long").alias("hash"), F.sum("size").alias("size"), F.sum("n").alias("n"))), "anchor-sizes")
+    total = sizes.where("hash is null").first()["size"] or 0
+    most = max(cut_bytes, total // SHARE)
+    return {r["hash"]: -(-8 * r["n"] * length // most) for r in sizes.where((F.col("size") > most) & F.col("hash").isNotNull()).collect()}
 
 
 def _firsts(contexts: DataFrame, length: int, batch_bytes: int) -> DataFrame:
@@ -323,7 +379,7 @@ def _firsts(contexts: DataFrame, length: int, batch_bytes: int) -> DataFrame:
         counts = np.array(counts, np.int64)
         order = np.empty(len(held), np.int64)
         order[np.lexsort((starts, marks, docs))] = np.arange(len(held))
-        first = _group_firsts(list(contexts), counts, order, length, batch_bytes)
+        first = first_places(list(contexts), counts, order, length)
         firsts, at = [], 0
         for start, n in zip(starts, counts.tolist(), strict=True):
             own = first[at : at + n]
@@ -336,22 +392,21 @@ def _firsts(contexts: DataFrame, length: int, batch_bytes: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(marks, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc", "mark", "firsts"])
 
     def run(batches):
-        held, size, last = [], 0, (None,)
+        held, size, last, group = [], 0, None, None
         for batch in batches:
-            hashes = batch.column(0).to_pylist()
-            for h, *row in zip(hashes, *(batch.column(c).to_pylist() for c in ("doc", "mark", "start", "count", "bytes")), strict=True):
-                if (h, *row[:3]) == last:  # of equal rows of documents
+            for h, part, *row in zip(*(batch.column(c).to_pylist() for c in ("hash", "part", "doc", "mark", "start", "count", "bytes")), strict=True):
+                if (h, part, *row[:3]) == last:  # of equal rows of documents
                     continue
-                if h != last[0] and size > batch_bytes:
+                if (h, part) != group and size > batch_bytes:
                     yield solve(held)
                     held, size = [], 0
-                last = (h, *row[:3])
+                group, last = (h, part), (h, part, *row[:3])
                 held.append(row)
                 size += len(row[4])
         if held:
             yield solve(held)
 
-    dealt = contexts.repartition("hash").sortWithinPartitions("hash", "doc", "mark", "start")
+    dealt = contexts.repartition("hash", "part").sortWithinPartitions("hash", "part", "doc", "mark", "start")
     return dealt.mapInArrow(run, "doc long, mark int, firsts array<long>")
 
 
@@ -368,12 +423,12 @@ def removed_mask(n: int, places: list[int], firsts: list[int], length: int) -> n
     return np.cumsum(cover)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, spans: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batch_bytes: int = BATCH, spans: bool = False, cut_bytes: int = CUT) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with `spans` also the removed (from, to) and the bytes that stay."""
     rows = _rows(docs, id_col, text_col)
     work = _joined(rows, _repeated_anchors(rows, length, gram))
     release(docs.sparkSession)
-    firsts = _firsts(_contexts(work, length), length, batch_bytes).groupBy("doc", "mark").agg(F.flatten(F.collect_list("firsts")).alias("firsts"))
+    firsts = _firsts(_contexts(work, _cut_anchors(work, length, cut_bytes), length), length, batch_bytes).groupBy("doc", "mark").agg(F.flatten(F.collect_list("firsts")).alias("firsts"))
     some = work.where("places is not null").select("id", "doc", "mark", "packed", F.col("places.place").alias("places")).join(firsts, ["doc", "mark"], "left")
 
     def run(batches):

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are split so many bytes at a time, a longer text alone.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 #: A piece that the steps before the model leave as it is (small letters, composed), then one of marks, if any.
 SHAPE = "^(?P<piece>[a-z\u00df-\u00f6\u00f8-\u00ff]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
@@ -63,7 +63,7 @@ def gathered(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[
 class WordEncoder:
     """encode(texts) gives one uint32 array of ids per text; encode_column() one for all and where each text's end."""
 
-    def __init__(self, path: str, max_words: int = 1_000_000, chunk: int = CHUNK):
+    def __init__(self, path: str, max_words: int = 400_000, chunk: int = CHUNK):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.max_words, self.chunk = Tokenizer.from_file(path), max_words, chunk
@@ -175,6 +175,7 @@ class WordEncoder:
             hi = max(lo + 1, int(np.searchsorted(size, size[lo] + self.chunk, "right")) - 1)
             yield hi - lo, *self._chunk(texts.slice(lo, hi - lo))
             lo = hi
+        pa.default_memory_pool().release_unused()  # workers are kept for later tasks of other kinds
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []

@@ -23,7 +23,6 @@ from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = bytes(range(65, 91))

@@ -123,14 +123,14 @@ class Plan:
                 put(room, lo + times, hi)
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", carry_ids: bool = False) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", carry_ids: bool = False, max_words: int = tokens.WORDS, chunk: int = tokens.CHUNK) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, bucket; with carry_ids its ids too."""
 
     names = ("doc_id", "piece", "start", "length", "ids_crc32", "bucket") + ("ids",) * carry_ids
     types = {"doc_id": pa.int64(), "piece": pa.int32(), "bucket": pa.int32(), "ids": pa.list_(pa.int32())}
 
     def cut(batches):
-        encode, turn, last = tokens.encoder(tokenizer).encode_column, 0, np.array([end_id], np.uint32)
+        encode, turn, last = tokens.encoder(tokenizer, max_words, chunk).encode_column, 0, np.array([end_id], np.uint32)
         for batch in batches:
             at = 0
             for n, flat, ends in encode(batch.column(1)):
@@ -179,8 +179,8 @@ def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(assign, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    pieces = written(tokenised_pieces(docs, tokenizer, end_id, capacity, id_col, text_col), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text", **cache) -> DataFrame:
+    pieces = written(tokenised_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, **cache), "pieces")
     return place_pieces(pieces, capacity)
 
 

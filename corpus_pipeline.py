@@ -38,10 +38,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all of them with their places in sequences."""
+    """Token pieces of all of them with their places in sequences; with a small cache of words, as the stages before have
+    grown the executors."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_words=400_000, chunk=4 << 20)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact_copies), ("MinHash near-dedup", near_copies), ("source mixing", mixture), ("best-fit packing", packed)]

@@ -10,7 +10,7 @@ all connected need nothing more. Small nodes (by members and by the bytes of the
 sets) are compared exhaustively; the others branch again by further tokens chosen by
 the node, each level from tokens of its own (a second one in half of the cases, so that
 pairs at the threshold stay together on average), level by level. Nodes still mixed
-after MAX_LEVELS are compared whole, in pairs of blocks as large as a small node.
+after MAX_LEVELS are compared whole. Exhaustive comparisons go by pairs of blocks.
 
 Comparisons outside small nodes first drop pairs that set sizes or sketches rule
 out (an agreement under LEAST_AGREEMENT of the sketch is 3.9 standard deviations
@@ -19,13 +19,13 @@ meets in no tree with probability 0.25 ** TREES, about one in a million. In node
 larger than SMALL each level loses more of such pairs, if no other link joins
 them: with f(0) = 0, g(k) = 0.25 + 0.75 f(k) and f(k+1) = (g(k) + g(k)**2) / 2, a
 pair in large nodes of all trees for k levels is missed with probability
-g(k) ** TREES: 4.5e-5 after one, 2.6e-4 after two, 1.5e-3 after four, 5.7e-3
-after eight, after which the rest is compared whole.
+g(k) ** TREES: 4.5e-5 after one, 2.6e-4 after two, after which the rest is compared
+whole.
 
 Links stay tables; components come from alternating star steps. Hot keys: equal
 sets are merged by (set, salt), and what is known of a node is summed up by (node, salt)
 and comes back to its members so; a large node's star is compared in parts, each with
-the centre; exhaustive comparisons are bounded by SMALL and SET_ROWS in one task.
+the centre; an exhaustive comparison has at most two blocks, bounded by BLOCK and SET_ROWS.
 
 Defined cases: null and empty texts, and those of white space, have an empty set
 and are linked with nothing; fewer words than five make one shingle of all;
@@ -47,11 +47,11 @@ from .components import components
 from .shared import dealt_bucket, fresh_path, written
 
 WORDS, PERCENT = 5, 75
-TREES, TOKENS, SMALL, MAX_LEVELS = 10, 128, 2048, 8
+TREES, TOKENS, SMALL, MAX_LEVELS = 10, 128, 2048, 2
 LEAST_AGREEMENT = 0.6
 SALTS, NODE_SALTS, BROADCAST_ROWS = 16, 64, 2_000
-#: Shingles of all sets that are compared with each other at once.
-SET_ROWS = 2_000_000
+#: Shingles of all sets that are compared with each other at once; members of a node that one task compares with its centre; members of a block of which two are compared exhaustively.
+SET_ROWS, STAR, BLOCK = 2_000_000, 256, 512
 LEVEL_TOKENS = (TOKENS - TREES) // MAX_LEVELS
 
 U = np.uint64
@@ -308,7 +308,7 @@ def _star_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes' members (node, id, k, centre, comp) that sizes and sketches don't rule out: the
     node's smallest member with the first member of each other component. A large node is dealt in parts, and
     its centre goes to all of them."""
-    parts = F.ceil(F.col("k") / SMALL).cast("int")
+    parts = F.ceil(F.col("k") / STAR).cast("int")
     spread = F.when(F.col("id") == F.col("centre"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), parts).cast("int")))
     joined = rows.select("node", "id", "comp", F.explode(spread).alias("part")).join(classes, "id")
     dealt = joined.select("node", "part", "id", "comp", "n", "sketch").repartition("node", "part").sortWithinPartitions("node", "part", "id")
@@ -360,10 +360,10 @@ def similar_pairs(sets: list[np.ndarray]) -> np.ndarray:
 
 def _node_links(rows: DataFrame, table: str) -> DataFrame:
     """Links (a, b) between the members of nodes (node, id, k, size): all pairs are compared on their full sets, and of
-    the links a spanning forest comes back, at most one per member. A small node is one task; a larger one is
-    dealt in blocks of half its size, and each pair of blocks is a task."""
+    the links a spanning forest comes back, at most one per member. A node of more than a block of members (or half of
+    SET_ROWS shingles) is dealt in blocks, and each pair of blocks is compared apart."""
     texts = rows.sparkSession.table(table)
-    blocks = F.when(_is_small(), 1).otherwise(F.greatest(F.ceil(2 * F.col("k") / SMALL), F.ceil(2 * F.col("size") / SET_ROWS))).cast("int")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(2 * F.col("size") / SET_ROWS)).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, own) * F.col("blocks") + F.greatest(j, own))
     placed = rows.withColumn("blocks", blocks).select("node", "id", F.explode(pairs).alias("part"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, html_extract, license_scan, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, token_files
+from . import chat_format, collocations, exact_dedup, html_extract, license_scan, minhash_dedup, mixing, packing, quality_rules, suffix_dedup, token_files
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_phrase_collocations": collocations.op11_phrase_collocations,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality_rules.SQL,
         "op9_chat_format": chat_format.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
+        "op11_phrase_collocations": collocations.SQL,
     }

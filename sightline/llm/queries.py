@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, collocations, exact_dedup, html_extract, license_scan, minhash_dedup, mixing, packing, quality_rules, spelling, suffix_dedup, token_files
+from . import chat_format, collocations, exact_dedup, html_extract, license_scan, minhash_dedup, mixing, packing, quality_crf, quality_rules, spelling, suffix_dedup, token_files
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_phrase_collocations": collocations.op11_phrase_collocations,
+        "op12_quality_classifier": quality_crf.op12_quality_classifier,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 

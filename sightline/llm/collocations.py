@@ -64,7 +64,7 @@ def counted(batches):
     def flush():
         for lang, words in held.items():
             words.pop(END, None)
-            yield pa.record_batch([pa.array([lang] * len(words)), pa.array(words.keys(), pa.binary()).cast(pa.string()), pa.array(words.values(), pa.int64())], ["lang", "phrase", "f"])
+            yield pa.record_batch([pa.array([lang] * len(words), pa.string()), pa.array(words.keys(), pa.binary()).cast(pa.string()), pa.array(words.values(), pa.int64())], ["lang", "phrase", "f"])
         held.clear()
 
     for batch in batches:
@@ -219,7 +219,7 @@ def _phrases(known: Broadcast, pairs: Broadcast, size: int, max_words: int):
     def run(batches):
         for shard in shards(batches, known.value, size):
             for text, n, k in shard.phrases(pairs.value, max_words):
-                yield pa.record_batch([pa.array([shard.lang] * len(text)), text, pa.array(n), pa.array(np.full(len(text), k, np.int32))], ["lang", "phrase", "f", "k"])
+                yield pa.record_batch([pa.array([shard.lang] * len(text), pa.string()), text, pa.array(n), pa.array(np.full(len(text), k, np.int32))], ["lang", "phrase", "f", "k"])
 
     return run
 

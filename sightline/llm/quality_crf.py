@@ -7,9 +7,10 @@ states. Forward and backward sums give each line's probability of being good; th
 weighted by the lines' lengths, is the quality of the document, which a logistic curve
 turns into the probability of label 1.
 
-Labels are of documents. Fitting first takes a document's label for all its lines, and
-then, in documents of label 0, takes the lines that the field calls good with `sure` and
-more for good, as long as half the text stays bad, and fits again. The fit is on the
+Labels are of documents. A first fit takes a document's label for all its lines, from
+each line's own features alone; then, in documents of label 0, the lines that it calls good
+with `sure` and more count as good, as long as half the text stays bad, and the whole
+field is fitted to these states. The fit is on the
 driver, on a bounded sample: the `sample_docs` labelled documents with the smallest
 hashes of their ids, of those with up to `sample_lines` lines (at most 4096 x 256 lines of
 35 numbers by default). Everything is scored, in one map over whole texts.
@@ -219,8 +220,8 @@ def weighted_means(p: np.ndarray, lines: Lines, n_docs: int) -> np.ndarray:
     return np.bincount(lines.doc, p * length, n_docs) / np.maximum(np.bincount(lines.doc, length, n_docs), 1)
 
 
-def _fit_chain(model: Model, lines: Lines, state: np.ndarray, rounds: int, penalty: float) -> None:
-    """Maximum likelihood of the lines' states with a quadratic penalty, by Adam steps over all lines."""
+def _fit_chain(model: Model, lines: Lines, state: np.ndarray, rounds: int, penalty: float, alone: bool) -> None:
+    """Maximum likelihood of the lines' states with a quadratic penalty, by Adam steps over all lines; alone: lines know nothing of their neighbours."""
     chains = Chains(lines.doc)
     x = np.column_stack([np.clip((lines.x - model.mean) / model.spread, -6, 6), np.ones(len(lines.doc))])
     inner = np.flatnonzero(lines.doc[1:] == lines.doc[:-1])
@@ -229,27 +230,32 @@ def _fit_chain(model: Model, lines: Lines, state: np.ndarray, rounds: int, penal
     seen_first = np.bincount(state[chains.first], minlength=2)
     theta = np.r_[model.weights, model.start, model.trans.ravel()]
     mean, square, d = np.zeros_like(theta), np.zeros_like(theta), x.shape[1]
+    free = np.ones_like(theta)
+    if alone:
+        free[FEATURES.index("first") : WIDTH] = 0
+        free[d:] = 0
     for k in range(1, rounds + 1):
         p, first, pairs, _ = chains.marginals(x @ theta[:d], theta[d : d + 2], theta[d + 2 :].reshape(2, 2))
         slope = np.r_[x.T @ (state - p[:, 1]), seen_first - first, (seen_pairs - pairs).ravel()] / len(state) - penalty * theta
+        slope *= free
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         theta = theta + 0.1 * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
     model.weights, model.start, model.trans = theta[:d], theta[d : d + 2], theta[d + 2 :].reshape(2, 2)
 
 
-def fit_model(lines: Lines, labels: np.ndarray, rounds: int = 150, penalty: float = 1e-3, sure: float = 0.9) -> Model:
+def fit_model(lines: Lines, labels: np.ndarray, rounds: int = 150, penalty: float = 1e-3, sure: float = 0.5) -> Model:
     """The field and the logistic curve, from lines of documents 0..n-1 with labels (0, 1)."""
     n = len(labels)
     model = Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1), np.zeros(2), np.zeros((2, 2)), 0.0, 0.0)
     share = labels.mean() if n else 0.5
-    if not 0 < share < 1:
+    if not n or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
         model.shift = float(np.log(share / (1 - share)))
         return model
     lines = with_empty(lines, n)
     model.mean, model.spread = lines.x.mean(0), np.maximum(lines.x.std(0), 1e-3)
     state = labels[lines.doc].astype(int)
-    _fit_chain(model, lines, state, rounds, penalty)
+    _fit_chain(model, lines, state, rounds, penalty, alone=True)
     p = model.good(lines)
     bad = np.flatnonzero(labels[lines.doc] == 0)
     order = bad[np.lexsort((-p[bad], lines.doc[bad]))]  # the surest lines of each document first
@@ -259,7 +265,7 @@ def fit_model(lines: Lines, labels: np.ndarray, rounds: int = 150, penalty: floa
     of = np.bincount(lines.doc, lines.length, n)
     turn = order[(p[order] >= sure) & (2 * within <= of[lines.doc[order]])]
     state[turn] = 1
-    _fit_chain(model, lines, state, rounds, penalty)
+    _fit_chain(model, lines, state, rounds, penalty, alone=False)
     mean = weighted_means(model.good(lines), lines, n)
     a, b = 1.0, 0.0
     for _ in range(100):  # Newton's steps

@@ -111,7 +111,10 @@ def tracker_dedup(spark, sf_dir):
     return dedup.tracker_dedup(td.sightings(spark, sf_dir), ["source_id", "payload"], "ts_us", td.WINDOW)
 
 
-@query("--cte g AS (SELECT payload, list_sort(list(ts_us)) AS ts FROM sightings GROUP BY 1), s AS (SELECT payload, min(ts_us) - 3600000000 AS seed FROM sightings WHERE user_id % 2 = 0 GROUP BY 1) SELECT payload, unnest(CASE WHEN seed IS NULL THEN list_reduce(ts, lambda acc, x: CASE WHEN x - acc[-1] > $WINDOW THEN list_append(acc, x) ELSE acc END, [ts[1]]) ELSE list_reduce(ts, lambda acc, x: CASE WHEN x - acc[-1] > $WINDOW THEN list_append(acc, x) ELSE acc END, [seed])[2:] END) AS ts_us FROM g LEFT JOIN s USING (payload)")
+SEEDED = "--cte g AS (SELECT payload, list_sort(list(ts_us)) AS ts FROM sightings GROUP BY 1), s AS (SELECT payload, min(ts_us) - 3600000000 AS seed FROM sightings WHERE user_id % 2 = 0 GROUP BY 1) SELECT payload, unnest(CASE WHEN seed IS NULL THEN list_reduce(ts, lambda acc, x: CASE WHEN x - acc[-1] > $WINDOW THEN list_append(acc, x) ELSE acc END, [ts[1]]) ELSE list_reduce(ts, lambda acc, x: CASE WHEN x - acc[-1] > $WINDOW THEN list_append(acc, x) ELSE acc END, [seed])[2:] END) AS ts_us FROM g LEFT JOIN s USING (payload)"
+
+
+@query(SEEDED)
 def tracker_dedup_seeded(spark, sf_dir):
     """The same with anchors of an earlier run for some payloads."""
     rows = td.sightings(spark, sf_dir)

@@ -19,14 +19,23 @@ COLUMNS = [c.split()[0] for c in ACTIONS.split(", ")]
 
 
 class _TrackerDedup(StatefulProcessor):
-    """Keeps the last emitted instant of its key."""
+    """Keeps the last emitted instant of its key; with timers, until nothing can be within the window of it any more."""
 
-    def __init__(self, window: int, keys: list[str], at: str):
-        self.window, self.keys, self.at = window, keys, at
+    def __init__(self, window: int, keys: list[str], at: str, ends: bool):
+        self.window, self.keys, self.at, self.ends = window, keys, at, ends
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "last long")
 
+    def _keep(self, last: int) -> None:
+        self.last.update((last,))
+        if self.ends:
+            self.handle.registerTimer((last + self.window) // 1000 + 1)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._keep(int(initialState["anchor"].max()))
+
     def handleInputRows(self, key, rows, timerValues):
         times = sorted(t for frame in rows for t in frame[self.at].tolist())
         last = self.last.get()[0] if self.last.exists() else None
@@ -35,17 +44,28 @@ class _TrackerDedup(StatefulProcessor):
             if last is None or t - last > self.window:
                 last = t
                 out.append(t)
-        if last is not None:
-            self.last.update((last,))
+        if out:
+            self._keep(last)
         yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(self.keys, key, strict=True)}, self.at: out})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.last.exists() and (self.last.get()[0] + self.window) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def tracker_dedup(sightings: DataFrame, keys: list[str], at: str, window: int) -> DataFrame:
+def tracker_dedup(sightings: DataFrame, keys: list[str], at: str, window: int, seeds: DataFrame | None = None, lateness: str | None = None) -> DataFrame:
+    """Passes as in batch. `seeds` (keys, anchor), not a stream: passes of an earlier run. With `lateness` (sightings come at most so
+    late; `at` in microseconds) a key's state ends when its window is over; without it keys are kept."""
     schema = ", ".join(f"{k} {sightings.schema[k].dataType.simpleString()}" for k in keys) + f", {at} long"
-    return sightings.select(*keys, at).groupBy(*keys).transformWithStateInPandas(_TrackerDedup(window, keys, at), schema, "append", "none")
+    rows = sightings.select(*keys, at)
+    if lateness is not None:
+        rows = rows.withColumn("_clock", F.timestamp_micros(at)).withWatermark("_clock", lateness)
+    first = None if seeds is None else seeds.select(*keys, F.col("anchor").cast("long").alias("anchor")).groupBy(*keys)
+    return rows.groupBy(*keys).transformWithStateInPandas(_TrackerDedup(window, keys, at, lateness is not None), schema, "append", "none" if lateness is None else "eventTime", first)
 
 
 class _CrossCamera(StatefulProcessor):

@@ -198,14 +198,17 @@ def _blobs(spark, sf_dir):
     return sized.withColumn("discontinuity", F.col("frame_index") % 331 == 0)
 
 
-@query("""WITH b AS (SELECT DISTINCT 'cam' || (l_linenumber % 4) AS source_id, l_orderkey % 997 AS frame_index, l_partkey % 5 * 200 AS x, l_suppkey % 3 * 200 AS y FROM lineitem),
+LANES = """WITH b AS (SELECT DISTINCT 'cam' || (l_linenumber % 4) AS source_id, l_orderkey % 997 AS frame_index, l_partkey % 5 * 200 AS x, l_suppkey % 3 * 200 AS y FROM lineitem),
 f AS (SELECT source_id, frame_index, row_number() OVER w AS i, count(*) FILTER (frame_index % 331 = 0) OVER w AS block FROM (SELECT DISTINCT source_id, frame_index FROM b) WINDOW w AS (PARTITION BY source_id ORDER BY frame_index)),
 p AS (SELECT *, lag(i) OVER w AS before, coalesce(lag(block) OVER w, -1) <> block AS apart FROM b JOIN f USING (source_id, frame_index) WINDOW w AS (PARTITION BY source_id, x, y ORDER BY frame_index)),
 t AS (SELECT *, sum((apart OR i - before > 8)::INT) OVER w AS track, sum((apart OR i - before > 1)::INT) OVER w AS streak FROM p WINDOW w AS (PARTITION BY source_id, x, y ORDER BY frame_index)),
 s AS (SELECT *, row_number() OVER w AS nth, min(frame_index) OVER w AS began FROM t WINDOW w AS (PARTITION BY source_id, x, y, streak ORDER BY frame_index)),
 o AS (SELECT source_id, x, y, track, min(frame_index) AS spawned, max(frame_index) AS ended, min(frame_index) FILTER (nth >= 3) AS opened, arg_min(began, frame_index) FILTER (nth >= 3) AS began FROM s GROUP BY source_id, x, y, track),
 n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY opened, spawned, x, y) AS segment FROM o WHERE opened IS NOT NULL)
-SELECT source_id, 'open' AS kind, segment, began AS frame_index FROM n UNION ALL SELECT source_id, 'close', segment, ended FROM n""", views=False)
+SELECT source_id, 'open' AS kind, segment, began AS frame_index FROM n UNION ALL SELECT source_id, 'close', segment, ended FROM n"""
+
+
+@query(LANES, views=False)
 def multi_object_tracks(spark, sf_dir):
     """Open and close events of tracked objects. In lanes that never meet they are islands of frames, which the SQL finds; what
     happens where objects meet is tested on golden and random cases."""

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..operators import tracking
 from ..sources import testdata as td
-from ..streaming import live, replay
+from ..streaming import live, replay, tracks
 from ..streaming import operators as so
-from .detection import CROSS, SEEDED
+from .detection import CROSS, LANES, SEEDED, _blobs
 from .registry import query
 
 #: How much later than it happens each camera tells of a sighting, in hours; more than the window for the slowest.
@@ -81,3 +83,50 @@ def stream_tracker_state(spark, sf_dir):
     rows = td.sightings(spark, sf_dir).select("payload", "ts_us")
     checkpoint = _replayed(spark, rows, "ts_us", lambda s: so.tracker_dedup(s, ["payload"], "ts_us", td.WINDOW, lateness="0 seconds"), "tracker-state")[1]
     return replay.state(spark, checkpoint, "last").select("key.payload", "value.last")
+
+
+def _with_ends(blobs):
+    """Blobs with a last frame for each source, which ends it."""
+    last = blobs.groupBy("source_id").agg((F.max("frame_index") + 1).alias("frame_index"))
+    return blobs.unionByName(last, allowMissingColumns=True)
+
+
+def _tracked(spark, blobs, tag, rules=None):
+    return _replayed(spark, _with_ends(blobs), "frame_index", lambda s: tracks.object_tracks(s, rules), tag)[0]
+
+
+@query(LANES, views=False)
+def stream_object_tracks(spark, sf_dir):
+    """Tracking as a stream, in lanes that never meet."""
+    events = _tracked(spark, _blobs(spark, sf_dir), "lanes").where("kind <> 'primary'")
+    return events.select("source_id", "kind", "segment", F.col("at_frame").alias("frame_index"))
+
+
+def moving_blobs(spark, sf_dir):
+    """Six objects a source that cross each other in two lanes, some frames unseen; those that touch are one blob, as a motion
+    mask would have it: so they meet, merge and split."""
+    line, frame = td.table(spark, sf_dir, "lineitem"), (F.col("l_orderkey") % 997).cast("long")
+    k = F.col("l_partkey") % 6
+    seen = line.select(F.format_string("cam%d", F.col("l_linenumber") % 4).alias("source_id"), frame.alias("frame_index"), k.alias("k")).distinct()
+    x = F.when(F.col("k") % 2 == 0, F.col("frame_index") * (2 + F.col("k")) % 900).otherwise(900 - F.col("frame_index") * (1 + F.col("k")) % 900)
+    boxes = seen.select("source_id", "frame_index", (F.col("k").cast("int") % 3 % 2 * 300).alias("y"), x.cast("int").alias("x"), (60 + 8 * F.col("k")).cast("int").alias("w"))
+    w = Window.partitionBy("source_id", "frame_index", "y").orderBy("x", "w")
+    reach = F.max(F.col("x") + F.col("w")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parts = boxes.withColumn("part", F.sum((F.col("x") > F.coalesce(reach, F.lit(-1))).cast("int")).over(w))
+    blobs = parts.groupBy("source_id", "frame_index", "y", "part").agg(F.min("x").alias("x"), F.max(F.col("x") + F.col("w")).alias("_to"), F.sum(F.col("w") * 50).cast("int").alias("area"))
+    return blobs.select("source_id", "frame_index", (F.col("frame_index") % 331 == 0).alias("discontinuity"), "x", "y", (F.col("_to") - F.col("x")).alias("w"), F.lit(50).alias("h"), "area")
+
+
+RULES = tracking.Rules(diagonal=600.0)
+
+
+@query()
+def stream_crossing_tracks(spark, sf_dir):
+    """Opens, closes and the primary track of each frame where objects meet, merge and split; a brute-force tracker is the test."""
+    return _tracked(spark, moving_blobs(spark, sf_dir), "crossing", RULES)
+
+
+@query()
+def crossing_tracks(spark, sf_dir):
+    """The batch form over the same blobs."""
+    return tracking.track_objects(moving_blobs(spark, sf_dir), RULES)

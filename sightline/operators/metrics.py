@@ -32,10 +32,15 @@ def rates(events: DataFrame, frames: DataFrame, keys: list[str], at: str, unit:
         ends = anchor.first()
         first, last = (F.lit(ends[c]).alias(c) for c in ("first_ts", "last_ts"))
         out = rows.withColumn("last_ts", last).agg(*[c.alias(n) for n, c in counts.items()]).select("*", first, last)
-    span: Column = F.least(F.lit(float(HOUR)), F.greatest((F.col("last_ts") - F.col("first_ts")) / unit, F.lit(float(LEAST_SPAN))))
-    return out.select(
-        *keys, "p1", "m1", "p24", "m24", (F.col("p1") * HOUR / span).alias("passes_per_hour"),
-        ratio(F.col("p1"), F.col("p1") + F.col("m1")).alias("read_rate_1h"), ratio(F.col("p24"), F.col("p24") + F.col("m24")).alias("read_rate_24h"))
+    return out.select(*keys, *rate_columns(unit))
+
+
+def rate_columns(unit: int = 1) -> list[Column]:
+    """What rates() tells, from first_ts, last_ts and the counts p1, m1, p24, m24."""
+    span = F.least(F.lit(float(HOUR)), F.greatest((F.col("last_ts") - F.col("first_ts")) / unit, F.lit(float(LEAST_SPAN))))
+    return [
+        *map(F.col, ("p1", "m1", "p24", "m24")), (F.col("p1") * HOUR / span).alias("passes_per_hour"),
+        ratio(F.col("p1"), F.col("p1") + F.col("m1")).alias("read_rate_1h"), ratio(F.col("p24"), F.col("p24") + F.col("m24")).alias("read_rate_24h")]
 
 
 def fps(frames: DataFrame, keys: list[str], second: Column, now: Column, elapsed: Column, window: int) -> DataFrame:

@@ -154,13 +154,19 @@ def _rates(spark, sf_dir):
     return metrics.rates(events, clock, ["user_id"], "ts_us", 1_000_000)
 
 
-@query(f"--cte {RATE} SELECT user_id, p1, m1, p24, m24, round(p1 * 3600 / least(3600.0, greatest((l - f) / 1000000.0, 60.0)), 6) AS passes_per_hour, round(p1 / nullif(p1 + m1, 0)::DOUBLE, 6) AS read_rate_1h, round(p24 / nullif(p24 + m24, 0)::DOUBLE, 6) AS read_rate_24h FROM c")
+RATES = f"--cte {RATE} SELECT user_id, p1, m1, p24, m24, round(p1 * 3600 / least(3600.0, greatest((l - f) / 1000000.0, 60.0)), 6) AS passes_per_hour, round(p1 / nullif(p1 + m1, 0)::DOUBLE, 6) AS read_rate_1h, round(p24 / nullif(p24 + m24, 0)::DOUBLE, 6) AS read_rate_24h FROM c"
+
+
+@query(RATES)
 def rates(spark, sf_dir):
     """Rolling rates up to the latest frame."""
     return _rounded(_rates(spark, sf_dir), "passes_per_hour", "read_rate_1h", "read_rate_24h")
 
 
-@query("--cte n AS (SELECT user_id, max(ts_us) / 1000000.0 + 0.25 AS now, min(ts_us) / 1000000.0 AS f FROM timed GROUP BY 1) SELECT user_id, round(count(*) FILTER (floor(ts_us / 1000000.0) > floor(now) - 86400 AND floor(ts_us / 1000000.0) <= floor(now)) / greatest(least(max(now) - max(f), 86399 + max(now) - floor(max(now))), 1e-9), 9) AS fps FROM timed JOIN n USING (user_id) GROUP BY user_id")
+FPS = "--cte n AS (SELECT user_id, max(ts_us) / 1000000.0 + 0.25 AS now, min(ts_us) / 1000000.0 AS f FROM timed GROUP BY 1) SELECT user_id, round(count(*) FILTER (floor(ts_us / 1000000.0) > floor(now) - 86400 AND floor(ts_us / 1000000.0) <= floor(now)) / greatest(least(max(now) - max(f), 86399 + max(now) - floor(max(now))), 1e-9), 9) AS fps FROM timed JOIN n USING (user_id) GROUP BY user_id"
+
+
+@query(FPS)
 def fps(spark, sf_dir):
     """Frames per second over whole seconds and the part of the current one."""
     t = td.timed(spark, sf_dir).select("user_id", "ts_us")
@@ -172,7 +178,10 @@ def fps(spark, sf_dir):
 LAST = "w AS (SELECT event_type AS source_id, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS k FROM events), v AS (SELECT source_id, list(value) AS v FROM w WHERE k <= 512 GROUP BY 1)"
 
 
-@query(f"WITH {LAST} SELECT source_id, len(v) AS samples, round({PCT.format(v='v', q=0.5)}, 6) AS p50_ms, round({PCT.format(v='v', q=0.95)}, 6) AS p95_ms FROM v", views=False)
+LATENCY = f"WITH {LAST} SELECT source_id, len(v) AS samples, round({PCT.format(v='v', q=0.5)}, 6) AS p50_ms, round({PCT.format(v='v', q=0.95)}, 6) AS p95_ms FROM v"
+
+
+@query(LATENCY, views=False)
 def latency_pct(spark, sf_dir):
     """Percentiles of each source's last samples."""
     rows = td.table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id"), "event_id", "value")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import tracking
+from ..operators import metrics, tracking
 from ..sources import testdata as td
 from ..streaming import live, replay, tracks
+from ..streaming import metrics as live_metrics
 from ..streaming import operators as so
 from .detection import CROSS, LANES, SEEDED, _blobs
 from .registry import query
+from .reporting import FPS, LATENCY, RATES
 
 #: How much later than it happens each camera tells of a sighting, in hours; more than the window for the slowest.
 LAGS = {"click": 0, "purchase": 1, "signup": 3, "view": 13}
@@ -130,3 +132,42 @@ def stream_crossing_tracks(spark, sf_dir):
 def crossing_tracks(spark, sf_dir):
     """The batch form over the same blobs."""
     return tracking.track_objects(moving_blobs(spark, sf_dir), RULES)
+
+
+def _last_metrics(spark, rows, key, tag, **options):
+    """The row that each source's metrics end with."""
+    told = _replayed(spark, rows, "arrival", lambda s: live_metrics.live_metrics(s, key, **options), tag)[0]
+    return told.groupBy(key).agg(F.max_by(F.struct(*[c for c in told.columns if c != key]), "n_rows").alias("m")).select(key, "m.*")
+
+
+def _metric_rows(spark, sf_dir, key):
+    t = td.timed(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "error", "miss").otherwise("pass")
+    return t.select(F.col(key), F.col("ts_us").alias("at"), kind.alias("kind"), F.col("event_id").alias("seq"), "value", F.col("ts_us").alias("arrival"))
+
+
+@query(RATES)
+def stream_rates(spark, sf_dir):
+    """Rolling counts and rates of the last hour and day, live, up to a frame half an hour after the last event."""
+    rows = _metric_rows(spark, sf_dir, "user_id")
+    idle = rows.groupBy("user_id").agg((F.max("at") + td.HOUR // 2).alias("at")).withColumn("arrival", F.col("at"))
+    last = _last_metrics(spark, rows.unionByName(idle, allowMissingColumns=True), "user_id", "rates")
+    out = last.select("user_id", *metrics.rate_columns(1_000_000))
+    return out.withColumns({c: F.round(c, 6) for c in ("passes_per_hour", "read_rate_1h", "read_rate_24h")})
+
+
+@query(FPS)
+def stream_fps(spark, sf_dir):
+    """Frames per second of the last day, live."""
+    last = _last_metrics(spark, _metric_rows(spark, sf_dir, "user_id"), "user_id", "fps", window=86_400)
+    now = F.col("last_ts") / 1e6 + 0.25
+    coverage = F.lit(86_399) + now - F.floor(now)
+    return last.select("user_id", F.round(F.col("in_window") / F.greatest(F.least(now - F.col("first_ts") / 1e6, coverage), F.lit(1e-9)), 9).alias("fps"))
+
+
+@query(LATENCY, views=False)
+def stream_latency_pct(spark, sf_dir):
+    """Percentiles of each source's last samples, live."""
+    rows = _metric_rows(spark, sf_dir, "event_type").withColumn("arrival", F.col("seq"))
+    last = _last_metrics(spark, rows, "event_type", "latency", most=512)
+    return last.select(F.col("event_type").alias("source_id"), "samples", F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))

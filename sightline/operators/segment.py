@@ -73,7 +73,11 @@ def frames_around(frames: DataFrame, found: DataFrame, source: str, at: str, cel
 
     Times are integers of one unit."""
     spans = found.select(source, "seq", "start", "end", (F.col("start") - pre).alias("_from"), (F.col("end") + post).alias("_to"))
-    near = in_spans(frames, at, spans, [source], "_from", "_to", cell)
+    return sampled(in_spans(frames, at, spans, [source], "_from", "_to", cell), source, at, cap)
+
+
+def sampled(near: DataFrame, source: str, at: str, cap: int) -> DataFrame:
+    """Frames near segments (source, seq, start, end, at): all before and after, a reservoir of those inside."""
     part = F.when(F.col(at) <= F.col("start"), "pre").when(F.col(at) <= F.col("end"), "inside").otherwise("post")
     marked = near.withColumn("part", part)
     inside = reservoir(marked.where("part = 'inside'"), [source, "seq"], at, cap).drop("stride")

@@ -77,10 +77,13 @@ def reservoir(spark, sf_dir):
     return segment.reservoir(rows.select("user_id", "event_id", order), ["user_id"], "o", 24).select("user_id", "event_id", "stride")
 
 
-@query(f"""--cte {PLAIN}, seg AS (SELECT user_id, seq, min(f.ts_us) AS s, max(f.ts_us) AS e FROM segs JOIN frames f USING (user_id) WHERE f.frame_index BETWEEN first_frame AND last_frame GROUP BY user_id, seq),
+EVIDENCE = f"""--cte {PLAIN}, seg AS (SELECT user_id, seq, min(f.ts_us) AS s, max(f.ts_us) AS e FROM segs JOIN frames f USING (user_id) WHERE f.frame_index BETWEEN first_frame AND last_frame GROUP BY user_id, seq),
 near AS (SELECT g.user_id, seq, f.ts_us, CASE WHEN f.ts_us <= s THEN 'pre' WHEN f.ts_us <= e THEN 'inside' ELSE 'post' END AS part FROM seg g JOIN frames f USING (user_id) WHERE f.ts_us BETWEEN s - 43200000000 AND e + 43200000000),
 num AS (SELECT *, row_number() OVER (PARTITION BY user_id, seq, part ORDER BY ts_us) - 1 AS i, count(*) OVER (PARTITION BY user_id, seq, part) AS n FROM near)
-SELECT user_id, seq, ts_us, part FROM num WHERE part <> 'inside' OR i % (2 ** greatest(0, ceil(log2(n / 4.0))))::BIGINT = 0""")
+SELECT user_id, seq, ts_us, part FROM num WHERE part <> 'inside' OR i % (2 ** greatest(0, ceil(log2(n / 4.0))))::BIGINT = 0"""
+
+
+@query(EVIDENCE)
 def evidence_frames(spark, sf_dir):
     """Pre-roll, sample and post-roll of each segment, by a join on time cells."""
     frames = td.frames(spark, sf_dir)
@@ -90,13 +93,21 @@ def evidence_frames(spark, sf_dir):
     return segment.frames_around(frames.select("user_id", "ts_us"), spans, "user_id", "ts_us", td.DAY, td.DAY // 2, td.DAY // 2, 4)
 
 
-@query("--cte d AS (SELECT payload AS candidate, source_id AS payload, count(*) AS decode_count, min(ts_us) AS first_decode, arg_min(event_id, ts_us) AS best FROM sightings GROUP BY 1, 2), c AS (SELECT * FROM d WHERE decode_count >= 12), every AS (SELECT DISTINCT payload AS candidate FROM timed) SELECT candidate, payload, decode_count, first_decode, best AS best_event, 'pass' AS outcome FROM c UNION ALL SELECT candidate, NULL, 0, NULL, NULL, 'miss' FROM every WHERE candidate NOT IN (SELECT candidate FROM c)")
+PASS_OR_MISS = "--cte d AS (SELECT payload AS candidate, source_id AS payload, count(*) AS decode_count, min(ts_us) AS first_decode, arg_min(event_id, ts_us) AS best FROM sightings GROUP BY 1, 2), c AS (SELECT * FROM d WHERE decode_count >= 12), every AS (SELECT DISTINCT payload AS candidate FROM timed) SELECT candidate, payload, decode_count, first_decode, best AS best_event, 'pass' AS outcome FROM c UNION ALL SELECT candidate, NULL, 0, NULL, NULL, 'miss' FROM every WHERE candidate NOT IN (SELECT candidate FROM c)"
+
+
+@query(PASS_OR_MISS)
 def pass_or_miss(spark, sf_dir):
     """Payloads confirmed by enough decodes are passes; segments without one are misses."""
     s = td.sightings(spark, sf_dir)
-    groups = s.groupBy(F.col("payload").alias("candidate"), F.col("source_id").alias("payload")).agg(F.count(F.lit(1)).alias("decode_count"), F.min("ts_us").alias("first_decode"), F.min_by("event_id", "ts_us").alias("best_event"))
+    decodes = s.select(F.col("payload").alias("candidate"), F.col("source_id").alias("payload"), "ts_us", "event_id")
+    return passes_or_misses(decodes, td.timed(spark, sf_dir).select(F.col("payload").alias("candidate")).distinct())
+
+
+def passes_or_misses(decodes, every):
+    """Of each candidate its confirmed payloads, or a miss."""
+    groups = decodes.groupBy("candidate", "payload").agg(F.count(F.lit(1)).alias("decode_count"), F.min("ts_us").alias("first_decode"), F.min_by("event_id", "ts_us").alias("best_event"))
     confirmed = groups.where("decode_count >= 12").withColumn("outcome", F.lit("pass"))
-    every = td.timed(spark, sf_dir).select(F.col("payload").alias("candidate")).distinct()
     none = every.join(confirmed.select("candidate").distinct(), "candidate", "left_anti")
     none = none.select("candidate", F.lit(None).cast("string").alias("payload"), F.lit(0).cast("long").alias("decode_count"), *[F.lit(None).cast("long").alias(c) for c in ("first_decode", "best_event")], F.lit("miss").alias("outcome"))
     return confirmed.unionByName(none)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import metrics, tracking
+from ..operators import metrics, segment, tracking
 from ..sources import testdata as td
-from ..streaming import live, replay, tracks
+from ..streaming import joins, live, replay, tracks
 from ..streaming import metrics as live_metrics
 from ..streaming import operators as so
-from .detection import CROSS, LANES, SEEDED, _blobs
+from .detection import CROSS, EVIDENCE, LANES, PASS_OR_MISS, SEEDED, _blobs, _segments, passes_or_misses
 from .registry import query
 from .reporting import FPS, LATENCY, RATES
 
@@ -171,3 +171,37 @@ def stream_latency_pct(spark, sf_dir):
     rows = _metric_rows(spark, sf_dir, "event_type").withColumn("arrival", F.col("seq"))
     last = _last_metrics(spark, rows, "event_type", "latency", most=512)
     return last.select(F.col("event_type").alias("source_id"), "samples", F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))
+
+
+def _joined(spark, rows, at, spans, end, build, tag, batches=3):
+    """Two streams, landed up to the same instants, through build(rows, spans); the table, its checkpoint and what it is made of."""
+    base = replay.fresh(spark, tag)
+    ends = replay.cuts(rows.select(F.col(at).alias("_t")), "_t", batches)
+    for k, (lo, hi) in enumerate(zip([None, *ends], [*ends, None], strict=True)):
+        for name, side, column in (("rows", rows, at), ("spans", spans, end)):
+            part = side if lo is None else side.where(F.col(column) > lo)
+            replay.land(part if hi is None else part.where(F.col(column) <= hi), column, 1, {"": f"{base}/{name}"}, ends=[])
+    with replay.settings(spark):
+        build_now = lambda: build(replay.source(spark, f"{base}/rows", rows.schema), replay.source(spark, f"{base}/spans", spans.schema))
+        return replay.finished(build_now, f"{base}/out", f"{base}/checkpoint"), f"{base}/checkpoint"
+
+
+@query(PASS_OR_MISS)
+def stream_pass_or_miss(spark, sf_dir):
+    """Decodes joined to the segments they fall in, both as streams; a segment none falls in is told when its time is over."""
+    t = td.timed(spark, sf_dir)
+    spans = t.groupBy(F.col("payload").alias("candidate")).agg(F.min("ts_us").alias("start"), F.max("ts_us").alias("end"))
+    decodes = td.sightings(spark, sf_dir).select(F.col("payload").alias("candidate"), F.col("source_id").alias("payload"), "ts_us", "event_id")
+    met = _joined(spark, decodes, "ts_us", spans, "end", lambda d, s: joins.rows_in_spans(d, "ts_us", s, "start", "end", ["candidate"], 40 * td.DAY, outer=True), "decodes")[0]
+    return passes_or_misses(met.where("payload is not null"), met.select("candidate").distinct())
+
+
+@query(EVIDENCE)
+def stream_evidence_frames(spark, sf_dir):
+    """Frames joined to the segments around which they lie, both as streams; each segment's sample is taken from what has met."""
+    frames = td.frames(spark, sf_dir)
+    inside = segment.in_spans(frames.select("user_id", "frame_index", "ts_us"), "frame_index", _segments(spark, sf_dir), ["user_id"], "first_frame", "last_frame", 1024)
+    spans = inside.groupBy("user_id", "seq").agg(F.min("ts_us").alias("start"), F.max("ts_us").alias("end"))
+    spans = spans.select("*", (F.col("start") - td.DAY // 2).alias("since"), (F.col("end") + td.DAY // 2).alias("until"))
+    near = _joined(spark, frames.select("user_id", "ts_us"), "ts_us", spans, "until", lambda f, s: joins.rows_in_spans(f, "ts_us", s, "since", "until", ["user_id"], 40 * td.DAY), "frames")[0]
+    return segment.sampled(near, "user_id", "ts_us", 4)

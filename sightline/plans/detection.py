@@ -30,6 +30,12 @@ def _segments(spark, sf_dir, **options):
     return segment.segments(td.frames(spark, sf_dir), ["user_id"], "frame_index", "active", 2, 3, **options)
 
 
+def timed_segments(spark, sf_dir):
+    """Segments (user_id, seq) with the instants of their first and last frames."""
+    inside = segment.in_spans(td.frames(spark, sf_dir).select("user_id", "frame_index", "ts_us"), "frame_index", _segments(spark, sf_dir), ["user_id"], "first_frame", "last_frame", 1024)
+    return inside.groupBy("user_id", "seq").agg(F.min("ts_us").alias("start"), F.max("ts_us").alias("end"))
+
+
 @query(f"--cte {PLAIN} SELECT * FROM segs")
 def segments(spark, sf_dir):
     """Hysteresis segments per source."""
@@ -51,7 +57,10 @@ def segment_ids(spark, sf_dir):
         ex.frames_of(F.lit(0.25), fps, F.lit(3)).alias("open_frames"), ex.frames_of(F.lit(0.01), fps, F.lit(3)).alias("quiet_frames"))
 
 
-@query(f"--cte {PLAIN}, open_segs AS (SELECT user_id, max(seq) AS seq FROM segs GROUP BY user_id) SELECT s.user_id, s.seq, s.last_frame AS closed_at FROM segs s JOIN open_segs USING (user_id, seq)")
+FLUSHED = f"--cte {PLAIN}, open_segs AS (SELECT user_id, max(seq) AS seq FROM segs GROUP BY user_id) SELECT s.user_id, s.seq, s.last_frame AS closed_at FROM segs s JOIN open_segs USING (user_id, seq)"
+
+
+@query(FLUSHED)
 def segments_flushed(spark, sf_dir):
     """The last segment of each source, which the end of the input closes."""
     found = _segments(spark, sf_dir)
@@ -86,10 +95,7 @@ SELECT user_id, seq, ts_us, part FROM num WHERE part <> 'inside' OR i % (2 ** gr
 @query(EVIDENCE)
 def evidence_frames(spark, sf_dir):
     """Pre-roll, sample and post-roll of each segment, by a join on time cells."""
-    frames = td.frames(spark, sf_dir)
-    found = _segments(spark, sf_dir)
-    inside = segment.in_spans(frames.select("user_id", "frame_index", "ts_us"), "frame_index", found, ["user_id"], "first_frame", "last_frame", 1024)
-    spans = inside.groupBy("user_id", "seq").agg(F.min("ts_us").alias("start"), F.max("ts_us").alias("end"))
+    frames, spans = td.frames(spark, sf_dir), timed_segments(spark, sf_dir)
     return segment.frames_around(frames.select("user_id", "ts_us"), spans, "user_id", "ts_us", td.DAY, td.DAY // 2, td.DAY // 2, 4)
 
 

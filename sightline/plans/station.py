@@ -278,16 +278,16 @@ def truth_round_trip(spark, sf_dir):
     return back.select(F.col("pass_id").cast("long").alias("pass_id"), "payload", "first_frame", "last_frame", F.col("params")["speed_mph"].alias("speed"), F.col("params")["note"].alias("note"))
 
 
-@query(f"""--cte {detection.PLAIN}, seg AS (SELECT user_id, seq, min(f.ts_us) AS s, max(f.ts_us) AS e FROM segs JOIN frames f USING (user_id) WHERE f.frame_index BETWEEN first_frame AND last_frame GROUP BY 1, 2),
+DEADLINES = f"""--cte {detection.PLAIN}, seg AS (SELECT user_id, seq, min(f.ts_us) AS s, max(f.ts_us) AS e FROM segs JOIN frames f USING (user_id) WHERE f.frame_index BETWEEN first_frame AND last_frame GROUP BY 1, 2),
 d AS (SELECT user_id, seq, event_type, count(*) AS n FROM seg JOIN frames f USING (user_id) WHERE f.ts_us BETWEEN s AND e + 7200000000 AND event_type <> 'error' GROUP BY 1, 2, 3)
-SELECT user_id, seq, e + 7200000000 AS settled FROM seg WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = seg.user_id AND d.seq = seg.seq AND n >= 2)""")
+SELECT user_id, seq, e + 7200000000 AS settled FROM seg WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = seg.user_id AND d.seq = seg.seq AND n >= 2)"""
+
+
+@query(DEADLINES)
 def miss_deadlines(spark, sf_dir):
     """Segments that no payload confirms until a while after their end."""
-    from ..operators import segment
-
     frames = td.frames(spark, sf_dir)
-    inside = segment.in_spans(frames.select("user_id", "frame_index", "ts_us"), "frame_index", detection.segments(spark, sf_dir), ["user_id"], "first_frame", "last_frame", 1024)
-    found = inside.groupBy("user_id", "seq").agg(F.min("ts_us").alias("start"), F.max("ts_us").alias("end"))
+    found = detection.timed_segments(spark, sf_dir)
     decodes = frames.where("event_type <> 'error'").select("user_id", F.col("ts_us").alias("at"), F.col("event_type").alias("payload"))
     return station.overdue(found, decodes, ["user_id"], "at", 2 * td.HOUR, 2, td.DAY)
 

@@ -10,9 +10,11 @@ from ..sources import testdata as td
 from ..streaming import joins, live, replay, tracks
 from ..streaming import metrics as live_metrics
 from ..streaming import operators as so
-from .detection import CROSS, EVIDENCE, LANES, PASS_OR_MISS, SEEDED, _blobs, _segments, passes_or_misses
+from ..streaming import segments as live_segments
+from .detection import CROSS, EVIDENCE, FLUSHED, LANES, PASS_OR_MISS, SEEDED, _blobs, passes_or_misses, timed_segments
 from .registry import query
 from .reporting import FPS, LATENCY, RATES
+from .station import DEADLINES
 
 #: How much later than it happens each camera tells of a sighting, in hours; more than the window for the slowest.
 LAGS = {"click": 0, "purchase": 1, "signup": 3, "view": 13}
@@ -200,8 +202,41 @@ def stream_pass_or_miss(spark, sf_dir):
 def stream_evidence_frames(spark, sf_dir):
     """Frames joined to the segments around which they lie, both as streams; each segment's sample is taken from what has met."""
     frames = td.frames(spark, sf_dir)
-    inside = segment.in_spans(frames.select("user_id", "frame_index", "ts_us"), "frame_index", _segments(spark, sf_dir), ["user_id"], "first_frame", "last_frame", 1024)
-    spans = inside.groupBy("user_id", "seq").agg(F.min("ts_us").alias("start"), F.max("ts_us").alias("end"))
-    spans = spans.select("*", (F.col("start") - td.DAY // 2).alias("since"), (F.col("end") + td.DAY // 2).alias("until"))
+    spans = timed_segments(spark, sf_dir).select("*", (F.col("start") - td.DAY // 2).alias("since"), (F.col("end") + td.DAY // 2).alias("until"))
     near = _joined(spark, frames.select("user_id", "ts_us"), "ts_us", spans, "until", lambda f, s: joins.rows_in_spans(f, "ts_us", s, "since", "until", ["user_id"], 40 * td.DAY), "frames")[0]
     return segment.sampled(near, "user_id", "ts_us", 4)
+
+
+#: A source is taken for silent after so long; the station's own heartbeat goes on, so that its time passes.
+SILENCE = 35 * td.DAY
+
+
+def _heartbeat(rows, at, later):
+    """A last row of the station itself, `later` than all others."""
+    return rows.unionByName(rows.agg((F.max(at) + later).alias(at)).withColumn("source_id", F.lit("station")), allowMissingColumns=True)
+
+
+@query(FLUSHED)
+def stream_segments_flushed(spark, sf_dir):
+    """The last segment of each source: closed by its frames, or when the source has been silent for long."""
+    frames = td.frames(spark, sf_dir).select(F.col("user_id").cast("string").alias("source_id"), "frame_index", F.col("ts_us").alias("at"), "active", F.lit(False).alias("discontinuity"))
+    beat = _heartbeat(frames, "at", SILENCE + td.DAY).fillna({"frame_index": 0, "active": False, "discontinuity": False})
+    told = _replayed(spark, beat, "at", lambda s: live_segments.segment_events(s, 2, 3, SILENCE), "flushed")[0].where("kind = 'close'")
+    last = told.groupBy("source_id").agg(F.max_by("frame_index", "seq").alias("closed_at"), F.max("seq").alias("seq"))
+    return last.select(F.col("source_id").cast("long").alias("user_id"), "seq", "closed_at")
+
+
+MISSED = DEADLINES.replace("SELECT user_id, seq, e + 7200000000 AS settled FROM seg", "SELECT user_id, seq, e + 7200000000 AS settled, row_number() OVER (PARTITION BY user_id ORDER BY e, seq) AS place FROM seg")
+
+
+@query(MISSED)
+def stream_misses(spark, sf_dir):
+    """Segments that no payload confirms until a while after their end, told one after another as their deadlines pass."""
+    found = timed_segments(spark, sf_dir)
+    none = F.lit(None).cast("string").alias("payload")
+    source = F.col("user_id").cast("string").alias("source_id")
+    rows = found.select(source, F.lit("open").alias("kind"), F.col("start").alias("at"), "seq", none).unionByName(found.select(source, F.lit("close").alias("kind"), F.col("end").alias("at"), "seq", none))
+    decodes = td.frames(spark, sf_dir).where("event_type <> 'error'").select(source, F.lit("decode").alias("kind"), F.col("ts_us").alias("at"), F.lit(None).cast("long").alias("seq"), F.col("event_type").alias("payload"))
+    beat = _heartbeat(rows.unionByName(decodes), "at", td.DAY).fillna({"kind": "gap"})
+    told = _replayed(spark, beat, "at", lambda s: live_segments.misses(s, 2 * td.HOUR, 2), "misses")[0]
+    return told.select(F.col("source_id").cast("long").alias("user_id"), "seq", "settled", "place")

@@ -11,10 +11,12 @@ from ..streaming import joins, live, replay, tracks
 from ..streaming import metrics as live_metrics
 from ..streaming import operators as so
 from ..streaming import segments as live_segments
+from ..streaming.upsert import Upserts
 from .detection import CROSS, EVIDENCE, FLUSHED, LANES, PASS_OR_MISS, SEEDED, _blobs, passes_or_misses, timed_segments
 from .registry import query
 from .reporting import FPS, LATENCY, RATES
 from .station import DEADLINES
+from .storage import VIEW, _log
 
 #: How much later than it happens each camera tells of a sighting, in hours; more than the window for the slowest.
 LAGS = {"click": 0, "purchase": 1, "signup": 3, "view": 13}
@@ -194,8 +196,11 @@ def stream_pass_or_miss(spark, sf_dir):
     t = td.timed(spark, sf_dir)
     spans = t.groupBy(F.col("payload").alias("candidate")).agg(F.min("ts_us").alias("start"), F.max("ts_us").alias("end"))
     decodes = td.sightings(spark, sf_dir).select(F.col("payload").alias("candidate"), F.col("source_id").alias("payload"), "ts_us", "event_id")
+    # Both sides go on for a day, so that the last spans' time is over too.
+    spans = spans.unionByName(spans.agg(F.lit("station").alias("candidate"), *[(F.max("end") + td.DAY).alias(c) for c in ("start", "end")]))
+    decodes = decodes.unionByName(spans.where("candidate = 'station'").select(F.lit("heartbeat").alias("candidate"), F.col("end").alias("ts_us")), allowMissingColumns=True)
     met = _joined(spark, decodes, "ts_us", spans, "end", lambda d, s: joins.rows_in_spans(d, "ts_us", s, "start", "end", ["candidate"], 40 * td.DAY, outer=True), "decodes")[0]
-    return passes_or_misses(met.where("payload is not null"), met.select("candidate").distinct())
+    return passes_or_misses(met.where("payload is not null"), met.where("candidate <> 'station'").select("candidate").distinct())
 
 
 @query(EVIDENCE)
@@ -240,3 +245,15 @@ def stream_misses(spark, sf_dir):
     beat = _heartbeat(rows.unionByName(decodes), "at", td.DAY).fillna({"kind": "gap"})
     told = _replayed(spark, beat, "at", lambda s: live_segments.misses(s, 2 * td.HOUR, 2), "misses")[0]
     return told.select(F.col("source_id").cast("long").alias("user_id"), "seq", "settled", "place")
+
+
+@query(f"WITH {VIEW} SELECT * FROM view", views=False)
+def stream_current_view(spark, sf_dir):
+    """The current view of a log that arrives in micro-batches and is folded into buckets every second one."""
+    log, base = _log(spark, sf_dir), replay.fresh(spark, "upserts")
+    replay.land(log, "ingest_seq", 5, {"": f"{base}/in"})
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema)
+    view = Upserts(spark, f"{base}/store", schema, "event_id", "revision", "ingest_seq", buckets=8, every=2)
+    query = replay.source(spark, f"{base}/in", log.schema).writeStream.foreachBatch(view.sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return view.view()

@@ -20,19 +20,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.dedup import ACTIONS, CrossCamera, action_row, evicted_row
 from . import replay
 
-COLUMNS = [c.split()[0] for c in ACTIONS.split(", ")]
 SIGHTING = "payload string, source_id string, at long, arrival_seq long, frame long, first_seen long, first_decode long, decode_count long"
 
 
-def actions_frame(rows: list[list]) -> pd.DataFrame:
-    table = pd.DataFrame(rows, columns=COLUMNS)
-    for c in ("revision", "n_cameras"):
-        table[c] = table[c].astype("Int32")
-    for c in ("anchor", "first_seen", "last_seen", "first_decode", "decode_count", "best_frame"):
-        table[c] = table[c].astype("Int64")
-    return table
-
-
 class LiveCrossCamera(StatefulProcessor):
     """Passes of a payload by anchor, one state row each; an empty body is a seed. A row without a camera is a marker: the
     pass at its instant is evicted."""
@@ -72,7 +62,7 @@ class LiveCrossCamera(StatefulProcessor):
                 self.handle.registerTimer(anchor // 1000 + 1)
         for anchor in changed & set(fold.passes):
             self.passes.updateValue((anchor,), (json.dumps(fold.passes[anchor]),))
-        yield actions_frame(out)
+        yield replay.table(out, ACTIONS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         done = expiredTimerInfo.getExpiryTimeInMs()

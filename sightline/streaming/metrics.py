@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.metrics import DAY, HOUR
+from .replay import table
 
 MINUTE, SECOND = 60_000_000, 1_000_000
 COUNTS = "first_ts long, last_ts long, n_rows long, p1 long, m1 long, p24 long, m24 long, in_window long, samples long, p50_ms double, p95_ms double"
@@ -24,8 +25,8 @@ def nearest(values: np.ndarray, q: float) -> float | None:
 
 
 class LiveMetrics(StatefulProcessor):
-    def __init__(self, key: str, window: int, most: int):
-        self.key, self.window, self.most = key, window, most
+    def __init__(self, schema: str, window: int, most: int):
+        self.schema, self.window, self.most = schema, window, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.span = handle.getValueState("span", "first long, last long, n long")
@@ -83,7 +84,7 @@ class LiveMetrics(StatefulProcessor):
         counts = self._events(frame[frame["kind"].isin(KINDS)], last)
         in_window = self._frames(times, last // SECOND)
         values = self._latency(frame[frame["value"].notna()])
-        yield pd.DataFrame([(key[0], first, last, n, *counts, in_window, len(values), nearest(values, 0.5), nearest(values, 0.95))], columns=[self.key, *(c.split()[0] for c in COUNTS.split(", "))])
+        yield table([(key[0], first, last, n, *counts, in_window, len(values), nearest(values, 0.5), nearest(values, 0.95))], self.schema)
 
     def close(self) -> None:
         pass
@@ -93,4 +94,4 @@ def live_metrics(rows: DataFrame, key: str, window: int = 5, most: int = 2048) -
     """Rows (key, at, kind, seq, value): each is a frame at an instant; kind says if it ended a pass or a miss, value (NULL if none) is the
     latency of sample number seq. `window`: seconds of the frame rate."""
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, {COUNTS}"
-    return rows.select(key, "at", "kind", "seq", "value").groupBy(key).transformWithStateInPandas(LiveMetrics(key, window, most), schema, "append", "none")
+    return rows.select(key, "at", "kind", "seq", "value").groupBy(key).transformWithStateInPandas(LiveMetrics(schema, window, most), schema, "append", "none")

@@ -14,15 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.dedup import ACTIONS, CrossCamera, action_row, evicted_row
+from .replay import table
 
-COLUMNS = [c.split()[0] for c in ACTIONS.split(", ")]
+SEGMENT_EVENTS = "source_id string, seq long, kind string, frame_index long"
+MISSES = "candidate_id string, start_ms long, stop_ms long"
 
 
 class _TrackerDedup(StatefulProcessor):
     """Keeps the last emitted instant of its key; with timers, until nothing can be within the window of it any more."""
 
-    def __init__(self, window: int, keys: list[str], at: str, ends: bool):
-        self.window, self.keys, self.at, self.ends = window, keys, at, ends
+    def __init__(self, window: int, schema: str, at: str, ends: bool):
+        self.window, self.schema, self.at, self.ends = window, schema, at, ends
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -46,7 +48,7 @@ class _TrackerDedup(StatefulProcessor):
                 out.append(t)
         if out:
             self._keep(last)
-        yield pd.DataFrame({**{k: [v] * len(out) for k, v in zip(self.keys, key, strict=True)}, self.at: out})
+        yield table([(*key, t) for t in out], self.schema)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.last.exists() and (self.last.get()[0] + self.window) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
@@ -65,7 +67,7 @@ def tracker_dedup(sightings: DataFrame, keys: list[str], at: str, window: int, s
     if lateness is not None:
         rows = rows.withColumn("_clock", F.timestamp_micros(at)).withWatermark("_clock", lateness)
     first = None if seeds is None else seeds.select(*keys, F.col("anchor").cast("long").alias("anchor")).groupBy(*keys)
-    return rows.groupBy(*keys).transformWithStateInPandas(_TrackerDedup(window, keys, at, lateness is not None), schema, "append", "none" if lateness is None else "eventTime", first)
+    return rows.groupBy(*keys).transformWithStateInPandas(_TrackerDedup(window, schema, at, lateness is not None), schema, "append", "none" if lateness is None else "eventTime", first)
 
 
 class _CrossCamera(StatefulProcessor):
@@ -96,12 +98,7 @@ class _CrossCamera(StatefulProcessor):
             if self.most is not None and (gone := fold.evict(self.most)):
                 out.append(evicted_row(key[0], int(r.arrival_seq), gone))
         self.state.update((json.dumps({"passes": fold.passes, "marks": fold.marks}),))
-        table = pd.DataFrame(out, columns=COLUMNS)
-        for c in ("revision", "n_cameras"):
-            table[c] = table[c].astype("Int32")
-        for c in ("anchor", "first_seen", "last_seen", "first_decode", "decode_count", "best_frame"):
-            table[c] = table[c].astype("Int64")
-        yield table
+        yield table(out, ACTIONS)
 
     def close(self) -> None:
         pass
@@ -145,7 +142,7 @@ class _Segments(StatefulProcessor):
                     opened = False
                     out.append((key[0], seq, "close", last))
         self.state.update((seq, opened, streak, quiet, began, last))
-        yield pd.DataFrame(out, columns=["source_id", "seq", "kind", "frame_index"])
+        yield table(out, SEGMENT_EVENTS)
 
     def close(self) -> None:
         pass
@@ -154,7 +151,7 @@ class _Segments(StatefulProcessor):
 def segment_events(frames: DataFrame, open_frames: int, quiet_frames: int) -> DataFrame:
     """(source_id, seq, kind, frame_index) from (source_id, frame_index, active, discontinuity)."""
     columns = ["source_id", "frame_index", "active", "discontinuity"]
-    return frames.select(*columns).groupBy("source_id").transformWithStateInPandas(_Segments(open_frames, quiet_frames), "source_id string, seq long, kind string, frame_index long", "append", "none")
+    return frames.select(*columns).groupBy("source_id").transformWithStateInPandas(_Segments(open_frames, quiet_frames), SEGMENT_EVENTS, "append", "none")
 
 
 class _Misses(StatefulProcessor):
@@ -187,7 +184,7 @@ class _Misses(StatefulProcessor):
         self.counts.clear()
         self.span.clear()
         if out:
-            yield pd.DataFrame(out, columns=["candidate_id", "start_ms", "stop_ms"])
+            yield table(out, MISSES)
 
     def close(self) -> None:
         pass
@@ -196,7 +193,7 @@ class _Misses(StatefulProcessor):
 def misses(events: DataFrame, post_ms: int, confirmations: int, lateness: str = "10 seconds") -> DataFrame:
     """(candidate_id, start_ms, stop_ms) from (candidate_id, kind open/decode/close, payload, at TIMESTAMP)."""
     marked = events.select("candidate_id", "kind", "payload", "at").withWatermark("at", lateness)
-    return marked.groupBy("candidate_id").transformWithStateInPandas(_Misses(post_ms, confirmations), "candidate_id string, start_ms long, stop_ms long", "append", "eventTime")
+    return marked.groupBy("candidate_id").transformWithStateInPandas(_Misses(post_ms, confirmations), MISSES, "append", "eventTime")
 
 
 def windowed_rates(events: DataFrame, at: str, width: str = "1 hour", slide: str = "10 minutes", lateness: str = "1 hour") -> DataFrame:

@@ -11,12 +11,22 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+_KINDS = {"long": "Int64", "bigint": "Int64", "int": "Int32", "double": "Float64"}
+
+
+def table(rows: list, schema: str) -> pd.DataFrame:
+    """Rows as a frame whose columns have the same types whatever is in them: Spark puts those of several keys together."""
+    columns = [c.split() for c in schema.split(", ")]
+    return pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=_KINDS.get(kind, object)) for i, (name, kind) in enumerate(columns)})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where none is set and Spark runs in this one process, a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .replay import table
+
 EVENTS = "source_id string, seq long, kind string, frame_index long"
 
 
@@ -56,14 +58,14 @@ class LiveSegments(StatefulProcessor):
         due = self.due.get()[0] if self.due.exists() else 0
         if newest + self.silence > due:
             self._wait(newest + self.silence)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+        yield table(out, EVENTS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.due.clear()
         seq, opened, _, _, began, last = self.gate.get()
         self.gate.update((seq, False, 0, 0, began, last))
         if opened:
-            yield pd.DataFrame([(key[0], seq, "close", last)], columns=[c.split()[0] for c in EVENTS.split(", ")])
+            yield table([(key[0], seq, "close", last)], EVENTS)
 
     def close(self) -> None:
         pass
@@ -108,7 +110,7 @@ class LiveMisses(StatefulProcessor):
                 n += 1
                 out.append((key[0], seq, deadline, n))
         self.told.update((n,))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in MISSES.split(", ")])
+        return table(out, MISSES)
 
     def handleInputRows(self, key, rows, timerValues):
         spans = {seq: list(span) for (seq,), span in self.spans.iterator()}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.tracking import BOX, LIVE, Rules, Tracker
+from .replay import table
 
 TOLD = "source_id string, frame_index long, kind string, segment long, at_frame long"
 _TYPES = {"f": "double", "i": "long"}
@@ -47,10 +48,7 @@ class LiveTracks(StatefulProcessor):
                 out.append((key[0], index, "primary", primary, None))
         self.live.put([tuple(t.item()) for t in tracker.live]) if len(tracker.live) else self.live.clear()
         self.opened.update((tracker.n_segments,))
-        table = pd.DataFrame(out, columns=[c.split()[0] for c in TOLD.split(", ")])
-        for c in ("segment", "at_frame"):
-            table[c] = table[c].astype("Int64")
-        yield table
+        yield table(out, TOLD)
 
     def close(self) -> None:
         pass

@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .pictures import VARIANTS, Mixture, box_back, parts
 
 
 def grey(image: np.ndarray) -> np.ndarray:
@@ -51,25 +54,10 @@ def bounding_box(mask: np.ndarray) -> tuple[int, int, int, int] | None:
 
 
 def blobs(mask: np.ndarray, least_area: int = 1, most: int = 8, closing: int = 0) -> list[tuple[int, int, int, int, int]]:
-    """(x, y, w, h, area) of eight-connected parts, gaps closed first, largest first, at most `most`.
-
-    Labels spread along rows and columns until none changes."""
+    """(x, y, w, h, area) of eight-connected parts, gaps closed first, largest first, at most `most`."""
     if closing:
         mask = erode(dilate(np.pad(mask, closing), closing), closing)[closing:-closing, closing:-closing]
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        p = np.pad(label, 1)
-        best = np.max([p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        new = np.where(mask, best, 0)
-        if (new == label).all():
-            break
-        label = new
-    out = []
-    for v in np.unique(label[label > 0]).tolist():
-        part = label == v
-        if (area := int(part.sum())) >= least_area:
-            out.append((*bounding_box(part), area))
-    return sorted(out, key=lambda b: (-b[4], b[:4]))[:most]
+    return sorted((p for p in parts(mask) if p[4] >= least_area), key=lambda b: (-b[4], b[:4]))[:most]
 
 
 def focus(image: np.ndarray) -> float:
@@ -84,42 +72,48 @@ def turned_box(box: tuple[int, int, int, int], width: int, height: int, quarter_
     return {0: (x, y, w, h), 1: (width - y - h, x, h, w), 2: (width - x - w, height - y - h, w, h), 3: (y, height - x - w, h, w)}[quarter_turns % 4]
 
 
-# The preprocessing variants a stubborn crop is tried with, in order.
-VARIANTS = {
-    "invert": lambda a: 255 - a,
-    "stretch": lambda a: np.clip((a.astype(np.float64) - a.min()) * (255.0 / max(1, int(a.max()) - int(a.min()))), 0, 255).astype(np.uint8),
-    "threshold": lambda a: np.where(a > a.mean(), 255, 0).astype(np.uint8),
-    "double": lambda a: a.repeat(2, axis=0).repeat(2, axis=1),
-    "turn": lambda a: np.rot90(a).copy(),
-}
-
 ACTIVITY = "source_id string, frame_index long, active boolean, motion_frac double, x int, y int, w int, h int"
 
 
-def activity(frames: DataFrame, width: int = 320, threshold: int = 25, least_fraction: float = 0.002) -> DataFrame:
+def by_gaps(frames: DataFrame) -> DataFrame:
+    """Frames dealt by source and run between gaps, in order: `gap` marks a run's first frame. Runs are told from one short row a
+    frame; pictures travel once."""
+    short = frames.select("source_id", "frame_index", F.coalesce("discontinuity", F.lit(False)).alias("_gap"))
+    so_far = Window.partitionBy("source_id").orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0)
+    runs = short.withColumn("run", F.sum(F.col("_gap").cast("int")).over(so_far))
+    rows = frames.select("source_id", "frame_index", "image", "h", "w").join(runs.drop("_gap"), ["source_id", "frame_index"])
+    return rows.repartition("source_id", "run").sortWithinPartitions("source_id", "run", "frame_index").select("source_id", "run", "frame_index", "image", "h", "w")
+
+
+def activity(frames: DataFrame, width: int = 320, threshold: int = 25, least_fraction: float = 0.002, mixture: dict | None = None, grow: int = 2) -> DataFrame:
     """Motion per frame: (source_id, frame_index, active, motion_frac, box), which segmentation takes.
 
-    frames: source_id, frame_index, image BINARY, h, w, discontinuity (starts anew). Frames are scaled down
-    and compared in one pass, so pixels cross to Python once."""
-    dealt = frames.select("source_id", "frame_index", "image", "h", "w", F.coalesce("discontinuity", F.lit(False)).alias("gap")).repartition("source_id").sortWithinPartitions("source_id", "frame_index")
+    frames: source_id, frame_index, image BINARY, h, w, discontinuity (starts anew). Frames are scaled down and
+    compared with the one before, or with `mixture` (options of Mixture) with the background learnt since the last gap, whose
+    first frame only teaches. Runs between gaps are dealt to tasks, which hold one frame or one background each."""
 
     def run(batches):
-        source, before = None, None
+        own, before, model = None, None, Mixture()
         for batch in batches:
             rows = []
-            for s, index, image, h, w, gap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, part, index, image, h, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 now = downscale(np.frombuffer(image, np.uint8).reshape(h, w), width)
-                if s != source or gap:
-                    source, before = s, None
-                mask = motion_mask(before, now, threshold)
-                before, share = now, float(mask.mean())
+                if (s, part) != own:
+                    own, before, model = (s, part), None, Mixture(**(mixture or {}))
+                if mixture is None:
+                    mask = motion_mask(before, now, threshold, grow)
+                    before = now
+                else:
+                    found = model.apply(now)
+                    mask = np.zeros(now.shape, bool) if found is None else dilate(found, grow)
+                share = float(mask.mean())
                 k = max(1, w // width)
                 box = bounding_box(mask)
                 rows.append((s, index, share >= least_fraction and box is not None, share, *([v * k for v in box] if box else [None] * 4)))
             types = (pa.string(), pa.int64(), pa.bool_(), pa.float64(), *[pa.int32()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[c.split()[0] for c in ACTIVITY.split(", ")])
 
-    return dealt.mapInArrow(run, ACTIVITY)
+    return by_gaps(frames).mapInArrow(run, ACTIVITY)
 
 
 def _by_picture(frames: DataFrame, keys: list[str], measure, schema: str) -> DataFrame:
@@ -154,6 +148,16 @@ def focus_rows(frames: DataFrame, keys: list[str], width: int | None = None) ->
     return _by_picture(frames, keys, lambda a: [(focus(small(a)), float(small(a).mean()))], "focus double, mean double")
 
 
+def variant_rows(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Each picture's variants: keys, the variant's place in order, mean, least and largest pixel."""
+
+    def measure(a):
+        made = [change(a) for change in VARIANTS.values()]
+        return [(i + 1, float(v.mean()), int(v.min()), int(v.max())) for i, v in enumerate(made)]
+
+    return _by_picture(frames, keys, measure, "place int, mean double, least int, most int")
+
+
 def cascade(crops: DataFrame, decode, accept=lambda payload: bool(payload), confirmations: int = 2, symbologies: tuple[str, ...] = ("qr", "datamatrix")) -> DataFrame:
     """Attempts of each segment's crops (candidate_id, frame_index, image, h, w) in frame order: one row per frame with
     the first accepted payload or NULL, its symbology and variant, and how many payloads were rejected.
@@ -214,10 +218,7 @@ def decoded(crops: DataFrame, decode, accept=lambda payload: bool(payload), symb
             for symbology in symbologies:
                 for raw, box in decode(change(image), symbology):
                     if accept(payload := text(raw)):
-                        if name == "double":
-                            box = tuple(v // 2 for v in box)
-                        if name == "turn":
-                            box = turned_box(box, image.shape[1], image.shape[0], 1)
+                        box = box_back(name, box, image.shape)
                         return payload, symbology, name, x + box[0], y + box[1], box[2], box[3]
         return None
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
 from ..operators import reports, station, vision
-from ..sources import files, rendering
+from ..sources import evidence, files, rendering
 from ..sources import testdata as td
+from ..streaming import replay
 from . import detection, reporting
 from .registry import query
 
@@ -184,6 +185,67 @@ def picture_motion(spark, sf_dir):
     return vision.activity(frames, 32).drop("motion_frac")
 
 
+def _quarters(a, i):
+    """Dark, with bright quarters by the bits of a scrambled number."""
+    a[:] = 20
+    for q in range(4):
+        if i * 7919 % 16 >> q & 1:
+            a[:, 8 * q : 8 * q + 8] = 200
+
+
+# A pixel has two values here, so its mixture is two weights, d (dark) and b (bright), and which of them leads.
+@query("""WITH f AS (SELECT event_type AS source_id, event_id AS frame_index, event_id * 7919 % 16 AS bits, event_id % 499 = 0 AS gap FROM events),
+r AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY source_id ORDER BY frame_index) AS run FROM f),
+q AS (SELECT source_id, run, frame_index, quarter, (bits >> quarter) & 1 = 1 AS bright, row_number() OVER (PARTITION BY source_id, run, quarter ORDER BY frame_index) AS t FROM r, (SELECT unnest(range(4)) AS quarter)),
+l AS (SELECT source_id, run, quarter, list({'t': t, 'i': frame_index, 'x': bright, 'a': 1.0::DOUBLE / least(2 * t, 500), 'd': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'lead': 0, 'fg': []::BIGINT[]} ORDER BY t) AS xs FROM q GROUP BY ALL),
+s AS (SELECT source_id, run, quarter, list_reduce(list_prepend({'t': 0::BIGINT, 'i': 0::BIGINT, 'x': false, 'a': 0.0::DOUBLE, 'd': 0.0::DOUBLE, 'b': 0.0::DOUBLE, 'lead': 0, 'fg': []::BIGINT[]}, xs), lambda acc, z:
+  list_transform(list_transform(list_transform([{'own': CASE WHEN z.x THEN acc.b ELSE acc.d END, 'oth': CASE WHEN z.x THEN acc.d ELSE acc.b END, 'leads': acc.lead = CASE WHEN z.x THEN 1 ELSE 0 END}],
+    lambda p: {'has': p.own > 0, 'own': (1 - z.a) * p.own - z.a * 0.05, 'oth': CASE WHEN p.oth > 0 AND (1 - z.a) * p.oth - z.a * 0.05 >= z.a * 0.05 THEN (1 - z.a) * p.oth - z.a * 0.05 ELSE 0.0 END, 'leads': p.leads}),
+    lambda p: {'fg': NOT (p.has AND (p.leads OR p.oth < 0.9)), 'leads': p.leads,
+      'own': CASE WHEN p.has THEN (p.own + z.a) / (p.own + z.a + p.oth) WHEN p.oth > 0 THEN z.a ELSE 1.0 END,
+      'oth': CASE WHEN p.has THEN p.oth / (p.own + z.a + p.oth) WHEN p.oth > 0 THEN 1.0 - z.a ELSE 0.0 END, 'has': p.has}),
+    lambda p: {'t': z.t, 'i': z.i, 'x': z.x, 'a': z.a, 'd': CASE WHEN z.x THEN p.oth ELSE p.own END, 'b': CASE WHEN z.x THEN p.own ELSE p.oth END,
+      'lead': CASE WHEN p.own > p.oth OR p.own = p.oth AND p.has AND p.leads THEN CASE WHEN z.x THEN 1 ELSE 0 END ELSE CASE WHEN z.x THEN 0 ELSE 1 END END,
+      'fg': CASE WHEN p.fg AND z.t > 1 THEN list_append(acc.fg, z.i) ELSE acc.fg END})[1]) AS z FROM l),
+g AS (SELECT source_id, quarter, unnest(z.fg) AS frame_index FROM s)
+SELECT f.source_id, f.frame_index, count(quarter) > 0 AS active, round(count(quarter) / 4.0, 6)::DOUBLE AS motion_frac, (min(quarter) * 8)::INT AS x, ((max(quarter) - min(quarter) + 1) * 8)::INT AS w
+FROM f LEFT JOIN g ON g.source_id = f.source_id AND g.frame_index = f.frame_index GROUP BY f.source_id, f.frame_index""", views=False)
+def picture_background(spark, sf_dir):
+    """What stands out of a learnt background: a mixture per pixel, anew after gaps."""
+    frames = _pictures(spark, sf_dir, _quarters).select(F.col("event_type").alias("source_id"), F.col("event_id").alias("frame_index"), "image", "h", "w", (F.col("event_id") % 499 == 0).alias("discontinuity"))
+    out = vision.activity(frames, 32, mixture={}, grow=0)
+    return out.select("source_id", "frame_index", "active", F.round("motion_frac", 6).alias("motion_frac"), "x", "w")
+
+
+def _plain(a, i):
+    a[:] = i % 251
+
+
+@query("""--cte k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM timed)
+SELECT 'u-' || user_id AS candidate_id, count(*) AS pictures, sum(768 * (event_id % 251))::BIGINT AS light, min(event_id) AS first_picture, any_value(n)::INT AS told FROM k JOIN (SELECT user_id, count(*) FILTER (i % 4 = 0) AS n FROM k GROUP BY 1) USING (user_id) WHERE i % 4 = 0 GROUP BY user_id""")
+def evidence_files(spark, sf_dir):
+    """Every fourth picture of each candidate, written as files with their meta body, and read back."""
+    from pyspark.sql import types as T
+
+    spark.dataSource.register(evidence.EvidenceFiles)
+    t = _pictures(spark, sf_dir, _plain).join(td.timed(spark, sf_dir).select("event_id", "user_id"), "event_id")
+    none = F.lit(None).cast(T.LongType())
+    frames = t.select(F.concat(F.lit("u-"), "user_id").alias("candidate_id"), F.col("event_type").alias("source_id"), F.col("event_id").alias("frame_index"), F.lit(0.0).alias("ts"), "image", "h", "w", none.alias("first_frame"), none.alias("last_frame"), F.lit("miss").alias("reason"))
+    path = replay.fresh(spark, "evidence")
+    evidence.clustered(frames).write.format("evidence").option("path", path).option("day", "2026-06-10").option("stride", "4").mode("append").save()
+    read = vision.focus_rows(evidence.read_pictures(spark, path), ["candidate_id", "frame_index"])
+    seen = read.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("pictures"), F.sum(F.round(F.col("mean") * 768)).cast("long").alias("light"), F.min("frame_index").alias("first_picture"))
+    return seen.join(evidence.read_meta(spark, path).select("candidate_id", F.col("frame_count").alias("told")), "candidate_id")
+
+
+@query("""WITH p AS (SELECT event_id, (event_id % 251)::INT AS v FROM events),
+m AS (SELECT event_id, unnest([1, 2, 3, 4, 5]) AS place, unnest([v, 255, round_even(255.0 / 12 * (1 + least(11, v // 23 + 1)), 0)::INT, v, v]) AS v FROM p)
+SELECT event_id, place::INT AS place, v::DOUBLE AS mean, v AS least, v AS most FROM m""", views=False)
+def picture_variants(spark, sf_dir):
+    """The preprocessing variants of plain pictures: all but thresholds and equalised histograms leave them as they are."""
+    return vision.variant_rows(_pictures(spark, sf_dir, _plain), ["event_id"])
+
+
 def _two_boxes(a, i):
     a[1:4, 1 : 3 + i % 7] = 255  # 3 rows of 2 to 8
     a[10 : 12 + i % 11, 14:18] = 180  # 2 to 12 rows of 4

@@ -3,12 +3,14 @@
 Each source gets a share by weight, at most `max_repeats` times its own size,
 what is above being reshared. A target is so many whole passes over the source
 and a rest. For the rest, documents are counted by exact length: the same
-fraction of each length's count is taken, and bounded-knapsack dynamic
-programming over the counts that remain fills what the rounding left. Where that
-misses the nearest sum there could be, choices are undone, of ever more lengths
-and documents and at last of all, and the sums of these are gone through as bit
-sets, so the result is the nearest sum for budgets and lengths of any size; only
-the last step's time grows with budget times lengths. Which documents of a
+fraction of each length's count is taken whatever the budget, then one more of each
+length, longest first, as long as it fits. What is left is less than the longest
+document, and bounded-knapsack dynamic programming over the counts that remain
+fills it. Where that misses the nearest sum there could be, choices are undone, of
+ever more lengths and documents, and the sums of these are gone through as bit
+sets. The nearest sum differs from the even choice by at most 2L + 1 documents, L
+being the longest length (in units of what divides all), so no more of a length are
+undone, and the sets are bounded by lengths, not by budgets. Which documents of a
 length are taken is decided by a seeded hash: those in lower hash buckets first,
 and only inside the one bucket at the edge by rank, so no task sees more of a
 length than a bucket of it.
@@ -36,8 +38,6 @@ from .shared import SPACE, written
 
 WEIGHTS = (5, 2, 1)
 BUCKETS = 1024
-#: The first try's dynamic programming covers the last so many words of a rest; longer parts of it are filled by the longest lengths first.
-TABLE = 1 << 16
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, max_repeats: float = 3) -> dict[str | None, float]:
@@ -85,23 +85,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts.astype(np.int64)
-    take = np.array([int(c) * budget // total if budget > TABLE else 0 for c in counts.tolist()], np.int64)
+    take = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
     rest = budget - int((lengths * take).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:  # down to what the table covers
-        if rest < TABLE or lengths[i] == 0:
-            break
-        more = min(int(counts[i] - take[i]), (rest - TABLE // 2) // int(lengths[i]))
-        if more > 0:
-            take[i] += more
-            rest -= more * int(lengths[i])
-    take = take + _knapsack(lengths, counts - take, min(rest, TABLE))
-    return take if budget < TABLE else _nearest(lengths, counts, budget, take)
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        if take[i] < counts[i] and 0 < lengths[i] <= rest:
+            take[i] += 1
+            rest -= int(lengths[i])
+    if rest:
+        take = take + _knapsack(lengths, counts - take, rest)
+    return _nearest(lengths, counts, budget, take)
 
 
 def _nearest(lengths: np.ndarray, counts: np.ndarray, budget: int, take: np.ndarray) -> np.ndarray:
     """The choice whose sum is nearest to the budget, from one that may be so: up to `each` documents of `some`
-    lengths are chosen anew, until the sum is the nearest multiple of what divides all lengths or all are."""
+    lengths are chosen anew, until the sum is the nearest multiple of what divides all lengths or all are that could be."""
     # a longer document alone misses by more than the choice at hand
     used = np.flatnonzero((lengths > 0) & (counts > 0) & (lengths <= budget + abs(int((lengths * take).sum()) - budget)))
     if not len(used):
@@ -110,7 +107,7 @@ def _nearest(lengths: np.ndarray, counts: np.ndarray, budget: int, take: np.ndar
     low = budget // unit * unit
     miss = lambda s: (abs(s - budget), s)
     best = min(low, low + unit, key=miss)
-    some, each, most = 64, 1, int(counts[used].max())
+    some, each, most = 64, 1, min(int(counts[used].max()), 2 * int(lengths[used].max()) // unit + 1)
     while (total := int((lengths * take).sum())) != best:
         core = used[np.unique(np.linspace(0, len(used) - 1, min(some, len(used))).astype(int))]
         freed = np.zeros(len(take), np.int64)

@@ -1,9 +1,12 @@
 """License scan by sentence rules, with SQL functions only.
 
 A text is cut into sentences twice: at sentence ends and line ends, and at
-sentence ends alone (for license texts wrapped over lines). Each sentence is
+sentence ends and paragraph ends (for license texts wrapped over lines). A paragraph
+ends at a line without a letter or digit, so comment marks neither join nor part
+sentences; an SPDX tag is a sentence of its own. Each sentence is
 normalised (ASCII lower case; other characters than a-z and 0-9 become one
-space) and looked up among the known license sentences. The reading that finds
+space; where a license names its holder, one name stands for all) and looked up among
+the known license sentences. The reading that finds
 more of them gives the document's identifier sequence, in text order. Ordered
 rules, each a sequence of identifiers, are then matched against it: the
 identifiers must occur in the rule's order, with any others between them. Rules that
@@ -19,6 +22,8 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +97,29 @@ SENTENCES = {
     72: "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies",
     73: "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 3 or any later version published by the free software foundation",
     74: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    7: "you may obtain a copy of the license at",
+    8: "http www apache org licenses license 2 0",
+    9: "apache license version 2 0 january 2004 http www apache org licenses",
+    16: "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
+    17: "the name of the copyright holder may not be used to endorse or promote products derived from this software without specific prior written permission",
+    18: "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    19: "this source code form is subject to the terms of the mozilla public license v",
+    80: "gnu general public license version 3 29 june 2007",
+    81: "gnu general public license version 2 june 1991",
+    82: "gnu lesser general public license version 3 29 june 2007",
+    83: "gnu lesser general public license version 2 1 february 1999",
+    84: "gnu affero general public license version 3 19 november 2007",
+    85: "mozilla public license version 2 0",
+    86: "eclipse public license v 2 0",
+    87: "boost software license version 1 0 august 17th 2003",
+    88: "cc0 1 0 universal",
+    89: "sil open font license version 1 1 26 february 2007",
+    90: "attribution 4 0 international",
+    91: "attribution sharealike 4 0 international",
+    92: "attribution noncommercial 4 0 international",
+    93: "attribution noderivatives 4 0 international",
+    94: "attribution noncommercial sharealike 4 0 international",
+    95: "attribution noncommercial noderivatives 4 0 international",
 }
 
 # Ordered license rules; the more telling ones come first.
@@ -100,15 +128,32 @@ RULES = [
     ("LGPL-3.0", (29, 23)), ("LGPL-3.0", (34,)), ("LGPL-2.1", (29, 31)), ("LGPL-2.1", (35,)), ("LGPL-2.1", (29,)),
     ("GPL-3.0", (24, 23)), ("GPL-3.0", (22,)), ("GPL-3.0", (21,)), ("GPL-3.0", (20,)), ("GPL-3.0", (37,)),
     ("GPL-2.0", (24, 25)), ("GPL-2.0", (36,)), ("GPL-2.0", (28,)), ("GPL-2.0", (38,)),
-    ("BSD-3-Clause", (50, 51, 52, 53)), ("BSD-3-Clause", (50, 51, 52, 56)), ("BSD-3-Clause", (57,)), ("BSD-2-Clause", (50, 51, 52)), ("BSD-2-Clause", (58,)),
-    ("MIT", (11, 12, 13)), ("MIT", (11, 12)), ("MIT", (10,)), ("MIT", (14,)), ("MIT", (15,)),
-    ("Apache-2.0", (2, 3, 5, 6)), ("Apache-2.0", (2, 3)), ("Apache-2.0", (2,)), ("Apache-2.0", (1,)), ("Apache-2.0", (59,)),
+    ("BSD-3-Clause", (50, 51, 52, 53)), ("BSD-3-Clause", (50, 51, 52, 56)), ("BSD-3-Clause", (57,)), ("BSD-3-Clause", (50, 51, 52, 17)), ("BSD-2-Clause", (50, 51, 52)), ("BSD-2-Clause", (58,)),
+    ("MIT", (11, 12, 13)), ("MIT", (11, 12)), ("MIT", (12, 13)), ("MIT-0", (16,)), ("MIT", (10,)), ("MIT", (14,)), ("MIT", (15,)),
+    ("Apache-2.0", (2, 3, 5, 6)), ("Apache-2.0", (2, 3)), ("Apache-2.0", (2,)), ("Apache-2.0", (1,)), ("Apache-2.0", (59,)), ("Apache-2.0", (9,)),
     ("CC-BY-NC-SA-4.0", (46,)), ("CC-BY-NC-SA-4.0", (49,)), ("CC-BY-NC-ND-4.0", (48,)), ("CC-BY-ND-4.0", (47,)), ("CC-BY-ND-4.0", (54,)),
     ("CC-BY-NC-4.0", (40,)), ("CC-BY-NC-4.0", (45,)), ("CC-BY-SA-4.0", (42,)), ("CC-BY-SA-4.0", (44,)),
     ("CC-BY-4.0", (41,)), ("CC-BY-4.0", (43,)), ("CC0-1.0", (55,)),
-    ("MPL-2.0", (60, 63)), ("MPL-2.0", (60, 64)), ("MPL-2.0", (60,)), ("ISC", (61,)), ("0BSD", (74,)), ("Unlicense", (62,)),
+    ("MPL-2.0", (60, 63)), ("MPL-2.0", (60, 64)), ("MPL-2.0", (60,)), ("MPL-2.0", (19,)), ("ISC", (61,)), ("0BSD", (74,)), ("Unlicense", (62,)),
     ("BSL-1.0", (65,)), ("BSL-1.0", (66,)), ("Zlib", (67, 68, 69)), ("Zlib", (69,)), ("OFL-1.1", (70,)), ("EPL-2.0", (71,)), ("PostgreSQL", (72,)), ("GFDL-1.3", (73,)),
+    ("GPL-3.0", (80,)), ("GPL-2.0", (81,)), ("LGPL-3.0", (82,)), ("LGPL-2.1", (83,)), ("AGPL-3.0", (84,)), ("MPL-2.0", (85,)), ("EPL-2.0", (86,)), ("BSL-1.0", (87,)), ("CC0-1.0", (88,)), ("OFL-1.1", (89,)),
+    ("CC-BY-4.0", (90,)), ("CC-BY-SA-4.0", (91,)), ("CC-BY-NC-4.0", (92,)), ("CC-BY-ND-4.0", (93,)), ("CC-BY-NC-SA-4.0", (94,)), ("CC-BY-NC-ND-4.0", (95,)), ("ISC", (18,)),
+]
+
+# SPDX tags: one sentence for each name above, and for those of the GNU licenses with what may follow them.
+for _k, _name in enumerate(dict.fromkeys(name for name, _ in list(RULES))):
+    for _j, _end in enumerate(["", "-only", "-or-later"] if "GPL" in _name else [""]):
+        SENTENCES[200 + 3 * _k + _j] = "spdx license identifier " + " ".join(re.findall("[a-z0-9]+", (_name + _end).lower()))
+        RULES.append((_name, (200 + 3 * _k + _j,)))
+
+#: Sentences that name a holder: how they begin, a pattern of the name, and what stands for it.
+SLOTS = [
+    ("neither the name", "^neither the names? of .+ nor the names of (its|the|their|any|other) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("the name", "^the names? of .+ may not be used", "the name of the copyright holder may not be used"),
 ]
+#: The end of a paragraph: a line without a letter or digit.
+PARAGRAPH = "\\n[^A-Za-z0-9\\n]*\\n"
+SPDX = "SPDX-License-Identifier:[\\x20\\x09]*\\(?([A-Za-z0-9.-]+)"
 
 
 def rule_pattern(ids: tuple[int, ...]) -> str:
@@ -117,20 +162,27 @@ def rule_pattern(ids: tuple[int, ...]) -> str:
 
 def _identifiers(cut: Column) -> Column:
     """The known sentences' identifiers, in order."""
-    plain = F.transform(F.split(cut, "\n"), lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
-    known = F.filter(plain, lambda s: s.isin(*SENTENCES.values()))
+
+    def plain(s: Column) -> Column:
+        s = F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))
+        for start, slot, name in SLOTS:
+            s = F.when(F.startswith(s, F.lit(start)), F.regexp_replace(s, slot, name)).otherwise(s)
+        return s
+
+    known = F.filter(F.transform(F.split(cut, "[\n\x1E]"), plain), lambda s: s.isin(*SENTENCES.values()))
     names = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, f"<{k}>")])
     return F.transform(known, lambda s: F.element_at(names, s))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_sentences, sentence_ids, license, licenses."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    ends = "([.!?;:])[\\x20\\x09-\\x0D]+"
-    read = docs.select(
-        F.col(id_col).alias("_id"),
-        _identifiers(F.regexp_replace(text, ends, "$1\n")).alias("by_line"),
-        _identifiers(F.regexp_replace(F.regexp_replace(text, "[\\x09-\\x0D]", " "), "([.!?;:])\\x20+", "$1\n")).alias("by_end"),
+    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPDX, "\x1eSPDX-License-Identifier $1\x1e")
+    told = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
+    paragraphs = F.regexp_replace("_text", PARAGRAPH, "\x1e")
+    read = told.select(
+        "_id",
+        _identifiers(F.regexp_replace("_text", "([.!?;:])[\\x20\\x09-\\x0D]+", "$1\n")).alias("by_line"),
+        _identifiers(F.regexp_replace(F.regexp_replace(paragraphs, "[\\x09-\\x0D]", " "), "([.!?;:])\\x20+", "$1\n")).alias("by_end"),
     )
     read = read.select("_id", F.when(F.size("by_end") > F.size("by_line"), F.col("by_end")).otherwise(F.col("by_line")).alias("ids"))
     read = read.select("_id", F.size("ids").cast("long").alias("n_sentences"), F.concat_ws("", "ids").alias("sentence_ids"))
@@ -155,16 +207,20 @@ def sql() -> str:
     steps = ",\n    ".join(
         f"r{n + 1} AS (SELECT rid, regexp_replace(rest, '{rule_pattern(ids)}', '{''.join(f'{chr(92)}{k}' for k in range(1, len(ids)))}', 'g') AS rest, "
         f"CASE WHEN regexp_matches(rest, '{rule_pattern(ids)}') THEN list_append(names, '{name}') ELSE names END AS names FROM r{n})" for n, (name, ids) in enumerate(RULES))
+    plain = f"trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    for _, slot, name in SLOTS:
+        plain = f"regexp_replace({plain}, '{slot}', '{name}')"
     side = lambda name, cut: f"""{name} AS (
         SELECT doc_id, rid, list('<' || k || '>' ORDER BY place) AS ids FROM (
             SELECT doc_id, rid, unnest(parts) AS part, generate_subscripts(parts, 1) AS place
-            FROM (SELECT doc_id, rid, string_split({cut}, chr(10)) AS parts FROM d)) p
-        JOIN known ON s = trim(regexp_replace(translate(part, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' ')
+            FROM (SELECT doc_id, rid, string_split_regex({cut}, '[\\n\\x1E]') AS parts FROM d)) p
+        JOIN known ON s = {plain}
         GROUP BY doc_id, rid)"""
     by_line = r"regexp_replace(t, '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(10), 'g')"
-    by_end = r"regexp_replace(regexp_replace(t, '[\x09-\x0D]', ' ', 'g'), '([.!?;:])\x20+', '\1' || chr(10), 'g')"
+    by_end = rf"regexp_replace(regexp_replace(regexp_replace(t, '{PARAGRAPH}', chr(30), 'g'), '[\x09-\x0D]', ' ', 'g'), '([.!?;:])\x20+', '\1' || chr(10), 'g')"
+    tagged = rf"regexp_replace(coalesce(text, ''), '{SPDX}', chr(30) || 'SPDX-License-Identifier \1' || chr(30), 'g')"
     return f"""
-    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+    WITH d AS (SELECT doc_id, {tagged} AS t, row_number() OVER () AS rid FROM documents),
     known(s, k) AS (VALUES {known}),
     {side('by_line', by_line)}, {side('by_end', by_end)},
     read AS (SELECT d.doc_id, d.rid, CASE WHEN coalesce(len(e.ids), 0) > coalesce(len(l.ids), 0) THEN e.ids ELSE coalesce(l.ids, []) END AS ids

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import dealt_bucket, fresh_path, written
+from .shared import dealt_bucket, dropped, fresh_path, written
 
 WORDS, PERCENT = 5, 75
 TREES, TOKENS, SMALL, MAX_LEVELS = 10, 128, 2048, 2
@@ -218,7 +218,21 @@ def _is_small():
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept."""
+    """One row per document: id, n_shingles, component_id, kept.
+
+    Ids must be numbers that fit a long. The table of texts goes when the links are known, or on an error."""
+    texts = "sightline_texts_" + uuid.uuid4().hex
+    place = fresh_path(docs.sparkSession, "texts")
+    try:
+        member, comp = _found(docs, id_col, text_col, texts, place)
+    finally:  # all that was read from it is written
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {texts}")
+        dropped(docs.sparkSession, place)
+    return _told(member, comp, id_col)
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, name: str, place: str) -> tuple[DataFrame, DataFrame | None]:
+    """Written: documents with their classes, and classes with their components."""
     every = _sketched(docs, id_col, text_col)
     salted = every.select("id", "n", "s1", "s2", dealt_bucket(64, "id").alias("salt"))
     # classes of equal sets: combined per (set, salt) first, so copies cost no task of their own
@@ -240,7 +254,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if texts is None:
             active = classes.join(rows.select("id").distinct(), "id", "left_semi")
             classes = written(active, "met")
-            texts = _texts_of(docs, classes, id_col, text_col)
+            texts = _texts_of(docs, classes, id_col, text_col, name, place)
             one = rows.where(F.col("tree") == 0)  # most copies are connected by one tree; the others then compare less
             comp = _linked_by(_star_pairs(_named(one, comp), classes), comp, texts)
         rows = _mixed(rows, comp)
@@ -252,8 +266,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if level == MAX_LEVELS or not rows.take(1):
             break
         rows = written(_branch(rows.select("node", "id", "n", "tree"), classes, level), f"branch-{level}")
-    if texts is not None:
-        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {texts}")  # of the catalogue; all that was read from it is written
+    return member, comp
+
+
+def _told(member: DataFrame, comp: DataFrame | None, id_col: str) -> DataFrame:
     out = member.select("id", "n", "class")
     if comp is not None:
         named = comp.select(F.col("id").alias("class"), "component")
@@ -268,15 +284,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _texts_of(docs: DataFrame, met: DataFrame, id_col: str, text_col: str) -> str:
+def _texts_of(docs: DataFrame, met: DataFrame, id_col: str, text_col: str, name: str, place: str) -> str:
     """The texts of the classes that met any other, in a table (its name) bucketed by id: each later join
     by id reads its buckets and shuffles none of them."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     some = rows.join(met.select("id"), "id", "left_semi")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = "sightline_texts_" + uuid.uuid4().hex
-    some.repartition(n, "id").dropDuplicates(["id"]).write.bucketBy(n, "id").option("path", fresh_path(spark, "texts")).saveAsTable(name)
+    some.repartition(n, "id").dropDuplicates(["id"]).write.bucketBy(n, "id").option("path", place).saveAsTable(name)
     return name
 
 
@@ -423,7 +438,7 @@ def _mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents that stay, one of each group, with all their columns."""
     gone = linked(docs, id_col, text_col).where("not kept").select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Each line is judged alone: symbols (too many of `#*$%&|<>` for its words),
 navigation (menu separators; a few words without an end mark), shouting (mostly
 capitals, or marks like !! after its words), boilerplate (stock phrases of four
-languages in short lines) and repetition (equal to an earlier line). Failing lines go. A document is
+languages in short lines), repetition (equal to an earlier line) and menus (lines of 4 to 12 words
+without any mark of a sentence; headings and lists have them too, so they fail only where they hold
+more than half of a document's words). Failing lines go. A document is
 rejected if it loses more than `max_lost` of its words with them, or if it fails
 the base rules: fewer than 50 words, or over half of its words in three-word
 windows that occur twice or more.
@@ -38,6 +40,8 @@ BOILERPLATE = re.compile("|".join([
     "pol(?:í|i)tica de cookies", "pol(?:í|i)tica de privacidad", "t(?:é|e)rminos de uso", "condiciones de uso", "todos los derechos reservados", "aviso legal", "haga clic aqu(?:í|i)", "leer m(?:á|a)s", "iniciar sesi(?:ó|o)n", "ir al contenido"]).encode())
 END_MARKS = tuple(x.encode() for x in (".", "!", "?", "…", '"', "'", "”", "»", ")", ":", ";"))
 DOUBLE = re.compile(rb"!!|\?\?")
+SENTENCE = re.compile("[.,;:!?]|…".encode())
+MENU = range(4, 13)
 
 
 def line_fails(line: bytes, n_words: int) -> str | None:
@@ -78,8 +82,9 @@ def judge(text: str | None, max_lost: float = 0.5) -> tuple[dict, str]:
     text = text or ""
     raw = text.encode()
     words = raw.split()
-    seen, stay, lost, why, dup = set(), [], 0, Counter(), 0
-    for line in raw.split(b"\n"):
+    seen, rules, lost, why, dup, menu = set(), [], 0, Counter(), 0, 0
+    lines = raw.split(b"\n")
+    for line in lines:
         n = len(line.split())
         rule = None
         if n:
@@ -88,11 +93,16 @@ def judge(text: str | None, max_lost: float = 0.5) -> tuple[dict, str]:
             else:
                 seen.add(line)
                 rule = line_fails(line, n)
+                if rule is None and n in MENU and not SENTENCE.search(line):
+                    rule, menu = "menu", menu + n
+        rules.append((rule, n))
+    some = 2 * menu > len(words)
+    rules = [(None if rule == "menu" and not some else rule, n) for rule, n in rules]
+    for rule, n in rules:
         if rule:
             lost += n
             why[rule] += 1
-        else:
-            stay.append(line)
+    stay = [line for line, (rule, _) in zip(lines, rules, strict=True) if not rule]
     n_words, repeated = len(words), n_repeated(words)
     failed = n_words < MIN_WORDS or 100 * repeated > MAX_REPEATED * n_words
     out = {
@@ -141,7 +151,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", max_lost: float = 0.5, si
                     part = part.set_column(size, part.schema.field(size), pa.array([len(x[1]) for x in found], part.schema.field(size).type))
                 yield part.filter(pa.array([x[0]["kept"] for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Spark takes the columns of a result by name, and one with a dot for a field: they go by plain names.
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +170,7 @@ l AS (SELECT rid, place, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')
              length(line) - length(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', '')) AS letters,
              len(regexp_extract_all(line, '!!|\?\?')) AS doubles,
              row_number() OVER (PARTITION BY rid, line ORDER BY place) AS nth FROM p),
-r AS (SELECT rid, n, CASE
+u AS (SELECT rid, n, line, CASE
           WHEN nth > 1 THEN 'repeated'
           WHEN pipes >= 3 AND 5 * pipes >= n THEN 'navigation'
           WHEN symbols > 0 AND 10 * symbols > 3 * n THEN 'symbols'
@@ -167,6 +179,8 @@ r AS (SELECT rid, n, CASE
           WHEN n <= 3 AND NOT regexp_matches(line, '(\.|!|\?|…|"|''|”|»|\)|:|;)[\x20\x09-\x0D]*$') THEN 'navigation'
           WHEN n <= 15 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'BOILERPLATE') THEN 'boilerplate'
       END AS rule FROM l WHERE n > 0),
+v AS (SELECT *, rule IS NULL AND n BETWEEN 4 AND 12 AND NOT regexp_matches(line, '[.,;:!?]|…') AS menu FROM u),
+r AS (SELECT rid, n, CASE WHEN menu AND 2 * sum(CASE WHEN menu THEN n ELSE 0 END) OVER (PARTITION BY rid) > sum(n) OVER (PARTITION BY rid) THEN 'menu' ELSE rule END AS rule FROM v),
 c AS (SELECT rid, rule, count(*) AS k, sum(n) AS lost FROM r WHERE rule IS NOT NULL GROUP BY rid, rule),
 f AS (SELECT rid, sum(lost)::BIGINT AS lost_words, string_agg(rule || ':' || k, ',' ORDER BY rule) AS failed_lines,
              coalesce(max(k) FILTER (rule = 'repeated'), 0) AS n_dup_lines FROM c GROUP BY rid),

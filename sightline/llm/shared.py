@@ -52,11 +52,16 @@ def forget_written(spark: SparkSession) -> int:
     """Deletes the tables written so far, once no result that reads them is needed any more; how many."""
     n = len(WRITTEN)
     while WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        dropped(spark, WRITTEN.pop())
     return n
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes what is at a path, if anything is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files of finished steps now: it does so when the
     driver's collectors find their plans unused, which may otherwise take half an hour.

@@ -1,7 +1,8 @@
 """Main text of web pages by a site style tree.
 
 Pages of one host are merged into a tree of styles: a node is a path of element
-names with class and id words (digits dropped). For each page and path the
+names with class and id words (digits dropped); of parts alike under one parent, as divs
+without names, it is the place among them. For each page and path the
 presentation (its sequence of child elements) and the content (its text, that
 of inline elements included) are hashed. Over a host's m pages, a node's
 importance is the larger of the two entropies, to base m: near 0 where all pages
@@ -16,7 +17,10 @@ titles, too. Headings, paragraphs and what is in them have no role by name. What
 names leave open is decided by importance. The same holds inside the article
 a page marks as such; but the article itself is no such branch, and one that is
 repeated whole is still the page's text. Of several articles all count but those
-marked as teasers or comments, by their own name or that of a part they are in.
+marked as teasers or comments, by their own name or that of a part they are in; what stands
+beside them in the page's main part counts too, unless it is a list of links or its site repeats it.
+A form that holds an article or most of the page's prose, and a part named like a side bar
+that holds nearly all of it, only wrap the page and have no role.
 
 Entropies need only sums, so counts combine before each shuffle and a host with
 a third of all pages costs no single task. Unimportant paths go to all tasks only if
@@ -26,7 +30,7 @@ paths, one row each, stream ahead of its pages.
 Defined cases: null or empty HTML gives an empty text; a null URL is a host of
 its own; unclosed elements, comments and quotes are closed as browsers do;
 repeated rows give repeated results; an empty table gives an empty result; texts
-of any length are whole; other columns are not read.
+of any length are whole, and are read in time proportional to their length; other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,7 +49,8 @@ from .shared import written
 
 BROADCAST_ROWS, SALTS = 100_000, 32
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""", re.S)
+START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 # Element names of HTML.
@@ -70,17 +75,31 @@ STRONG_WORDS = set("comment comments sidebar footer".split())
 PROSE = set("h1 h2 h3 h4 h5 h6 p pre blockquote dt caption figcaption summary".split())
 TEASER_WORDS = set("teaser teasers card cards preview previews".split())
 LANDMARKS = {"article", "main"}
+#: Containers, which are told apart by their places; items of lists and tables and paragraphs are not.
+PLACED = BLOCK - PROSE - set("li dd dt tr td th br hr html body hgroup".split())
+#: What is no text of the page, whatever it holds.
+UNSEEN = set("head script style noscript template iframe svg canvas select textarea title object audio video map".split())
+#: Words for what readers write; the last ones tell so beside a word for readers only.
+READER_WORDS, TALK_WORDS = set("user users reader readers visitor visitors community".split()), set("discussion discussions discuss reactions opinions".split())
 
 
 class Node:
-    __slots__ = ("tag", "words", "names", "ident", "hidden", "parts", "parent", "path", "inside", "prose")
+    __slots__ = ("tag", "words", "names", "ident", "hidden", "parts", "parent", "path", "inside", "prose", "size", "linked", "told", "landmark", "wraps", "alike")
 
     def __init__(self, tag: str, words: frozenset, names: tuple, ident: str, hidden: bool, parent):
         self.tag, self.words, self.names, self.ident, self.hidden, self.parent = tag, words, names, ident, hidden, parent
         self.parts: list = []  # nodes and texts, in page order
         self.prose = tag in PROSE or tag not in BLOCK and parent is not None and parent.prose
         self.inside = parent is not None and (parent.inside or parent.tag == "article")
+        self.size = self.linked = self.told = 0  # characters of text, of that in links, of prose that isn't
+        self.landmark = self.wraps = False
+        self.alike: dict[str, int] | None = None
         key = tag + "".join(sorted("." + w for w in words))
+        if parent is not None and tag in PLACED:
+            if parent.alike is None:
+                parent.alike = {}
+            place = parent.alike[key] = parent.alike.get(key, -1) + 1
+            key += f"#{place}" if place else ""
         self.path = xxhash.xxh64_intdigest(key, parent.path if parent else 0)
 
 
@@ -88,10 +107,13 @@ def _split(name: str) -> list[str]:
     return [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
 
 
+NOTHING = (frozenset(), (), "", False)
+
+
 def _words(attributes: str) -> tuple[frozenset, tuple, str, bool]:
     """Words of class, id and role; names in class and role; id; whether hidden."""
-    if not attributes:
-        return frozenset(), (), "", False
+    if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
+        return NOTHING
     found, names, ident = set(), (), ""
     hidden = "hidden" in ATTRIBUTE.sub(" ", attributes).lower().replace("/", " ").split()  # without a value
     for name, *values in ATTRIBUTE.findall(attributes):
@@ -107,51 +129,96 @@ def _words(attributes: str) -> tuple[frozenset, tuple, str, bool]:
     return frozenset(found), names, ident, hidden
 
 
+def _tag_end(page: str, place: int, strict: bool) -> tuple[int, bool]:
+    """Where the tag ends whose name ends at `place`, or -1; with strict=False at the first >, be it in quotes or not.
+
+    The second value is whether quotes still count: once one is never closed, they don't, so a page is gone through
+    to its end for that but once."""
+    if strict:
+        at = place
+        while (m := STOP.search(page, at)) is not None:
+            if m[0] == ">":
+                return m.start(), True
+            at = page.find(m[0], m.end()) + 1
+            if not at:
+                break
+    return page.find(">", place), False
+
+
 def parse(page: str) -> Node:
-    """The page's tree; never fails."""
-    root = at = Node("#root", frozenset(), (), "", False, None)
-    place = 0
-    n = len(page)
-
-    def close(names: set, limits: set) -> None:
-        nonlocal at
-        x = at
-        while x.parent is not None and x.tag not in names:
-            if x.tag in limits:
-                return
-            x = x.parent
-        if x.parent is not None:
-            at = x.parent
+    """The page's tree, measured; never fails."""
+    root = Node("#root", frozenset(), (), "", False, None)
+    stack, where = [root], {"#root": [0]}  # open nodes, and by name the depths of those open
+    place, n, strict = 0, len(page), True
+
+    def close(names, limits) -> None:
+        """Closes the nearest open node of these names, unless one of the limits is nearer."""
+        depth = max((where[t][-1] for t in names if where.get(t)), default=0)
+        if depth and depth >= max((where[t][-1] for t in limits if where.get(t)), default=0):
+            while len(stack) > depth:
+                where[stack.pop().tag].pop()
 
     while place < n:
-        m = TOKEN.search(page, place)
+        m = START.search(page, place)
         if m is None:
-            at.parts.append(page[place:])
+            stack[-1].parts.append(page[place:])
             break
         if m.start() > place:
-            at.parts.append(page[place : m.start()])
-        place = m.end()
+            stack[-1].parts.append(page[place : m.start()])
         if m[2] is None:
+            end = page.find("-->" if m[0] == "<!--" else ">", m.start() + 2)
+            place = n if end < 0 else end + (3 if m[0] == "<!--" else 1)
             continue
+        end, strict = _tag_end(page, m.end(), strict)
+        if end < 0:  # no > is left: the rest is text
+            stack[-1].parts.append(page[m.start() :])
+            break
+        attributes, place = page[m.end() : end], end + 1
         tag = m[2].lower()
         if m[1]:
-            close({tag}, LIMITS - {tag} if tag in ("p", "li") else set())
+            close((tag,), LIMITS - {tag} if tag in ("p", "li") else ())
             continue
         if tag in CLOSES_P:
-            close({"p"}, {"table", "td", "th", "button", "article", "section", "div", "li", "body"})
+            close(("p",), ("table", "td", "th", "button", "article", "section", "div", "li", "body"))
         if tag in CLOSED_BY:
             close(CLOSED_BY[tag], LIMITS)
-        node = Node(tag, *_words(m[3]), at)
-        at.parts.append(node)
+        node = Node(tag, *_words(attributes), stack[-1])
+        stack[-1].parts.append(node)
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, place)
-            close_at = page.find(">", end.start()) if end else -1
+            over = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, place)
+            close_at = page.find(">", over.start()) if over else -1
             place = close_at + 1 if close_at >= 0 else n
-        elif tag not in VOID and not m[3].endswith("/"):
-            at = node
+        elif tag not in VOID and not attributes.endswith("/"):
+            where.setdefault(tag, []).append(len(stack))
+            stack.append(node)
+    _measure(root)
     return root
 
 
+def _measure(root: Node) -> None:
+    """Sizes of all branches, and which of them only wrap the page."""
+    nodes = list(_walk(root))
+    for x in reversed(nodes):
+        if x.tag in UNSEEN or x.hidden:
+            continue
+        own = sum(len(p) - p.count(" ") - p.count("\n") for p in x.parts if isinstance(p, str))
+        x.size += own
+        x.told += own if x.prose and x.tag != "a" else 0
+        if x.tag == "a":
+            x.linked, x.told = x.size, 0
+        x.landmark |= x.tag in LANDMARKS
+        if x.parent is not None:
+            x.parent.size += x.size
+            x.parent.linked += x.linked
+            x.parent.told += x.told
+            x.parent.landmark |= x.landmark
+    for x in nodes:
+        if x.tag == "form":
+            x.wraps = x.landmark or 2 * x.told > root.told > 0
+        elif x.tag in ("div", "section", "table", "tbody", "tr", "td", "span", "center"):
+            x.wraps = 10 * x.told >= 9 * root.told > 0 and not any(_about_readers(n) for n in (*x.names, x.ident))
+
+
 def _walk(node: Node):
     """Nodes below, in page order, without recursion."""
     todo = [node]
@@ -181,16 +248,28 @@ def text_of(node: Node, dropped=lambda x: False) -> str:
 def _told(name: str) -> str:
     """What a whole name tells: "strong", "role" or "head" (another part of the page), "content", or "" (nothing)."""
     words = set(_split(name))
+    if words & TALK_WORDS and words & READER_WORDS:
+        return "strong"
     for kind, telling, beside in (("content", CONTENT_WORDS, PLACE_WORDS), ("strong", STRONG_WORDS, ROLE_WORDS | CONTENT_WORDS | PLACE_WORDS), ("role", ROLE_WORDS, PLACE_WORDS | OWNER_WORDS), ("head", HEAD_WORDS, PLACE_WORDS)):
         if words & telling and words <= telling | beside:
             return kind
     return ""
 
 
+def _about_readers(name: str) -> bool:
+    """Whether a name is that of comments."""
+    words = set(_split(name))
+    return bool(words & {"comment", "comments", "commentlist", "respond", "replies", "disqus"} or words & TALK_WORDS and words & READER_WORDS)
+
+
 def _role_drops(node: Node, inside: bool) -> bool:
     """Whether the node's role is that of another part than the article."""
-    if node.tag in DROPPED or node.hidden:
+    if node.hidden:
         return True
+    if node.wraps:
+        return False
+    if node.tag in DROPPED:
+        return not (node.tag == "footer" and node.parent is not None and node.parent.tag == "blockquote")
     if node.tag == "header" and not inside:
         return True
     if node.tag in ("html", "body", "#root") or node.prose:
@@ -199,7 +278,7 @@ def _role_drops(node: Node, inside: bool) -> bool:
     if not inside and node.tag != "section" and node.ident:
         told.add(_told(node.ident))
     if node.tag in LANDMARKS:
-        return any(_told(n) == "strong" and {"comment", "comments"} & set(_split(n)) for n in node.names)
+        return any(_told(n) == "strong" and _about_readers(n) for n in node.names)
     if "strong" in told:
         return True
     return "content" not in told and ("role" in told or not inside and "head" in told)
@@ -249,27 +328,36 @@ def main_text(page: str | None, unimportant: frozenset = frozenset()) -> str:
     root = parse(page)
     outside = lambda x: _role_drops(x, False)
     inside = lambda x: _role_drops(x, True)
-    articles, teasers, todo = [], [], [(root, False, False)]
+    articles, teasers, todo = [], [], [(root, False, None)]
     mains = []
     while todo:
         x, marked, in_main = todo.pop()
         if outside(x):
             # a wrapper named like a menu or side bar still holds the article, if there is none elsewhere
-            if x.tag in DROPPED or x.hidden or not any(y.tag in LANDMARKS for y in _walk(x)):
+            if x.tag in DROPPED or x.hidden or not x.landmark:
                 continue
             marked = True
         if x.tag == "article":
-            (teasers if marked or _teaser(x) else articles).append(x)
+            (teasers if marked or _teaser(x) else articles).append((x, in_main))
             continue
-        if not in_main and (x.tag == "main" or "main" in x.words and x.tag in ("div", "section")):
+        if in_main is None and (x.tag == "main" or "main" in x.words and x.tag in ("div", "section")):
             mains.append(x)
-            in_main = True
+            in_main = x
         todo.extend((p, marked, in_main) for p in reversed(x.parts) if isinstance(p, Node))
     quiet = _noise(root, unimportant)
     for found in (articles, teasers):
+        own = {id(a) for a, _ in found}
         for drops in (lambda x: inside(x) or _styled(x) and id(x) in quiet, inside):  # an article that a site repeats whole is still one
-            texts = [t for a in found if (t := text_of(a, lambda x, a=a, drops=drops: inside(x) if x is a else drops(x)))]
-            if texts:
+            texts, done = [], set()
+            for a, main in found:
+                if main is None or main.tag != "main" or found is teasers:
+                    texts.append(text_of(a, lambda x, a=a, drops=drops: inside(x) if x is a else drops(x)))
+                elif id(main) not in done:  # with what stands beside the article
+                    done.add(id(main))
+                    beside = lambda x, own=own, main=main, drops=drops: x is not main and (
+                        inside(x) if id(x) in own else x.tag == "article" and not x.inside or (drops(x) if x.inside else outside(x) or _styled(x) and id(x) in quiet or _link_list(x)))
+                    texts.append(text_of(main, beside))
+            if texts := [t for t in texts if t]:
                 return " ".join(texts)
     noise = lambda x: outside(x) or _styled(x) and id(x) in quiet and x.tag not in ("html", "body")
     if texts := [t for x in mains if (t := text_of(x, lambda y, x=x: y is not x and noise(y)))]:
@@ -285,10 +373,7 @@ def _teaser(article: Node) -> bool:
 
 def _link_list(node: Node) -> bool:
     """Whether most of a list's or table's text is inside links."""
-    if node.tag not in ("ul", "ol", "table", "dl"):
-        return False
-    linked = sum(len(text_of(x)) for x in _walk(node) if x.tag == "a")
-    return linked > 0 and 2 * linked >= len(text_of(node))
+    return node.tag in ("ul", "ol", "table", "dl") and node.linked > 0 and 2 * node.linked >= node.size
 
 
 def _host():

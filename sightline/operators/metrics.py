@@ -21,9 +21,9 @@ def rates(events: DataFrame, frames: DataFrame, keys: list[str], at: str, unit:
 
     `unit` is the number of time units in a second."""
     anchor = clock(frames, keys, at)
-    oldest = anchor.agg(F.min("last_ts")).first()[0]  # what is a day older than the first source's end counts nowhere, and isn't read
-    rows = events.select(*keys, F.col("kind"), F.col(at).alias("_at"))
-    rows = rows if oldest is None else rows.where(F.col("_at") >= oldest - DAY * unit)
+    # What is a day older than the first source's end counts nowhere, and isn't joined; the bound is one row.
+    oldest = F.broadcast(anchor.agg((F.min("last_ts") - DAY * unit).alias("_oldest")))
+    rows = events.select(*keys, F.col("kind"), F.col(at).alias("_at")).join(oldest, F.col("_at") >= F.col("_oldest")).drop("_oldest")
     recent = lambda kind, span: F.count_if((F.col("kind") == kind) & (F.col("_at") >= F.col("last_ts") - span * unit))
     counts = {"p1": recent("pass", HOUR), "m1": recent("miss", HOUR), "p24": recent("pass", DAY), "m24": recent("miss", DAY)}
     if keys:

@@ -141,6 +141,13 @@ def workload(pitches: list[float], blurs: list[float], symbologies: list[str], s
     return spark.createDataFrame(rows, "case_id long, pitch double, blur double, symbology string")
 
 
+def workloads(pitches: DataFrame, blurs: DataFrame, key: str, symbologies: list[str]) -> DataFrame:
+    """workload() for each bench: its distinct pitches (key, pitch) by its blurs (key, blur) by symbologies, in this order."""
+    cases = pitches.distinct().join(blurs.distinct(), key).select(key, "pitch", "blur", F.posexplode(F.array(*map(F.lit, symbologies))).alias("_at", "symbology"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("pitch", "blur", "_at")).cast("long") - 1
+    return cases.select(key, place.alias("case_id"), "pitch", "blur", "symbology")
+
+
 def same_results(one: DataFrame, other: DataFrame) -> DataFrame:
     """Rows that only one of two runs of a workload has, and how often."""
     columns = one.columns

@@ -41,21 +41,22 @@ def grid_points(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("read_rate", "ttfd_p50_ms", "mean_blur_modules")})
 
 
-@query("SELECT i, round(2.0 + i * (18.0 - 2.0) / 8, 9) AS value FROM (SELECT unnest(range(9)) AS i)", views=False)
+@query("WITH a AS (SELECT p_brand, min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part GROUP BY 1) SELECT p_brand, i, round(lo + i * ((hi - lo) / 8), 9) AS value FROM a, (SELECT unnest(range(9)) AS i)", views=False)
 def grid_axis(spark, sf_dir):
-    """Evenly spaced values of one axis, the others held."""
-    axis = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.round(F.lit(2.0) + i * F.lit((18.0 - 2.0) / 8), 9))
-    return spark.range(1).select(F.posexplode(axis).alias("i", "value")).select(F.col("i").cast("long").alias("i"), "value")
+    """Evenly spaced values of an axis between the ends that its sizes have, for each brand."""
+    ends = td.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_size").cast("double").alias("lo"), F.max("p_size").cast("double").alias("hi"))
+    axis = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.round(F.col("lo") + i * ((F.col("hi") - F.col("lo")) / 8), 9))
+    return ends.select("p_brand", F.posexplode(axis).alias("i", "value")).withColumn("i", F.col("i").cast("long"))
 
 
-@query("SELECT f.v AS fourcc, s.w AS width, s.h AS height, r.v AS fps, row_number() OVER (ORDER BY f.v, s.w, r.v) AS place FROM (VALUES ('MJPG'), ('YUY2')) f(v), (VALUES (640, 480), (1920, 1200)) s(w, h), (VALUES (30), (60), (90)) r(v)", views=False)
+@query("""SELECT p_brand AS device, p_type AS fourcc, fps, row_number() OVER (PARTITION BY p_brand ORDER BY p_type, fps) AS place
+FROM (SELECT DISTINCT p_brand, p_type FROM part) f JOIN (SELECT DISTINCT p_brand, p_size % 3 * 30 + 30 AS fps FROM part) r USING (p_brand)""", views=False)
 def mode_matrix(spark, sf_dir):
-    """Candidate modes: formats by sizes by rates."""
-    f = spark.createDataFrame([("MJPG",), ("YUY2",)], "fourcc string")
-    s = spark.createDataFrame([(640, 480), (1920, 1200)], "width int, height int")
-    r = spark.createDataFrame([(30,), (60,), (90,)], "fps int")
-    every = f.crossJoin(s).crossJoin(r)  # three constant lists
-    return every.withColumn("place", F.row_number().over(Window.orderBy("fourcc", "width", "fps")).cast("long"))
+    """Candidate modes of each device: its formats by its rates."""
+    part = td.table(spark, sf_dir, "part")
+    formats = part.select(F.col("p_brand").alias("device"), F.col("p_type").alias("fourcc")).distinct()
+    every = formats.join(part.select(F.col("p_brand").alias("device"), (F.col("p_size") % 3 * 30 + 30).alias("fps")).distinct(), "device")
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("device").orderBy("fourcc", "fps")).cast("long"))
 
 
 def _results(spark, sf_dir):

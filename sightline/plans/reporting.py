@@ -133,13 +133,13 @@ sc AS (SELECT id, expected, count(*) FILTER (kind = 'pass') AS decoded, count(*)
 @query(f"--cte {SESSIONS} SELECT *, expected - decoded - missed AS shortfall FROM sc")
 def session_counts(spark, sf_dir):
     """Per session: decoded, missed, shortfall; unstamped events are in each."""
-    return reports.session_counts(td.sessions(spark), _session_events(spark, sf_dir), td.DAY)
+    return reports.session_counts(td.sessions(spark, sf_dir), _session_events(spark, sf_dir), td.DAY)
 
 
 @query(f"--cte {SESSIONS} SELECT id, expected - decoded - missed AS shortfall, expected - decoded - missed = 0 OR id % 3 = 0 AS may_close FROM sc")
 def session_close(spark, sf_dir):
     """Which sessions may close: without shortfall, or with a note."""
-    notes = td.sessions(spark).select("id", F.when(F.col("id") % 3 == 0, "seen").otherwise("  ").alias("note"))
+    notes = td.sessions(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, "seen").otherwise("  ").alias("note"))
     return reports.may_close(session_counts(spark, sf_dir), notes)
 
 

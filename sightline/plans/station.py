@@ -131,10 +131,13 @@ def region_boxes(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", x.cast("long").alias("x"), y.cast("long").alias("y"), w.cast("long").alias("w"), h.cast("long").alias("h"), station.motion_box(px, F.col("l_discount"), 0.02, 0.08).alias("motion_x"), F.col("_pad.x").alias("padded_x"), F.col("_pad.w").alias("padded_w"))
 
 
-@query("SELECT row_number() OVER (ORDER BY p, b, s DESC) - 1 AS case_id, p AS pitch, b AS blur, s AS symbology FROM (VALUES (2.0::DOUBLE), (3.0), (4.5)) p(p), (VALUES (0.0::DOUBLE), (0.7)) b(b), (VALUES ('qr'), ('datamatrix')) s(s)", views=False)
+@query("""SELECT p_brand AS bench, row_number() OVER (PARTITION BY p_brand ORDER BY p, b, s DESC) - 1 AS case_id, p AS pitch, b AS blur, s AS symbology
+FROM (SELECT DISTINCT p_brand, 2.0::DOUBLE + p_size % 3 AS p FROM part) JOIN (SELECT DISTINCT p_brand, p_partkey % 2 * 0.5::DOUBLE AS b FROM part) USING (p_brand), (VALUES ('qr'), ('datamatrix')) s(s)""", views=False)
 def bench_workload(spark, sf_dir):
-    """The grid of a decoder bench."""
-    return station.workload([2.0, 3.0, 4.5], [0.0, 0.7], ["qr", "datamatrix"], spark)
+    """The numbered cases of decoder benches: each one's pitches by its blurs by symbologies."""
+    part = td.table(spark, sf_dir, "part")
+    of = lambda value, name: part.select(F.col("p_brand").alias("bench"), value.cast("double").alias(name))
+    return station.workloads(of(F.lit(2.0) + F.col("p_size") % 3, "pitch"), of(F.col("p_partkey") % 2 * F.lit(0.5), "blur"), "bench", ["qr", "datamatrix"])
 
 
 @query("WITH a AS (SELECT l_orderkey AS k, l_partkey % 5 AS p FROM lineitem), b AS (SELECT l_orderkey AS k, CASE WHEN l_orderkey % 100 = 0 THEN 9 ELSE l_partkey % 5 END AS p FROM lineitem) SELECT k, p, sum(n)::BIGINT AS surplus FROM (SELECT k, p, 1 AS n FROM a UNION ALL SELECT k, p, -1 FROM b) GROUP BY 1, 2 HAVING sum(n) <> 0", views=False)

@@ -177,7 +177,7 @@ def source_to_wall(spark, sf_dir):
 @query("--cte c AS (SELECT id, started, expected, (SELECT count(*) FROM sightings WHERE ts_us BETWEEN started AND ended) AS live, CASE WHEN id % 2 = 0 THEN 'closed' ELSE 'open' END AS status, CASE WHEN id % 2 = 0 THEN '{\"decoded\":' || (id * 10) || '}' END AS summary FROM sessions) SELECT id, status, CASE WHEN status = 'closed' THEN id * 10 ELSE live END AS decoded FROM c ORDER BY id DESC LIMIT 20")
 def session_rows(spark, sf_dir):
     """Newest sessions: closed ones with their stored summary, open ones counted now."""
-    s = td.sessions(spark)
+    s = td.sessions(spark, sf_dir)
     events = td.sightings(spark, sf_dir).select(F.lit("pass").alias("kind"), F.col("ts_us").alias("at"))
     live = reports.session_counts(s, events, td.DAY).select("id", F.col("decoded").alias("live"))
     closed = F.col("id") % 2 == 0
@@ -189,4 +189,4 @@ def session_rows(spark, sf_dir):
 @query("SELECT id, status FROM (SELECT id, CASE WHEN id < 29 THEN 'closed' ELSE 'open' END AS status FROM sessions) WHERE status = 'open' LIMIT 1")
 def current_session(spark, sf_dir):
     """The one open session."""
-    return td.sessions(spark).select("id", F.when(F.col("id") < 29, "closed").otherwise("open").alias("status")).where("status = 'open'").limit(1)
+    return td.sessions(spark, sf_dir).select("id", F.when(F.col("id") < 29, "closed").otherwise("open").alias("status")).where("status = 'open'").limit(1)

@@ -49,6 +49,14 @@ def stream_cross_camera_state(spark, sf_dir):
     return live.live_passes(spark, live.replay_cross_camera(spark, _lagged(spark, sf_dir), td.WINDOW, td.CAMERAS)[1]).select("payload", "anchor")
 
 
+@query()
+def stream_capped_dedup(spark, sf_dir):
+    """The stream with at most four passes over all payloads after each micro-batch; evictions are actions. A brute-force fold is the test."""
+    actions = live.run_capped(spark, _lagged(spark, sf_dir), td.WINDOW, td.CAMERAS, 4, 3)[0]
+    n = lambda a: F.count_if(F.col("action") == a)
+    return actions.groupBy("payload").agg(n("emit").alias("passes_emitted"), n("merge").alias("cross_camera_merges"), n("evict").alias("forced_evictions"))
+
+
 SEEDS = "seeds AS (SELECT payload, min(ts_us) - 3600000000 AS seed FROM sightings WHERE user_id % 2 = 0 GROUP BY 1)"
 
 

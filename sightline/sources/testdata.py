@@ -59,8 +59,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed(spark, sf_dir).select("user_id", "payload", place.cast("long").alias("frame_index"), "ts_us", (F.col("value") > 30).alias("active"), (F.col("event_id") % 97 == 0).alias("discontinuity"), "event_type", "event_id", "value")
 
 
-def sessions(spark: SparkSession) -> DataFrame:
-    return spark.range(30).select("id", (START + F.col("id") * DAY).alias("started"), (START + F.col("id") * DAY + DAY - 1).alias("ended"), F.lit(300).cast("long").alias("expected"))
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session a day, of the days that have events."""
+    days = timed(spark, sf_dir).select(F.floor((F.col("ts_us") - START) / DAY).cast("long").alias("id")).distinct()
+    return days.select("id", (START + F.col("id") * DAY).alias("started"), (START + F.col("id") * DAY + DAY - 1).alias("ended"), F.lit(300).cast("long").alias("expected"))
 
 
 SQL = r"""
@@ -73,5 +75,5 @@ manifest_lines AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN '  ,note' ELSE print
     UNION ALL SELECT chr(65279) || 'Pallet_ID,segment', 0),
 manifest AS (SELECT trim(split_part(line, ',', 1)) AS payload, min(pos) AS pos FROM manifest_lines WHERE pos > 0 AND trim(split_part(line, ',', 1)) <> '' GROUP BY 1),
 frames AS (SELECT user_id, payload, row_number() OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS frame_index, ts_us, value > 30 AS active, event_id % 97 = 0 AS discontinuity, event_type, event_id, value FROM timed),
-sessions AS (SELECT range AS id, 1704067200000000 + range * 86400000000 AS started, 1704067200000000 + range * 86400000000 + 86400000000 - 1 AS ended, 300 AS expected FROM range(30))
+sessions AS (SELECT id, 1704067200000000 + id * 86400000000 AS started, 1704067200000000 + id * 86400000000 + 86400000000 - 1 AS ended, 300 AS expected FROM (SELECT DISTINCT (ts_us - 1704067200000000) // 86400000000 AS id FROM timed))
 """

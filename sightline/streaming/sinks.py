@@ -19,10 +19,14 @@ log = logging.getLogger(__name__)
 Sink = Callable[[DataFrame, int], None]
 
 
-def fan_out(sinks: dict[str, Sink], counts: dict[str, dict[str, int]] | None = None, lost: dict[str, int] | None = None) -> Sink:
+LOST = "rows long, error string, batch_id long, sink string"
+
+
+def fan_out(sinks: dict[str, Sink], counts: dict[str, dict[str, int]] | None = None, lost: dict[str, int] | None = None, losses: str | None = None) -> Sink:
     """All sinks in turn; an error in one is counted and logged, and doesn't stop the others.
 
-    `counts` has batches by sink, `lost` the rows of failed ones. A sink that must not lose rows writes them to its
+    `counts` has batches by sink, `lost` the rows of failed ones, in this run; `losses` is a table (LOST) that has them
+    over all runs, a batch that runs again replacing what it told. A sink that must not lose rows writes them to its
     outbox first, as http_sink() does."""
     counts, lost = counts if counts is not None else {}, lost if lost is not None else {}
 
@@ -34,16 +38,31 @@ def fan_out(sinks: dict[str, Sink], counts: dict[str, dict[str, int]] | None = N
                 try:
                     sink(batch, batch_id)
                     own["ok"] += 1
-                except Exception:
+                    if losses is not None:
+                        _table_gone(batch.sparkSession, f"{losses}/batch_id={batch_id}/sink={name}")
+                except Exception as error:
                     own["failed"] += 1
-                    lost[name] = lost.get(name, 0) + batch.count()
+                    n = batch.count()
+                    lost[name] = lost.get(name, 0) + n
                     log.exception("sink %s failed on batch %s", name, batch_id)
+                    if losses is not None:
+                        batch.sparkSession.createDataFrame([(n, repr(error)[:500])], "rows long, error string").coalesce(1).write.mode("overwrite").parquet(f"{losses}/batch_id={batch_id}/sink={name}")
         finally:
             batch.unpersist()
 
     return write
 
 
+def read_losses(spark: SparkSession, path: str) -> DataFrame:
+    """Rows that sinks have lost: rows, error, batch_id, sink."""
+    return _table(spark, path, LOST)
+
+
+def _table_gone(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def log_sink(path: str, key: str = "event_id") -> Sink:
     """Append-only Parquet log by batch; rows carry batch_id and an arrival number for the current view."""
 

@@ -176,6 +176,14 @@ def test_cap_over_the_whole_state(spark):
     assert {(x.payload, x.anchor) for x in left.collect()} == held and len(held) <= 6
 
 
+def test_the_capped_query(spark):
+    rows = [tuple(r) for r in streams._lagged(spark, SF).select(*[c.split()[0] for c in SIGHT.split(", ")]).collect()]
+    want, _ = folded(rows, td.WINDOW, td.CAMERAS, 4, replay.cuts(spark.createDataFrame(rows, SIGHT), "arrival_seq", 3))
+    got = {r.payload: (r.passes_emitted, r.cross_camera_merges, r.forced_evictions) for r in streams.stream_capped_dedup(spark, SF).collect()}
+    assert got == {p: tuple(sum(x[0] == p and x[2] == a for x in want) for a in ("emit", "merge", "evict")) for p in {x[0] for x in want}}
+    assert sum(v[2] for v in got.values()) > 2
+
+
 def test_a_silent_camera_holds_the_state(spark):
     """Nothing is forgotten until each camera has spoken; then all that it has passed goes, of payloads never seen again, too."""
     rows = [("a", "x", T, T, 1, 0, 0, 1), ("b", "x", T + 90_000_000, T + 90_000_000, 2, 0, 0, 1), ("c", "y", T + 95_000_000, T + 95_000_000, 3, 0, 0, 1)]

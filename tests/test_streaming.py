@@ -76,6 +76,25 @@ def test_sinks_fail_alone_and_replay(spark, tmp_path):
     assert sinks.read_log(spark, str(tmp_path / "log")).count() == 2 and spark.read.parquet(str(tmp_path / "box")).count() == 2
 
 
+def test_losses_are_a_table(spark, tmp_path):
+    batch = spark.createDataFrame([("e1", 0), ("e2", 1)], "event_id string, revision int")
+    down = [True]
+
+    def sink(df, i):
+        if down[0]:
+            raise OSError("down")
+
+    path = str(tmp_path / "losses")
+    write = sinks.fan_out({"a": sink, "b": lambda df, i: None}, losses=path)
+    write(batch, 0)
+    write(batch, 0)  # the same batch again counts once
+    write(batch, 1)
+    assert sorted((r.batch_id, r.sink, r.rows, r.error) for r in sinks.read_losses(spark, path).collect()) == [(0, "a", 2, "OSError('down')"), (1, "a", 2, "OSError('down')")]
+    down[0] = False
+    sinks.fan_out({"a": sink}, losses=path)(batch, 1)  # a later run that succeeds takes its batch's loss back
+    assert [r.batch_id for r in sinks.read_losses(spark, path).collect()] == [0]
+
+
 def test_delivery_keeps_order(spark):
     box = spark.createDataFrame([(i, f"e{i}", "bad" if i == 2 else "ok") for i in range(5)], "seq long, event_id string, body string").coalesce(1)
     got = sinks.deliver(box, lambda body: body == "ok", tries=2, wait=lambda _: 0.0).orderBy("seq").collect()

@@ -177,8 +177,8 @@ def test_cap_over_the_whole_state(spark):
 
 
 def test_the_capped_query(spark):
-    rows = [tuple(r) for r in streams._lagged(spark, SF).select(*[c.split()[0] for c in SIGHT.split(", ")]).collect()]
-    want, _ = folded(rows, td.WINDOW, td.CAMERAS, 4, replay.cuts(spark.createDataFrame(rows, SIGHT), "arrival_seq", 3))
+    stored = streams._lagged(spark, SF).select(*[c.split()[0] for c in SIGHT.split(", ")])
+    want, _ = folded([tuple(r) for r in stored.collect()], td.WINDOW, td.CAMERAS, 4, replay.cuts(stored, "arrival_seq", 3))
     got = {r.payload: (r.passes_emitted, r.cross_camera_merges, r.forced_evictions) for r in streams.stream_capped_dedup(spark, SF).collect()}
     assert got == {p: tuple(sum(x[0] == p and x[2] == a for x in want) for a in ("emit", "merge", "evict")) for p in {x[0] for x in want}}
     assert sum(v[2] for v in got.values()) > 2

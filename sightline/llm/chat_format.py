@@ -201,12 +201,23 @@ def read_back(output: DataFrame) -> DataFrame:
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
+def in_layouts(rows: DataFrame) -> DataFrame:
+    """Turns (conv_id, turn, role, text) as JSON records of three layouts, dealt by conversation: rows, messages, and from-value
+    pairs with that layout's own names of roles (turns of roles that it would rename go as rows)."""
+    whole = {"ignoreNullFields": "false"}
+    theirs = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    as_row = F.to_json(F.struct("role", "text", "turn"), whole)
+    as_messages = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")), whole)
+    as_pairs = F.to_json(F.struct(F.array(F.struct(theirs.alias("from"), F.col("text").alias("value"))).alias("conversations"), F.col("conv_id").alias("id")), whole)
+    dealt = F.pmod("conv_id", F.lit(3))
+    record = F.when(dealt == 1, as_messages).when((dealt == 2) & ~F.coalesce(F.col("role").isin(*ROLES), F.lit(False)), as_pairs).otherwise(as_row)
+    return rows.select("conv_id", "turn", "role", "text", record.alias("record"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
-    rows = stored.unionByName(added)
-    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"}).alias("record"))
-    return read_back(format_records(records, "conv_id", ["turn"], "record"))
+    return read_back(format_records(in_layouts(stored.unionByName(added)), "conv_id", ["turn", "role", "text"], "record"))
 
 
 SQL = r"""

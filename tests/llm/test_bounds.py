@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.llm import minhash_dedup, mixing, quality_rules, shared
+from sightline.llm import chat_format, minhash_dedup, mixing, quality_rules, shared
 
 
 def test_the_mix_of_lengths_does_not_jump():
@@ -60,3 +60,14 @@ def test_no_texts_are_left_behind(spark):
         minhash_dedup.linked(broken).collect()
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("sightline_texts")]
     assert not [f for f in left(spark) - before if "texts" in f]
+
+
+def test_the_chat_query_meets_several_layouts(spark):
+    roles = ["user", "assistant", "system", "human", "gpt", None, "tool"]
+    rows = [(c, t, roles[(c + t) % 7], f"text {c} {t} \\ <s> \n") for c in range(9) for t in (2, 0, 1)] + [(None, 0, "user", None), (4, 1, "assistant", "same turn"), (5, 1, "assistant", "same turn"), (5, None, "user", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_records(chat_format.in_layouts(turns), "conv_id", ["turn", "role", "text"], "record")
+    got = out.orderBy("conv_id", "place").collect()
+    assert {r.layout for r in got} == {"turn-rows", "messages", "from-value"}
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    assert [(r.conv_id, *chat_format.parse(r.formatted)) for r in got] == [(c, role or "", text or "") for c, _, role, text in sorted(rows, key=key)]

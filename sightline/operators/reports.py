@@ -132,3 +132,42 @@ def session_csv(session: DataFrame, cameras: DataFrame, status: DataFrame | None
         blank = _fixed(session.sparkSession, section, "").withColumn("place", F.lit(-1).cast("long"))
         lines = lines.unionByName(blank.unionByName(part).join(F.broadcast(some)).drop("some"))
     return lines
+
+
+def tenths(part: Column, all_: Column) -> Column:
+    """A percentage with one digit, half up, as text; a dash of nothing."""
+    t = F.floor((part * 2000 + all_) / F.nullif(2 * all_, F.lit(0))).cast("long")
+    return F.coalesce(F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit("%")), F.lit("—"))
+
+
+def run_text(counts: DataFrame, outcome: DataFrame) -> DataFrame:
+    """The end of a run as lines (section, place, line): its counters (one row: frames, dropped, passes, merged, misses), what became of
+    the truth (pass_id, payload, outcome), and each pass that nothing accounts for, a line each, in their order."""
+    n = lambda v: F.count_if(F.col("outcome") == v)
+    told = outcome.agg(F.count(F.lit(1)).alias("n"), n("decoded").alias("decoded"), n("missed").alias("missed"), n("unaccounted").alias("unaccounted"))
+    rate = F.when(F.col("n") == 0, "100.0%").otherwise(tenths(F.col("decoded"), F.col("n")))
+    lines = F.array(
+        F.lit("run summary"), F.format_string("frames %d, dropped %d", "frames", "dropped"), F.format_string("passes %d, merged into others %d", "passes", "merged"), F.format_string("misses %d", "misses"),
+        F.concat(F.format_string("truth %d: decoded %d (", "n", "decoded"), rate, F.format_string("), missed %d, unaccounted %d", "missed", "unaccounted")))
+    head = counts.join(F.broadcast(told)).select(F.lit(0).alias("section"), F.posexplode(lines).alias("place", "line"))  # one row with one row
+    left = outcome.where("outcome = 'unaccounted'").select(F.lit(1).alias("section"), F.col("pass_id").alias("place"), F.format_string("unaccounted: pass %d, %s", "pass_id", "payload").alias("line"))
+    return head.withColumn("place", F.col("place").cast("long")).unionByName(left)
+
+
+def variant_text(results: DataFrame) -> DataFrame:
+    """A replay report as lines (variant, section, line), from results (variant, candidate_id, outcome, truth, decoded, decoder): a row of the table,
+    which decoders read how much, misses that it reads, and passes that it loses."""
+    read = F.col("decoded").isNotNull()
+    lost = (F.col("outcome") == "pass") & ~F.coalesce(F.array_contains("truth", F.col("decoded")), F.lit(False))
+    found = (F.col("outcome") == "miss") & read
+    sums = results.groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.count_if(read).alias("r"), F.count_if(found).alias("f"), F.count_if(lost).alias("l"))
+    row = F.concat(F.format_string("| %s | %d/%d | ", "variant", "r", "n"), tenths(F.col("r"), F.col("n")), F.format_string(" | %d | %d |", "f", "l"))
+    by = results.where(F.col("decoder").isNotNull()).groupBy("variant", "decoder").agg(F.count(F.lit(1)).alias("n"))
+    by = by.groupBy("variant").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "decoder"))).alias("all"))  # a variant has few decoders
+    said = F.array_join(F.transform("all", lambda d: F.concat(d.decoder, F.lit("="), (-d.less).cast("string"))), ", ")
+    line = lambda section, rows, text: rows.select("variant", F.lit(section).alias("section"), text.alias("line"))
+    none = F.coalesce("decoded", F.lit("nothing"))
+    return (
+        line(0, sums, row).unionByName(line(1, by, F.concat(F.lit("read by "), said)))
+        .unionByName(line(2, results.where(found), F.concat_ws(" ", F.lit("reads the miss"), F.col("candidate_id"), F.lit("as"), F.col("decoded"), F.lit("by"), F.col("decoder"))))
+        .unionByName(line(3, results.where(lost), F.concat_ws(" ", F.lit("loses the pass"), F.col("candidate_id"), F.lit("of"), F.array_join("truth", "/"), F.lit("to"), none))))

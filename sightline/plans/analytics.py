@@ -7,8 +7,9 @@ from pyspark.sql.window import Window
 
 from ..functions.stats import exclusive_p95
 from ..operators import analytics as an
+from ..operators import reports
 from ..sources import testdata as td
-from .registry import query
+from .registry import TENTHS, query
 
 EDGES = [0, 10, 20, 30, 40, 50]
 
@@ -78,6 +79,17 @@ def variant_report(spark, sf_dir):
     return an.variant_report(_results(spark, sf_dir)).withColumn("read_rate", F.round("read_rate", 6))
 
 
+@query(f"""WITH {RESULTS}, s AS (SELECT variant, count(*) AS n, count(decoded) AS r, count(*) FILTER (outcome = 'miss' AND decoded IS NOT NULL) AS f, count(*) FILTER (outcome = 'pass' AND decoded IS DISTINCT FROM truth) AS l FROM res GROUP BY 1),
+d AS (SELECT variant, string_agg(decoder || '=' || k, ', ' ORDER BY k DESC, decoder) AS said FROM (SELECT variant, decoder, count(*) AS k FROM res WHERE decoder IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT variant, 0 AS section, '| ' || variant || ' | ' || r || '/' || n || ' | ' || {TENTHS.format(a='r', b='n')} || ' | ' || f || ' | ' || l || ' |' AS line FROM s
+UNION ALL SELECT variant, 1, 'read by ' || said FROM d
+UNION ALL SELECT variant, 2, 'reads the miss ' || candidate_id || ' as ' || decoded || ' by ' || decoder FROM res WHERE outcome = 'miss' AND decoded IS NOT NULL
+UNION ALL SELECT variant, 3, 'loses the pass ' || candidate_id || ' of ' || truth || ' to ' || coalesce(decoded, 'nothing') FROM res WHERE outcome = 'pass' AND decoded IS DISTINCT FROM truth""", views=False)
+def variant_text(spark, sf_dir):
+    """The replay report in lines."""
+    return reports.variant_text(_results(spark, sf_dir))
+
+
 @query(f"WITH {RESULTS}, c AS (SELECT variant, decoder, count(*) AS n FROM res WHERE decoder IS NOT NULL GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY variant ORDER BY n DESC, decoder)::INT AS rank FROM c", views=False)
 def attribution(spark, sf_dir):
     return an.attribution(_results(spark, sf_dir))

@@ -6,6 +6,8 @@ from ..sources import testdata
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: A percentage with one digit, half up, as text.
+TENTHS = "((2000 * {a} + {b}) // (2 * {b}) // 10) || '.' || ((2000 * {a} + {b}) // (2 * {b}) % 10) || '%'"
 
 
 def query(sql: str | None = None, views: bool = True):

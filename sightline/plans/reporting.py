@@ -9,7 +9,7 @@ from ..operators import metrics, reconcile, reports
 from ..sources import files
 from ..sources import testdata as td
 from . import detection
-from .registry import query
+from .registry import TENTHS, query
 
 PCT = "list_sort({v})[round_even({q} * (len({v}) - 1), 0)::BIGINT + 1]"
 DEDUP = "g AS (SELECT source_id, payload, list_sort(list(ts_us)) AS ts FROM sightings GROUP BY 1, 2), kept AS (SELECT source_id, payload, unnest(list_reduce(ts, lambda acc, x: CASE WHEN x - acc[-1] > $WINDOW THEN list_append(acc, x) ELSE acc END, [ts[1]])) AS ts_us FROM g)"
@@ -82,6 +82,19 @@ def run_summary(spark, sf_dir):
     return _rounded(reconcile.truth_counts(_outcome(spark, sf_dir)), "read_rate")
 
 
+@query(f"""--cte {OUTCOME}, n AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'decoded') AS d, count(*) FILTER (outcome = 'missed') AS m, count(*) FILTER (outcome = 'unaccounted') AS u FROM o),
+c AS (SELECT count(*) AS f, count(*) FILTER (event_id % 97 = 0) AS x, count(*) FILTER (event_type <> 'error') AS p, count(*) FILTER (event_type <> 'error' AND event_id % 5 = 0) AS g, count(*) FILTER (event_type = 'error') AS m FROM timed)
+SELECT 0 AS section, unnest(range(5)) AS place, unnest(['run summary', 'frames ' || f || ', dropped ' || x, 'passes ' || p || ', merged into others ' || g, 'misses ' || c.m,
+  'truth ' || n || ': decoded ' || d || ' (' || {TENTHS.format(a='d', b='n')} || '), missed ' || n.m || ', unaccounted ' || u]) AS line FROM c, n
+UNION ALL SELECT 1, pass_id, 'unaccounted: pass ' || pass_id || ', ' || payload FROM o WHERE outcome = 'unaccounted'""")
+def run_text(spark, sf_dir):
+    """The end of a run in lines, with each truth pass that nothing accounts for."""
+    e = F.col("event_id")
+    seen = F.col("event_type") != "error"
+    counts = td.timed(spark, sf_dir).agg(F.count(F.lit(1)).alias("frames"), F.count_if(e % 97 == 0).alias("dropped"), F.count_if(seen).alias("passes"), F.count_if(seen & (e % 5 == 0)).alias("merged"), F.count_if(~seen).alias("misses"))
+    return reports.run_text(counts, _outcome(spark, sf_dir))
+
+
 @query("--cte l AS (SELECT payload, arg_max(first_seen_us, arrival_seq * 1000000 + event_id) AS fs, arg_max(ts_us, arrival_seq * 1000000 + event_id) AS fd FROM sightings GROUP BY 1) SELECT pass_id, payload, fs IS NOT NULL AS decoded, round((fd - fs) / 1000.0, 6) AS ttfd_ms FROM truth LEFT JOIN l USING (payload)")
 def truth_first_decode(spark, sf_dir):
     """Time to first decode of each truth row's last event."""

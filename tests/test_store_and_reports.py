@@ -242,3 +242,19 @@ def test_rates_without_keys(spark):
     got = metrics.rates(events, frames, [], "t").first()
     assert (got.p1, got.m1, got.p24, got.m24, got.read_rate_1h) == (1, 1, 2, 1, 0.5)
     assert metrics.rates(events.limit(0), frames, [], "t").first().read_rate_24h is None
+
+
+def test_run_text(spark):
+    counts = spark.createDataFrame([(100, 3, 7, 2, 4)], "frames long, dropped long, passes long, merged long, misses long")
+    outcome = spark.createDataFrame([(1, "A", "decoded"), (2, "B", "unaccounted"), (3, "C", "missed"), (7, "D", "unaccounted")], "pass_id long, payload string, outcome string")
+    lines = [r.line for r in reports.run_text(counts, outcome).orderBy("section", "place").collect()]
+    assert lines == ["run summary", "frames 100, dropped 3", "passes 7, merged into others 2", "misses 4", "truth 4: decoded 1 (25.0%), missed 1, unaccounted 2", "unaccounted: pass 2, B", "unaccounted: pass 7, D"]
+    none = [r.line for r in reports.run_text(counts, outcome.where("false")).orderBy("place").collect()]
+    assert none[-1] == "truth 0: decoded 0 (100.0%), missed 0, unaccounted 0"
+
+
+def test_variant_text(spark):
+    rows = [("v", "a", "miss", ["P"], "P", "d1"), ("v", "b", "pass", ["P"], None, None), ("v", "c", "pass", ["P", "Q"], "Q", "d2"), ("v", "d", "pass", ["P"], "X", "d1"), ("w", "a", "miss", [], None, None)]
+    df = spark.createDataFrame(rows, "variant string, candidate_id string, outcome string, truth array<string>, decoded string, decoder string")
+    got = [(r.variant, r.line) for r in reports.variant_text(df).orderBy("variant", "section", "line").collect()]
+    assert got == [("v", "| v | 3/4 | 75.0% | 1 | 2 |"), ("v", "read by d1=2, d2=1"), ("v", "reads the miss a as P by d1"), ("v", "loses the pass b of P to nothing"), ("v", "loses the pass d of P to X"), ("w", "| w | 0/1 | 0.0% | 0 | 0 |")]

@@ -155,5 +155,21 @@ def restart_gaps(restarts: DataFrame, keys: list[str], at: str, runtime: str) ->
     return restarts.withColumn("_gap", gap).groupBy(*keys).agg(F.max("_gap").alias("max_gap"), F.count(F.lit(1)).alias("restarts"))
 
 
+def problems(keys: list[str], memory: DataFrame, drifts: DataFrame, gaps: DataFrame, most_gap: int, most_slope: float = 1.0, ratio_limit: float = 1.5, most_drop: float = 1.0, most_rise: float = 50.0) -> DataFrame:
+    """(keys, gate, problem): every limit that a run breaks, by the verdicts of rss_verdict(), drift() and restart_gaps() (gaps in microseconds)."""
+
+    def failed(rows: DataFrame, gate: str, *found: tuple[Column, Column]) -> DataFrame:
+        said = F.array_compact(F.array(*[F.when(broken, text) for text, broken in found]))
+        return rows.select(*keys, F.lit(gate).alias("gate"), F.explode(said).alias("problem"))
+
+    some, drifting = F.col("n") >= 5, F.col("verdict") == "drifting"
+    gap = F.format_string("a gap of %d s", F.floor(F.col("max_gap") / 1_000_000).cast("long"))
+    grows, ends = F.lit(f"grows by more than {most_slope:g} MB a minute"), F.lit(f"ends at over {ratio_limit:g} times its baseline")
+    return (
+        failed(memory, "memory", (F.lit("too few samples after warm-up"), ~some), (grows, some & (F.col("slope_mb_min") > most_slope)), (ends, some & (F.col("final_mb") > F.col("baseline_mb") * ratio_limit)))
+        .unionByName(failed(drifts, "drift", (F.lit("read rate falls"), drifting & (F.col("read_rate_pp_hr") < -most_drop)), (F.lit("latency rises"), drifting & (F.col("p95_ms_hr") > most_rise))))
+        .unionByName(failed(gaps, "restart", (gap, F.col("max_gap") >= most_gap))))
+
+
 def exact_rank(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     return ranked_values(df, keys, value, {"value": (nearest_rank_index, q)})

@@ -146,9 +146,12 @@ def warmup_knee(spark, sf_dir):
     return an.warmup(_memory(spark, sf_dir), ["user_id"], "t", "value")
 
 
-@query(f"""--cte {KNEE}, post AS (SELECT m.user_id, t, value, warmup_s, row_number() OVER (PARTITION BY m.user_id ORDER BY t) AS a, row_number() OVER (PARTITION BY m.user_id ORDER BY t DESC) AS z FROM mem m JOIN kn USING (user_id) WHERE t >= warmup_s),
+RSS = f"""--cte {KNEE}, post AS (SELECT m.user_id, t, value, warmup_s, row_number() OVER (PARTITION BY m.user_id ORDER BY t) AS a, row_number() OVER (PARTITION BY m.user_id ORDER BY t DESC) AS z FROM mem m JOIN kn USING (user_id) WHERE t >= warmup_s),
 ag AS (SELECT user_id, count(*) AS n, coalesce(regr_slope(value, t), 0) * 60 AS sl, CASE WHEN count(*) >= 5 THEN list_sort(list(value) FILTER (a <= 5))[3] END AS b, CASE WHEN count(*) >= 5 THEN list_sort(list(value) FILTER (z <= 5))[3] END AS f FROM post GROUP BY 1), pk AS (SELECT user_id, max(value) AS p FROM mem GROUP BY 1)
-SELECT user_id, warmup_s, p AS peak_mb, coalesce(n, 0) AS n, round(sl, 6) AS slope_mb_min, b AS baseline_mb, f AS final_mb, coalesce(n >= 5 AND sl <= 1 AND f <= b * 1.5, false) AS ok FROM pk JOIN kn USING (user_id) LEFT JOIN ag USING (user_id)""")
+SELECT user_id, warmup_s, p AS peak_mb, coalesce(n, 0) AS n, round(sl, 6) AS slope_mb_min, b AS baseline_mb, f AS final_mb, coalesce(n >= 5 AND sl <= 1 AND f <= b * 1.5, false) AS ok FROM pk JOIN kn USING (user_id) LEFT JOIN ag USING (user_id)"""
+
+
+@query(RSS)
 def rss_verdict(spark, sf_dir):
     """Memory verdict after warm-up."""
     return an.rss_verdict(_memory(spark, sf_dir), ["user_id"], "t", "value", 1.0).withColumn("slope_mb_min", F.round("slope_mb_min", 6))
@@ -163,8 +166,11 @@ def _snapshots(spark, sf_dir):
         "user_id", "day", (F.col("day") * 86400.0).alias("uptime_s"), F.when(F.col("day") % 7 != 0, F.col("v") / 100).alias("read_rate_1h"), "decode_p95_ms")
 
 
-@query(f"""--cte {SNAP}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS p FROM snap), a AS (SELECT user_id, count(read_rate_1h) AS n_fit, CASE WHEN count(read_rate_1h) >= 3 THEN coalesce(regr_slope(read_rate_1h, uptime_s), 0) * 360000 ELSE 0 END AS rr, CASE WHEN count(read_rate_1h) >= 3 THEN coalesce(regr_slope(decode_p95_ms, uptime_s), 0) * 3600 ELSE 0 END AS p FROM k WHERE p > 1 GROUP BY 1)
-SELECT user_id, n_fit, round(rr, 6) AS read_rate_pp_hr, round(p, 6) AS p95_ms_hr, CASE WHEN n_fit < 3 THEN 'insufficient' WHEN rr < -1 OR p > 50 THEN 'drifting' ELSE 'steady' END AS verdict FROM a""")
+DRIFT = f"""--cte {SNAP}, k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) AS p FROM snap), a AS (SELECT user_id, count(read_rate_1h) AS n_fit, CASE WHEN count(read_rate_1h) >= 3 THEN coalesce(regr_slope(read_rate_1h, uptime_s), 0) * 360000 ELSE 0 END AS rr, CASE WHEN count(read_rate_1h) >= 3 THEN coalesce(regr_slope(decode_p95_ms, uptime_s), 0) * 3600 ELSE 0 END AS p FROM k WHERE p > 1 GROUP BY 1)
+SELECT user_id, n_fit, round(rr, 6) AS read_rate_pp_hr, round(p, 6) AS p95_ms_hr, CASE WHEN n_fit < 3 THEN 'insufficient' WHEN rr < -1 OR p > 50 THEN 'drifting' ELSE 'steady' END AS verdict FROM a"""
+
+
+@query(DRIFT)
 def drift(spark, sf_dir):
     """Drift of read rate and latency over snapshots."""
     return an.drift(_snapshots(spark, sf_dir), ["user_id"], "day").withColumns({c: F.round(c, 6) for c in ("read_rate_pp_hr", "p95_ms_hr")})
@@ -216,13 +222,33 @@ def restart_audit(spark, sf_dir):
     return o.groupBy(F.col("o_orderpriority").alias("reason"), (F.col("o_custkey") % 4).alias("exit_code")).agg(F.count(F.lit(1)).alias("restarts"), F.round(F.sum("o_totalprice"), 2).alias("runtime_s"))
 
 
-@query("--cte g AS (SELECT user_id, ts_us - 1000 * (event_id % 50) - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us) AS gap FROM timed) SELECT user_id, max(gap) AS max_gap, count(*) AS restarts FROM g GROUP BY 1")
+GAP = "--cte g AS (SELECT user_id, ts_us - 1000 * (event_id % 50) - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us) AS gap FROM timed) SELECT user_id, max(gap) AS max_gap, count(*) AS restarts FROM g GROUP BY 1"
+
+
+@query(GAP)
 def restart_gap(spark, sf_dir):
     """The longest pause between runs."""
     rows = td.timed(spark, sf_dir).select("user_id", "ts_us", (F.col("event_id") % 50 * 1000).alias("runtime"))
     return an.restart_gaps(rows, ["user_id"], "ts_us", "runtime")
 
 
+PROBLEMS = f"""--cte rss AS (WITH {RSS.removeprefix("--cte ")}), dr AS (WITH {DRIFT.removeprefix("--cte ")}), gp AS (WITH {GAP.removeprefix("--cte ")})
+SELECT user_id, 'memory' AS gate, 'too few samples after warm-up' AS problem FROM rss WHERE n < 5
+UNION ALL SELECT user_id, 'memory', 'grows by more than 1 MB a minute' FROM rss WHERE n >= 5 AND slope_mb_min > 1
+UNION ALL SELECT user_id, 'memory', 'ends at over 1.5 times its baseline' FROM rss WHERE n >= 5 AND final_mb > baseline_mb * 1.5
+UNION ALL SELECT user_id, 'drift', 'read rate falls' FROM dr WHERE verdict = 'drifting' AND read_rate_pp_hr < -1
+UNION ALL SELECT user_id, 'drift', 'latency rises' FROM dr WHERE verdict = 'drifting' AND p95_ms_hr > 50
+UNION ALL SELECT user_id, 'restart', 'a gap of ' || max_gap // 1000000 || ' s' FROM gp WHERE max_gap >= 172800000000"""
+
+
+@query(PROBLEMS)
+def soak_problems(spark, sf_dir):
+    """What a long run fails: a row for each gate and problem."""
+    rows = td.timed(spark, sf_dir).select("user_id", "ts_us", (F.col("event_id") % 50 * 1000).alias("runtime"))
+    memory = an.rss_verdict(_memory(spark, sf_dir), ["user_id"], "t", "value", 1.0)
+    return an.problems(["user_id"], memory, an.drift(_snapshots(spark, sf_dir), ["user_id"], "day"), an.restart_gaps(rows, ["user_id"], "ts_us", "runtime"), 2 * td.DAY)
+
+
 MODES = "modes AS (SELECT l_suppkey % 20 AS device, l_orderkey * 10 + l_linenumber AS mode, 30.0 AS requested_fps, l_quantity * 1.2 AS achieved_fps, (l_partkey % 4) * 1000 AS area, CASE WHEN l_orderkey % 2 = 0 THEN 'MJPG' ELSE ' yuy2' END AS fourcc FROM lineitem)"
 
 

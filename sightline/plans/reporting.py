@@ -167,10 +167,10 @@ def _rates(spark, sf_dir):
     return metrics.rates(events, clock, ["user_id"], "ts_us", 1_000_000)
 
 
-RATES = f"--cte {RATE} SELECT user_id, p1, m1, p24, m24, round(p1 * 3600 / least(3600.0, greatest((l - f) / 1000000.0, 60.0)), 6) AS passes_per_hour, round(p1 / nullif(p1 + m1, 0)::DOUBLE, 6) AS read_rate_1h, round(p24 / nullif(p24 + m24, 0)::DOUBLE, 6) AS read_rate_24h FROM c"
+RATE_COUNTS = f"--cte {RATE} SELECT user_id, p1, m1, p24, m24, round(p1 * 3600 / least(3600.0, greatest((l - f) / 1000000.0, 60.0)), 6) AS passes_per_hour, round(p1 / nullif(p1 + m1, 0)::DOUBLE, 6) AS read_rate_1h, round(p24 / nullif(p24 + m24, 0)::DOUBLE, 6) AS read_rate_24h FROM c"
 
 
-@query(RATES)
+@query(RATE_COUNTS)
 def rates(spark, sf_dir):
     """Rolling rates up to the latest frame."""
     return _rounded(_rates(spark, sf_dir), "passes_per_hour", "read_rate_1h", "read_rate_24h")

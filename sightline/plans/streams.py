@@ -14,7 +14,7 @@ from ..streaming import segments as live_segments
 from ..streaming.upsert import Upserts
 from .detection import CROSS, EVIDENCE, FLUSHED, LANES, PASS_OR_MISS, SEEDED, _blobs, passes_or_misses, timed_segments
 from .registry import query
-from .reporting import FPS, LATENCY, RATES
+from .reporting import FPS, LATENCY, RATE_COUNTS
 from .station import DEADLINES
 from .storage import VIEW, _log
 
@@ -158,7 +158,7 @@ def _metric_rows(spark, sf_dir, key):
     return t.select(F.col(key), F.col("ts_us").alias("at"), kind.alias("kind"), F.col("event_id").alias("seq"), "value", F.col("ts_us").alias("arrival"))
 
 
-@query(RATES)
+@query(RATE_COUNTS)
 def stream_rates(spark, sf_dir):
     """Rolling counts and rates of the last hour and day, live, up to a frame half an hour after the last event."""
     rows = _metric_rows(spark, sf_dir, "user_id")

@@ -12,7 +12,7 @@ so that a shard holds few bitmaps of phrases. Spark sums the popcounts over the
 Three passes over the texts keep what is shuffled small, and each is a map with sums:
 
 1. words are counted; those below `min_count` cannot be in a candidate;
-2. pairs of the other words are counted, by 64-bit hashes: a pair whose hash is rarer
+2. pairs of the other words are counted, by 56-bit hashes: a pair whose hash is rarer
    than `min_count` cannot be in one either (equal hashes only let more through);
 3. phrases of up to `max_words` words whose pairs all passed are counted as text, exactly.
 
@@ -45,7 +45,7 @@ from .shared import dealt_bucket, written
 END = b"\xff"
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + END * 10)
 #: Distinct words that a counting task holds, positions of a shard, pairs of bytes that a step of the search holds.
-HELD, SHARD, STEP = 400_000, 1 << 22, 1 << 21
+HELD, SHARD, STEP = 400_000, 1 << 22, 1 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -54,7 +54,9 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def texts(batch: pa.RecordBatch) -> Iterator[tuple[str, str | None]]:
-    return zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+    for lo in range(0, len(batch), 256):
+        part = batch.slice(lo, 256)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
 
 
 def counted(batches):
@@ -87,18 +89,19 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes have both their bits in the set."""
+    """Which hashes have both their bits in the set; a hash's last 8 bits don't count."""
     size = np.uint64(len(bits) * 64 - 1)
     found = np.ones(len(hashes), bool)
-    for shift in (0, 32):
+    for shift in (8, 36):
         at = (hashes >> np.uint64(shift)) & size
         found &= (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return found
 
 
 def bit_set(hashes: DataFrame, filter_bits: int) -> Broadcast:
-    """The set of the column h, made of sums over its 64-bit words, of which there are 2^(filter_bits - 6) at most."""
-    places = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit((1 << filter_bits) - 1)) for s in (0, 32)]))
+    """The set of the column h (hashes without their last 8 bits), made of sums over its 64-bit words, of which there are
+    2^(filter_bits - 6) at most; filter_bits is 28 at most."""
+    places = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(F.lit((1 << filter_bits) - 1)) for s in (0, 28)]))
     words = hashes.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
     bits = np.zeros(1 << (filter_bits - 6), np.uint64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
@@ -110,13 +113,15 @@ class Shard:
 
     def __init__(self, lang: str, words: list[bytes], hashes: np.ndarray, at: np.ndarray, word: np.ndarray):
         self.lang, self.hashes, self.text = lang, hashes, pa.array(words, pa.binary()).cast(pa.string())
-        order = np.argsort(word, kind="stable")
-        word, byte, bit = word[order], (at >> 3)[order], np.left_shift(1, at & 7).astype(np.uint8)[order]
+        order = np.argsort(word, kind="stable").astype(np.int32)
+        word, at = word[order], at[order]
+        del order
+        byte, bit = at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8))
         new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (byte[1:] != byte[:-1])])
         self.word, self.byte, self.bits = word[new], byte[new], np.bitwise_or.reduceat(bit, new)
-        there = np.argsort(self.byte, kind="stable")
+        there = np.argsort(self.byte, kind="stable").astype(np.int32)
         self.there_word, self.there_bits = self.word[there], self.bits[there]
-        self.start = np.zeros(int(at[-1] >> 3) + 3, np.int64)
+        self.start = np.zeros(int(self.byte.max()) + 3, np.int64)
         np.cumsum(np.bincount(self.byte, minlength=len(self.start) - 1), out=self.start[1:])
 
     def shifted(self, of: np.ndarray, byte: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,16 +184,19 @@ def shards(batches, known: np.ndarray, size: int) -> Iterator[Shard]:
     ids: dict[str, list[np.ndarray]] = {}
     held = 0
 
+    def built(lang: str) -> Shard | None:
+        words, every = list(numbers.pop(lang)), np.concatenate(ids.pop(lang))
+        hashes = word_hashes(lang, words)
+        good = passes(known, hashes)
+        good[0] = False  # END
+        at = np.flatnonzero(good[every]).astype(np.int32)
+        new = (np.cumsum(good) - 1).astype(np.int32)
+        return Shard(lang, [words[i] for i in np.flatnonzero(good)], hashes[good], at, new[every[at]]) if len(at) else None
+
     def flush():
         for lang in list(ids):
-            words, every = list(numbers.pop(lang)), np.concatenate(ids.pop(lang))
-            hashes = word_hashes(lang, words)
-            good = passes(known, hashes)
-            good[0] = False  # END
-            at = np.flatnonzero(good[every])
-            if len(at):
-                new = np.cumsum(good) - 1
-                yield Shard(lang, [words[i] for i in np.flatnonzero(good)], hashes[good], at, new[every[at]])
+            if (shard := built(lang)) is not None:
+                yield shard
 
     for batch in batches:
         for lang, text in texts(batch):
@@ -210,11 +218,20 @@ def _pairs(known: Broadcast, size: int):
     def run(batches):
         for shard in shards(batches, known.value, size):
             for h, n in shard.pairs():
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["h", "f"])
+                yield pa.record_batch([pa.array(packed(h, n))], ["packed"])
 
     return run
 
 
+def packed(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hash and count in one number each, the count in the last 8 bits; larger counts are parted."""
+    parts = -(-n // 255)
+    first = np.cumsum(parts) - parts
+    each = np.full(int(parts.sum()), 255, np.int64)
+    each[first + parts - 1] = n - 255 * (parts - 1)
+    return ((np.repeat(hashes, parts) & ~np.uint64(255)) | each.astype(np.uint64)).view(np.int64)
+
+
 def _phrases(known: Broadcast, pairs: Broadcast, size: int, max_words: int):
     def run(batches):
         for shard in shards(batches, known.value, size):
@@ -228,7 +245,7 @@ def _known_hashes(batches):
     for batch in batches:
         langs, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), xxhash.xxh3_64_intdigest(x.encode())) for x, w in zip(langs, words, strict=True)), np.uint64, len(words))
-        yield pa.record_batch([pa.array(h.view(np.int64))], ["h"])
+        yield pa.record_batch([pa.array((h >> np.uint64(8)).view(np.int64))], ["h"])
 
 
 def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 10, max_words: int = 3, filter_bits: int = 27, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -236,7 +253,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     read = docs.select(F.coalesce(F.col(f"`{lang_col}`"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text"))
     words = written(read.mapInArrow(counted, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "words")
     known = bit_set(words.where(F.col("f") >= min_count).select("lang", "phrase").mapInArrow(_known_hashes, "h long"), filter_bits)
-    pairs = bit_set(read.mapInArrow(_pairs(known, shard), "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count).select("h"), filter_bits)
+    told = read.mapInArrow(_pairs(known, shard), "packed long").groupBy(F.shiftrightunsigned("packed", 8).alias("h")).agg(F.sum(F.col("packed").bitwiseAND(F.lit(255))).alias("f"))
+    pairs = bit_set(told.where(F.col("f") >= min_count).select("h"), filter_bits)
     found = read.mapInArrow(_phrases(known, pairs, shard, max_words), "lang string, phrase string, f long, k int")
     return words, written(found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count), "phrases")
 

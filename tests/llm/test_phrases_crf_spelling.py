@@ -72,6 +72,15 @@ def test_search_in_small_steps(monkeypatch):
     assert found == want
 
 
+def test_packed_counts():
+    r = np.random.default_rng(2)
+    hashes, n = r.integers(0, 1 << 63, 200).astype(np.uint64) * np.uint64(2), r.choice([1, 2, 254, 255, 256, 510, 511, 100_000], 200)
+    packed, found = co.packed(hashes, n).view(np.uint64), Counter()
+    for h in packed.tolist():
+        found[h >> 8] += h & 255
+    assert found == {h >> 8: c for h, c in zip(hashes.tolist(), n.tolist(), strict=True)} and ((packed & np.uint64(255)) > 0).all()
+
+
 def test_no_phrases(spark):
     schema = "text string, lang string"
     assert co.collocations(spark.createDataFrame([], schema)).collect() == []

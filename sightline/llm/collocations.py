@@ -44,8 +44,8 @@ from .shared import dealt_bucket, written
 #: Ends a piece; never a byte of UTF-8.
 END = b"\xff"
 CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + END * 10)
-#: Distinct words that a counting task holds, positions of a shard, pairs of bytes that a step of the search holds.
-HELD, SHARD, STEP = 400_000, 1 << 22, 1 << 20
+#: Distinct words that a counting task holds, positions of a shard, bytes and pairs of bytes that a step of the search holds.
+HELD, SHARD, STEP = 400_000, 1 << 22, 1 << 18
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -121,7 +121,7 @@ class Shard:
         self.word, self.byte, self.bits = word[new], byte[new], np.bitwise_or.reduceat(bit, new)
         there = np.argsort(self.byte, kind="stable").astype(np.int32)
         self.there_word, self.there_bits = self.word[there], self.bits[there]
-        self.start = np.zeros(int(self.byte.max()) + 3, np.int64)
+        self.start = np.zeros(int(self.byte.max()) + 3, np.int32)
         np.cumsum(np.bincount(self.byte, minlength=len(self.start) - 1), out=self.start[1:])
 
     def shifted(self, of: np.ndarray, byte: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,13 +133,14 @@ class Shard:
     def meet(self, of: np.ndarray, byte: np.ndarray, bits: np.ndarray) -> Iterator[tuple]:
         """AND with the bitmaps of all words that have bits in the same bytes: rows of (of, word, byte, byte of bits)."""
         n = self.start[byte + 1] - self.start[byte]
-        ends = np.cumsum(n)
+        ends = np.cumsum(n, dtype=np.int64)
         lo = 0
         while lo < len(of):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, "right")))
             m = n[lo:hi]
-            row = np.repeat(np.arange(lo, hi), m)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(self.start[byte[lo:hi]], m)
+            row = np.repeat(np.arange(lo, hi, dtype=np.int32), m)
+            skipped = self.start[byte[lo:hi]] - (np.cumsum(m, dtype=np.int32) - m)
+            at = np.arange(len(row), dtype=np.int32) + np.repeat(skipped, m)
             both = bits[row] & self.there_bits[at]
             full = np.flatnonzero(both)
             row = row[full]
@@ -148,7 +149,7 @@ class Shard:
 
     def extended(self, of, byte, bits) -> Iterator[tuple]:
         """Phrases one word longer: (number of the prefix, word, popcount) each, and the rows of their bitmaps."""
-        for p, w, at, both in self.meet(*self.shifted(of, byte, bits)):
+        for p, w, at, both in (x for lo in range(0, len(of), STEP) for x in self.meet(*self.shifted(of[lo : lo + STEP], byte[lo : lo + STEP], bits[lo : lo + STEP]))):
             if not len(p):
                 continue
             key = p.astype(np.int64) * len(self.hashes) + w
